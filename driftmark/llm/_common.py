@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import sys
 import tempfile
+import types
 import uuid
 from collections.abc import Callable
 
@@ -76,3 +78,8 @@ def held_out(doc_id: Column) -> Column:
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def worker_cache() -> dict:
+    """What a Python worker keeps from task to task (it is reused, while functions arrive anew with each task)."""
+    return sys.modules.setdefault("_driftmark_worker", types.ModuleType("_driftmark_worker")).__dict__.setdefault("kept", {})

@@ -7,10 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, quality_rules, sharding
+from . import fingerprints, mixing, packing, quality_rules, sharding, token_counts, warc
 from ._common import read_table
 
 
+def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    packed = packing.pack(packing.document_items(read_table(spark, sf_dir, "documents")))
+    return packed.withColumnRenamed("item", "doc_id")
+
+
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     rules = quality_rules.learn_from_labels(docs, read_table(spark, sf_dir, "labels"))
@@ -19,6 +24,18 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", *base, F.col("_base_failed").alias("base_failed"), F.col("_kept").alias("kept"), F.col("_rule").alias("rule"))
 
 
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(read_table(spark, sf_dir, "pages"))
+
+
+def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.fingerprint_query(read_table(spark, sf_dir, "documents"))
+
+
+def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count_tokens(read_table(spark, sf_dir, "documents"))
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(read_table(spark, sf_dir, "documents"))
     return mixed.select("doc_id", "size", "source_size", "target", "taken", "copies", "rate")
@@ -28,6 +45,17 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(read_table(spark, sf_dir, "documents"))
 
 
+OP4_SQL = """
+WITH p AS (
+  SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
+f AS (SELECT payload_digest, min(page_id) AS first_id FROM p WHERE payload_bytes >= 100 GROUP BY payload_digest)
+SELECT p.page_id, p.payload_bytes, p.payload_digest,
+       CASE WHEN p.page_id > f.first_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN p.page_id > f.first_id THEN f.first_id END AS refers_to,
+       CASE WHEN p.page_id > f.first_id THEN 1 ELSE greatest(1, CAST(ceil(p.payload_bytes / 262144.0) AS BIGINT)) END AS chunks
+FROM p LEFT JOIN f ON p.payload_digest = f.payload_digest AND p.payload_bytes >= 100
+"""
+
 OP10_SQL = f"""
 WITH RECURSIVE sized AS (
   SELECT doc_id, coalesce(strlen(text), 0) AS bytes,
@@ -45,8 +73,12 @@ FROM buckets WHERE total <= {sharding.SHARD_BYTES} OR docs = 1 OR depth = 60
 """
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_best_fit_packing": op1_best_fit_packing,
     "op2_quality_rules": op2_quality_rules,
+    "op4_warc": op4_warc,
+    "op5_fingerprints": op5_fingerprints,
+    "op7_token_counts": op7_token_counts,
     "op9_mixing": op9_mixing,
     "op10_sharding": op10_sharding,
 }
-ORACLE_SQL: dict[str, str] = {"op10_sharding": OP10_SQL}
+ORACLE_SQL: dict[str, str] = {"op4_warc": OP4_SQL, "op10_sharding": OP10_SQL}
