@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprints, mixing, packing, quality_rules, sharding, token_counts, warc
+from . import fingerprints, mixing, near_dedup, packing, quality_rules, sharding, token_counts, warc
 from ._common import read_table
 
 
@@ -32,6 +32,10 @@ def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprint_query(read_table(spark, sf_dir, "documents"))
 
 
+def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(read_table(spark, sf_dir, "documents"))
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(read_table(spark, sf_dir, "documents"))
 
@@ -77,6 +81,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_quality_rules": op2_quality_rules,
     "op4_warc": op4_warc,
     "op5_fingerprints": op5_fingerprints,
+    "op6_near_dedup": op6_near_dedup,
     "op7_token_counts": op7_token_counts,
     "op9_mixing": op9_mixing,
     "op10_sharding": op10_sharding,
