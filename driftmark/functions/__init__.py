@@ -1 +1 @@
-
+"""Column expressions; all run inside the JVM."""
