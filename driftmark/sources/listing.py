@@ -46,7 +46,7 @@ def shape(head_bytes: Column, kind: str, truncated: Column) -> Column:
     if kind in ("zstd", "sqlite"):
         magic = ZSTD_MAGIC if kind == "zstd" else SQLITE_MAGIC
         return F.coalesce(F.startswith(F.hex(head_bytes), F.lit(magic)), F.lit(False))
-    text = F.decode(head_bytes, "UTF-8")
+    text = F.make_valid_utf8(head_bytes.cast("string"))
     clean = F.coalesce(F.locate("\0", text) == 0, F.lit(False))
     if kind == "text":
         return clean
@@ -67,7 +67,7 @@ def first_field(head_text: Column, paths: list[str], lines: int = 16) -> Column:
 
 def project_map(candidates: DataFrame, paths: list[str], remotes: DataFrame) -> DataFrame:
     """One row for each project directory: the working directory its newest file names, and its git remote (cwd, remote)."""
-    probed = candidates.select(project_dir(F.col("rel_path")).alias("project_dir"), "mtime_ns", first_field(F.decode(head(), "UTF-8"), paths).alias("cwd")).where("project_dir <> ''")
+    probed = candidates.select(project_dir(F.col("rel_path")).alias("project_dir"), "mtime_ns", first_field(F.make_valid_utf8(head().cast("string")), paths).alias("cwd")).where("project_dir <> ''")
     return probed.groupBy("project_dir").agg(F.max_by("cwd", F.when(F.col("cwd").isNotNull(), F.col("mtime_ns"))).alias("cwd")).join(remotes, "cwd", "left").select("project_dir", "cwd", "remote")
 
 

@@ -52,7 +52,7 @@ class Collector:
         hashed = candidates.join(maybe, "native_path", "left_semi").withColumn("content_hash", F.sha2("content", 256))
         decided = changes.budgeted(changes.decide(hashed, state, at), self.budget).where("admitted").cache()
         ship = decided.where("decision = 'shipped'")
-        payloads = ship.select("source_id", "native_path", F.lit(src.family).alias("family"), F.lit(src.jsonl).alias("jsonl"), F.decode("content", "UTF-8").alias("content"))
+        payloads = ship.select("source_id", "native_path", F.lit(src.family).alias("family"), F.lit(src.jsonl).alias("jsonl"), F.make_valid_utf8(F.col("content").cast("string")).alias("content"))
         lines = redact.split_lines(payloads) if src.jsonl else payloads.withColumnRenamed("content", "body").withColumns({"line_no": F.lit(0), "ending": F.lit("")})
         done = redact.rebuild(redact.redact_lines(lines, self.username), ["source_id", "native_path"])
         objects = done.withColumn("key", mirror_name(self.name_key, canonical_path(F.col("native_path"), self.username)))

@@ -1,0 +1,132 @@
+import os
+import sqlite3
+
+from pyspark.sql import functions as F
+
+from driftmark.operators import alignment, changes, rollups
+from driftmark.sources import keyvalue, listing, tables
+from driftmark.streaming.collector import Collector, Source, next_delay, paused
+
+SECRET = "ghp_" + "a1B2" * 9
+
+
+def write(path, body, at=1_700_000_000):
+    path.parent.mkdir(parents=True, exist_ok=True)
+    path.write_text(body)
+    os.utime(path, (at, at))
+
+
+def collector(spark, tmp_path, **more):
+    source = Source("a-sessions", "claude-code", str(tmp_path / "in"), ["projects/**/*.jsonl"], ["**/skip*"], **more)
+    return Collector(spark, source, str(tmp_path / "state"), str(tmp_path / "out"), b"k" * 32, "robin")
+
+
+def test_ticks_ship_what_changed(spark, tmp_path):
+    a, b = tmp_path / "in/projects/p/a.jsonl", tmp_path / "in/projects/p/b.jsonl"
+    write(a, '{"text":"' + SECRET + '"}\n')
+    write(b, '{"cwd":"/home/robin/x"}\n')
+    write(tmp_path / "in/projects/p/skip.jsonl", "{}\n")
+    write(tmp_path / "in/notes.txt", "x")
+    c = collector(spark, tmp_path)
+    assert c.tick() == {"shipped": 2}
+    assert c.tick() == {}  # nothing changed
+    write(b, b.read_text(), at=1_700_000_500)
+    assert c.tick() == {"unchanged": 1}  # touched only
+    write(a, a.read_text() + '{"text":"more"}\n', at=1_700_001_000)
+    assert c.tick()["shipped"] == 1
+    objects = tables.checked(tables.latest_objects(spark, str(tmp_path / "out"))).collect()
+    assert len(objects) == 2 and all(o["intact"] for o in objects)
+    assert not any(SECRET in o["content"] or "robin" in o["content"] for o in objects)
+    assert spark.read.parquet(str(tmp_path / "out")).select("key").distinct().count() == 2  # one key for a file's history
+
+
+def test_budget_and_stream(spark, tmp_path):
+    for k in range(4):
+        write(tmp_path / f"in/projects/p/{k}.jsonl", '{"k":%d}\n' % k, at=1_700_000_000 + k)
+    c = collector(spark, tmp_path)
+    c.budget = 3
+    seen = []
+    for _ in range(2):  # the second start goes on from the first one's checkpoint and state
+        c.stream(str(tmp_path / "checkpoint"), seen.append).awaitTermination(120)
+        if not seen:
+            seen.append(c.tick())
+    state = tables.read_state(spark, str(tmp_path / "state"), changes.STATE)
+    assert seen[0] == {"shipped": 3}
+    c.tick()
+    state = tables.read_state(spark, str(tmp_path / "state"), changes.STATE)
+    assert sorted(r["native_path"][-7:] for r in state.collect()) == ["0.jsonl", "1.jsonl", "2.jsonl", "3.jsonl"]
+
+
+def test_failed_files_are_parked_and_come_back(spark):
+    rows = spark.createDataFrame([("s", "a", 5, 1, "h", "o", "failed", "boom", 0), ("s", "b", 6, 2, "g", "p", "shipped", None, 0)], "source_id string, native_path string, size long, mtime_ns long, content_hash string, output_hash string, decision string, reason string, attempts int")
+    now = F.lit("2024-01-01 00:00:00").cast("timestamp")
+    state = changes.upsert(spark.createDataFrame([], changes.STATE), rows, now)
+    found = {r["native_path"]: r for r in state.collect()}
+    assert found["a"]["parked"] and found["a"]["attempts"] == 1 and not found["b"]["parked"]
+    cand = rows.select("source_id", "native_path", "size", "mtime_ns", "content_hash")
+    early = {r["native_path"]: r["decision"] for r in changes.decide(cand, state, now).collect()}
+    late = {r["native_path"]: r["decision"] for r in changes.decide(cand, state, F.lit("2024-01-02").cast("timestamp")).collect()}
+    assert early == {"a": "parked", "b": "unchanged"} and late == {"a": "shipped", "b": "unchanged"}
+
+
+def test_pause_and_delay(spark):
+    now = F.lit("2024-01-01").cast("timestamp")
+    flag = lambda v: spark.createDataFrame(v, "until string")
+    assert not paused(flag([]), now) and paused(flag([("soon",)]), now) and paused(flag([(None,)]), now)
+    assert paused(flag([("2024-01-02",)]), now) and not paused(flag([("2023-01-02",)]), now)
+    assert next_delay(True, False, 3, 900.0) == 15.0 and next_delay(True, True, 3, 900.0) == 900.0
+
+
+def test_shapes(spark):
+    heads = [b'{"a":1}\n{"b":', b"[1]\n", b'{"a":\0}', b'{"cut', b"\x28\xb5\x2f\xfdxx", b"\n {} \n"]
+    df = spark.createDataFrame([(k, bytearray(h), k == 3) for k, h in enumerate(heads)], "k int, h binary, cut boolean")
+    kinds = {k: [r[0] for r in df.orderBy("k").select(listing.shape(F.col("h"), k, F.col("cut"))).collect()] for k in ("jsonl", "zstd")}
+    assert kinds["jsonl"] == [True, False, False, True, False, True]
+    assert kinds["zstd"] == [False, False, False, False, True, False]
+    one = spark.createDataFrame([('{"x":1}\n{"payload":{"cwd":"/w"}}\n',)], "h string")
+    assert one.select(listing.first_field(F.col("h"), ["cwd", "payload.cwd"])).first()[0] == "/w"
+    assert [r[0] for r in listing.contradictions(spark, ["secret/x*.txt", "ok/*"], ["secret/**"]).collect()] == ["secret/x*.txt"]
+
+
+def test_store_and_alignment(spark, tmp_path):
+    path = tmp_path / "state.vscdb"
+    with sqlite3.connect(path) as db:
+        db.execute("CREATE TABLE cursorDiskKV (key TEXT PRIMARY KEY, value BLOB)")
+        rows = [
+            ("composerData:c1", '{"fullConversationHeadersOnly":[{"bubbleId":"b1"},{"bubbleId":"gone"},{"bubbleId":"b2"},{"bubbleId":"b3"}]}'),
+            ("bubbleId:c1:b1", '{"type":1,"text":"please list the files"}'),
+            ("bubbleId:c1:b2", '{"type":2,"toolFormerData":{"name":"run_command","rawArgs":"{\\"cmd\\":\\"ls\\"}","status":"ok","result":"a b"}}'),
+            ("bubbleId:c1:b3", '{"type":2,"text":"there are two files"}'),
+            ("cursorAuth/accessToken", "never"),
+        ]
+        db.executemany("INSERT INTO cursorDiskKV VALUES (?, ?)", rows)
+    store = keyvalue.read_store(spark, [str(path)], "cursorDiskKV")
+    first, more = keyvalue.capped(store, 3)
+    assert store.count() == 4 and more and first.count() == 3
+    assert keyvalue.read_store(spark, [str(path)], "cursorDiskKV", ["BUBBLEID:c1"]).count() == 3
+    heads, bubbles = keyvalue.conversations(store)
+    events = alignment.order_events(heads, bubbles)
+    assert [r["event_id"] for r in events.orderBy("pos").collect()] == ["b1", "b2", "b3"]
+    lines = [("c1", 0, "user", "text", "<user_query>please list the files</user_query>", None, None), ("c1", 1, "assistant", "tool_use", None, "RunCommand", '{"cmd": "ls"}'), ("c1", 2, "assistant", "tool_use", None, "RunCommand", '{"cmd": "ls"}'), ("c1", 3, "assistant", "text", "there are two files", None, None), ("c2", 0, "user", "text", "hello", None, None)]
+    blocks = spark.createDataFrame(lines, "conv string, seq long, role string, type string, text string, name string, input string")
+    aligned = alignment.align(blocks, events)
+    got = {(r["conv"], r["seq"]): (r["outcome"], r["event_id"]) for r in aligned.collect()}
+    assert got == {("c1", 0): ("match", "b1"), ("c1", 1): ("match", "b2"), ("c1", 2): ("repeat", "b2"), ("c1", 3): ("match", "b3"), ("c2", 0): ("no-store", None)}
+    assert {r["conv"]: r["status"] for r in alignment.outcome_of(aligned).collect()} == {"c1": "ok", "c2": "no-store"}
+
+
+def test_audit_log(spark, tmp_path):
+    entries = spark.createDataFrame([("2024-01-01T00:00:0%d" % k, "s", "p", "failed", r, 1, 1) for k, r in enumerate(["two\nlines", "has __REDACTED:x__", "x" * 900])], tables.AUDIT)
+    tables.append_audit(entries, str(tmp_path / "log"))
+    (tmp_path / "log" / "part-torn.json").write_text('{"at": "2024')
+    rows = tables.read_audit(spark, str(tmp_path / "log")).orderBy("at").collect()
+    assert [r["reason"][:10] for r in rows] == ["two lines", "(withheld)", "x" * 10] and len(rows[2]["reason"]) == 500
+    assert tables.read_audit(spark, str(tmp_path / "log"), last=1).first()["at"].endswith("2")
+
+
+def test_rollup_helpers(spark):
+    files = spark.createDataFrame([("r", "p", "a", None), ("r", "p", "b", "/w/x"), ("r", "", "c", ""), ("r", "q", "d", "/w/y")], "root string, project_dir string, rel_path string, cwd string")
+    assert {r["rel_path"]: r["repo"] for r in rollups.attribute(files).collect()} == {"a": "x", "b": "x", "c": None, "d": "y"}
+    dirs = spark.createDataFrame([("/w/x/y",), ("/v",)], "dir string")
+    marks = spark.createDataFrame([("/w",), ("/w/x",)], "dir string")
+    assert {r["dir"]: r["marker"] for r in rollups.nearest_marker(dirs, marks).collect()} == {"/w/x/y": "/w/x", "/v": None}
