@@ -18,58 +18,66 @@ from ._common import SPACE_CHARS, SPACE_CLASS, let, materialize, words_of
 #: Characters that count as symbols.
 SYMBOLS = "#*$%&|<>"
 BASE = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
-FEATURES = ["words", "mean_word", "symbol_rate", "dup_line_rate", "repeat_rate", "distinct_rate", "upper_rate", "digit_rate", "bang_rate", "words_per_line"]
+FEATURES = ["words", "mean_word", "symbol_rate", "dup_line_rate", "repeat_rate", "later_window_rate", "upper_rate", "digit_rate", "bang_rate", "words_per_line"]
 #: Labelled rows that a list is learned from, at most.
 LABELLED_ROWS = 20_000
 
 
+#: So many different repeated windows are looked up one by one; more are found by sorting.
+FEW = 64
+
+
 def _count_of(text: Column, chars: str) -> Column:
     return (F.length(text) - F.length(F.translate(text, chars, ""))).cast("long")
 
 
-def _covered(grams: Column) -> Column:
-    """Words covered by three-word windows that occur more than once; grams: hashes of the windows in order."""
+def _span(starts: Column) -> Column:
+    """Words covered by three-word windows with these ascending starts."""
+    gaps = F.transform(starts, lambda p, k: F.least(F.lit(3), F.coalesce(F.get(starts, k + 1) - p, F.lit(3))))
+    return F.aggregate(gaps, F.lit(0), lambda a, x: a + x)
 
-    def over_sorted(by_hash: Column) -> Column:
-        n = F.size(by_hash)
+
+def _starts_by_sorting(grams: Column) -> Column:
+    def dups(by_hash: Column) -> Column:
         same = lambda a, b: F.coalesce(F.get(by_hash, a)["h"] == F.get(by_hash, b)["h"], F.lit(False))
-        at = F.filter(F.sequence(F.lit(0), n - 1), lambda k: same(k, k - 1) | same(k, k + 1))
-        return let(F.sort_array(F.transform(at, lambda k: F.get(by_hash, k)["i"])), over_starts)
+        at = F.filter(F.sequence(F.lit(0), F.size(by_hash) - 1), lambda k: same(k, k - 1) | same(k, k + 1))
+        return F.sort_array(F.transform(at, lambda k: F.get(by_hash, k)["i"]))
 
-    def over_starts(starts: Column) -> Column:
-        gaps = F.transform(starts, lambda p, k: F.least(F.lit(3), F.coalesce(F.get(starts, k + 1) - p, F.lit(3))))
-        return F.aggregate(gaps, F.lit(0), lambda a, x: a + x)
+    return let(F.sort_array(F.transform(grams, lambda h, i: F.struct(h.alias("h"), i.alias("i")))), dups)
 
-    by_hash = F.sort_array(F.transform(grams, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
-    return F.when(F.size(F.array_distinct(grams)) == F.size(grams), F.lit(0)).otherwise(let(by_hash, over_sorted))
 
+def _windows(words: Column) -> Column:
+    """Struct of the number of three-word windows, of later copies of windows, and of words that repeated windows cover."""
 
-def _repeat_words(words: Column) -> Column:
-    def grams(w: Column) -> Column:
-        return F.transform(F.sequence(F.lit(0), F.size(w) - 3), lambda i: F.xxhash64(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2)))
+    def of(grams: Column) -> Column:
+        later = let(F.sort_array(grams), lambda s: F.filter(s, lambda h, i: h == F.get(s, i - 1)))
+        return let(later, lambda d: result(grams, d))
 
-    return F.when(F.size(words) < 4, F.lit(0)).otherwise(let(grams(words), _covered)).cast("long")
+    def result(grams: Column, later: Column) -> Column:
+        def starts(again: Column) -> Column:
+            one_by_one = F.filter(F.transform(grams, lambda h, i: F.when(F.array_contains(again, h), i)), lambda i: i.isNotNull())
+            return F.when(F.size(again) <= FEW, one_by_one).otherwise(_starts_by_sorting(grams))
 
+        covered = F.when(F.size(later) == 0, F.lit(0)).otherwise(let(let(F.array_distinct(later), starts), _span))
+        return F.struct(F.size(grams).alias("n"), F.size(later).alias("later"), covered.cast("long").alias("covered"))
 
-def text_statistics(text: Column) -> Column:
-    """Struct of the base counts and of the rates that rules test, of the whole text.
+    some = F.transform(F.sequence(F.lit(0), F.size(words) - 3), lambda i: F.xxhash64(F.get(words, i), F.get(words, i + 1), F.get(words, i + 2)))
+    return let(F.when(F.size(words) < 3, F.array().cast("array<bigint>")).otherwise(some), of)
 
-    Null and empty texts have all counts 0 and all rates 0.0.
-    """
+
+def text_statistics(text: Column) -> Column:
+    """Struct of the base counts and of what the rates need, of the whole text (null: as empty)."""
     text = F.coalesce(text, F.lit(""))
+    marks = F.regexp_replace(text, f"[^{SYMBOLS}A-Z0-9!]+", "")  # one pass leaves the few characters that are counted
 
     def of_words(w: Column) -> Column:
         lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(SPACE_CLASS.replace("[", "[^")))
         return F.struct(
             F.size(w).cast("long").alias("n_words"),
-            F.length(F.translate(text, SPACE_CHARS, "")).cast("long").alias("word_chars"),
-            _count_of(text, SYMBOLS).alias("n_symbols"),
+            F.length(F.array_join(w, "")).cast("long").alias("word_chars"),
             let(lines, lambda x: F.struct(F.size(x).cast("long").alias("n"), (F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("dup"))).alias("lines"),
-            _repeat_words(w).alias("n_repeat_words"),
-            F.size(F.array_distinct(w)).cast("long").alias("n_distinct"),
-            _count_of(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ").alias("n_upper"),
-            _count_of(text, "0123456789").alias("n_digits"),
-            _count_of(text, "!").alias("n_bangs"),
+            _windows(w).alias("windows"),
+            let(marks, lambda m: F.struct(*[_count_of(m, chars).alias(name) for name, chars in (("symbols", SYMBOLS), ("upper", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"), ("digits", "0123456789"), ("bangs", "!"))])).alias("marks"),
         )
 
     return let(words_of(text), of_words)
@@ -81,12 +89,12 @@ def with_statistics(df: DataFrame, text: str = "text") -> DataFrame:
     s = F.col("_s")
     n = s["n_words"]
     rates = {
-        "words": n.cast("double"), "mean_word": rate(s["word_chars"], n), "symbol_rate": rate(s["n_symbols"], n),
-        "dup_line_rate": rate(s["lines"]["dup"], s["lines"]["n"]), "repeat_rate": rate(s["n_repeat_words"], n),
-        "distinct_rate": rate(s["n_distinct"], n), "upper_rate": rate(s["n_upper"], s["word_chars"]),
-        "digit_rate": rate(s["n_digits"], s["word_chars"]), "bang_rate": rate(s["n_bangs"], n), "words_per_line": rate(n, s["lines"]["n"]),
+        "words": n.cast("double"), "mean_word": rate(s["word_chars"], n), "symbol_rate": rate(s["marks"]["symbols"], n),
+        "dup_line_rate": rate(s["lines"]["dup"], s["lines"]["n"]), "repeat_rate": rate(s["windows"]["covered"], n),
+        "later_window_rate": rate(s["windows"]["later"], s["windows"]["n"]), "upper_rate": rate(s["marks"]["upper"], s["word_chars"]),
+        "digit_rate": rate(s["marks"]["digits"], s["word_chars"]), "bang_rate": rate(s["marks"]["bangs"], n), "words_per_line": rate(n, s["lines"]["n"]),
     }
-    counts = {"n_words": n, "word_chars": s["word_chars"], "n_symbols": s["n_symbols"], "n_dup_lines": s["lines"]["dup"], "n_repeat_words": s["n_repeat_words"]}
+    counts = {"n_words": n, "word_chars": s["word_chars"], "n_symbols": s["marks"]["symbols"], "n_dup_lines": s["lines"]["dup"], "n_repeat_words": s["windows"]["covered"]}
     return df.withColumn("_s", text_statistics(F.col(text))).withColumn("_q", F.struct(*[c.alias(k) for k, c in (counts | rates).items()])).drop("_s")
 
 
@@ -215,7 +223,7 @@ def learn_from_labels(docs: DataFrame, labels: DataFrame, limit: int = LABELLED_
     chosen = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy("doc_id").agg(F.min("quality").alias("quality"))
     chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit).select(F.col("doc_id").alias("_id"), (F.col("quality") == 0).alias("_low"))
     known = docs.where("text IS NOT NULL").select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("_id"))
-    return learn(materialize(with_statistics(known).where(~base_failed(F.col("_q"))).select("_q", "_low").coalesce(8), "quality-sample"), F.col("_low"))
+    return learn(materialize(with_statistics(known).where(~base_failed(F.col("_q"))).select("_q", "_low"), "quality-sample"), F.col("_low"))
 
 
 def judge(docs: DataFrame, rules: DecisionList) -> DataFrame:
