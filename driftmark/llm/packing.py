@@ -7,6 +7,8 @@ source nor its duplicate cluster; bins know both as bitmaps. Pieces come largest
 
 from __future__ import annotations
 
+from bisect import insort
+
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -43,7 +45,7 @@ def best_fit(pieces: list[tuple[int, int, int]], capacity: int) -> list[int]:
         seen[found] = (seen[found][0] | source, seen[found][1] | cluster)
         out.append(found)
         left = room - size
-        rooms[left].append(found)
+        insort(rooms[left], found)
         filled |= 1 << left
     return out
 

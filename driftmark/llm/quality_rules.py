@@ -141,42 +141,42 @@ class DecisionList:
         return [" AND ".join(map(str, rule)) + " -> reject" for rule in self.rules] + ["otherwise -> keep"]
 
 
-def _cuts(stats: DataFrame, bins: int) -> dict[str, list[float]]:
-    """Thresholds to try: half-way between neighbouring quantiles, so that they keep off both sides."""
+def _cuts(stats: DataFrame, bins: int) -> dict[str, list[tuple[float, float]]]:
+    """Thresholds to try: half-way between neighbouring quantiles, so that they keep off both sides, and the gap as a share of the range."""
     at = [i / bins for i in range(bins + 1)]
     row = stats.agg(*[F.percentile_approx(F.col("_q")[f], at, 10_000).alias(f) for f in FEATURES]).first()
     known = {f: sorted(set(row[f] or [])) for f in FEATURES}
-    return {f: [(a + b) / 2 for a, b in zip(v, v[1:], strict=False)] for f, v in known.items()}
+    return {f: [((a + b) / 2, (b - a) / (v[-1] - v[0])) for a, b in zip(v, v[1:], strict=False)] for f, v in known.items()}
 
 
 def _below(edges: Column, value: Column) -> Column:
     return F.size(F.filter(edges, lambda c: c < value))
 
 
-def _histogram(rows: DataFrame, cuts: dict[str, list[float]]) -> list:
+def _histogram(rows: DataFrame, cuts: dict[str, list[tuple[float, float]]]) -> list:
     """Counts of good and bad rows by feature and number of cuts below the value."""
     cells = []
     for f in FEATURES:
-        value, edges = F.col("_q")[f], F.array(*[F.lit(float(c)) for c in cuts[f]]).cast("array<double>")
+        value, edges = F.col("_q")[f], F.array(*[F.lit(float(c)) for c, _ in cuts[f]]).cast("array<double>")
         cells.append(F.struct(F.lit(f).alias("f"), _below(edges, value).alias("k")))
     one = rows.select("_bad", F.explode(F.array(*cells)).alias("c")).groupBy("c.f", "c.k")
     return one.agg(F.sum(F.col("_bad")).alias("bad"), F.sum(1 - F.col("_bad")).alias("good")).collect()
 
 
-def _best(rows: DataFrame, cuts: dict[str, list[float]], bad: float, good: float, least: int) -> Condition | None:
-    """The condition of the largest FOIL gain over what the rule so far covers."""
+def _best(rows: DataFrame, cuts: dict[str, list[tuple[float, float]]], bad: float, good: float, least: int) -> Condition | None:
+    """The condition of the largest FOIL gain over what the rule so far covers; among equals, that of the widest gap around its cut."""
     tally: dict[str, dict[int, tuple[int, int]]] = {}
     for r in _histogram(rows, cuts):
         tally.setdefault(r["f"], {})[r["k"]] = (r["bad"], r["good"])
-    before, best, gain = math.log2(bad / (bad + good)), None, 1e-9
+    before, best, most = math.log2(bad / (bad + good)), None, (1e-6, 0.0)
     for f in FEATURES:
         low_bad = low_good = 0
-        for k, cut in enumerate(cuts[f]):
+        for k, (cut, gap) in enumerate(cuts[f]):
             b, g = tally.get(f, {}).get(k, (0, 0))
             low_bad, low_good = low_bad + b, low_good + g
             for above, p, n in ((False, low_bad, low_good), (True, bad - low_bad, good - low_good)):
-                if p >= least and (x := p * (math.log2(p / (p + n)) - before)) > gain:
-                    best, gain = Condition(f, above, cut), x
+                if p >= least and (x := (round(p * (math.log2(p / (p + n)) - before), 6), gap)) > most:
+                    best, most = Condition(f, above, cut), x
     return best
 
 
