@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from driftmark.functions import checks, text
-from driftmark.operators import alignment, changes, redact, rollups
+from driftmark.operators import alignment, changes, redact, rollups, status
 from driftmark.plans import rules as R
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -539,3 +539,119 @@ def tool_sequence_alignment(t: Tables) -> DataFrame:
     kept = c.where((F.col("conv_id") + F.col("turn")) % 5 != 0)
     events = kept.select("conv", (F.col("turn") + F.when(F.col("turn") % 3 == 1, 2).otherwise(0)).alias("pos"), F.concat_ws("-", "conv", "turn").alias("event_id"), "role", F.substring("text", 1, 200).alias("text"), F.lit(None).cast("string").alias("name"), F.lit(None).cast("string").alias("args"))
     return alignment.align(blocks, events)
+
+
+# --- status --------------------------------------------------------------------------------------
+
+
+@query(f"""WITH {SURVEY_SQL} SELECT family, count(*) AS files, sum(size)::BIGINT AS bytes, coalesce(sum(size) FILTER (pending), 0)::BIGINT AS pending_bytes, grouping(family) = 1 AS is_total FROM f GROUP BY ROLLUP (family)""")
+def status_by_agent(t: Tables) -> DataFrame:
+    """Files and bytes of each family and of all."""
+    return status.status(_files(t))
+
+
+@query(f"""WITH {SURVEY_SQL}, g AS (SELECT repo, min(o_orderkey) AS first_key, count(*) AS n, count(*) FILTER (pending) AS collecting FROM f GROUP BY repo)
+SELECT repo, n, collecting, row_number() OVER (ORDER BY first_key, repo) AS place FROM g""")
+def families_first_seen(t: Tables) -> DataFrame:
+    out = status.first_seen(_files(t), "repo", "o_orderkey", F.col("pending"))
+    return out.withColumn("place", F.col("place").cast("long"))
+
+
+@query("""SELECT lang, count(*) FILTER (n_chars > 1000) AS sessions, count(DISTINCT source) AS projects, arg_max(doc_id, (n_chars, -doc_id)) AS largest, max(n_chars) AS largest_size FROM documents GROUP BY lang""")
+def session_headline(t: Tables) -> DataFrame:
+    """Long documents, exact distinct sources and the largest document of each language."""
+    return t("documents").groupBy("lang").agg(F.count_if(F.col("n_chars") > 1000).alias("sessions"), F.countDistinct("source").alias("projects"), F.max_by("doc_id", F.struct("n_chars", -F.col("doc_id"))).alias("largest"), F.max("n_chars").alias("largest_size"))
+
+
+@query(f"""WITH {STATE_SQL} SELECT source_id, count(*) FILTER (parked) AS parked, min(backoff_until) FILTER (parked)::DATE::VARCHAR AS next_try FROM s GROUP BY source_id""")
+def parked_rows(t: Tables) -> DataFrame:
+    return _state(t).groupBy("source_id").agg(F.count_if("parked").alias("parked"), F.to_date(F.min(F.when(F.col("parked"), F.col("backoff_until")))).cast("string").alias("next_try"))
+
+
+@query(f"""WITH {OUTCOMES_SQL} SELECT user_id, arg_max(event_id, (ts, event_id)) AS event_id FROM o WHERE decision = 'failed' AND NOT emitted GROUP BY user_id""")
+def latest_counted_event(t: Tables) -> DataFrame:
+    counted = (F.col("decision") == "failed") & ~F.col("emitted")
+    return _outcomes(t).where(counted).groupBy("user_id").agg(F.max_by("event_id", F.struct("ts", "event_id")).alias("event_id"))
+
+
+LAYERS_SQL = """
+l AS (SELECT 's' || (user_id % 30) AS source_id, ['compiled', 'catalog', 'user', 'remote'][user_id % 4 + 1] AS layer, event_id AS rank, user_id % 4 = 2 AS local,
+        CASE WHEN event_type IN ('view', 'click') THEN TRUE WHEN event_type = 'error' AND event_id % 40 = 0 THEN FALSE END AS enabled FROM events WHERE event_id % 5 = 0)"""
+
+
+@query(f"""WITH {LAYERS_SQL}, g AS (SELECT source_id, coalesce(bool_or(local AND NOT enabled), FALSE) AS veto, arg_max(enabled, rank) FILTER (enabled IS NOT NULL) AS top, arg_max(layer, rank) FILTER (enabled IS NOT NULL) AS top_by,
+  arg_max(layer, rank) FILTER (local AND NOT enabled) AS off_by FROM l GROUP BY source_id)
+SELECT source_id, CASE WHEN veto THEN FALSE ELSE coalesce(top, TRUE) END AS enabled, CASE WHEN veto THEN off_by ELSE coalesce(top_by, 'derived') END AS set_by FROM g""")
+def config_override(t: Tables) -> DataFrame:
+    """Layered switches with a local veto, and the layer that decided."""
+    layer = F.element_at(F.array(*[F.lit(x) for x in ("compiled", "catalog", "user", "remote")]), (F.col("user_id") % 4 + 1).cast("int"))
+    enabled = F.when(F.col("event_type").isin("view", "click"), True).when((F.col("event_type") == "error") & (F.col("event_id") % 40 == 0), False)
+    rows = t("events").where("event_id % 5 = 0").select(F.concat(F.lit("s"), (F.col("user_id") % 30).cast("string")).alias("source_id"), layer.alias("layer"), F.col("event_id").alias("rank"), (F.col("user_id") % 4 == 2).alias("local"), enabled.alias("enabled"))
+    return status.effective_switches(rows)
+
+
+@query("""WITH p AS (SELECT DISTINCT source AS source_id, CASE WHEN source IN ('src1', 'src2') THEN '' ELSE 'fam' || substr(source, 4, 1) END AS family FROM documents),
+u AS (SELECT 'src' || (user_id % 15) AS source_id, event_id AS bytes, event_id AS seen FROM events), q AS (SELECT source_id, coalesce(nullif(family, ''), source_id) AS family FROM p)
+SELECT family, coalesce(sum(bytes), 0)::BIGINT AS bytes, coalesce(max(seen), 0) AS last_at, count(DISTINCT q.source_id) AS sources FROM q LEFT JOIN u USING (source_id) GROUP BY family""")
+def upload_by_family(t: Tables) -> DataFrame:
+    family = F.when(F.col("source").isin("src1", "src2"), "").otherwise(F.concat(F.lit("fam"), F.substring("source", 4, 1)))
+    probes = t("documents").select(F.col("source").alias("source_id"), family.alias("family"))
+    uploads = t("events").groupBy(F.concat(F.lit("src"), (F.col("user_id") % 15).cast("string")).alias("source_id")).agg(F.sum("event_id").alias("bytes"), F.max("event_id").alias("at"))
+    return status.upload_by_family(probes, uploads).withColumn("last_at", F.coalesce("last_at", F.lit(0)))
+
+
+@query("""WITH p AS (SELECT o_custkey AS batch, o_orderkey AS object_id, o_orderstatus AS key, floor(o_totalprice)::BIGINT AS size FROM orders),
+t AS (SELECT o_custkey AS batch, o_orderkey AS object_id, CASE WHEN o_orderkey % 17 = 0 THEN 'X' ELSE o_orderstatus END AS key, floor(o_totalprice)::BIGINT AS size FROM orders WHERE o_orderkey % 11 <> 0
+  UNION ALL SELECT o_custkey, o_orderkey, o_orderstatus, 1 FROM orders WHERE o_orderkey % 101 = 1),
+g AS (SELECT batch, object_id, count(*) AS n, min((key, size)) AS x FROM t GROUP BY ALL), b AS (SELECT DISTINCT batch FROM g WHERE n > 1)
+SELECT p.batch, p.object_id, coalesce(g.x = (p.key, p.size), FALSE) AND p.batch NOT IN (SELECT batch FROM b) AS authorized FROM p LEFT JOIN g ON p.batch = g.batch AND p.object_id = g.object_id""")
+def ticket_join(t: Tables) -> DataFrame:
+    """Objects against upload tickets: some missing, some of another key, some twice."""
+    o = t("orders").select(F.col("o_custkey").alias("batch"), F.col("o_orderkey").alias("object_id"), F.col("o_orderstatus").alias("key"), F.floor("o_totalprice").alias("size"))
+    tickets = o.where("object_id % 11 <> 0").withColumn("key", F.when(F.col("object_id") % 17 == 0, "X").otherwise(F.col("key")))
+    again = o.where("object_id % 101 = 1").withColumn("size", F.lit(1).cast("long"))
+    return status.match_tickets(o, tickets.unionByName(again), "batch").select("batch", "object_id", "authorized")
+
+
+@query("""SELECT page_id, CASE WHEN url SIMILAR TO '[ -~]{0,128}' THEN 'url=' || url || ';' ELSE '' END || 'bytes=' || strlen(html) AS fields FROM pages""")
+def object_metadata(t: Tables) -> DataFrame:
+    """Set and printable fields of objects."""
+    m = status.metadata({"url": F.col("url"), "bytes": F.octet_length("html"), "note": F.lit(None)})
+    pages = t("pages").select("page_id", m.alias("m"))
+    pair = lambda k: F.concat(F.lit(k + "="), F.try_element_at("m", F.lit(k)))
+    return pages.select("page_id", F.concat_ws(";", pair("url"), pair("bytes")).alias("fields"))
+
+
+@query("""WITH m AS (SELECT doc_id, text, list_max(list_filter(range(100, 401), lambda k: strlen(right(text, k)) <= 400)) AS k FROM documents)
+SELECT doc_id, CASE WHEN strlen(right(text, 400)) <= 400 THEN right(text, 400) ELSE right(text, k) END AS tail FROM m""")
+def message_tail(t: Tables) -> DataFrame:
+    """The last 400 bytes of each text, whole characters."""
+    return t("documents").select("doc_id", status.message_tail(F.col("text")).alias("tail"))
+
+
+@query("""WITH g AS (SELECT user_id, epoch_us(lag(ts) OVER w) AS since_us, floor((epoch_us(ts) - epoch_us(lag(ts) OVER w)) / 1000000)::BIGINT AS seconds FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts))
+SELECT user_id, since_us, seconds, floor(log2(seconds / 36000))::BIGINT AS doublings FROM g WHERE seconds > 36000""")
+def stall_events(t: Tables) -> DataFrame:
+    s = status.stalls(t("events").select("user_id", F.to_utc_timestamp(F.col("ts").cast("timestamp"), F.current_timezone()).alias("ts")), "user_id", "ts", 36_000)
+    return s.select("user_id", F.unix_micros("since").alias("since_us"), "seconds", "doublings")
+
+
+@query("""SELECT c_custkey, c_name AS name, CAST(c_nationkey AS VARCHAR) AS nation FROM customer""")
+def token_claims(t: Tables) -> DataFrame:
+    """Claims read back from unsigned tokens made of customers."""
+    body = F.base64(F.to_json(F.struct(F.col("c_name").alias("name"), F.col("c_nationkey").alias("nation"))).cast("binary"))
+    token = F.concat_ws(".", F.lit("h"), F.regexp_replace(F.translate(body, "+/", "-_"), "=+$", ""), F.lit("s"))
+    return t("customer").select("c_custkey", token.alias("t")).select("c_custkey", status.jwt_claim(F.col("t"), "name").alias("name"), status.jwt_claim(F.col("t"), "nation").alias("nation"))
+
+
+@query("""SELECT CAST(ts AS DATE)::VARCHAR AS day, count(*) AS n, count(DISTINCT user_id) AS users FROM events GROUP BY 1""")
+def day_activity(t: Tables) -> DataFrame:
+    return t("events").groupBy(F.to_date("ts").cast("string").alias("day")).agg(F.count(F.lit(1)).alias("n"), F.countDistinct("user_id").alias("users"))
+
+
+@query("""SELECT event_id, CASE WHEN event_id % 2 = 0 THEN '{"a":{"c":[' || event_id || ',{}]},"b":1}' ELSE '{"plain": ' || event_id || '}' END AS body, CASE WHEN event_id % 2 = 0 THEN 2 ELSE 0 END::BIGINT AS dropped FROM events""")
+def json_fields_dropped(t: Tables) -> DataFrame:
+    """Named fields gone at any depth; texts without them stay as they are."""
+    k = F.col("event_id").cast("string")
+    body = F.when(F.col("event_id") % 2 == 0, F.concat(F.lit('{"a": {"secret": 1, "c": ['), k, F.lit(', {"secret": {"x": 2}}]}, "b": 1}'))).otherwise(F.concat(F.lit('{"plain": '), k, F.lit("}")))
+    return status.drop_fields(t("events").select("event_id", body.alias("body")), "body", ["secret"])
