@@ -6,7 +6,7 @@ CASE over the left join of the two; size and time are a pre-filter, the content
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from driftmark.functions.checks import backoff_seconds
@@ -44,16 +44,14 @@ def decide(candidates: DataFrame, state: DataFrame, now: Column) -> DataFrame:
 
 
 def budgeted(decided: DataFrame, limit: int) -> DataFrame:
-    """Add ``admitted``: the first ``limit`` rows, oldest first, that are to be shipped; the others cost no budget and pass.
+    """Add ``admitted``: the first ``limit`` rows that are to be shipped, by source and oldest first; the others cost no budget and pass.
 
-    Only rows to ship are ranked, by source, time and path; the rank comes from counts by source and a window in each.
+    Each task keeps its own first ``limit`` rows, so nothing is sorted as a whole; the chosen keys, ``limit`` at most, are broadcast.
     """
     ship = F.col("decision") == "shipped"
-    inside = Window.partitionBy("source_id").orderBy("mtime_ns", "rel_path").rowsBetween(Window.unboundedPreceding, 0)
-    per = decided.groupBy("source_id").agg(F.count_if(ship).alias("_n"))
-    per = per.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("source_id").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    ranked = decided.withColumn("_rank", F.sum(ship.cast("long")).over(inside)).join(per.select("source_id", "_before"), "source_id")
-    return ranked.withColumn("admitted", ~ship | (F.col("_rank") + F.col("_before") <= limit)).drop("_rank", "_before")
+    order = ["source_id", "mtime_ns", "rel_path", "native_path"]
+    first = decided.where(ship).select(*order).orderBy(*order).limit(limit).select(*KEY, F.lit(True).alias("_in"))
+    return decided.join(F.broadcast(first), KEY, "left").withColumn("admitted", ~ship | F.col("_in").isNotNull()).drop("_in")
 
 
 def upsert(state: DataFrame, outcomes: DataFrame, now: Column) -> DataFrame:
