@@ -17,6 +17,11 @@ from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
+
+try:
+    import ahocorasick
+except ImportError:  # keywords are then looked up one by one
+    ahocorasick = None
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -77,6 +82,8 @@ def _pesel(s: str) -> bool:
 
 
 _CHECKS = {"pan": _card, "iban": _iban, "pesel": _pesel}
+#: Without this no number of the personal rules can be in a text.
+_DIGITS = re.compile("[0-9][ -]?[0-9]")
 _RUN = re.compile(rf"[A-Za-z0-9+=_-]{{{R.ENTROPY_LENGTH},}}")
 _TOKEN = re.compile(r'"(?:[^"\\]|\\.)*"|[{}\[\]:,]')
 _BASE64 = re.compile(r"[A-Za-z0-9+/=_\r-]+")
@@ -91,6 +98,17 @@ class Ladder:
         self.rules = [(r, R.python(r.pattern), [k.lower() for k in r.keywords]) for r in R.RULES if r.rule_id != pem]
         names = R.Rule("key-name", R.assignment_pattern(), tuple(n.lstrip("*") for n in R.SECRET_NAMES), 1)
         self.rules.append((names, R.python(names.pattern), [k.lower() for k in names.keywords]))
+        self.free = [k for k, (_, _, keywords) in enumerate(self.rules) if not keywords]
+        self.keywords = None
+        if ahocorasick:
+            self.keywords = ahocorasick.Automaton()
+            by_word: dict[str, list[int]] = {"private key": []}
+            for k, (_, _, keywords) in enumerate(self.rules):
+                for w in keywords:
+                    by_word.setdefault(w, []).append(k)
+            for w, which in by_word.items():
+                self.keywords.add_word(w, tuple(which))
+            self.keywords.make_automaton()
         self.pem = R.python(r"-----(BEGIN|END)[A-Z ]*PRIVATE KEY(?: BLOCK)?-----")
         self.exempt = {(family, path) for family, paths in R.EXEMPT.items() for path in paths}
         skip = [R.USER_PLACEHOLDER, "__REDACTED"] + [self.username] * bool(self.username)
@@ -100,9 +118,13 @@ class Ladder:
     def patterns(self, value: str) -> list[tuple[int, int, str]]:
         """Spans (start, end, rule) of all pattern rules; what a check refuses is passed over whole."""
         low, out = value.lower(), []
-        for rule, pattern, keywords in self.rules:
-            if keywords and not any(k in low for k in keywords):
-                continue
+        if self.keywords:
+            found = {k for _, which in self.keywords.iter(low) for k in which}
+        else:
+            found = {k for k, (_, _, keywords) in enumerate(self.rules) if any(w in low for w in keywords)}
+        if _DIGITS.search(value):
+            found.update(self.free)
+        for rule, pattern, _ in (self.rules[k] for k in sorted(found)):
             for m in pattern.finditer(value):
                 a, b = m.span(rule.capture)
                 if rule.guard and (value[a - 1 : a] == "." or _DECIMAL.match(value, b)):
