@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import materialize, word_count
+from ._common import key_join, materialize, word_count
 
 #: Weights of the sources in code-point order, repeating; null comes last.
 WEIGHTS = (3.0, 1.0, 2.0)
@@ -101,6 +101,7 @@ def _running(df: DataFrame, value: Column) -> DataFrame:
     keys = ["source_no", "cls", "part"]
     cells = _before(df.groupBy(*keys).agg(F.sum("_v").alias("v")), "v", [F.desc("cls"), F.col("part")]).drop("v")
     inside = Window.partitionBy(*keys).orderBy(F.desc("size"), "_key").rowsBetween(Window.unboundedPreceding, 0)
+    # cells are looked up by what the windows are dealt by already
     out = df.withColumn("_in", F.sum("_v").over(inside)).join(cells, keys)
     return out.withColumn("cum", F.col("_in") + F.col("before")).drop("_v", "_in", "before")
 
@@ -120,9 +121,10 @@ def mix_sized(sized: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: flo
     targets = materialize(source_targets(sized, weights, share, cap), "mix-targets")
     parts = max(PARTS, sized.count() // PART_DOCS)
     small = targets.select(F.col("source").alias("_source"), "source_no", "source_size", "target")
-    tagged = sized.join(small, F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
+    sources = small.count()  # one row each: broadcast unless there are very many
+    tagged = key_join(sized, small, F.col("source").eqNullSafe(F.col("_source")), "inner", sources).drop("_source")
     duals = solve_duals(tagged.select("source_no", "size"), targets, cap)
-    rates = tagged.join(duals.select("source_no", "lam", "mean", "at_cap"), "source_no")
+    rates = key_join(tagged, duals.select("source_no", "lam", "mean", "at_cap"), "source_no", "inner", sources)
     rate = F.when(F.col("size") == 0, 0.0).when(F.col("at_cap"), F.lit(float(cap))).when(F.col("target") <= 0, 0.0)
     rate = rate.otherwise(F.least(F.lit(float(cap)), F.exp(F.least(F.col("lam") * F.col("size") / F.col("mean"), F.lit(60.0)))))
     key = F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")))
@@ -134,17 +136,17 @@ def mix_sized(sized: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: flo
     first = _running(rates, unit)
     step = F.floor((F.col("cum") + 5e8) / 1e9) - F.floor((F.col("cum") - unit + 5e8) / 1e9)
     first = first.withColumn("copies", (whole + step).cast("int")).drop("cum")
-    return _spend_rest(materialize(first, "mix-first"), int(cap))
+    return _spend_rest(materialize(first, "mix-first"), int(cap), sources)
 
 
-def _spend_rest(first: DataFrame, cap: int, rounds: int = 3) -> DataFrame:
+def _spend_rest(first: DataFrame, cap: int, sources: int, rounds: int = 3) -> DataFrame:
     """Bring each source nearer its target: along falling sizes, flip one copy of documents that still fit."""
     for _ in range(rounds):
         over = first.groupBy("source_no").agg((F.sum(F.col("copies") * F.col("size")) - F.round(F.max("target")).cast("long")).alias("over"))
         over = materialize(over, "mix-over")
         if not over.where(F.abs("over") >= 1).limit(1).count():
             break
-        df = first.join(over, "source_no")
+        df = key_join(first, over, "source_no", "inner", sources)
         can = F.when(F.col("over") > 0, F.col("copies") > 0).otherwise(F.col("copies") < cap) & (F.col("size") > 0) & (F.col("size") <= F.abs("over"))
         df = _running(df.withColumn("_can", can), F.when(F.col("_can"), F.col("size")).otherwise(0).cast("long"))
         flip = F.col("_can") & (F.col("cum") <= F.abs("over"))

@@ -227,7 +227,10 @@ def learn_from_labels(docs: DataFrame, labels: DataFrame, limit: int = LABELLED_
 
 
 def judge(docs: DataFrame, rules: DecisionList) -> DataFrame:
-    """Add ``_q``, ``_base_failed``, ``_rule`` (0: none) and ``_kept`` to each row of ``docs``; rows stay as many."""
+    """Add ``_q``, ``_base_failed``, ``_rule`` (0: none) and ``_kept`` to each row of ``docs``; rows stay as many.
+
+    Columns of these names, and ``_s``, are replaced: wrap rows in a struct where such columns must stay.
+    """
     q = F.col("_q")
     out = with_statistics(docs).withColumn("_base_failed", base_failed(q)).withColumn("_rule", rules.rule_number(q))
     return out.withColumn("_kept", ~F.col("_base_failed") & (F.col("_rule") == 0))

@@ -83,7 +83,8 @@ def shard(docs: DataFrame, limit: int = SHARD_BYTES, doc_id: str = "doc_id", tex
 
 
 def write_shards(docs: DataFrame, path: str, limit: int = SHARD_BYTES, doc_id: str = "doc_id", text: str = "text") -> None:
-    """Write the rows of ``docs`` as Parquet, one folder for each shard (column ``shard``)."""
+    """Write the rows of ``docs`` as Parquet, one folder for each shard; its name replaces any column ``shard``."""
     found = shard(docs, limit, doc_id, text).select(F.col("doc_id").alias("_id"), "shard").distinct()
-    out = docs.join(found, F.col(doc_id).eqNullSafe(F.col("_id"))).drop("_id")
+    rows = docs.select(F.struct(*[F.col(c) for c in docs.columns if c != "shard"]).alias("_row"))
+    out = rows.join(found, F.col("_row")[doc_id].eqNullSafe(F.col("_id"))).select("_row.*", "shard")
     out.repartition("shard").write.partitionBy("shard").parquet(path)
