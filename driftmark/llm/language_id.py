@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from ._common import held_out, materialize
 
 #: Hashed features, and documents of each language that are learned from, about.
-DIMENSIONS, PER_LANGUAGE = 4_096, 1_200
+DIMENSIONS, PER_LANGUAGE = 4_096, 600
 UNDETERMINED = "und"
 #: Least score of a document that a filtering stage keeps.
 LEAST_SCORE = 0.3
@@ -105,16 +105,18 @@ class Model:
         return names, score
 
 
-def _svm(x: np.ndarray, y: np.ndarray, cost: float = 20.0, steps: int = 150) -> np.ndarray:
-    """Weights and bias of a linear machine: squared hinge loss, accelerated gradient steps, classes weighing the same."""
-    x = np.hstack([x, np.ones((len(x), 1), x.dtype)])
-    share = np.where(y > 0, 0.5 / max(1, (y > 0).sum()), 0.5 / max(1, (y < 0).sum())) * cost
+def _svm(x: np.ndarray, y: np.ndarray, used: np.ndarray, cost: float = 20.0, steps: int = 150) -> np.ndarray:
+    """Weights (the last is the bias) of a linear machine: squared hinge loss, accelerated gradient steps, classes weighing the same.
+
+    Only rows in ``used`` count; the others weigh nothing, so that no part of ``x`` is copied.
+    """
+    up, down = used & (y > 0), used & (y < 0)
+    share = (cost * (up * 0.5 / max(1, up.sum()) + down * 0.5 / max(1, down.sum()))).astype(np.float32)
     w = v = np.zeros(x.shape[1], np.float32)
-    y, share = y.astype(np.float32), share.astype(np.float32)
-    rate = 1.0 / (1.0 + 2.0 * cost * 2.0)  # rows have length sqrt(2) at most
+    rate = np.float32(1.0 / (1.0 + 2.0 * cost * 2.0))  # rows have length sqrt(2) at most
     for k in range(steps):
         slack = np.maximum(0, 1 - y * (x @ v))
-        new = v - np.float32(rate) * (v - 2 * ((share * y * slack) @ x))
+        new = v - rate * (v - 2 * ((share * y * slack) @ x))
         v, w = new + np.float32(k / (k + 3)) * (new - w), new
     return w
 
@@ -133,23 +135,25 @@ def _platt(margin: np.ndarray, y: np.ndarray, steps: int = 50) -> tuple[float, f
 
 
 def _choice(x: np.ndarray, names: np.ndarray) -> Choice:
-    out = Choice(sorted(set(names)))
+    """Machines for all pairs of the names; rows named None belong to none. The last column of x is 1."""
+    out = Choice(sorted({v for v in names if v is not None}))
     for a, b in itertools.combinations(out.names, 2):
-        rows = np.flatnonzero((names == a) | (names == b))
-        y = np.where(names[rows] == a, 1.0, -1.0)
-        learn = np.arange(len(rows)) % 4 != 3
-        if len(set(y[learn])) < 2 or len(set(y[~learn])) < 2:
-            learn = np.ones(len(rows), bool)
-        w = _svm(x[rows[learn]], y[learn])
-        rest = ~learn if not learn.all() else learn
-        out.machines.append(Machine(a, b, w.astype(np.float32), *_platt(x[rows[rest]] @ w[:-1] + w[-1], y[rest])))
+        y = np.where(names == a, 1, np.where(names == b, -1, 0)).astype(np.float32)
+        mine = np.flatnonzero(y)
+        rest = np.zeros(len(y), bool)
+        rest[mine[3::4]] = True
+        learn = (y != 0) & ~rest
+        if len(set(y[learn])) < 2 or len(set(y[rest])) < 2:
+            learn = rest = y != 0
+        w = _svm(x, y, learn)
+        out.machines.append(Machine(a, b, w, *_platt((x @ w)[rest], y[rest])))
     return out
 
 
 def train(x: np.ndarray, langs: np.ndarray) -> Model:
-    """Both levels, from rows of features and their languages."""
-    families = np.array([family_of(v) for v in langs])
-    return Model(_choice(x, families), {f: _choice(x[families == f], langs[families == f]) for f in sorted(set(families))})
+    """Both levels, from rows of features, with a last column of 1, and their languages."""
+    families = np.array([family_of(v) for v in langs], dtype=object)
+    return Model(_choice(x, families), {f: _choice(x, np.where(families == f, langs, None)) for f in sorted(set(families))})
 
 
 def _vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -174,8 +178,12 @@ def fit(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Model | None:
     rows = materialize(chosen.mapInArrow(_vectors, "lang string, x binary"), "lang-sample").orderBy("lang", F.xxhash64("x")).collect()
     if not rows:
         return None
-    x = np.frombuffer(b"".join(r["x"] for r in rows), np.float16).reshape(len(rows), DIMENSIONS).astype(np.float32)
-    return train(x, np.array([r["lang"] for r in rows]))
+    x = np.ones((len(rows), DIMENSIONS + 1), np.float32)
+    for k, r in enumerate(rows):
+        x[k, :-1] = np.frombuffer(r["x"], np.float16)
+    langs = np.array([r["lang"] for r in rows], dtype=object)
+    del rows
+    return train(x, langs)
 
 
 def _predict_all(texts: pa.Array, model: Model | None) -> tuple[list[str], np.ndarray]:

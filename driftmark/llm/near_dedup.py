@@ -177,11 +177,12 @@ def components(edges: DataFrame, label: str = "cc") -> DataFrame:
     edges, before = materialize(edges, label), None
     while True:
         both = edges.union(edges.select("b", "a"))
-        low = both.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("a", "m"))
-        large = both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        # each node's least neighbour is written first: joined by itself, a node of many neighbours can be split or broadcast
+        low = materialize(both.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("a", "m")), label)
+        large = key_join(both.where("b > a"), low, "a", "inner").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         large = materialize(large, label)
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(low, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(low.select("a", "m")).distinct()
+        low = materialize(large.groupBy("a").agg(F.min("b").alias("m")), label)
+        small = key_join(large, low, "a", "inner").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(low.select("a", "m")).distinct()
         edges = materialize(small, label)
         now = edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b"))).first()
         if now == before:
