@@ -16,6 +16,8 @@ SPACE_CLASS = r"[\x20\x09-\x0D]"
 SPACE_CHARS = " \t\n\x0b\f\r"
 #: Most rows whose keys are broadcast; beyond it the same join shuffles.
 BROADCAST_ROWS = 2_000_000
+#: Bytes of an Arrow batch of texts, about; a longer text is a batch of its own.
+BATCH_BYTES = 8 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -82,6 +84,13 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Let Arrow batches of texts hold BATCH_BYTES at most, unless the session already asks for less."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark._jsparkSession.sessionState().conf().arrowMaxBytesPerBatch() > BATCH_BYTES:
+        spark.conf.set(name, str(BATCH_BYTES))
+
+
 def worker_cache() -> dict:
     """What a Python worker keeps from task to task (it is reused, while functions arrive anew with each task)."""
     return sys.modules.setdefault("_driftmark_worker", types.ModuleType("_driftmark_worker")).__dict__.setdefault("kept", {})

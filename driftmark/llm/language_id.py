@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import held_out, materialize
+from ._common import bound_batches, held_out, materialize
 
 #: Hashed features, and documents of each language that are learned from, about.
 DIMENSIONS, PER_LANGUAGE = 4_096, 600
@@ -168,6 +168,7 @@ def fit(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Model | None:
 
     The sample is that of small hashes of ids; its size, not that of ``docs``, bounds what the driver holds.
     """
+    bound_batches(docs.sparkSession)
     known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     counts = {r["lang"]: r["count"] for r in known.groupBy("lang").count().collect()}
     if not counts:

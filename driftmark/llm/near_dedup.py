@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import key_join, materialize, worker_cache
+from ._common import bound_batches, key_join, materialize, worker_cache
 
 SHINGLE_WORDS, PERCENT = 5, 85
 BANDS, BAND_BINS = 26, 5
@@ -31,7 +31,7 @@ BINS = BANDS * BAND_BINS
 #: A block holds about so many shingles, and documents, at most.
 BLOCK_SHINGLES, BLOCK_DOCS = 1_000_000, 1_024
 #: Words whose hashes a worker remembers; it forgets all when there are more.
-REMEMBERED = 1_000_000
+REMEMBERED = 200_000
 
 _EDGES = np.array([(k << 64) // BINS for k in range(BINS)], dtype=np.uint64)
 _WEIGHTS = np.array([xxhash.xxh64_intdigest(b"shingle %d" % k) | 1 for k in range(SHINGLE_WORDS)], dtype=np.uint64)
@@ -217,6 +217,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     links. Rows without an id are never linked: component_id is null and kept true. Rows of one id are one
     node, linked through any of their texts; each row is returned.
     """
+    bound_batches(docs.sparkSession)
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     marks = materialize(docs.mapInArrow(_marks, "doc_id long, n_shingles long, same binary, bands array<long>"), "near-marks")
     known = marks.where("n_shingles > 0 AND doc_id IS NOT NULL")
