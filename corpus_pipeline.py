@@ -14,6 +14,10 @@ from driftmark.llm import language_id, mixing, near_dedup, packing, quality_rule
 from driftmark.llm._common import key_join, materialize, read_table
 
 
+#: Limit of the near-duplicate stage; op6's is 85.
+NEAR_PERCENT = 80
+
+
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that neither the base rules nor the learned list rejects."""
     rules = quality_rules.learn_from_labels(docs, read_table(spark, sf_dir, "labels"))
@@ -27,8 +31,9 @@ def keep_identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates, the document of the smallest id."""
-    dropped = materialize(near_dedup.near_duplicates(docs).where("NOT kept").select("doc_id").distinct(), "stage-dropped")
+    """Of each group of near duplicates, linked from a similarity of 0.8 on, the document of the smallest id."""
+    found = near_dedup.near_duplicates(docs, percent=NEAR_PERCENT, bands=near_dedup.LOOSE_BANDS)
+    dropped = materialize(found.where("NOT kept").select("doc_id").distinct(), "stage-dropped")
     return key_join(docs, dropped, "doc_id", "left_anti")
 
 

@@ -10,11 +10,13 @@
    large for that are compared bucket by bucket, in blocks too. Only a spanning forest of the links leaves a block.
 5. Components of the confirmed links, by alternating large and small stars.
 
-With 26 bands of 5 bins, a pair at similarity 0.85 misses all buckets with probability below 3e-7.
+With 26 bands of 5 bins, a pair at similarity 0.85 misses all buckets with probability below 3e-7; with 40 of 4,
+one at 0.8 with probability below 1e-9.
 """
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,13 +29,13 @@ from ._common import bound_batches, key_join, materialize, worker_cache
 
 SHINGLE_WORDS, PERCENT = 5, 85
 BANDS, BAND_BINS = 26, 5
-BINS = BANDS * BAND_BINS
+#: Bands and bins for a limit of 80 %.
+LOOSE_BANDS = (40, 4)
 #: A block holds about so many shingles, and documents, at most.
 BLOCK_SHINGLES, BLOCK_DOCS = 1_000_000, 1_024
 #: Words whose hashes a worker remembers; it forgets all when there are more.
 REMEMBERED = 200_000
 
-_EDGES = np.array([(k << 64) // BINS for k in range(BINS)], dtype=np.uint64)
 _WEIGHTS = np.array([xxhash.xxh64_intdigest(b"shingle %d" % k) | 1 for k in range(SHINGLE_WORDS)], dtype=np.uint64)
 
 
@@ -67,21 +69,27 @@ def shingles(text: str | None, hashes: dict) -> np.ndarray:
     return np.unique(_mix(total))
 
 
-def band_hashes(found: np.ndarray) -> np.ndarray:
+@functools.cache
+def _edges(bins: int) -> np.ndarray:
+    return np.array([(k << 64) // bins for k in range(bins)], dtype=np.uint64)
+
+
+def band_hashes(found: np.ndarray, bands: int = BANDS, band_bins: int = BAND_BINS) -> np.ndarray:
     """One hash for each band of a non-empty sorted set, as signed 64-bit numbers."""
-    first = np.searchsorted(found, _EDGES)
+    bins = bands * band_bins
+    first = np.searchsorted(found, _edges(bins))
     full = np.append(first[1:], len(found)) > first
     minima = found[np.minimum(first, len(found) - 1)]
     empty, step = np.flatnonzero(~full), 0
     while len(empty):
         step += 1
         walk = empty.astype(np.uint64) + np.uint64(step << 32)
-        donor = (_mix(walk * np.uint64(0x9E3779B97F4A7C15)) % np.uint64(BINS)).astype(np.int64)
+        donor = (_mix(walk * np.uint64(0x9E3779B97F4A7C15)) % np.uint64(bins)).astype(np.int64)
         ok = full[donor]
         minima[empty[ok]] = minima[donor[ok]]
         empty = empty[~ok]
-    out = np.arange(1, BANDS + 1, dtype=np.uint64)
-    for column in minima.reshape(BANDS, BAND_BINS).T:
+    out = np.arange(1, bands + 1, dtype=np.uint64)
+    for column in minima.reshape(bands, band_bins).T:
         out = _mix(out * np.uint64(0x9E3779B97F4A7C15) + column)
     return out.view(np.int64)
 
@@ -90,18 +98,21 @@ def _hashes() -> dict:
     return worker_cache().setdefault("words", _WordHashes())
 
 
-def _marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    known = _hashes()
-    for b in batches:
-        sizes, sets, bands = [], [], []
-        for text in b.column("text").to_pylist():
-            found = shingles(text, known)
-            sizes.append(len(found))
-            sets.append(xxhash.xxh3_128_digest(found.tobytes()) if len(found) else None)
-            bands.append(band_hashes(found) if len(found) else np.empty(0, np.int64))
-        flat = pa.array(np.concatenate(bands) if bands else np.empty(0, np.int64))
-        ends = pa.array(np.cumsum([0, *map(len, bands)]).astype(np.int32))
-        yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(sets, pa.binary()), pa.ListArray.from_arrays(ends, flat)], ["doc_id", "n_shingles", "same", "bands"])
+def _marks(bands: int, band_bins: int):
+    def marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = _hashes()
+        for b in batches:
+            sizes, sets, hashed = [], [], []
+            for text in b.column("text").to_pylist():
+                found = shingles(text, known)
+                sizes.append(len(found))
+                sets.append(xxhash.xxh3_128_digest(found.tobytes()) if len(found) else None)
+                hashed.append(band_hashes(found, bands, band_bins) if len(found) else np.empty(0, np.int64))
+            flat = pa.array(np.concatenate(hashed) if hashed else np.empty(0, np.int64))
+            ends = pa.array(np.cumsum([0, *map(len, hashed)]).astype(np.int32))
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(sets, pa.binary()), pa.ListArray.from_arrays(ends, flat)], ["doc_id", "n_shingles", "same", "bands"])
+
+    return marks
 
 
 def _full_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -209,17 +220,18 @@ def _units(members: DataFrame, groups: DataFrame) -> DataFrame:
     return out.select("kind", "unit", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "rep")
 
 
-def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = PERCENT) -> DataFrame:
+def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = PERCENT, bands: tuple[int, int] = (BANDS, BAND_BINS)) -> DataFrame:
     """One row for each document: doc_id, n_shingles, component_id, kept.
 
     Linked are documents with 100 * intersection >= percent * union of their sets; component_id is the smallest id
     that links reach, kept says that it is the document's own. Null and wordless texts have no shingles and no
     links. Rows without an id are never linked: component_id is null and kept true. Rows of one id are one
-    node, linked through any of their texts; each row is returned.
+    node, linked through any of their texts; each row is returned. bands: how many, and of how many bins each; a
+    lower percent needs more or shorter ones.
     """
     bound_batches(docs.sparkSession)
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    marks = materialize(docs.mapInArrow(_marks, "doc_id long, n_shingles long, same binary, bands array<long>"), "near-marks")
+    marks = materialize(docs.mapInArrow(_marks(*bands), "doc_id long, n_shingles long, same binary, bands array<long>"), "near-marks")
     known = marks.where("n_shingles > 0 AND doc_id IS NOT NULL")
     classes = known.groupBy("same").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.any_value("n_shingles").alias("n_shingles"), F.any_value("bands").alias("bands"))
     classes = materialize(classes, "near-classes")
