@@ -30,20 +30,36 @@ def keep_identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return language_id.keep_identified(docs, language_id.fit(docs))
 
 
+def with_row_keys(docs: DataFrame, label: str) -> DataFrame:
+    """(_doc, _row): each row as a struct with a number of its own, which stays as both are written once."""
+    return materialize(docs.select(F.struct("*").alias("_doc"), F.monotonically_increasing_id().alias("_row")), label)
+
+
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates, linked from a similarity of 0.8 on, the document of the smallest id."""
-    found = near_dedup.near_duplicates(docs, percent=NEAR_PERCENT, bands=near_dedup.LOOSE_BANDS)
-    dropped = materialize(found.where("NOT kept").select("doc_id").distinct(), "stage-dropped")
-    return key_join(docs, dropped, "doc_id", "left_anti")
+    """Of each group of near duplicates, linked from a similarity of 0.8 on, one row: of the smallest id, null last.
+
+    Rows are documents, so repeated rows, rows of one id and rows without an id are linked by their texts like any other.
+    """
+    rows = with_row_keys(docs, "stage-rows")
+    found = near_dedup.near_duplicates(rows.select("_row", "_doc.text"), "_row", percent=NEAR_PERCENT, bands=near_dedup.LOOSE_BANDS)
+    others = materialize(found.where("NOT kept").select(F.col("doc_id").alias("_row"), "component_id"), "stage-linked")
+    linked = others.union(others.select("component_id", "component_id").distinct())
+    linked = materialize(linked, "stage-groups")
+    order = F.struct(F.col("_doc.doc_id").isNull(), F.col("_doc.doc_id"), F.xxhash64("_doc"), F.col("_row"))
+    named = key_join(rows, linked, "_row", "inner").select("_row", "component_id", order.alias("order"))
+    kept = materialize(named.groupBy("component_id").agg(F.min_by("_row", "order").alias("_row")).select("_row"), "stage-kept")
+    dropped = materialize(key_join(linked.select("_row"), kept, "_row", "left_anti"), "stage-dropped")
+    return key_join(rows, dropped, "_row", "left_anti").select("_doc.*")
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them; rows without an id stay as they are."""
-    mixed = mixing.mix(docs).where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("copies").alias("_copies"))
-    copies = materialize(mixed.where("_copies > 0"), "stage-copies")
-    taken = key_join(docs.where("doc_id IS NOT NULL"), copies, "doc_id", "inner")
-    taken = taken.withColumn("_copy", F.explode(F.sequence(F.lit(1), "_copies"))).select(docs.columns)
-    return taken.unionByName(docs.where("doc_id IS NULL"))
+    """Rows as often as the mix takes them, each by its own copies; one without an id goes by a hash of its columns."""
+    rows = with_row_keys(docs, "stage-rows")
+    own = F.coalesce(F.col("_doc.doc_id").cast("string"), F.xxhash64("_doc").cast("string"))
+    sized = rows.select("_row", own.alias("doc_id"), F.col("_doc.text").alias("text"), F.col("_doc.source").alias("source"))
+    copies = materialize(mixing.mix(sized, carry=["_row"]).where("copies > 0").select("_row", F.col("copies").alias("_copies")), "stage-copies")
+    taken = key_join(rows, copies, "_row", "inner")
+    return taken.withColumn("_copy", F.explode(F.sequence(F.lit(1), "_copies"))).select("_doc.*")
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -10,6 +10,8 @@ pass spends what is left on documents small enough to fit.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -106,18 +108,18 @@ def _running(df: DataFrame, value: Column) -> DataFrame:
     return out.withColumn("cum", F.col("_in") + F.col("before")).drop("_v", "_in", "before")
 
 
-def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, cap: float = CAP) -> DataFrame:
-    """One row for each document: id, source, size, source_size, target, rate, copies, taken.
+def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, cap: float = CAP, carry: Sequence[str] = ()) -> DataFrame:
+    """One row for each document: id, source, size, source_size, target, rate, copies, taken, and the columns ``carry``.
 
     Null text: size 0, taken 0. Null source: a source of its own, last. Repeated rows and repeated
     ids are documents of their own. An empty table gives an empty result. The same rows give the same copies in any order.
     """
-    sized = docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), word_count(F.col(text)).alias("size"))
-    return mix_sized(materialize(sized, "mix-sized"), weights, share, cap)
+    sized = docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), word_count(F.col(text)).alias("size"), *carry)
+    return mix_sized(materialize(sized, "mix-sized"), weights, share, cap, carry)
 
 
-def mix_sized(sized: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, cap: float = CAP) -> DataFrame:
-    """As mix, from a materialized table of doc_id, source, size."""
+def mix_sized(sized: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, cap: float = CAP, carry: Sequence[str] = ()) -> DataFrame:
+    """As mix, from a materialized table of doc_id, source, size and the columns ``carry``."""
     targets = materialize(source_targets(sized, weights, share, cap), "mix-targets")
     parts = max(PARTS, sized.count() // PART_DOCS)
     small = targets.select(F.col("source").alias("_source"), "source_no", "source_size", "target")
@@ -136,10 +138,10 @@ def mix_sized(sized: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: flo
     first = _running(rates, unit)
     step = F.floor((F.col("cum") + 5e8) / 1e9) - F.floor((F.col("cum") - unit + 5e8) / 1e9)
     first = first.withColumn("copies", (whole + step).cast("int")).drop("cum")
-    return _spend_rest(materialize(first, "mix-first"), int(cap), sources)
+    return _spend_rest(materialize(first, "mix-first"), int(cap), sources, carry)
 
 
-def _spend_rest(first: DataFrame, cap: int, sources: int, rounds: int = 3) -> DataFrame:
+def _spend_rest(first: DataFrame, cap: int, sources: int, carry: Sequence[str] = (), rounds: int = 3) -> DataFrame:
     """Bring each source nearer its target: along falling sizes, flip one copy of documents that still fit."""
     for _ in range(rounds):
         over = first.groupBy("source_no").agg((F.sum(F.col("copies") * F.col("size")) - F.round(F.max("target")).cast("long")).alias("over"))
@@ -152,4 +154,4 @@ def _spend_rest(first: DataFrame, cap: int, sources: int, rounds: int = 3) -> Da
         flip = F.col("_can") & (F.col("cum") <= F.abs("over"))
         first = df.withColumn("copies", (F.col("copies") + F.when(flip, -F.signum("over")).otherwise(0)).cast("int")).drop("cum", "_can", "over")
         first = materialize(first, "mix-rest")
-    return first.select("doc_id", "source", "size", "source_size", "target", "rate", "copies", (F.col("copies") * F.col("size")).cast("long").alias("taken"))
+    return first.select("doc_id", "source", "size", "source_size", "target", "rate", "copies", (F.col("copies") * F.col("size")).cast("long").alias("taken"), *carry)

@@ -19,3 +19,29 @@ def test_near_duplicate_stage_links_from_080(spark):
     df = spark.createDataFrame([(i, t, "en", "a", len(t)) for i, t in rows], DOCS).repartition(3)
     got = corpus_pipeline.keep_one_of_each(spark, df, "").collect()
     assert {r["doc_id"] for r in got} == want and len(got) == len(want)
+
+
+def test_repeated_rows_and_rows_without_id_are_deduplicated(spark):
+    rng = random.Random(12)
+    a, b, c, d = (words(rng, 80, 5_000) for _ in range(4))
+    row = lambda i, t: (i, t, "en", "a", len(t))
+    rows = [row(1, a)] * 3 + [row(5, a), row(None, a)] + [row(None, b)] * 2 + [row(9, c), row(None, c), row(9, d), row(7, edited(rng, d, 1))]
+    got = corpus_pipeline.keep_one_of_each(spark, spark.createDataFrame(rows, DOCS).repartition(3), "").collect()
+    want = [(1, a), (None, b), (9, c), (7, rows[-1][1])]
+    assert sorted(((r["doc_id"], r["text"]) for r in got), key=str) == sorted(want, key=str)
+
+
+def test_repeated_rows_and_rows_without_id_are_mixed(spark):
+    rng = random.Random(13)
+    row = lambda i, s, n: (i, words(rng, n), "en", s, 0)
+    rows = [row(k, "abc"[k % 3], rng.randint(5, 60)) for k in range(150)]
+    rows += rows[:30] + [row(None, "abc"[k % 3], rng.randint(5, 60)) for k in range(150)]
+    size = lambda t: len(t.split())
+    got = corpus_pipeline.mix(spark, spark.createDataFrame(rows, DOCS).repartition(3), "").collect()
+    has = {s: sum(size(r[1]) for r in rows if r[3] == s) for s in "abc"}
+    # weights 3, 1, 2 of 1.5 times all words, no source above twice its own: a fills up, b and c share the rest
+    total, full = 1.5 * sum(has.values()), 2 * has["a"]
+    target = {"a": full, "b": (total - full) / 3, "c": (total - full) * 2 / 3}
+    assert target["c"] <= 2 * has["c"]
+    for s in "abc":
+        assert abs(sum(size(r["text"]) for r in got if r["source"] == s) - target[s]) <= 5
