@@ -57,8 +57,8 @@ def crash_runs(journal: DataFrame) -> DataFrame:
     since_report says that no later run, nor this one, was reported; its runs that aren't clean are the crashes to tell.
     """
     runs = journal.groupBy("run_id").agg(F.min("seq").alias("began"), F.max_by("phase", "seq").alias("last_phase"), F.bool_or(F.col("kind") == "exit").alias("clean"), F.bool_or(F.col("kind") == "reported").alias("reported"))
-    later = Window.orderBy("began").rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    return runs.withColumn("since_report", ~F.max("reported").over(later))
+    last = runs.agg(F.max(F.when(F.col("reported"), F.col("began"))).alias("_reported"))
+    return runs.crossJoin(F.broadcast(last)).withColumn("since_report", F.coalesce(F.col("began") > F.col("_reported"), F.lit(True))).drop("_reported")
 
 
 def spread_sample(rows: DataFrame, key: str, order: list[str], n: int = 5) -> DataFrame:
