@@ -537,7 +537,7 @@ def tool_sequence_alignment(t: Tables) -> DataFrame:
     c = t("conversations").withColumn("conv", F.col("conv_id").cast("string"))
     blocks = c.select("conv", F.col("turn").alias("seq"), "role", F.lit("text").alias("type"), "text", F.lit(None).cast("string").alias("name"), F.lit(None).cast("string").alias("input"))
     kept = c.where((F.col("conv_id") + F.col("turn")) % 5 != 0)
-    events = kept.select("conv", (F.col("turn") + F.when(F.col("turn") % 3 == 1, 2).otherwise(0)).alias("pos"), F.concat_ws("-", "conv", "turn").alias("event_id"), "role", F.substring("text", 1, 200).alias("text"), F.lit(None).cast("string").alias("name"), F.lit(None).cast("string").alias("args"))
+    events = kept.select("conv", (F.col("turn") + F.when(F.col("turn") % 3 == 1, 2).otherwise(0)).alias("pos"), F.concat_ws("-", "conv", "turn").alias("event_id"), "role", "text", F.lit(None).cast("string").alias("name"), F.lit(None).cast("string").alias("args"))
     return alignment.align(blocks, events)
 
 
