@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import contextlib
 import sys
 import tempfile
 import types
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,16 +15,23 @@ from pyspark.sql import functions as F
 #: Java class of the six ASCII white-space characters that end a word.
 SPACE_CLASS = r"[\x20\x09-\x0D]"
 SPACE_CHARS = " \t\n\x0b\f\r"
-#: Most rows whose keys are broadcast; beyond it the same join shuffles.
-BROADCAST_ROWS = 2_000_000
+#: Most rows, and most bytes of them in columns, that are broadcast; beyond either the same join shuffles.
+BROADCAST_ROWS, BROADCAST_BYTES = 2_000_000, 64 << 20
 #: Bytes of an Arrow batch of texts, about; a longer text is a batch of its own.
 BATCH_BYTES = 8 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; where it is unset (tests), an own one is set."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder named by ``spark.checkpoint.dir``, or else the context's checkpoint folder.
+
+    Where neither is set, a local master gets a temporary folder; on a cluster that is an error,
+    since each machine would write to a disk of its own.
+    """
+    path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not path:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         path = tempfile.mkdtemp(prefix="driftmark-")
         spark.conf.set("spark.checkpoint.dir", path)
         spark.sparkContext.setCheckpointDir(path)
@@ -51,10 +59,17 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def row_bytes(df: DataFrame) -> int:
+    """Bytes of a row of ``df`` as Spark estimates them from the types; a text counts as a digest in hex."""
+    width = {"boolean": 1, "int": 4, "float": 4, "string": 64, "binary": 64}
+    return 8 + sum(width.get(kind, 8) for _, kind in df.dtypes)
+
+
 def key_join(big: DataFrame, keys: DataFrame, on: list[str] | str | Column, how: str, rows: int | None = None) -> DataFrame:
-    """Join ``big`` with a materialized ``keys``: broadcast below BROADCAST_ROWS counted rows, else shuffled."""
+    """Join ``big`` with a materialized ``keys``: broadcast below BROADCAST_ROWS counted rows and BROADCAST_BYTES, else shuffled."""
     rows = keys.count() if rows is None else rows
-    return big.join(F.broadcast(keys) if rows <= BROADCAST_ROWS else keys, on, how)
+    small = rows <= BROADCAST_ROWS and rows * row_bytes(keys) <= BROADCAST_BYTES
+    return big.join(F.broadcast(keys) if small else keys, on, how)
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -84,11 +99,23 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def bound_batches(spark: SparkSession) -> None:
-    """Let Arrow batches of texts hold BATCH_BYTES at most, unless the session already asks for less."""
+@contextlib.contextmanager
+def bounded_batches(spark: SparkSession) -> Iterator[None]:
+    """While it is open, Arrow batches of texts hold BATCH_BYTES at most; the session's own setting comes back after it.
+
+    It holds for what runs inside, so only for results that are written there.
+    """
     name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name, None)
     if spark._jsparkSession.sessionState().conf().arrowMaxBytesPerBatch() > BATCH_BYTES:
         spark.conf.set(name, str(BATCH_BYTES))
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(name)
+        else:
+            spark.conf.set(name, before)
 
 
 def worker_cache() -> dict:
