@@ -6,8 +6,9 @@
    that of a full one found by a random walk of its own (optimal densification). Bands of minima name buckets.
 3. Every bucket gives star-shaped edges, from each member to its smallest one: as many edges as
    members. Their components hold every pair that shares a bucket.
-4. Inside those components all pairs are compared on full sets, in blocks of bounded size. Components too
-   large for that are compared bucket by bucket, in blocks too. Only a spanning forest of the links leaves a block.
+4. Two classes are linked if they share a bucket and their full sets confirm it. A component that fits in one block is
+   compared at once. In larger ones the star edges are confirmed first; what they already join need not meet again, so only
+   blocks of different joined groups are compared. Only a spanning forest of the links leaves a block.
 5. Components of the confirmed links, by alternating large and small stars.
 
 With 26 bands of 5 bins, a pair at similarity 0.85 misses all buckets with probability below 3e-7; with 40 of 4,
@@ -22,17 +23,17 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import bound_batches, key_join, materialize, worker_cache
+from ._common import bounded_batches, key_join, materialize, worker_cache
 
 SHINGLE_WORDS, PERCENT = 5, 85
 BANDS, BAND_BINS = 26, 5
 #: Bands and bins for a limit of 80 %.
 LOOSE_BANDS = (40, 4)
-#: A block holds about so many shingles, and documents, at most.
-BLOCK_SHINGLES, BLOCK_DOCS = 1_000_000, 1_024
+#: A block holds about so many shingles, and documents, at most; components of more blocks than this are compared by bucket.
+BLOCK_SHINGLES, BLOCK_DOCS, WHOLE_BLOCKS = 1_000_000, 1_024, 26
 #: Words whose hashes a worker remembers; it forgets all when there are more.
 REMEMBERED = 200_000
 
@@ -115,11 +116,19 @@ def _marks(bands: int, band_bins: int):
     return marks
 
 
-def _full_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    known = _hashes()
-    for b in batches:
-        sets = [shingles(t, known).tobytes() for t in b.column("text").to_pylist()]
-        yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(sets, pa.binary())], ["rep", "found"])
+def _full_sets(bands: int, band_bins: int):
+    def full(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = _hashes()
+        for b in batches:
+            sets = [shingles(t, known) for t in b.column("text").to_pylist()]
+            hashed = [band_hashes(x, bands, band_bins).tobytes() if len(x) else b"" for x in sets]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([x.tobytes() for x in sets], pa.binary()), pa.array(hashed, pa.binary())], ["rep", "found", "hashed"])
+
+    return full
+
+
+#: Pairs of rare shingles that are counted at a time.
+_CODES = 2_000_000
 
 
 def intersections(sets: list[np.ndarray]) -> np.ndarray:
@@ -134,11 +143,15 @@ def intersections(sets: list[np.ndarray]) -> np.ndarray:
     out = np.zeros(m * m, np.int64)
     for d in np.unique(many[(many >= 2) & (many <= 24)]):  # rare shingles: count their pairs
         rows = owner[starts[many == d][:, None] + np.arange(d)]
-        for i in range(d):
-            for j in range(i + 1, d):
-                out += np.bincount(rows[:, i] * m + rows[:, j], minlength=m * m) if len(rows) > m else 0
-                if len(rows) <= m:
-                    np.add.at(out, rows[:, i] * m + rows[:, j], 1)
+        i, j = np.triu_indices(d, 1)
+        step = max(1, _CODES // len(i))
+        for at in range(0, len(rows), step):
+            some = rows[at : at + step]
+            codes = (some[:, i] * m + some[:, j]).ravel()
+            if len(codes) * 8 < m * m:
+                np.add.at(out, codes, 1)
+            else:
+                out += np.bincount(codes, minlength=m * m)
     out = out.reshape(m, m)
     out = out + out.T
     common = np.flatnonzero(many > 24)  # common ones: matrix products, some columns at a time
@@ -169,9 +182,15 @@ def _block_links(percent: int):
         table = table.sort_by("rep")
         ids = table.column("rep").to_numpy()
         sets = [np.frombuffer(x.as_py(), np.uint64) for x in table.column("found")]
+        bands = np.stack([np.frombuffer(x.as_py(), np.int64) for x in table.column("hashed")])
         size = np.array([len(s) for s in sets])
         both = intersections(sets)
-        linked = 100 * both >= percent * (size[:, None] + size[None, :] - both)
+        i, j = np.nonzero(np.triu(100 * both >= percent * (size[:, None] + size[None, :] - both), 1))
+        meet = np.zeros(len(i), bool)
+        for column in bands.T:
+            meet |= column[i] == column[j]
+        linked = np.zeros(both.shape, bool)
+        linked[i[meet], j[meet]] = linked[j[meet], i[meet]] = True
         root = roots(linked)
         other = np.flatnonzero(ids != ids[root])
         return pa.table({"a": ids[other], "b": ids[root[other]]})
@@ -179,6 +198,21 @@ def _block_links(percent: int):
     return confirm
 
 
+def _confirmed_pairs(percent: int):
+    """Of rows (a, b, found_a, found_b), the pairs whose full sets are alike enough."""
+
+    def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for x, y in zip(batch.column("found_a"), batch.column("found_b"), strict=True):
+                x, y = (np.frombuffer(v.as_py(), np.uint64) for v in (x, y))
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                keep.append(100 * both >= percent * (len(x) + len(y) - both))
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    return confirm
+
+
 def components(edges: DataFrame, label: str = "cc") -> DataFrame:
     """(node, component) for each node of the edges (a, b): component is the smallest node that it reaches.
 
@@ -201,37 +235,61 @@ def components(edges: DataFrame, label: str = "cc") -> DataFrame:
         before = now
 
 
-def _units(members: DataFrame, groups: DataFrame) -> DataFrame:
-    """(unit, pair, rep): what is compared together. members: bucket, rep, n_shingles; groups: node, component."""
+def _blocks_of(shingles: str, docs: str) -> Column:
+    return F.greatest(F.col(shingles) / BLOCK_SHINGLES, F.col(docs) / BLOCK_DOCS)
+
+
+def _tagged(members: DataFrame, groups: DataFrame) -> DataFrame:
+    """members (bucket, center, rep, n_shingles) with their component and its size in blocks. groups: node, component."""
     tagged = members.join(groups, members["rep"] == groups["node"], "left").withColumn("component", F.coalesce("component", "rep")).drop("node")
-    tagged = materialize(tagged.select("bucket", "rep", "n_shingles", "component"), "near-tagged")
-    blocks = F.greatest(F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES), F.ceil(F.count(F.lit(1)) / BLOCK_DOCS)).cast("int").alias("blocks")
+    tagged = materialize(tagged, "near-tagged")
     each = tagged.select("component", "rep", "n_shingles").distinct()
-    sizes = materialize(each.groupBy("component").agg(blocks), "near-sizes")
-    # a component of few blocks is compared whole; of more, bucket by bucket
-    whole = each.join(sizes.where(F.col("blocks") <= BANDS), "component").select(F.lit("c").alias("kind"), F.col("component").alias("unit"), "rep", "blocks")
-    huge = tagged.join(sizes.where(F.col("blocks") > BANDS).select("component"), "component")
-    parts = huge.groupBy("bucket").agg(blocks)
-    parted = huge.join(parts, "bucket").select(F.lit("b").alias("kind"), F.col("bucket").alias("unit"), "rep", "blocks")
-    own = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
-    out = whole.unionByName(parted).withColumn("own", own)
-    other = F.explode(F.when(F.col("blocks") == 1, F.array(F.lit(0))).otherwise(F.array_remove(F.sequence(F.lit(0), F.col("blocks") - 1), F.col("own"))))
-    out = out.withColumn("other", other)
-    return out.select("kind", "unit", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "rep")
+    sizes = each.groupBy("component").agg(F.sum("n_shingles").alias("s"), F.count(F.lit(1)).alias("c"))
+    sizes = materialize(sizes.select("component", F.ceil(_blocks_of("s", "c")).cast("int").alias("blocks")), "near-sizes")
+    return tagged.join(sizes, "component")
+
+
+def _block_pairs(reps: DataFrame) -> DataFrame:
+    """(kind, unit, i, j, rep): pairs of blocks that are compared. reps: kind, unit, rep, n_shingles, root.
+
+    Classes of one root are linked already. A root that fills a block or more gets blocks of its own, which don't meet
+    each other; all smaller ones of a unit share blocks, which meet all.
+    """
+    unit = ["kind", "unit"]
+    roots_ = reps.groupBy(*unit, "root").agg(F.sum("n_shingles").alias("s"), F.count(F.lit(1)).alias("c")).withColumn("w", _blocks_of("s", "c"))
+    roots_ = materialize(roots_, "near-roots")
+    mixed = roots_.where("w < 1").groupBy(*unit).agg(F.sum("s").alias("s"), F.sum("c").alias("c"))
+    mixed = mixed.select(*unit, F.ceil(_blocks_of("s", "c")).cast("int").alias("mixed"))
+    large = roots_.where("w >= 1").select(*unit, "root", F.ceil("w").cast("int").alias("n"))
+    by = Window.partitionBy(*unit)
+    before = F.coalesce(F.sum("n").over(by.orderBy("root").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    large = large.select(*unit, "root", "n", before.alias("before"), F.sum("n").over(by).alias("all"))
+    totals = mixed.join(large.groupBy(*unit).agg(F.max("all").alias("all")), unit, "full")
+    totals = materialize(totals.select(*unit, F.coalesce("mixed", F.lit(0)).alias("mixed"), F.coalesce("all", F.lit(0)).cast("int").alias("all")), "near-totals")
+    large = materialize(large.drop("all"), "near-large")
+    out = key_join(key_join(reps, totals, unit, "inner"), large, [*unit, "root"], "left")
+    spread = lambda n: F.pmod(F.xxhash64("rep"), n).cast("int")
+    first = (F.col("mixed") + F.col("before")).cast("int")
+    out = out.withColumn("own", F.when(F.col("n").isNull(), spread(F.greatest("mixed", F.lit(1)))).otherwise(first + spread(F.greatest("n", F.lit(1)))))
+    every = F.sequence(F.lit(0), F.col("mixed") + F.col("all") - 1)
+    others = F.when(F.col("n").isNotNull(), F.filter(every, lambda k: (k < first) | (k >= first + F.col("n"))))
+    others = others.when(F.col("mixed") + F.col("all") == 1, F.array(F.lit(0))).otherwise(F.array_remove(every, F.col("own")))
+    out = out.withColumn("other", F.explode(others))
+    return out.select(*unit, F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "rep")
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = PERCENT, bands: tuple[int, int] = (BANDS, BAND_BINS)) -> DataFrame:
     """One row for each document: doc_id, n_shingles, component_id, kept.
 
-    Linked are documents with 100 * intersection >= percent * union of their sets; component_id is the smallest id
-    that links reach, kept says that it is the document's own. Null and wordless texts have no shingles and no
-    links. Rows without an id are never linked: component_id is null and kept true. Rows of one id are one
+    Linked are documents that share a bucket and have 100 * intersection >= percent * union of their sets; component_id
+    is the smallest id that links reach, kept says that it is the document's own. Null and wordless texts have no
+    shingles and no links. Rows without an id are never linked: component_id is null and kept true. Rows of one id are one
     node, linked through any of their texts; each row is returned. bands: how many, and of how many bins each; a
     lower percent needs more or shorter ones.
     """
-    bound_batches(docs.sparkSession)
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    marks = materialize(docs.mapInArrow(_marks(*bands), "doc_id long, n_shingles long, same binary, bands array<long>"), "near-marks")
+    with bounded_batches(docs.sparkSession):
+        marks = materialize(docs.mapInArrow(_marks(*bands), "doc_id long, n_shingles long, same binary, bands array<long>"), "near-marks")
     known = marks.where("n_shingles > 0 AND doc_id IS NOT NULL")
     classes = known.groupBy("same").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.any_value("n_shingles").alias("n_shingles"), F.any_value("bands").alias("bands"))
     classes = materialize(classes, "near-classes")
@@ -241,12 +299,25 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     buckets = buckets.where("n > 1").groupBy("n", "center", "x", "y").agg(F.min("bucket").alias("bucket")).select("bucket", "center")
     buckets = materialize(buckets, "near-buckets")
     members = materialize(key_join(rows, buckets, "bucket", "inner"), "near-members")
-    stars = members.where("rep <> center").select(F.col("rep").alias("a"), F.col("center").alias("b"))
-    groups = components(stars, "near-candidates")
-    units = materialize(_units(members.select("bucket", "rep", "n_shingles"), groups), "near-units")
-    ids = materialize(units.select(F.col("rep").alias("doc_id")).distinct(), "near-ids")
-    sets = key_join(docs, ids, "doc_id", "left_semi").mapInArrow(_full_sets, "rep long, found binary").where(F.octet_length("found") > 0).distinct()
-    links = units.join(sets, "rep").groupBy("kind", "unit", "i", "j").applyInArrow(_block_links(percent), "a long, b long")
+    stars = members.where("rep <> center").select(F.col("rep").alias("a"), F.col("center").alias("b")).distinct()
+    tagged = materialize(_tagged(members, components(stars, "near-candidates")), "near-units")
+    ids = materialize(members.select(F.col("rep").alias("doc_id")).distinct(), "near-ids")
+    full = key_join(docs, ids, "doc_id", "left_semi").mapInArrow(_full_sets(*bands), "rep long, found binary, hashed binary").where(F.octet_length("found") > 0).distinct()
+    whole = tagged.where("blocks = 1").select(F.lit("c").alias("kind"), F.col("component").alias("unit"), F.lit(0).alias("i"), F.lit(0).alias("j"), "rep").distinct()
+    large, links = tagged.where("blocks > 1"), None
+    with bounded_batches(docs.sparkSession):
+        if large.limit(1).count():
+            full = materialize(full, "near-full")  # read several times
+            a, b = (full.select(F.col("rep").alias(n), F.col("found").alias("found_" + n)) for n in "ab")
+            pairs = large.where("rep <> center").select(F.col("rep").alias("a"), F.col("center").alias("b")).distinct()
+            links = materialize(pairs.join(a, "a").join(b, "b").select("a", "b", "found_a", "found_b").mapInArrow(_confirmed_pairs(percent), "a long, b long"), "near-stars")
+            joined = components(links, "near-joined").select(F.col("node").alias("rep"), F.col("component").alias("root"))
+            by_bucket = F.col("blocks") > WHOLE_BLOCKS
+            units = large.select(F.when(by_bucket, "b").otherwise("c").alias("kind"), F.when(by_bucket, F.col("bucket")).otherwise(F.col("component")).alias("unit"), "rep", "n_shingles").distinct()
+            units = materialize(units.join(joined, "rep", "left").withColumn("root", F.coalesce("root", "rep")), "near-large-units")
+            whole = materialize(whole.unionByName(_block_pairs(units)), "near-blocks")
+        found = materialize(whole.join(full, "rep").groupBy("kind", "unit", "i", "j").applyInArrow(_block_links(percent), "a long, b long"), "near-found")
+    links = found if links is None else found.unionByName(links)
     linked = components(links, "near-links")
     # classes of one document without links need no look-up
     named = classes.join(linked, classes["rep"] == linked["node"], "left").withColumn("to", F.coalesce("component", "rep"))
