@@ -17,10 +17,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import bound_batches, held_out, materialize
+from ._common import bounded_batches, held_out, materialize
 
-#: Hashed features, and documents of each language that are learned from, about.
-DIMENSIONS, PER_LANGUAGE = 4_096, 600
+#: Hashed features; documents of each language, and of all languages together, that are learned from, about.
+DIMENSIONS, PER_LANGUAGE, SAMPLE_ROWS = 4_096, 600, 12_000
 UNDETERMINED = "und"
 #: Least score of a document that a filtering stage keeps.
 LEAST_SCORE = 0.3
@@ -47,7 +47,7 @@ def family_of(lang: str) -> str:
 def features(text: str | None) -> np.ndarray | None:
     """Square roots of trigram counts, of length 1; None if the text has no letter."""
     letters = _NO_LETTERS.sub(" ", (text or "").lower()).strip()
-    if not letters:
+    if not any(map(str.isalpha, letters)):  # superscripts, fractions and circled numbers pass the pattern but are no letters
         return None
     b = np.frombuffer(f"  {letters}  ".encode(), np.uint8).astype(np.uint32)
     codes = (b[:-2] << np.uint32(16)) | (b[1:-1] << np.uint32(8)) | b[2:]
@@ -105,12 +105,9 @@ class Model:
         return names, score
 
 
-def _svm(x: np.ndarray, y: np.ndarray, used: np.ndarray, cost: float = 20.0, steps: int = 150) -> np.ndarray:
-    """Weights (the last is the bias) of a linear machine: squared hinge loss, accelerated gradient steps, classes weighing the same.
-
-    Only rows in ``used`` count; the others weigh nothing, so that no part of ``x`` is copied.
-    """
-    up, down = used & (y > 0), used & (y < 0)
+def _svm(x: np.ndarray, y: np.ndarray, cost: float = 20.0, steps: int = 150) -> np.ndarray:
+    """Weights (the last is the bias) of a linear machine: squared hinge loss, accelerated gradient steps, classes weighing the same."""
+    up, down = y > 0, y < 0
     share = (cost * (up * 0.5 / max(1, up.sum()) + down * 0.5 / max(1, down.sum()))).astype(np.float32)
     w = v = np.zeros(x.shape[1], np.float32)
     rate = np.float32(1.0 / (1.0 + 2.0 * cost * 2.0))  # rows have length sqrt(2) at most
@@ -137,16 +134,17 @@ def _platt(margin: np.ndarray, y: np.ndarray, steps: int = 50) -> tuple[float, f
 def _choice(x: np.ndarray, names: np.ndarray) -> Choice:
     """Machines for all pairs of the names; rows named None belong to none. The last column of x is 1."""
     out = Choice(sorted({v for v in names if v is not None}))
+    of = {v: np.flatnonzero(names == v) for v in out.names}
     for a, b in itertools.combinations(out.names, 2):
-        y = np.where(names == a, 1, np.where(names == b, -1, 0)).astype(np.float32)
-        mine = np.flatnonzero(y)
+        mine = np.sort(np.concatenate([of[a], of[b]]))  # only the rows of the pair are copied
+        y = np.where(names[mine] == a, 1, -1).astype(np.float32)
         rest = np.zeros(len(y), bool)
-        rest[mine[3::4]] = True
-        learn = (y != 0) & ~rest
+        rest[3::4] = True
+        learn = ~rest
         if len(set(y[learn])) < 2 or len(set(y[rest])) < 2:
-            learn = rest = y != 0
-        w = _svm(x, y, learn)
-        out.machines.append(Machine(a, b, w, *_platt((x @ w)[rest], y[rest])))
+            learn = rest = np.ones(len(y), bool)
+        w = _svm(x[mine[learn]], y[learn])
+        out.machines.append(Machine(a, b, w, *_platt(x[mine[rest]] @ w, y[rest])))
     return out
 
 
@@ -163,20 +161,23 @@ def _vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column("lang").take(pa.array(kept, pa.int64())), pa.array([found[k].astype(np.float16).tobytes() for k in kept], pa.binary())], ["lang", "x"])
 
 
-def fit(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Model | None:
+def fit(docs: DataFrame, per_language: int = PER_LANGUAGE, sample_rows: int = SAMPLE_ROWS) -> Model | None:
     """Learn from about ``per_language`` documents of each language, none of them held out; None if there are none.
 
-    The sample is that of small hashes of ids; its size, not that of ``docs``, bounds what the driver holds.
+    All languages together give about ``sample_rows`` documents, each at least one in expectation: that bounds what the
+    driver holds (16 KB a document), whatever the size of ``docs``. The sample is that of small hashes of id and row
+    number, so an id that recurs counts row by row. Rows without a language, a text or an id teach nothing.
     """
-    bound_batches(docs.sparkSession)
     known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     counts = {r["lang"]: r["count"] for r in known.groupBy("lang").count().collect()}
     if not counts:
         return None
-    grain = 1 << 30
-    limit = F.element_at(F.create_map(*itertools.chain(*((F.lit(k), F.lit(min(grain, -(-grain * per_language // n)))) for k, n in sorted(counts.items())))), F.col("lang"))
-    chosen = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(grain)) < limit).select("lang", "text")
-    rows = materialize(chosen.mapInArrow(_vectors, "lang string, x binary"), "lang-sample").orderBy("lang", F.xxhash64("x")).collect()
+    grain, each = 1 << 30, max(1, min(per_language, sample_rows // len(counts)))
+    limit = F.element_at(F.create_map(*itertools.chain(*((F.lit(k), F.lit(min(grain, -(-grain * each // n)))) for k, n in sorted(counts.items())))), F.col("lang"))
+    chosen = known.select("lang", "text", F.pmod(F.xxhash64("doc_id", F.monotonically_increasing_id()), F.lit(grain)).alias("_h")).where(F.col("_h") < limit)
+    with bounded_batches(docs.sparkSession):
+        sample = materialize(chosen.select("lang", "text").mapInArrow(_vectors, "lang string, x binary"), "lang-sample")
+    rows = sample.orderBy("lang", F.xxhash64("x")).collect()
     if not rows:
         return None
     x = np.ones((len(rows), DIMENSIONS + 1), np.float32)
@@ -202,7 +203,8 @@ def _predict_all(texts: pa.Array, model: Model | None) -> tuple[list[str], np.nd
 def identify(docs: DataFrame, model: Model | None, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row for each document: doc_id, lang_pred, score (0 to 1), from the text alone.
 
-    Null texts and texts without a letter are ``und`` with score 0.0, as is all without a model.
+    Null texts and texts without a letter (of Unicode's categories L) are ``und`` with score 0.0, as is all without a
+    model. Repeated rows and ids are judged row by row; an empty table gives an empty result.
     """
 
     def predicted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
