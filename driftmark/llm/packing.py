@@ -10,6 +10,7 @@ from __future__ import annotations
 from bisect import insort
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -65,19 +66,22 @@ def pack(items: DataFrame, capacity: int = CAPACITY, group_pieces: int = GROUP_P
     Returns item, source, piece, start, size, bin, bin_room: every item whole, cut into pieces of at most
     ``capacity``; no bin has more than ``capacity``, two pieces of one source, or two of one
     cluster. Null source or cluster conflicts with nothing; size null or 0 gives one piece of
-    size 0. Repeated rows are items of their own. Pieces are dealt to groups by a hash of all they are, about
-    ``group_pieces`` each and never by source or cluster, so a hot source is spread like any other.
+    size 0. Repeated rows are items of their own. Pieces are dealt to groups of about ``group_pieces`` by a hash
+    of item, piece and row number, never by source or cluster: a hot source, an id that recurs and rows without one are
+    spread like any other. In a group, ties of size go by item (null first), piece, source, cluster and row number, so
+    a rerun over the same files gives the same bins. An empty table gives an empty result.
     """
-    sized = items.select("item", F.greatest(F.coalesce("size", F.lit(0)), F.lit(0)).cast("long").alias("_n"), "source", "cluster")
+    sized = items.select(F.monotonically_increasing_id().alias("_row"), "item", F.greatest(F.coalesce("size", F.lit(0)), F.lit(0)).cast("long").alias("_n"), "source", "cluster")
     last = F.greatest(F.ceil(F.col("_n") / capacity) - 1, F.lit(0)).cast("int")
     cut = sized.withColumn("piece", F.explode(F.sequence(F.lit(0), last))).withColumn("start", F.col("piece") * F.lit(capacity).cast("long"))
     cut = cut.withColumn("size", F.least(F.col("_n") - F.col("start"), F.lit(capacity)).cast("int")).drop("_n")
-    cut = materialize(cut, "pack-pieces")
+    cut = materialize(cut, "pack-pieces")  # row numbers stay as they were written
     groups = max(1, -(-cut.count() // group_pieces))
-    salt = F.pmod(F.xxhash64("item", "piece"), F.lit(groups))
+    salt = F.pmod(F.xxhash64("item", "piece", "_row"), F.lit(groups))
 
     def one(table: pa.Table) -> pa.Table:
-        table = table.sort_by([("size", "descending"), ("item", "ascending"), ("piece", "ascending"), ("source", "ascending")])
+        ties = ("item", "piece", "source", "cluster", "_row")
+        table = table.take(pc.sort_indices(table, [("size", "descending"), *((c, "ascending") for c in ties)], null_placement="at_start"))
         col = {c: table.column(c).to_pylist() for c in ("size", "source", "cluster")}
         bins = best_fit(list(zip(col["size"], _bits(col["source"], False), _bits(col["cluster"], True), strict=True)), capacity)
         group, used = table.column("grp")[0].as_py(), {}
@@ -91,6 +95,9 @@ def pack(items: DataFrame, capacity: int = CAPACITY, group_pieces: int = GROUP_P
 
 
 def document_items(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", cluster: Column | None = None) -> DataFrame:
-    """Items of documents: words as size; the cluster, unless given, is a hash of the whole text (null: none)."""
+    """Items of documents: words as size; the cluster, unless given, is a hash of the whole text (null: none).
+
+    So only exact copies conflict by default; hand in near_dedup's component_id to keep near copies apart too.
+    """
     cluster = F.when(F.col(text).isNotNull(), F.xxhash64(text)) if cluster is None else cluster
     return docs.select(F.col(doc_id).cast("long").alias("item"), word_count(F.col(text)).alias("size"), F.col(source).alias("source"), cluster.alias("cluster"))
