@@ -24,8 +24,6 @@ from ._common import held_out, materialize
 
 #: Labelled documents that are learned from, at most: toxic, clean.
 TOXIC_ROWS, CLEAN_ROWS = 4_000, 8_000
-#: Tokens of the model, at most: those whose log-odds are most certain.
-MODEL_TOKENS = 20_000
 #: Pseudo-documents of the prior, as a share of the sample; a token has its part of them by how often it occurs.
 PRIOR = 0.1
 NEUTRAL, LOWEST = -0.35, -1.5
@@ -123,13 +121,13 @@ def _presence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _log_odds(counts: DataFrame, n_toxic: int, n_clean: int) -> dict[str, tuple[float, float]]:
-    """Score and certainty of the most certain tokens, computed in Spark; at most MODEL_TOKENS come to the driver."""
+    """Score and certainty of the tokens that stand out, computed in Spark; the bounded sample bounds how many there are."""
     prior, all_prior = PRIOR * (F.col("toxic") + F.col("clean")), PRIOR * (n_toxic + n_clean)
     odds = lambda y, n: F.log((F.col(y) + prior) / (F.lit(n + all_prior + 1.0) - F.col(y) - prior))
     spread = F.sqrt(1 / (F.col("toxic") + prior) + 1 / (F.col("clean") + prior))
     scored = counts.select("token", (odds("toxic", n_toxic) - odds("clean", n_clean)).alias("d"), spread.alias("sd")).withColumn("z", F.abs(F.col("d") / F.col("sd")))
     least_z = 2.5 + 0.45 * math.log10(n_toxic)  # more documents have more words that could stand out by chance
-    rows = scored.where((F.col("z") >= least_z) & ((F.col("d") < 0) | (F.col("d") - F.col("sd") >= CLEAR))).orderBy(F.desc("z"), "token").limit(MODEL_TOKENS).collect()
+    rows = scored.where((F.col("z") >= least_z) & ((F.col("d") < 0) | (F.col("d") - F.col("sd") >= CLEAR))).orderBy("token").collect()
     # the cautious end of the interval for what is toxic; what is clean counts against, but not without bound
     return {r["token"]: (r["d"] - r["sd"] if r["d"] > 0 else max(LOWEST, r["d"]), r["z"]) for r in rows}
 
@@ -154,8 +152,9 @@ def _decay(scores: Counter, n: int) -> float:
 def fit(docs: DataFrame, labels: DataFrame, toxic_rows: int = TOXIC_ROWS, clean_rows: int = CLEAN_ROWS) -> Model | None:
     """Learn from at most ``toxic_rows`` and ``clean_rows`` labelled documents, none held out; None without both kinds.
 
-    Equal texts, and texts that share their least three-word hash (most near copies do), teach once:
-    else the chance words of a copied document would look like its label.
+    Equal texts, and texts that share the least three-word hashes under two seeds (most near copies do), teach once:
+    else the chance words of a copied document would look like its label. Of repeated labels of an id the largest
+    counts, of several texts of an id the one of the smallest hash. Rows without an id, a text or a label teach nothing.
     """
     usable = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     pick = lambda kind, n: usable.where(F.col("toxic") == kind).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n)
@@ -169,11 +168,15 @@ def fit(docs: DataFrame, labels: DataFrame, toxic_rows: int = TOXIC_ROWS, clean_
             keys = []
             for t in b.column("text").to_pylist():
                 w = t.encode().lower().split()
-                keys.append(min((xxhash.xxh3_64_intdigest(b" ".join(w[i : i + 3])) for i in range(max(1, len(w) - 2))), default=0) >> 1)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("text"), b.column("toxic"), pa.array(keys, pa.int64())], ["doc_id", "text", "toxic", "key"])
-
-    sample = texts.select("doc_id", "text", F.col("_toxic").cast("int").alias("toxic")).mapInArrow(keyed, "doc_id long, text string, toxic int, key long")
-    sample = materialize(sample.dropDuplicates(["key", "toxic"]).select("text", "toxic"), "toxic-sample")
+                grams = [b" ".join(w[i : i + 3]) for i in range(max(1, len(w) - 2))]
+                keys.append(b"".join(min(xxhash.xxh3_64_digest(g, seed) for g in grams) for seed in (1, 2)))
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("text"), b.column("toxic"), pa.array(keys, pa.binary())], ["doc_id", "text", "toxic", "key"])
+
+    sample = texts.select("doc_id", "text", F.col("_toxic").cast("int").alias("toxic")).mapInArrow(keyed, "doc_id long, text string, toxic int, key binary")
+    one = F.min_by(F.struct("key", "text", "toxic"), F.xxhash64("text"))
+    sample = sample.groupBy("doc_id").agg(one.alias("r")).select("r.*")
+    sample = sample.groupBy("key", "toxic").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
+    sample = materialize(sample.select("text", "toxic"), "toxic-sample")
     n = {r["toxic"]: r["count"] for r in sample.groupBy("toxic").count().collect()}
     if not n.get(1) or not n.get(0):
         return None
@@ -221,7 +224,8 @@ def _calibrate(model: Model, sample: DataFrame) -> None:
 def score(docs: DataFrame, model: Model | None, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row for each document: doc_id, score (0 to 1), predicted (1 from THRESHOLD on), n_passages, from the text alone.
 
-    Null and empty texts score what a text without any segment does; without a model all score 0.0.
+    Null and empty texts score what a text without any segment does; without a model all score 0.0. Repeated rows and ids
+    are scored row by row; an empty table gives an empty result.
     """
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -238,7 +242,10 @@ def score(docs: DataFrame, model: Model | None, doc_id: str = "doc_id", text: st
 
 
 def passages(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Every significant passage: doc_id, first_char, last_char (code points, end exclusive), passage, score, e_value."""
+    """Every significant passage: doc_id, first_char, last_char (code points, end exclusive), passage, score, e_value.
+
+    Null and empty texts have none. Repeated rows give their passages again.
+    """
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = _Scores(model)
