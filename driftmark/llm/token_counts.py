@@ -51,27 +51,35 @@ class Counter(dict):
             self.automaton.add_word(piece, (len(piece), score))
         self.automaton.make_automaton()
         self.single = {p for p, _ in pieces if len(p) == 1}
+        self.longest = max((len(p) for p, _ in pieces), default=1)
         self.unknown = min((s for _, s in pieces), default=0.0) - UNKNOWN_PENALTY
 
     def pieces_of(self, unit: str) -> int:
-        """Tokens of the best split of ``unit``, in which blanks are already U+2581."""
-        n = len(unit)
-        ends: list[list[tuple[int, float]]] = [[] for _ in range(n)]
-        for end, match in self.automaton.iter(unit):
-            ends[end].append(match)
-        best, count = [0.0] * (n + 1), [0] * (n + 1)
+        """Tokens of the best split of ``unit``, in which blanks are already U+2581.
+
+        Only the states of the last characters that a piece can reach back to are kept, so memory doesn't grow with it.
+        """
+        ring = self.longest + 1
+        best, count = [0.0] * ring, [0] * ring  # of the position modulo ring
+        matches = self.automaton.iter(unit)
+        end, match = next(matches, (-1, None))
         for e, char in enumerate(unit):
+            here = []
+            while end == e:
+                here.append(match)
+                end, match = next(matches, (-1, None))
             top, many = None, 0
-            for length, score in sorted(ends[e], reverse=True):  # the longest starts first
-                x = best[e + 1 - length] + score
+            for length, score in sorted(here, reverse=True):  # the longest starts first
+                at = (e + 1 - length) % ring
+                x = best[at] + score
                 if top is None or x > top:
-                    top, many = x, count[e + 1 - length] + 1
+                    top, many = x, count[at] + 1
             if char not in self.single:
-                x = best[e] + self.unknown
+                x = best[e % ring] + self.unknown
                 if top is None or x > top:
-                    top, many = x, count[e] + len(char.encode())
-            best[e + 1], count[e + 1] = top, many
-        return count[n]
+                    top, many = x, count[e % ring] + len(char.encode())
+            best[(e + 1) % ring], count[(e + 1) % ring] = top, many
+        return count[len(unit) % ring]
 
     def __missing__(self, word: str) -> int:
         if len(self) >= REMEMBERED:
@@ -111,7 +119,8 @@ def count_tokens(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", vo
 
     The vocabulary, some thousand pieces, is read on the driver and broadcast; documents
     are mapped where they are read and nothing is shuffled. A long text is walked word by
-    word, so memory stays with the longest word.
+    word, and words of any length with states for as many characters as the longest piece has.
+    Repeated rows and rows without an id are counted row by row; an empty table gives an empty result.
     """
     spark: SparkSession = docs.sparkSession
     pieces = spark.sparkContext.broadcast(load_pieces(vocabulary))
