@@ -14,8 +14,12 @@ from pyspark.sql import functions as F
 from ._common import key_join, materialize
 
 HASH_BITS = 60
+#: Bits that a round below the first looks at.
+STEP = 6
 #: Bytes that a shard holds at most, unless one document alone is larger.
 SHARD_BYTES = 1 << 20
+#: Look-up cells for each shard, at most, on average.
+CELLS = 4
 
 
 def hash_bits(doc_id: Column) -> Column:
@@ -29,10 +33,11 @@ def directory(sized: DataFrame, limit: int) -> DataFrame:
     sized: columns h (60 bits), bytes. A prefix of all 60 bits that is too large stays:
     its documents have one hash (equal ids) and no further bit could part them.
     """
-    spark = sized.sparkSession
     total = sized.agg(F.coalesce(F.sum("bytes"), F.lit(0))).first()[0]
     done, depth, todo = None, 0, sized
-    step = max(4, math.ceil(math.log2(max(1, total) / limit + 1)) + 4)
+    # the first round ends where buckets hold about eight shards: above that nearly none fits, and its table is small;
+    # the rounds below look at a few bits each, so that a document's bytes are added up on few levels
+    step = max(STEP, math.ceil(math.log2(max(1, total) / limit + 1)) - 3)
     while True:
         deep = min(HASH_BITS, depth + step)
         # sums of the deepest prefixes of this round, then of every level above them
@@ -53,8 +58,7 @@ def directory(sized: DataFrame, limit: int) -> DataFrame:
             return done
         big = big.withColumnRenamed("prefix", "_g")
         todo = key_join(todo.withColumn("_g", F.shiftright("h", HASH_BITS - deep)), big, "_g", "left_semi", n).drop("_g")
-        depth = deep
-        step = 8
+        depth, step = deep, STEP
 
 
 def assign_shards(sized: DataFrame, limit: int = SHARD_BYTES) -> DataFrame:
@@ -63,13 +67,17 @@ def assign_shards(sized: DataFrame, limit: int = SHARD_BYTES) -> DataFrame:
     shard is the bucket's prefix as 0s and 1s ('' if all fits in one shard).
     """
     leaves = materialize(directory(sized, limit), "shard-directory")
-    # shards are disjoint ranges of hashes: a look-up by each depth in use is an equality
-    depths = [r[0] for r in leaves.select("depth").distinct().orderBy("depth").collect()]
+    # shards are disjoint ranges of hashes: both sides meet in cells of one depth, and the range decides within a cell
+    depths = {r["depth"]: r["count"] for r in leaves.groupBy("depth").count().collect()}
+    cells = lambda deep: sum(n << max(0, deep - d) for d, n in depths.items())
+    deep = max((d for d in range(HASH_BITS + 1) if cells(d) <= CELLS * sum(depths.values())), default=0)
     name = F.expr("lpad(conv(cast(prefix AS string), 10, 2), depth, '0')")
-    look = leaves.select(F.col("depth").alias("shard_depth"), F.col("prefix").alias("_p"), F.when(F.col("depth") == 0, "").otherwise(name).alias("shard"), F.col("bytes").alias("shard_bytes"), F.col("docs").alias("shard_docs"))
-    keys = F.array(*[F.struct(F.lit(d).cast("int").alias("shard_depth"), F.shiftright("h", HASH_BITS - d).alias("_p")) for d in depths] or [F.struct(F.lit(0).alias("shard_depth"), F.lit(0).cast("long").alias("_p"))])
-    tried = sized.withColumn("_k", F.explode(keys)).withColumn("shard_depth", F.col("_k.shard_depth")).withColumn("_p", F.col("_k._p")).drop("_k")
-    return key_join(tried, look, ["shard_depth", "_p"], "inner").drop("_p")
+    low = F.expr(f"shiftleft(prefix, {HASH_BITS} - depth)")
+    look = leaves.select(F.col("depth").alias("shard_depth"), F.when(F.col("depth") == 0, "").otherwise(name).alias("shard"), F.col("bytes").alias("shard_bytes"), F.col("docs").alias("shard_docs"), low.alias("_low"), F.expr(f"shiftleft(prefix + 1, {HASH_BITS} - depth)").alias("_high"))
+    look = look.withColumn("_cell", F.explode(F.sequence(F.shiftright("_low", HASH_BITS - deep), F.shiftright(F.col("_high") - 1, HASH_BITS - deep))))
+    look = materialize(look, "shard-cells")
+    found = key_join(sized.withColumn("_cell", F.shiftright("h", HASH_BITS - deep)), look, "_cell", "inner")
+    return found.where("h >= _low AND h < _high").drop("_cell", "_low", "_high")
 
 
 def shard(docs: DataFrame, limit: int = SHARD_BYTES, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -83,7 +91,10 @@ def shard(docs: DataFrame, limit: int = SHARD_BYTES, doc_id: str = "doc_id", tex
 
 
 def write_shards(docs: DataFrame, path: str, limit: int = SHARD_BYTES, doc_id: str = "doc_id", text: str = "text") -> None:
-    """Write the rows of ``docs`` as Parquet, one folder for each shard; its name replaces any column ``shard``."""
+    """Write the rows of ``docs`` as Parquet, one folder for each shard; its name replaces any column ``shard``.
+
+    Rows without an id lie in the shard of the text 'null'. An empty table writes nothing but the schema.
+    """
     found = shard(docs, limit, doc_id, text).select(F.col("doc_id").alias("_id"), "shard").distinct()
     rows = docs.select(F.struct(*[F.col(c) for c in docs.columns if c != "shard"]).alias("_row"))
     out = rows.join(found, F.col("_row")[doc_id].eqNullSafe(F.col("_id"))).select("_row.*", "shard")
