@@ -19,14 +19,22 @@ NEAR_PERCENT = 80
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that neither the base rules nor the learned list rejects."""
+    """Documents that neither the base rules nor the learned list rejects, all columns.
+
+    Null and empty texts go; repeated rows and rows without an id are judged row by row. Without labels the base rules
+    decide alone. An empty table gives an empty result.
+    """
     rules = quality_rules.learn_from_labels(docs, read_table(spark, sf_dir, "labels"))
     judged = quality_rules.judge(docs.select(F.struct("*").alias("_row"), "text"), rules)
     return judged.where("_kept").select("_row.*")
 
 
 def keep_identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is known; learned from those of ``docs`` that aren't held out."""
+    """Documents whose language is known, all columns; learned from those of ``docs`` that aren't held out.
+
+    Texts that are null or have no letter go, and those of a score below 0.3. Repeated rows and rows without an id are
+    judged row by row. Where nothing can be learned from, all go; an empty table gives an empty result.
+    """
     return language_id.keep_identified(docs, language_id.fit(docs))
 
 
@@ -39,6 +47,8 @@ def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     """Of each group of near duplicates, linked from a similarity of 0.8 on, one row: of the smallest id, null last.
 
     Rows are documents, so repeated rows, rows of one id and rows without an id are linked by their texts like any other.
+    Of rows of one id, that of the smallest hash of all columns stays. Null and wordless texts are linked with nothing and
+    stay. An empty table gives an empty result.
     """
     rows = with_row_keys(docs, "stage-rows")
     found = near_dedup.near_duplicates(rows.select("_row", "_doc.text"), "_row", percent=NEAR_PERCENT, bands=near_dedup.LOOSE_BANDS)
@@ -53,9 +63,13 @@ def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows as often as the mix takes them, each by its own copies; one without an id goes by a hash of its columns."""
+    """Rows as often as the mix takes them, each by its own copies; one without an id goes by a hash of its columns.
+
+    Null and empty texts have no words and go. The null source is one of its own, last. Repeated rows share the copies of
+    their text among them. An empty table gives an empty result.
+    """
     rows = with_row_keys(docs, "stage-rows")
-    own = F.coalesce(F.col("_doc.doc_id").cast("string"), F.xxhash64("_doc").cast("string"))
+    own = F.coalesce(F.col("_doc.doc_id").cast("string"), F.concat(F.lit("row "), F.xxhash64("_doc").cast("string")))
     sized = rows.select("_row", own.alias("doc_id"), F.col("_doc.text").alias("text"), F.col("_doc.source").alias("source"))
     copies = materialize(mixing.mix(sized, carry=["_row"]).where("copies > 0").select("_row", F.col("copies").alias("_copies")), "stage-copies")
     taken = key_join(rows, copies, "_row", "inner")
@@ -63,7 +77,11 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of all documents in bins; copies of a document never share one."""
+    """Pieces of all documents in bins: doc_id, source, piece, start, size, bin, bin_room; copies of a text never share one.
+
+    Null and empty texts give one piece of size 0; rows without an id are packed as rows of their own. An empty table
+    gives an empty result.
+    """
     return packing.pack(packing.document_items(docs)).withColumnRenamed("item", "doc_id")
 
 

@@ -12,11 +12,21 @@ from ._common import held_out, read_table
 
 
 def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of every document in bins: doc_id, source, piece, start, size, bin, bin_room.
+
+    Null or empty texts give one piece of size 0; a null source conflicts with nothing; repeated rows and rows without an id
+    are packed as documents of their own, copies of one text never into one bin. An empty table gives no rows.
+    """
     packed = packing.pack(packing.document_items(read_table(spark, sf_dir, "documents")))
     return packed.withColumnRenamed("item", "doc_id")
 
 
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base counts and verdict of every document: doc_id, the counts, base_failed, kept, rule (which of the list rejects; 0: none).
+
+    Null and empty texts have no words, so base_failed is true; repeated rows are judged row by row; columns of the table
+    other than doc_id and text don't matter. An empty table, or one without labels, gives rows judged by the base rules alone.
+    """
     docs = read_table(spark, sf_dir, "documents")
     rules = quality_rules.learn_from_labels(docs, read_table(spark, sf_dir, "labels"))
     out = quality_rules.judge(docs.select("doc_id", "text"), rules)
@@ -25,39 +35,74 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document: doc_id, held_out, lang_pred, score.
+
+    Texts that are null or have no letter are 'und' with score 0.0; a null doc_id is not held out, and teaches nothing;
+    repeated rows are judged row by row; without any usable language all are 'und'. An empty table gives no rows.
+    """
     docs = read_table(spark, sf_dir, "documents")
     found = language_id.identify(docs, language_id.fit(docs))
     return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
 
 
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page written as a WARC record and read back: page_id, payload_bytes, payload_digest, record_type, refers_to, chunks.
+
+    Null html is an empty payload; pages without an id, and all equal pages of the smallest id, are responses. An empty table
+    gives no rows.
+    """
     return warc.round_trip(read_table(spark, sf_dir, "pages"))
 
 
 def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every text and its edited text, and their likeness: the columns of fingerprints.compare_with_next.
+
+    Null texts count as empty; null ids come first, equal ids are ordered by a hash of their texts; one document is its
+    own next. An empty table gives no rows.
+    """
     return fingerprints.fingerprint_query(read_table(spark, sf_dir, "documents"))
 
 
 def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of near duplicates: doc_id, n_shingles, component_id, kept.
+
+    Null, empty and wordless texts have no shingles and no links; rows without an id have no component and are kept; rows of
+    one id share one component. An empty table gives no rows.
+    """
     return near_dedup.near_duplicates(read_table(spark, sf_dir, "documents"))
 
 
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of every text: doc_id, n_tokens, n_bytes. Null and empty texts have none; repeated rows are counted row by row; an empty table gives no rows."""
     return token_counts.count_tokens(read_table(spark, sf_dir, "documents"))
 
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every text: doc_id, held_out, score, predicted, n_passages.
+
+    Null and empty texts score as texts without any segment; a null doc_id is not held out, and teaches nothing; without
+    labels of both kinds all score 0.0. Repeated rows are scored row by row. An empty table gives no rows.
+    """
     docs = read_table(spark, sf_dir, "documents")
     found = toxicity.score(docs, toxicity.fit(docs, read_table(spark, sf_dir, "labels")))
     return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted", "n_passages")
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the mix takes of every document: doc_id, size, source_size, target, taken, copies, rate.
+
+    Null texts have size 0 and taken 0; the null source is a source of its own, last; repeated rows and rows without
+    an id are documents of their own. An empty table gives no rows.
+    """
     mixed = mixing.mix(read_table(spark, sf_dir, "documents"))
     return mixed.select("doc_id", "size", "source_size", "target", "taken", "copies", "rate")
 
 
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shard of every document: doc_id, bytes, shard, shard_depth, shard_bytes, shard_docs.
+
+    Null texts have 0 bytes; rows of one id, and all rows without one, share a shard. An empty table gives no rows.
+    """
     return sharding.shard(read_table(spark, sf_dir, "documents"))
 
 

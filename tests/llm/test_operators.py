@@ -160,7 +160,7 @@ def canon(t):
 
 
 def test_fingerprints_against_brute_force(spark, monkeypatch):
-    monkeypatch.setattr(fingerprints, "RANGE_DOCS", 7)
+    monkeypatch.setattr(fingerprints, "RANGE_DOCS", 7)  # many ranges, some of them empty
     rng = random.Random(5)
     texts = [rng.choice(["", None, "Straße  ﬁx", "STRASSE fix", "abcd", "abcd", words(rng, 40), "é" * 9]) for _ in range(60)]
     rows = [(3 * k + 1, t) for k, t in enumerate(texts)]
@@ -237,6 +237,25 @@ def test_packing_keeps_everything(docs):
         assert sum(r["size"] for r in rows) == 100 - rows[0]["bin_room"] <= 100 and len(named) == len(set(named))
 
 
+@pytest.mark.parametrize("item", [None, 7])
+def test_packing_spreads_one_id_over_groups(spark, item):
+    rows = [(item, 20, None, None)] * 6_000
+    packed = packing.pack(spark.createDataFrame(rows, "item long, size long, source string, cluster long").repartition(3), capacity=100, group_pieces=500)
+    groups = [r["count"] for r in packed.groupBy((F.col("bin") / (1 << 24)).cast("long")).count().collect()]
+    assert sum(groups) == 6_000 and len(groups) == 12 and max(groups) < 1_000
+
+
+def test_packing_keeps_clusters_apart(spark):
+    rng = random.Random(15)
+    rows = [(k, rng.randint(1, 60), rng.choice(["a", "b", "c", None]), rng.choice([None, 1, 2, 3, 4])) for k in range(400)]
+    packed = packing.pack(spark.createDataFrame(rows, "item long, size long, source string, cluster long"), capacity=100, group_pieces=64).collect()
+    seen, cluster = Counter(), {i: c for i, _, _, c in rows}
+    for r in packed:
+        if cluster[r["item"]]:
+            seen[(r["bin"], cluster[r["item"]])] += 1
+    assert max(seen.values()) == 1 and sum(r["size"] for r in packed) == sum(n for _, n, _, _ in rows)
+
+
 # --- mixing ---
 
 
@@ -280,6 +299,7 @@ def test_mix_meets_targets(spark):
 
 def test_dual_solution_is_an_exponential_tilt(spark):
     sized = spark.createDataFrame([(k, "s", 1 + k % 50) for k in range(400)] + [(1000 + k, "t", 5) for k in range(100)], "doc_id long, source string, size long")
+    sized = sized.withColumn("_key", F.xxhash64("doc_id")).withColumn("_no", F.col("doc_id"))
     rows = [r for r in mixing.mix_sized(sized).collect() if r["source"] == "s"]
     got = sum(r["rate"] * r["size"] for r in rows)
     assert got == pytest.approx(rows[0]["target"], rel=1e-6)
@@ -336,13 +356,58 @@ def test_warc_round_trip(spark):
 def test_chunks_carry_running_digests(spark):
     path = _common.fresh_path(spark, "warc-test")
     df = spark.createDataFrame([(1, "u", "abc" * 1_000)], "page_id long, url string, html string")
-    rows = warc.read_chunks(warc.write_archives(warc.mark_revisits(df), path), path, chunk_bytes=1_024).orderBy("chunk_no").collect()
+    rows = warc.read_chunks(warc.write_archives(warc.chunk_table(warc.mark_revisits(df)), path), path, chunk_bytes=1_024).orderBy("chunk_no").collect()
     assert [r["chunk_bytes"] for r in rows] == [1_024, 1_024, 952] and [r["last"] for r in rows] == [False, False, True]
     for k, r in enumerate(rows):
         assert r["digest_so_far"] == hashlib.sha256(("abc" * 1_000).encode()[: 1_024 * (k + 1)]).hexdigest()
     assert b"".join(r["chunk"] for r in rows) == b"abc" * 1_000
 
 
+def test_foreign_archives_are_read(spark, tmp_path):
+    import gzip
+
+    info = b"WARC/1.0\r\nWARC-Type: warcinfo\r\nContent-Length: 5\r\n\r\nhello\r\n\r\n"
+    page = b"WARC/1.0\r\nwarc-type:response\r\nWARC-Target-URI: http://x/\r\nWARC-Payload-Digest: sha1:ABC\r\nContent-Length: 0\r\n\r\n\r\n\r\n"
+    (tmp_path / "a.warc.gz").write_bytes(gzip.compress(info) + gzip.compress(page))
+    (tmp_path / "b.warc").write_bytes(info + page)
+    manifest = spark.createDataFrame([("a.warc.gz",), ("b.warc",)], "archive string")
+    for archive in ("a.warc.gz", "b.warc"):
+        one, two = warc.read_chunks(manifest, str(tmp_path)).where(F.col("archive") == archive).orderBy("record_no").collect()
+        assert (one["record_type"], bytes(one["chunk"]), one["page_id"], one["payload_digest"], one["payload_bytes"]) == ("warcinfo", b"hello", None, None, None)
+        assert (two["record_type"], two["url"], two["payload_digest"], two["chunk_bytes"], two["last"]) == ("response", "http://x/", "sha1:ABC", 0, True)
+
+
+def test_large_payloads_stream_in_little_memory(spark):
+    import resource
+
+    path = _common.fresh_path(spark, "warc-large")
+    df = spark.range(1).select(F.col("id").alias("page_id"), F.lit("u").alias("url"), F.expr("repeat('0123456789abcdef', 4194304)").alias("html"))
+    chunks = warc.read_chunks(warc.write_archives(warc.chunk_table(warc.mark_revisits(df)), path), path)
+
+    def peak(batches):
+        before, most = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss, 0
+        for b in batches:
+            most = max(most, b.nbytes)
+        import pyarrow as pa
+
+        yield pa.RecordBatch.from_pydict({"kb": [resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before], "batch": [most]})
+
+    with _common.bounded_batches(spark):
+        row = chunks.select("chunk").mapInArrow(peak, "kb long, batch long").first()
+    assert row["kb"] < 40_000 and row["batch"] < 10 << 20  # of 64 MB
+    assert chunks.where("last").select("digest_so_far").first()[0] == hashlib.sha256(b"0123456789abcdef" * 4194304).hexdigest()
+
+
+def test_revisits_name_the_record_of_their_response(spark, tmp_path):
+    import gzip
+
+    df = spark.createDataFrame([(1, "u", "p" * 200), (2, "v", "p" * 200)], "page_id long, url string, html string")
+    warc.write_archives(warc.chunk_table(warc.mark_revisits(df.repartition(2))), str(tmp_path / "w"))
+    heads = b"".join(gzip.decompress(p.read_bytes()) for p in (tmp_path / "w").glob("*.gz")).decode()
+    field = lambda name, kind: [line.split(": ")[1] for block in heads.split("WARC/1.1") if f"WARC-Type: {kind}" in block for line in block.split("\r\n") if line.startswith(name + ":")]
+    assert field("WARC-Refers-To", "revisit") == field("WARC-Record-ID", "response") != []
+
+
 # --- token counts ---
 
 
@@ -363,6 +428,36 @@ def test_token_counts_equal_a_unigram_tokenizer():
         token_counts.Counter([("a▁b", -1.0)])
 
 
+def test_token_counts_of_a_table_equal_the_tokenizers(spark):
+    """The production vocabulary, every text of the table, against the Unigram model of the library."""
+    import sentencepiece
+    from tokenizers import Tokenizer
+    from tokenizers.models import Unigram
+
+    model = sentencepiece.SentencePieceProcessor(model_file=token_counts.VOCABULARY)
+    pieces = token_counts.load_pieces()
+    spare = [(f"<0x{k:02X}>", -1e9) for k in range(256)]
+    assert model.get_piece_size() >= len(pieces)
+    theirs = Tokenizer(Unigram([("<unk>", -1e9), *pieces, *spare], 0, True))
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    got = {r["doc_id"]: r["n_tokens"] for r in token_counts.count_tokens(docs).collect()}
+    for r in docs.collect():
+        want = len(theirs.encode("▁" + r["text"].replace(" ", "▁")).ids) if r["text"] else 0
+        assert got[r["doc_id"]] == want
+
+
+def test_long_words_take_little_memory():
+    import tracemalloc
+
+    counter = token_counts.Counter([("a", -1.0), ("ab", -1.5), ("▁", -2.0)])
+    word = "abé" * 100_000
+    tracemalloc.start()
+    assert counter.pieces_of(word) == 300_000
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 2_000_000  # seven bytes a character at most
+
+
 # --- language, toxicity, quality ---
 
 
@@ -402,9 +497,9 @@ def test_language_of_held_out_documents(learned):
 
 def test_language_needs_letters(spark, learned):
     model = language_id.fit(learned[0])
-    odd = spark.createDataFrame([(1, None), (2, ""), (3, "12 !?"), (4, "a")], "doc_id long, text string")
+    odd = spark.createDataFrame([(1, None), (2, ""), (3, "12 !?"), (4, "a"), (5, "²"), (6, "½ ① ٣")], "doc_id long, text string")
     got = {r["doc_id"]: r["lang_pred"] for r in language_id.identify(odd, model).collect()}
-    assert got[1] == got[2] == got[3] == "und" and got[4] != "und"
+    assert all(got[k] == "und" for k in (1, 2, 3, 5, 6)) and got[4] != "und"
     assert {r["doc_id"] for r in language_id.keep_identified(odd, model, 0.0).collect()} == {4}
 
 
@@ -417,6 +512,19 @@ def test_held_out_rows_teach_nothing(spark, learned):
     assert toxicity.fit(docs, labels).weights == toxicity.fit(docs, wrong).weights
 
 
+def test_language_of_the_table(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = language_id.identify(docs, language_id.fit(docs)).join(docs.select("doc_id", "lang"), "doc_id").where(_common.held_out(F.col("doc_id"))).collect()
+    right = sum(r["lang_pred"] == r["lang"] for r in rows)
+    assert len(rows) > 200 and right >= 0.98 * len(rows)
+
+
+def test_many_languages_share_one_sample(spark):
+    rows = spark.range(4_000).select(F.col("id").alias("doc_id"), F.concat(F.lit("q"), (F.col("id") % 40).cast("string")).alias("lang"), F.concat_ws(" ", *[F.concat(F.chr((97 + F.col("id") % 40 % 26)), F.lit(x), (F.col("id") % 40).cast("string")) for x in "ab"]).alias("text"))
+    model = language_id.fit(rows, sample_rows=400)
+    assert len(model.families.names) <= 40 and sum(len(c.names) for c in model.members.values()) <= 40
+
+
 def test_toxicity_of_held_out_documents(spark, learned):
     docs, labels = learned
     model = toxicity.fit(docs, labels)
@@ -453,6 +561,49 @@ def test_segments_are_all_maximal_ones():
             assert s == pytest.approx(sum(scores[a : b + 1]))
 
 
+def test_toxic_scores_against_their_definition(spark, learned):
+    """Score, passages, lambda and K, worked out anew from segments by definition."""
+    docs, labels = learned
+    model = toxicity.fit(docs, labels)
+    text = {r["doc_id"]: r["text"] for r in docs.limit(60).collect()}
+    got = {r["doc_id"]: r for r in toxicity.score(docs.where(F.col("doc_id").isin(list(text))), model).collect()}
+    for i, t in text.items():
+        found = toxicity._WORD.findall(t.lower())
+        scores = [model.word_score(w) for w in found]
+        floor = np.log(max(model.k * len(found), 1e-6))
+        high = [max(0.0, model.decay * sum(scores[a : b + 1]) - floor) for a, b in brute_segments_fast(scores)]
+        x = model.shift + model.slope * np.log1p(sum(high))
+        assert got[i]["score"] == pytest.approx(1 / (1 + np.exp(-x))) and got[i]["n_passages"] == sum(h > 0 for h in high)
+    values = Counter({1.0: 3, -2.0: 2})
+    s, p = np.array([1.0, -2.0, toxicity.NEUTRAL]), np.array([3, 2, 15]) / 20
+    assert p @ np.exp(toxicity._decay(values, 20) * s) == pytest.approx(1.0)
+
+
+def brute_segments_fast(scores):
+    """As brute_segments, by the largest rise of the running sum."""
+
+    def split(a, b):
+        low, best = (0.0, a), (0.0, 0, 0, 0)
+        total = 0.0
+        for k in range(a, b):
+            total += scores[k]
+            if total - low[0] > best[0] + 1e-9:
+                best = (total - low[0], low[1], k + 1, 1)
+            if total < low[0]:
+                low = (total, k + 1)
+        return [*split(a, best[1]), (best[1], best[2] - 1), *split(best[2], b)] if best[3] else []
+
+    return split(0, len(scores))
+
+
+def test_model_takes_every_token_that_stands_out(spark):
+    n = 400
+    toxic = [(k, " ".join(f"bad{j}" for j in range(25_000)) if k % 4 else "plain words only", k) for k in range(8)]
+    docs = spark.createDataFrame([(k, t) for k, t, _ in toxic], "doc_id long, text string")
+    counts = spark.range(30_000).select(F.concat(F.lit("t"), F.col("id").cast("string")).alias("token"), F.lit(300).alias("toxic"), F.lit(0).alias("clean"))
+    assert docs.count() == 8 and len(toxicity._log_odds(counts, n, n)) == 30_000
+
+
 def test_rules_are_learned_and_readable(learned):
     docs, labels = learned
     rules = quality_rules.learn_from_labels(docs, labels)
@@ -461,6 +612,13 @@ def test_rules_are_learned_and_readable(learned):
     assert all(r["_kept"] == (r["quality"] == 1) for r in rows)
 
 
+def test_statistics_are_taken_of_labelled_rows_only(learned):
+    """The filter on statistics isn't pushed to every document, and no plan holds them more than once."""
+    docs, labels = learned
+    plan = quality_rules.judge(docs.select("doc_id", "text"), quality_rules.learn_from_labels(docs, labels))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("n_dup_lines, ") <= 1 and plan.count("regexp_replace(") == 1
+
+
 def test_text_statistics_against_brute_force(spark):
     import re
 

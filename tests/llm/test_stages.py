@@ -1,7 +1,9 @@
 """The pipeline's stages against brute force over rows of their own."""
 
 import random
+from collections import Counter
 
+import pytest
 from test_operators import DOCS, brute_components, edited, shingle_set, words
 
 import corpus_pipeline
@@ -45,3 +47,38 @@ def test_repeated_rows_and_rows_without_id_are_mixed(spark):
     assert target["c"] <= 2 * has["c"]
     for s in "abc":
         assert abs(sum(size(r["text"]) for r in got if r["source"] == s) - target[s]) <= 5
+
+
+AWKWARD = [*DOCS.split(", "), *(f"{c} string" for c in ("_copies", "_copy", "_row", "_doc", "component_id", "size", "_q", "_kept", "bin"))]
+
+
+def awkward_rows():
+    rng = random.Random(14)
+    text = [words(rng, rng.randint(60, 120), 5_000) for _ in range(12)]
+    rows = [(k, t, "en", "ab"[k % 2], 0) for k, t in enumerate(text)]
+    rows += rows[:2] + [(None, text[3], None, None, 0), (None, None, None, None, None), (50, None, "en", "a", 0), (51, "", "de", "a", 0), (52, " \n\t", "en", None, 0), (53, words(rng, 30_000), "en", "b", 0), (54, "x" * 500_000, "en", "b", 0)]
+    return [(*r, *["clash"] * (len(AWKWARD) - 5)) for r in rows]
+
+
+@pytest.mark.parametrize("name, stage", corpus_pipeline.STAGES)
+def test_stages_take_awkward_and_empty_tables(spark, tmp_path, name, stage):
+    """Nulls, empty and very long texts and words, repeated rows, columns of the stages' own names; then no rows at all."""
+    spark.createDataFrame([(k, k % 2, 0) for k in range(12)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    rows = awkward_rows()
+    docs = spark.createDataFrame(rows, ", ".join(AWKWARD)).repartition(3)
+    out = stage(spark, docs, str(tmp_path))
+    got = out.collect()
+    if name != "best-fit packing":
+        assert out.columns == docs.columns and all(tuple(r) in rows for r in got)
+        assert all(r["_copies"] == "clash" for r in got)
+    if name == "quality rules":
+        assert not any(r["text"] is None or len(r["text"].split()) < 50 for r in got)
+    if name == "near-duplicate removal":
+        assert Counter(tuple(r) for r in got) == Counter(set(rows)) - Counter([next(r for r in rows if r[0] is None and r[1])])
+    if name == "mixing sources":
+        size = lambda r: len((r["text"] or "").split())
+        # a copy of the longest document is 30 000 words: nearer than half of that can't be asked for
+        assert abs(sum(map(size, got)) - 1.5 * sum(len((r[1] or "").split()) for r in rows)) <= 15_500
+    if name == "best-fit packing":
+        assert sum(r["size"] for r in got) == sum(len((r[1] or "").split()) for r in rows) and len({(r["bin"], r["source"]) for r in got if r["source"]}) == sum(bool(r["source"]) for r in got)
+    assert stage(spark, docs.limit(0), str(tmp_path)).count() == 0
