@@ -217,19 +217,24 @@ def learn(stats: DataFrame, bad: Column, max_rules: int = 12, max_conditions: in
 def learn_from_labels(docs: DataFrame, labels: DataFrame, limit: int = LABELLED_ROWS) -> DecisionList:
     """Learn from at most ``limit`` labelled documents, those of the smallest hashes of their ids.
 
-    Documents that the base rules reject teach nothing: the list is for the others. The bound makes the broadcast of their ids safe at any size of ``docs``; rows without
-    an id, a text or a quality label teach nothing, and of repeated labels of an id one counts.
+    Documents that the base rules reject teach nothing: the list is for the others. The bound makes the broadcast of
+    their ids safe at any size of ``docs``; rows without an id, a text or a quality label teach nothing. Of repeated
+    labels of an id the smallest counts, of several documents of an id the one of the smallest statistics.
     """
     chosen = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy("doc_id").agg(F.min("quality").alias("quality"))
     chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit).select(F.col("doc_id").alias("_id"), (F.col("quality") == 0).alias("_low"))
     known = docs.where("text IS NOT NULL").select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("_id"))
-    return learn(materialize(with_statistics(known).where(~base_failed(F.col("_q"))).select("_q", "_low"), "quality-sample"), F.col("_low"))
+    # written before it is filtered: a filter on statistics would be pushed below the join, to every document
+    stats = with_statistics(known).groupBy("_id").agg(F.min("_q").alias("_q"), F.first("_low").alias("_low"))
+    stats = materialize(stats.select("_q", "_low"), "quality-sample")
+    return learn(stats.where(~base_failed(F.col("_q"))), F.col("_low"))
 
 
 def judge(docs: DataFrame, rules: DecisionList) -> DataFrame:
     """Add ``_q``, ``_base_failed``, ``_rule`` (0: none) and ``_kept`` to each row of ``docs``; rows stay as many.
 
-    Columns of these names, and ``_s``, are replaced: wrap rows in a struct where such columns must stay.
+    Null and empty texts have no words, so the base rules reject them. Columns of these names, and ``_s``, are replaced:
+    wrap rows in a struct where such columns must stay. An empty table gives an empty result.
     """
     q = F.col("_q")
     out = with_statistics(docs).withColumn("_base_failed", base_failed(q)).withColumn("_rule", rules.rule_number(q))
