@@ -1,6 +1,6 @@
 """Redaction of transcripts: secrets and personal data become fixed sentinels.
 
-Two ways, both Spark jobs. ``rule_hits`` and ``replace_rule`` are native expressions for one rule at a time.
+Two ways, both Spark jobs. ``hits_by_rule`` counts and ``replace_rule`` replaces what rules match one at a time.
 ``redact_lines`` applies the whole ladder to JSON lines, which must keep every byte that isn't
 redacted (key order, repeated keys, escapes), so a small helper walks each line inside an
 Arrow map; lines are rows, so a payload of any size is spread over tasks.
@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import base64
 import binascii
+import heapq
 import json
 import math
 import re
@@ -17,6 +18,7 @@ from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 
 try:
     import ahocorasick
@@ -36,9 +38,27 @@ def gate(text: Column, rule: R.Rule) -> Column:
     return found
 
 
-def rule_hits(text: Column, rule: R.Rule) -> Column:
-    """Number of matches of one rule's pattern."""
-    return F.when(gate(text, rule), F.regexp_count(text, F.lit(R.java(rule.pattern)))).otherwise(F.lit(0))
+def hits_by_rule(docs: DataFrame, rules: list[R.Rule], text: str = "text") -> DataFrame:
+    """(rule_id, docs, hits) of the rules that hit in any text, checksums and overlaps aside; null texts hold nothing.
+
+    RE2, the rules' own dialect, runs over Arrow batches: one pattern picks the texts that any rule could touch, and only
+    those are counted rule by rule. A task hands on a row of counts for each rule.
+    """
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        gate, seen, hits = line_gate(), Counter(), Counter()
+        known = [(r, R.python(r.pattern)) for r in rules]
+        for b in batches:
+            some = b.column(0).filter(pc.fill_null(pc.match_substring_regex(b.column(0), gate), False))
+            for rule, pattern in known if len(some) else ():
+                held = some.filter(pc.match_substring_regex(some, rule.pattern)).to_pylist()
+                seen[rule.rule_id] += len(held)
+                hits[rule.rule_id] += sum(sum(1 for _ in pattern.finditer(t)) for t in held)
+        found = [k for k, n in hits.items() if n]
+        yield pa.RecordBatch.from_pydict({"rule_id": found, "docs": [seen[k] for k in found], "hits": [hits[k] for k in found]}, pa.schema([("rule_id", pa.string()), ("docs", pa.int64()), ("hits", pa.int64())]))
+
+    partial = docs.select(text).mapInArrow(count, "rule_id string, docs long, hits long")
+    return partial.groupBy("rule_id").agg(F.sum("docs").alias("docs"), F.sum("hits").alias("hits"))
 
 
 def replace_rule(text: Column, rule: R.Rule) -> Column:
@@ -84,9 +104,15 @@ def _pesel(s: str) -> bool:
 _CHECKS = {"pan": _card, "iban": _iban, "pesel": _pesel}
 #: Without this no number of the personal rules can be in a text.
 _DIGITS = re.compile("[0-9][ -]?[0-9]")
-_RUN = re.compile(rf"[A-Za-z0-9+=_-]{{{R.ENTROPY_LENGTH},}}")
-_TOKEN = re.compile(r'"(?:[^"\\]|\\.)*"|[{}\[\]:,]')
+_RUN = re.compile(rf"(?<![A-Za-z0-9+=_-])[A-Za-z0-9+=_-]{{{R.ENTROPY_LENGTH},}}")
+_TOKEN = re.compile(r'"[^"\\]*(?:\\.[^"\\]*)*"|[{}\[\]:,]')
 _BASE64 = re.compile(r"[A-Za-z0-9+/=_\r-]+")
+_GAP = r"(?:\s|\\[a-z])"
+_ENCODED = re.compile(rf'"{_GAP}*([A-Za-z0-9+/=_-]{{{R.ENTROPY_LENGTH},}}){_GAP}*"')
+#: Hex digits, with the letter of an escape before them at most (the digits of one are hex, too).
+_HEX = re.compile("[A-Za-z]?[0-9a-fA-F]+")
+#: Deeper lines are looked at one by one.
+_DEEP = 256
 
 
 class Ladder:
@@ -167,27 +193,36 @@ class Ladder:
 
     @staticmethod
     def resolve(spans: list[tuple[int, int, str]], doubtful: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
-        """Patterns win over entropy and take over how far it reached beyond them; then the leftmost, longest span wins."""
-        rows = sorted([[a, 0, -b, r] for a, b, r in spans] + [[a, 1, -b, r] for a, b, r in doubtful])
-        sure = [[a, -b, r] for a, p, b, r in rows if not p]
-        kept: list[list] = []
-        for a, p, b, r in rows:
-            b = -b
-            hit = next((s for s in sure if a < s[1] and s[0] < b), None) if p else None
-            if hit is None:
-                kept.append([a, b, r])
-            elif b > hit[1]:
-                hit[1] = b
-                for k in kept:
-                    if (k[0], k[2]) == (hit[0], hit[2]):
-                        k[1] = b
-        out, at = [], 0
-        for a, b, r in kept:
-            if at <= a < b:
-                out.append((a, b, r))
-                at = b
+        """The spans that are replaced: from the left, of one start the longest, none inside another.
+
+        A doubtful span (they don't overlap each other) that meets sure ones is never replaced itself; the first sure one
+        that it meets reaches as far as it does, unless that one begins later.
+        """
+        sure = sorted(spans, key=lambda s: (s[0], -s[1], s[2]))
+        reach, alone = [end for _, end, _ in sure], []
+        for begin, end, rule in doubtful:
+            owner = next((k for k, (a, b, _) in enumerate(sure) if a < end and begin < b), None)
+            if owner is None:
+                alone.append((begin, end, rule))
+            elif sure[owner][0] <= begin:
+                reach[owner] = max(reach[owner], end)
+        wide = [(a, b, rule) for (a, _, rule), b in zip(sure, reach, strict=True)]
+        out: list[tuple[int, int, str]] = []
+        for a, b, rule in heapq.merge(wide, sorted(alone), key=lambda s: s[0]):
+            if a < b and (not out or out[-1][1] <= a):
+                out.append((a, b, rule))
         return out
 
+    def may_hold(self, body: str) -> bool:
+        """For a line that passes the gate but for its long runs: could one of them be redacted?"""
+        for m in _RUN.finditer(body):
+            run = m[0]
+            kinds = len(set(run))
+            # so few different characters can't have the bits that are asked for
+            if 2.0**R.ENTROPY_BITS <= kinds or (2.0**R.ENTROPY_BITS_HEX <= kinds and _HEX.fullmatch(run)):
+                return True
+        return any(self.encoded(m[1].ljust(R.BASE64_LENGTH)) for m in _ENCODED.finditer(body)) or bool(_BASE64.fullmatch(body.strip()) and self.encoded(body))
+
     def value(self, value: str, key: str = "", doubtful: bool = False) -> tuple[str, Counter, int]:
         """A value redacted, hits by rule, and how many of its bytes went."""
         if key and value and secret_key(key):
@@ -223,7 +258,7 @@ class Ladder:
             if t in "{[":
                 path = top[3] if top else ""
                 stack.append([t == "{", path, None, path if t == "{" else path + "[]"])
-                if len(stack) > 256:
+                if len(stack) > _DEEP:
                     return *self.value(body), False
             elif t in "}]":
                 stack.pop()
@@ -249,6 +284,40 @@ def _refuse(name: str):
     raise ValueError(name)
 
 
+def line_gate(username: str = "") -> str:
+    """One RE2 pattern that every line matches which a pattern rule, a key name or the username could touch.
+
+    It is asked of lines as they are, JSON escapes and all, so it may only be wider than the rules: word edges are left out,
+    and what an escape could hide lets a line through.
+    """
+    gap, tail, coded = _GAP + "*", "[A-Za-z0-9_+/=.%~-]{8}", "[A-Za-z0-9+/=_-]+"
+    spelled = sorted({re.escape(n.lstrip("*").lower()) for n in R.SECRET_NAMES})
+    parts = [f"(?:{'|'.join(re.escape(k) for r in R.RULES if r.rule_id not in R.LOOSE_GATES for k in r.keywords)}){tail}"]
+    parts += [g for gates in R.LOOSE_GATES.values() for g in gates]
+    parts += [f"(?i:token{gap}:)", f"(?i:(?:{'|'.join(spelled)}){gap}[:=])"]
+    parts += [f'(?i:(?:{"|".join([*R.SECRET_WORDS, "key", *spelled])})[-_. :/]*"\\s*:)']
+    parts += [f'[\u0131\u017f\u00df\ufb00-\ufb06][^"]*"\\s*:']  # letters whose upper case is in ASCII
+    parts += [f'(?:^|"){_GAP}{{5,}}{coded}{gap}(?:$|")', f'(?:^|"){gap}{coded}{_GAP}{{5,}}(?:$|")']  # short base64 made long by blanks
+    parts += [r"[0-9](?:[ -]?[0-9]){10}", "[A-Z]{2}[0-9]{2}[A-Z0-9]{11}", r"\\[r/]", r"\r"]
+    parts += [r"\\u(?:00[0-7]|00[dD][fF]|0131|017[fF]|212[aA]|[fF][bB]0)"]  # ASCII, or a letter with a case in it
+    return "|".join(parts + [re.escape(username)] * (len(username) >= 2))
+
+
+#: A run that the entropy detector or the base64 test could look at.
+RUN_GATE = f"[A-Za-z0-9+/=_-]{{{R.ENTROPY_LENGTH}}}"
+#: A string that is a lower-case UUID is clean: 17 kinds of characters have too few bits, and read as base64 it gives
+#: bytes over 0x7F at three places, between which no rule has room.
+UUID_VALUE = '"[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}"'
+
+
+def _is_json(text: str) -> bool:
+    try:
+        json.loads(text, parse_constant=_refuse)
+    except (ValueError, RecursionError):
+        return False
+    return True
+
+
 _HUMP = re.compile("(?<=[a-z0-9])(?=[A-Z])|(?<=[A-Z])(?=[A-Z][a-z])")
 
 
@@ -269,19 +338,26 @@ def redact_lines(lines: DataFrame, username: str = "", body: str = "body", famil
     kept = [f"`{f.name}` {f.dataType.simpleString()}" for f in lines.schema]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ladder = Ladder(username)
+        ladder, gate = Ladder(username), line_gate(username)
         for b in batches:
-            new, hits, gone, size, parsed = [], [], [], [], []
-            for text, fam, is_json in zip(b.column(body).to_pylist(), b.column(family).to_pylist(), b.column(jsonl).to_pylist(), strict=True):
+            bodies = b.column(body)
+            # RE2 over whole batches tells which lines need a look at all; the others stay as they are, in Arrow
+            rules = pc.match_substring_regex(bodies, gate).to_pylist()
+            runs = pc.match_substring_regex(pc.replace_substring_regex(bodies, UUID_VALUE, '""'), RUN_GATE).to_pylist()
+            size = pc.fill_null(pc.binary_length(bodies), 0).cast(pa.int64())
+            n = len(bodies)
+            new, hits, gone, parsed = {}, [[]] * n, [0] * n, [None] * n
+            for k, (text, fam, is_json) in enumerate(zip(bodies.to_pylist(), b.column(family).to_pylist(), b.column(jsonl).to_pylist(), strict=True)):
                 if text is None or not text.strip():
-                    done, found, n, ok = text, {}, 0, None
-                elif is_json:
-                    done, found, n, ok = ladder.line(text, fam or "")
-                else:
-                    done, found, n, ok = *ladder.value(text), False
-                for column, v in zip((new, hits, gone, size, parsed), (done, sorted(found.items()), n, len((text or "").encode()), ok), strict=True):
-                    column.append(v)
-            arrays = [pa.array(new, pa.string()), pa.array(hits, pa.map_(pa.string(), pa.int64())), pa.array(gone, pa.int64()), pa.array(size, pa.int64()), pa.array(parsed, pa.bool_())]
+                    continue
+                if not rules[k] and not (runs[k] and ladder.may_hold(text)) and text.count("[") + text.count("{") <= _DEEP:
+                    parsed[k] = bool(is_json) and _is_json(text)
+                    continue
+                done, found, gone[k], parsed[k] = ladder.line(text, fam or "") if is_json else (*ladder.value(text), False)
+                if found:
+                    new[k], hits[k] = done, sorted(found.items())
+            redacted = bodies if not new else pa.array([new.get(k, t) for k, t in enumerate(bodies.to_pylist())], pa.string())
+            arrays = [redacted, pa.array(hits, pa.map_(pa.string(), pa.int64())), pa.array(gone, pa.int64()), size, pa.array(parsed, pa.bool_())]
             yield pa.RecordBatch.from_arrays([*b.columns, *arrays], [*b.schema.names, *(n for n, _ in extra)])
 
     return lines.mapInArrow(run, ", ".join([*kept, *(f"{n} {t}" for n, t in extra)]))

@@ -120,6 +120,29 @@ PESEL_WEIGHTS = (1, 3, 7, 9, 1, 3, 7, 9, 1, 3)
 CARD_GROUPS = ("4-4-4-4", "4-6-5", "4-4-4-4-3")
 # End of the fixed values.
 
+#: What a line must hold for the rules whose matches don't go on with eight token characters after a keyword; see redact.line_gate.
+LOOSE_GATES = {
+    "aws-access-key-id": ("(?:AKIA|ASIA|ABIA|ACCA)[0-9A-Z]{16}",),
+    "aws-secret-key": ("(?i:access[_.-]?key)",),
+    "secret-access-key": (),
+    "slack-webhook": ("hooks[.]slack[.]com/services/",),
+    "openai-api-key": ("sk-[A-Za-z0-9_-]{20}",),
+    "anthropic-api-key": (),
+    "twilio-key": ("SK[0-9a-fA-F]{32}",),
+    "gcp-service-account-key": ("service_account",),
+    "hashicorp-tf-api-token": ("[.]atlasv1[.]",),
+    "flyio-access-token": ("fo1_[A-Za-z0-9_-]{8}", "fm[12]"),
+    "azure-sas-token": ("sig=[A-Za-z0-9%+/]{40}",),
+    "private-key-block": ("(?i:private key)",),
+    "jwt": ("eyJ[A-Za-z0-9_-]{8}[A-Za-z0-9_-]*[.]eyJ",),
+    "authorization-bearer": ("(?i:authorization)",),
+    "basic-auth-header": (),
+    "url-userinfo-credentials": (r"://[^/\s:@]+:[^/\s@]{3}[^/\s@]*@",),
+    "kubeconfig-token": (),
+    "ssh-private-key-openssh": (),
+    "email": (r"[A-Za-z0-9._%+-]@[A-Za-z0-9.-]+[.][A-Za-z]{2}",),
+}
+
 RULES = PROVIDER_KEYS + MORE_PROVIDER_KEYS + KEY_MATERIAL + PERSONAL_DATA
 BY_ID = {r.rule_id: r for r in RULES}
 #: RE2's white space; Java's and Python's \\s also take the vertical tab.
