@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
 
 from pyspark.sql import Column
@@ -96,3 +97,9 @@ def sample_indexes(length: int, n: int) -> list[int]:
     if n >= length:
         return list(range(length))
     return [0] if n == 1 else [math.floor(i * (length - 1) / (n - 1)) for i in range(n)]
+
+
+def spec_hash(fields: dict[str, list[str]]) -> str:
+    """SHA-256 of a source's fields, each with its label and count and each value with its length, so that no two settings read alike."""
+    text = "".join(f"{label}:{len(values)}:" + "".join(f"{len(v.encode())}:{v}" for v in values) for label, values in fields.items())
+    return hashlib.sha256(text.encode()).hexdigest()

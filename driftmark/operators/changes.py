@@ -6,6 +6,9 @@ CASE over the left join of the two; size and time are a pre-filter, the content
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -54,13 +57,30 @@ def budgeted(decided: DataFrame, limit: int) -> DataFrame:
     return decided.join(F.broadcast(first), KEY, "left").withColumn("admitted", ~ship | F.col("_in").isNotNull()).drop("_in")
 
 
+def to_look_at(candidates: DataFrame, state: DataFrame, now: Column, recompute_seconds: int = 0) -> DataFrame:
+    """Candidates with ``look`` and ``waits``, by size and time alone: is the content to be read, or a parked file's time not yet up?
+
+    With recompute_seconds, files that changed so lately are looked at although nothing changed, as what they are joined with may have.
+    """
+    old = state.select(*KEY, *[F.col(c).alias("_" + c) for c in ("source_size", "source_mtime_ns", "source_hash", "parked", "backoff_until")])
+    df = candidates.join(old, KEY, "left")
+    waits = F.coalesce(F.col("_parked") & (F.col("_backoff_until") > now), F.lit(False))
+    same = F.col("size").eqNullSafe(F.col("_source_size")) & F.col("mtime_ns").eqNullSafe(F.col("_source_mtime_ns")) & F.col("_source_hash").isNotNull()
+    late = F.unix_micros(now) / 1e6 - F.col("mtime_ns") / 1e9 < float(recompute_seconds)
+    return df.withColumn("waits", waits).withColumn("look", ~waits & (~same | late)).drop(*[c for c in df.columns if c.startswith("_")])
+
+
 def upsert(state: DataFrame, outcomes: DataFrame, now: Column) -> DataFrame:
-    """State after a run. outcomes: KEY, size, mtime_ns, content_hash, output_hash, decision (shipped or failed), reason, attempts."""
+    """State after a run. outcomes: KEY, size, mtime_ns, content_hash, output_hash, decision, reason, attempts.
+
+    What shipped has its hashes; what failed is parked until its time; a file that was read and is unchanged keeps its
+    hashes under its new size and time, and whatever parked it is over. Other decisions leave their rows as they are.
+    """
     failed = F.col("decision") == "failed"
     tries = F.when(failed, F.col("attempts") + 1).otherwise(0).cast("int")
     spread = F.pmod(F.xxhash64(*KEY), F.lit(9))
     until = F.when(failed, F.timestamp_seconds(F.unix_micros(now) / 1e6 + backoff_seconds(tries, spread)))
-    new = outcomes.where(F.col("decision").isin("shipped", "failed")).select(
+    new = outcomes.where(F.col("decision").isin("shipped", "failed", "unchanged")).select(
         *KEY, F.col("size").alias("source_size"), F.col("mtime_ns").alias("source_mtime_ns"), F.when(~failed, F.col("content_hash")).alias("source_hash"), F.when(~failed, F.col("output_hash")).alias("output_hash"),
         failed.alias("parked"), tries.alias("attempts"), until.alias("backoff_until"), F.when(failed, F.col("reason")).alias("last_error"),
     )
@@ -74,19 +94,25 @@ def drop_vanished(state: DataFrame, live: DataFrame, complete: DataFrame) -> Dat
 
 
 def batches(staged: DataFrame, order: str, size: str, key: str, most_rows: int = 32, most_bytes: int = 64 << 20) -> DataFrame:
-    """Number the upload groups of each ``key``: a group closes before it would pass ``most_rows`` or ``most_bytes``.
+    """Number the upload groups of each ``key`` (``batch``): a group closes before it would pass ``most_rows`` or ``most_bytes``.
 
-    A running sum can't reset, so each key's rows are folded in order, as numbers only.
+    A running sum can't reset, so rows go by key to sorted partitions, and one pass carries the open group's counters:
+    a key of any size needs no memory. Null sizes count as 0.
     """
-    rows = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(size).cast("long").alias("s"))))
-
-    def step(acc: Column, r: Column) -> Column:
-        full = (acc["rows"] >= most_rows) | ((acc["rows"] > 0) & (acc["bytes"] + r["s"] > most_bytes))
-        group = acc["group"] + F.when(full, 1).otherwise(0)
-        out = F.concat(acc["out"], F.array(F.struct(r["o"].alias("o"), group.alias("group"))))
-        return F.struct(group.alias("group"), F.when(full, 1).otherwise(acc["rows"] + 1).alias("rows"), F.when(full, r["s"]).otherwise(acc["bytes"] + r["s"]).alias("bytes"), out.alias("out"))
-
-    kind = dict(staged.dtypes)[order]
-    start = F.struct(F.lit(0).alias("group"), F.lit(0).alias("rows"), F.lit(0).cast("long").alias("bytes"), F.array().cast(f"array<struct<o:{kind},group:int>>").alias("out"))
-    folded = staged.groupBy(key).agg(rows.alias("rows")).select(key, F.explode(F.aggregate("rows", start, step)["out"]).alias("x"))
-    return folded.select(key, F.col("x.o").alias(order), F.col("x.group").alias("batch"))
+    rows = staged.select(key, order, F.coalesce(F.col(size).cast("long"), F.lit(0)).alias("_size"))
+    kinds = dict(rows.dtypes)
+
+    def number(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, group, n, held = (), 0, 0, 0
+        for b in parts:
+            out = []
+            for k, s in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), strict=True):
+                if (k,) != at:
+                    at, group, n, held = (k,), 0, 0, 0
+                if n and (n >= most_rows or held + s > most_bytes):
+                    group, n, held = group + 1, 0, 0
+                n, held = n + 1, held + s
+                out.append(group)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.int32())], [key, order, "batch"])
+
+    return rows.repartition(key).sortWithinPartitions(key, order).mapInArrow(number, f"`{key}` {kinds[key]}, `{order}` {kinds[order]}, batch int")

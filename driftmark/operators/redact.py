@@ -332,9 +332,10 @@ def redact_lines(lines: DataFrame, username: str = "", body: str = "body", famil
     """Rows of ``lines`` with redacted, rule_hits (map), bytes_redacted, bytes_total and parsed (was the line JSON).
 
     A row is one line (see split_lines); ``family`` picks the exempt fields, ``jsonl`` false or null means raw text.
-    Null bodies stay null without hits; blank lines pass through and parsed is null.
+    Null bodies stay null without hits; blank lines pass through and parsed is null. A line that a detector fails on is null
+    with its ``error`` (null otherwise): nothing of it may leave.
     """
-    extra = [("redacted", "string"), ("rule_hits", "map<string,long>"), ("bytes_redacted", "long"), ("bytes_total", "long"), ("parsed", "boolean")]
+    extra = [("redacted", "string"), ("rule_hits", "map<string,long>"), ("bytes_redacted", "long"), ("bytes_total", "long"), ("parsed", "boolean"), ("error", "string")]
     kept = [f"`{f.name}` {f.dataType.simpleString()}" for f in lines.schema]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -346,28 +347,36 @@ def redact_lines(lines: DataFrame, username: str = "", body: str = "body", famil
             runs = pc.match_substring_regex(pc.replace_substring_regex(bodies, UUID_VALUE, '""'), RUN_GATE).to_pylist()
             size = pc.fill_null(pc.binary_length(bodies), 0).cast(pa.int64())
             n = len(bodies)
-            new, hits, gone, parsed = {}, [[]] * n, [0] * n, [None] * n
+            new, hits, gone, parsed, errors = {}, [[]] * n, [0] * n, [None] * n, [None] * n
             for k, (text, fam, is_json) in enumerate(zip(bodies.to_pylist(), b.column(family).to_pylist(), b.column(jsonl).to_pylist(), strict=True)):
                 if text is None or not text.strip():
                     continue
-                if not rules[k] and not (runs[k] and ladder.may_hold(text)) and text.count("[") + text.count("{") <= _DEEP:
-                    parsed[k] = bool(is_json) and _is_json(text)
+                try:
+                    if not rules[k] and not (runs[k] and ladder.may_hold(text)) and text.count("[") + text.count("{") <= _DEEP:
+                        parsed[k] = bool(is_json) and _is_json(text)
+                        continue
+                    done, found, gone[k], parsed[k] = ladder.line(text, fam or "") if is_json else (*ladder.value(text), False)
+                except Exception as e:  # whatever it is: the line doesn't go out, the task goes on
+                    new[k], errors[k] = None, f"{type(e).__name__}: {e}"[:200]
                     continue
-                done, found, gone[k], parsed[k] = ladder.line(text, fam or "") if is_json else (*ladder.value(text), False)
                 if found:
                     new[k], hits[k] = done, sorted(found.items())
             redacted = bodies if not new else pa.array([new.get(k, t) for k, t in enumerate(bodies.to_pylist())], pa.string())
-            arrays = [redacted, pa.array(hits, pa.map_(pa.string(), pa.int64())), pa.array(gone, pa.int64()), size, pa.array(parsed, pa.bool_())]
+            arrays = [redacted, pa.array(hits, pa.map_(pa.string(), pa.int64())), pa.array(gone, pa.int64()), size, pa.array(parsed, pa.bool_()), pa.array(errors, pa.string())]
             yield pa.RecordBatch.from_arrays([*b.columns, *arrays], [*b.schema.names, *(n for n, _ in extra)])
 
     return lines.mapInArrow(run, ", ".join([*kept, *(f"{n} {t}" for n, t in extra)]))
 
 
 def rebuild(redacted: DataFrame, keys: list[str]) -> DataFrame:
-    """Payloads from their redacted lines: content, rule totals by payload, density, scan_mode, lines_parsed, lines_raw."""
+    """Payloads from their redacted lines: content, bytes, density, scan_mode, lines_parsed, lines_raw, error (of any line, else null).
+
+    A payload is one row again, so its size must be bounded before (the collector's limit is 256 MiB); where objects
+    may be rows of lines, write the lines themselves.
+    """
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", F.concat("redacted", "ending").alias("t")))), lambda x: x["t"]), "")
     parsed, raw = F.count_if("parsed"), F.count_if(~F.col("parsed"))
-    out = redacted.groupBy(*keys).agg(text.alias("content"), F.sum("bytes_redacted").alias("bytes_redacted"), F.sum(F.col("bytes_total") + F.length("ending")).alias("bytes_total"), parsed.alias("lines_parsed"), raw.alias("lines_raw"))
+    out = redacted.groupBy(*keys).agg(text.alias("content"), F.sum("bytes_redacted").alias("bytes_redacted"), F.sum(F.col("bytes_total") + F.length("ending")).alias("bytes_total"), parsed.alias("lines_parsed"), raw.alias("lines_raw"), F.max("error").alias("error"))
     mode = F.when(F.col("lines_raw") == 0, "decoded_json_values").when(F.col("lines_parsed") == 0, "raw_text").otherwise("mixed")
     return out.withColumn("scan_mode", mode).withColumn("density", F.coalesce(F.try_divide(F.col("bytes_redacted").cast("double"), F.col("bytes_total")), F.lit(0.0)))
 

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-#: Key prefixes that are never read, and the keys among them that are.
+#: Key prefixes that are never read, and the keys among them that are; both in lower case.
 DENIED_PREFIXES = ("secret://", "auth/", "cursorauth/")
 ALLOWED_KEYS = ("cursorauth/cachedemail", "cursorauth/stripemembershiptype", "cursorauth/stripesubscriptionstatus", "cursorauth/cachedsignuptype")
 MAX_VALUE_BYTES = 1 << 20
@@ -22,7 +22,7 @@ class _File(InputPartition):
 
 
 class KeyValueSource(DataSource):
-    """Options: paths (comma-separated files that executors can open), table, prefixes (comma-separated, optional)."""
+    """Options: paths (comma-separated files that executors can open), table, prefixes (comma-separated, optional), limit (rows of a file, optional)."""
 
     @classmethod
     def name(cls) -> str:
@@ -42,16 +42,27 @@ class KeyValueReader(DataSourceReader):
         if not self.table.isidentifier():
             raise ValueError(f"not a table name: {self.table!r}")
         self.prefixes = [p for p in options.get("prefixes", "").split(",") if p]
+        self.limit = int(options.get("limit", 0))
 
     def partitions(self) -> list[InputPartition]:
         return [_File(p) for p in self.paths]
 
     def read(self, partition: _File) -> Iterator[tuple]:
-        """Rows by key; a range for each prefix, which the table's index serves, instead of LIKE with escapes."""
+        """Allowed rows by key, at most ``limit`` and one more; a key range for each prefix, which the table's index serves.
+
+        Ranges are of keys as they are written, so each prefix is also looked for in lower case. Denied keys and values
+        over the length cap (their value is null) never leave the file.
+        """
+        ranges = sorted({x for p in self.prefixes for x in (p, p.lower())})
+        # U+10FFFF sorts after every other character
+        wanted = " OR ".join(["(key >= ? AND key < ?)"] * len(ranges)) or "1"
+        denied = " OR ".join([f"substr(lower(key), 1, {len(p)}) = '{p}'" for p in DENIED_PREFIXES])
+        allowed = ", ".join(f"'{k}'" for k in ALLOWED_KEYS)
+        value = f"CASE WHEN length(CAST(value AS BLOB)) <= {MAX_VALUE_BYTES} THEN CAST(value AS TEXT) END"
+        sql = f"SELECT key, {value} FROM {self.table} WHERE ({wanted}) AND (NOT ({denied}) OR lower(key) IN ({allowed})) ORDER BY key"
+        sql += f" LIMIT {self.limit + 1}" if self.limit else ""
         with sqlite3.connect(f"file:{partition.path}?mode=ro&immutable=1", uri=True) as db:
-            where = " OR ".join(["substr(lower(key), 1, length(?)) = lower(?)"] * len(self.prefixes))
-            args = [x for p in self.prefixes for x in (p, p)]
-            for key, value in db.execute(f"SELECT key, CAST(value AS TEXT) FROM {self.table}" + (f" WHERE {where}" if where else "") + " ORDER BY key", args):
+            for key, value in db.execute(sql, [x for p in ranges for x in (p, p + "\U0010ffff")]):
                 yield partition.path, key, value
 
 
@@ -62,15 +73,18 @@ def key_denied(key: Column) -> Column:
     return denied & ~low.isin(*ALLOWED_KEYS)
 
 
-def read_store(spark: SparkSession, paths: list[str], table: str, prefixes: list[str] = ()) -> DataFrame:
-    """Allowed rows of a key/value table whose keys have one of the prefixes (none given: all)."""
+def read_store(spark: SparkSession, paths: list[str], table: str, prefixes: list[str] = (), limit: int = 0) -> DataFrame:
+    """Allowed rows of a key/value table whose keys have one of the prefixes, as written or in lower case (none given: all).
+
+    limit: rows that are read of each file, and one more that tells of others (0: all).
+    """
     spark.dataSource.register(KeyValueSource)
-    df = spark.read.format("sqlite_kv").options(paths=",".join(paths), table=table, prefixes=",".join(prefixes)).load()
+    df = spark.read.format("sqlite_kv").options(paths=",".join(paths), table=table, prefixes=",".join(prefixes), limit=str(limit)).load()
     return df.where(~key_denied(F.col("key")))
 
 
 def capped(rows: DataFrame, limit: int = 200_000) -> tuple[DataFrame, bool]:
-    """The first rows by key and whether there were more; denied rows are gone before and don't count."""
+    """The first rows by key and whether there were more, from rows read with that limit; denied rows don't count."""
     return rows.orderBy("key").limit(limit), rows.limit(limit + 1).count() > limit
 
 

@@ -12,8 +12,11 @@ ZSTD_MAGIC, SQLITE_MAGIC = "28B52FFD", "53514C69746520666F726D6174203300"
 
 
 def files(spark: SparkSession, root: str) -> DataFrame:
-    """All files below a root with content; Spark reads contents only where a later step asks for them."""
-    df = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
+    """All files below a root with content; Spark reads contents only where a later step asks for them.
+
+    A file that goes or can't be read once it is listed gives no row where its content is asked for.
+    """
+    df = spark.read.format("binaryFile").options(recursiveFileLookup="true", ignoreMissingFiles="true", ignoreCorruptFiles="true").load(root)
     prefix = "^(?:file:)?/*" + root.replace("file:", "").strip("/") + "/"
     return df.select("path", F.regexp_replace("path", prefix, "").alias("rel_path"), F.col("length").alias("size"), F.unix_micros("modificationTime").alias("mtime_us"), (F.unix_micros("modificationTime") * 1000).alias("mtime_ns"), "content")
 

@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import contextlib
+import json
+import re
 import uuid
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,8 +23,11 @@ def read_audit(spark: SparkSession, path: str, last: int | None = None) -> DataF
 
 
 def safe_reason(reason: Column) -> Column:
-    """One line of at most 500 characters; withheld if it has a sentinel in it."""
-    flat = F.substring(F.regexp_replace(reason, "[\r\n]+", " "), 1, REASON_BYTES)
+    """One line of at most 500 bytes, characters whole; withheld if it has a sentinel in it."""
+    flat = F.regexp_replace(reason, "[\r\n]+", " ")
+    start = F.left(flat, F.lit(REASON_BYTES))
+    longest = F.array_max(F.filter(F.sequence(F.lit(REASON_BYTES // 4), F.lit(REASON_BYTES)), lambda k: F.octet_length(F.left(flat, k)) <= REASON_BYTES))
+    flat = F.when(F.octet_length(start) <= REASON_BYTES, start).otherwise(F.left(flat, longest))
     return F.when(F.contains(reason, F.lit("__REDACTED:")), F.lit("(withheld)")).otherwise(flat)
 
 
@@ -44,29 +51,86 @@ def latest_objects(spark: SparkSession, path: str) -> DataFrame:
     return df.join(newest, ["key", "written_at"], "left_semi")
 
 
+@contextlib.contextmanager
+def scratch(spark: SparkSession, path: str) -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """A function that writes a table below ``path`` and reads it back, so that plans start anew; all goes when the block ends."""
+    folder = f"{path}/work-{uuid.uuid4().hex}"
+
+    def kept(df: DataFrame) -> DataFrame:
+        place = f"{folder}/{uuid.uuid4().hex}"
+        df.write.parquet(place)
+        return spark.read.schema(df.schema).parquet(place)
+
+    try:
+        yield kept
+    finally:
+        place, fs = _hadoop(spark, folder)
+        fs.delete(place, True)
+
+
+#: Version of a state table's layout; a table of another one isn't read.
+STATE_VERSION = 1
+_GENERATION = re.compile(r"commit-(\d{10})$")
+
+
+def _hadoop(spark: SparkSession, path: str):
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return place, place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def _commits(spark: SparkSession, path: str) -> list[int]:
+    """Numbers of the committed generations, ascending."""
+    place, fs = _hadoop(spark, path)
+    names = [f.getPath().getName() for f in fs.listStatus(place)] if fs.exists(place) else []
+    return sorted(int(m[1]) for m in map(_GENERATION.match, names) if m)
+
+
+def _checksum(state: DataFrame) -> str:
+    """Rows and a sum of row hashes, the same in any order."""
+    row = state.select(F.xxhash64(*state.columns).cast("decimal(38,0)").alias("h")).agg(F.count(F.lit(1)), F.coalesce(F.sum("h"), F.lit(0))).first()
+    return f"{row[0]}:{row[1]}"
+
+
 def read_state(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """The current generation of a state table; an empty table where none was committed."""
-    jvm = spark.sparkContext._jvm
-    place = jvm.org.apache.hadoop.fs.Path(path, "CURRENT")
-    fs = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if not fs.exists(place):
+    """The newest committed generation of a state table; an empty table where none was committed.
+
+    A generation counts once its commit file is there, so a driver that dies at any point leaves the last one in force.
+    Rows that don't have the commit's checksum, or a layout of another version, are an error.
+    """
+    known = _commits(spark, path)
+    if not known:
         return spark.createDataFrame([], schema)
-    return spark.read.schema(schema).parquet(f"{path}/{spark.read.text(f'{path}/CURRENT').first()[0]}")
+    commit = json.loads(spark.read.text(f"{path}/commit-{known[-1]:010d}", wholetext=True).first()[0])
+    if commit["version"] != STATE_VERSION:
+        raise ValueError(f"the state has layout {commit['version']}, not {STATE_VERSION}")
+    state = spark.read.schema(schema).parquet(f"{path}/{commit['rows']}")
+    if _checksum(state) != commit["checksum"]:
+        raise ValueError("the state's rows don't have its checksum")
+    return state
 
 
-def commit_state(state: DataFrame, path: str) -> None:
-    """Replace a state table as a whole: a new generation is written, then the pointer to it is swapped by rename."""
+def commit_state(state: DataFrame, path: str, keep: int = 2) -> None:
+    """Replace a state table as a whole: rows are written first, then a commit file appears by rename, which never overwrites.
+
+    The last ``keep`` generations stay, older ones go. A commit that another one came before is an error.
+    """
     spark = state.sparkSession
-    name = f"gen-{uuid.uuid4().hex}"
-    state.write.parquet(f"{path}/{name}")
-    jvm = spark.sparkContext._jvm
-    fresh, current = jvm.org.apache.hadoop.fs.Path(path, f"CURRENT-{name}"), jvm.org.apache.hadoop.fs.Path(path, "CURRENT")
-    fs = fresh.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    rows, number = f"rows-{uuid.uuid4().hex}", (_commits(spark, path) or [0])[-1] + 1
+    state.write.parquet(f"{path}/{rows}")
+    written = spark.read.schema(state.schema).parquet(f"{path}/{rows}")
+    commit = {"version": STATE_VERSION, "rows": rows, "checksum": _checksum(written)}
+    fresh, fs = _hadoop(spark, f"{path}/{rows}.commit")
     out = fs.create(fresh)
-    out.write(bytearray(name.encode()))
+    out.write(bytearray(json.dumps(commit).encode()))
     out.close()
-    fs.delete(current, False)
-    fs.rename(fresh, current)
+    final, _ = _hadoop(spark, f"{path}/commit-{number:010d}")
+    if fs.exists(final) or not fs.rename(fresh, final):
+        raise OSError(f"generation {number} of the state is there already")
+    for old in _commits(spark, path)[:-keep]:
+        place, _ = _hadoop(spark, f"{path}/commit-{old:010d}")
+        gone = json.loads(spark.read.text(place.toString(), wholetext=True).first()[0])["rows"]
+        fs.delete(place, False)  # the commit first: one without rows must never be found
+        fs.delete(_hadoop(spark, f"{path}/{gone}")[0], True)
 
 
 def checked(objects: DataFrame) -> DataFrame:

@@ -7,13 +7,14 @@ under path-derived keys, then commits state, so a tick that dies is simply done
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftmark.functions.checks import mirror_name
+from driftmark.functions.checks import mirror_name, spec_hash
 from driftmark.functions.text import canonical_path
 from driftmark.operators import changes, redact
 from driftmark.sources import listing, tables
@@ -29,6 +30,10 @@ class Source:
     max_bytes: int = 256 << 20
     jsonl: bool = True
 
+    def spec_hash(self) -> str:
+        """Of what decides how bytes are read; if it changes, all ships anew."""
+        return spec_hash({"root": [self.root], "include": self.include, "exclude": self.exclude, "jsonl": [str(self.jsonl)]})
+
 
 @dataclass
 class Collector:
@@ -39,33 +44,80 @@ class Collector:
     name_key: bytes
     username: str = ""
     budget: int = 512
+    pause: DataFrame | None = None  # until (string); see paused
+    recompute_seconds: int = 0
+    tick_seconds: float = 900.0
+    delay: float = 900.0  # seconds to wait after the last tick
 
     def tick(self, now: str | None = None) -> dict[str, int]:
-        """One run: list, decide, redact, write objects, commit state. Returns files by decision."""
+        """One run: list, decide, redact, write objects, commit state. Returns files by decision.
+
+        Size and time decide first, and the budget is taken of what is to be looked at, oldest first: no more contents are
+        read than may ship. What turns out unchanged gives its share back and gets its new time written down. A file
+        that can't be read or redacted is parked, the others go on. Paths that a finished run no longer lists are forgotten.
+        """
         at = F.current_timestamp() if now is None else F.lit(now).cast("timestamp")
+        if self.pause is not None and paused(self.pause, at):
+            return {"paused": 1}
+        src, spark = self.source, self.spark
+        listed, _ = listing.select_files(listing.files(spark, src.root), src.include, src.exclude, max_bytes=src.max_bytes)
+        listed = listed.select(F.lit(src.source_id).alias("source_id"), F.col("rel_path").alias("native_path"), "rel_path", "size", "mtime_ns", "content")
+        before = tables.read_state(spark, self.state_path, changes.STATE)
+        specs = tables.read_state(spark, f"{self.state_path}/specs", "source_id string, spec_hash string")
+        spec = spark.createDataFrame([(src.source_id, src.spec_hash())], "source_id string, spec_hash string")
+        state = changes.drop_changed_specs(before, specs, spec)
+        with tables.scratch(spark, self.state_path) as kept:
+            seen = kept(changes.to_look_at(listed.drop("content"), state, at, self.recompute_seconds))
+            look, outcomes, counts, done = seen.where("look").drop("look", "waits"), None, Counter(), 0
+            todo, left, waits = look.count(), self.budget, seen.where("waits").count()
+            while left and done < todo:
+                rest = look if outcomes is None else look.join(outcomes.select("native_path"), "native_path", "left_anti")
+                mine = kept(rest.orderBy("source_id", "mtime_ns", "rel_path", "native_path").limit(left))
+                found = self._outcomes(mine, listed, state, at, kept)
+                outcomes = found if outcomes is None else outcomes.unionByName(found)
+                rows = {r["decision"]: r["count"] for r in found.groupBy("decision").count().collect()}
+                counts.update(rows)
+                done, left = done + sum(rows.values()), left - rows.get("shipped", 0) - rows.get("failed", 0)
+            complete = spark.createDataFrame([(src.source_id,)] if done >= todo else [], "source_id string")
+            gone = state.where(F.col("source_id") == src.source_id).join(seen.select(*changes.KEY), changes.KEY, "left_anti")
+            if outcomes is not None or (done >= todo and gone.limit(1).count()):
+                after = state if outcomes is None else changes.upsert(state, outcomes, at)
+                tables.commit_state(changes.drop_vanished(after, seen, complete), self.state_path)
+        known = {r["source_id"]: r["spec_hash"] for r in specs.collect()}
+        if known.get(src.source_id) != src.spec_hash():  # last: a run that dies before drops the old rows again
+            rest = specs.where(F.col("source_id") != src.source_id)
+            tables.commit_state(rest.unionByName(spec), f"{self.state_path}/specs")
+        if waits:
+            counts["parked"] = waits
+        self.delay = next_delay(done < todo, bool(counts["failed"]), counts["shipped"], self.tick_seconds)
+        return {k: n for k, n in counts.items() if n}
+
+    def _outcomes(self, mine: DataFrame, listed: DataFrame, state: DataFrame, at, kept: Callable[[DataFrame], DataFrame]) -> DataFrame:
+        """Read, hash and redact these files, write the objects of those that changed; one row for each with its decision."""
         src = self.source
-        candidates, _ = listing.select_files(listing.files(self.spark, src.root), src.include, src.exclude, max_bytes=src.max_bytes)
-        candidates = candidates.select(F.lit(src.source_id).alias("source_id"), F.col("rel_path").alias("native_path"), "rel_path", "size", "mtime_ns", "content")
-        state = tables.read_state(self.spark, self.state_path, changes.STATE)
-        # size and time first: contents are read, and hashed, only of files that these let through
-        maybe = changes.pending(candidates.drop("content"), state).where("pending").select("native_path")
-        hashed = candidates.join(maybe, "native_path", "left_semi").withColumn("content_hash", F.sha2("content", 256))
-        decided = changes.budgeted(changes.decide(hashed, state, at), self.budget).where("admitted").cache()
-        ship = decided.where("decision = 'shipped'")
-        payloads = ship.select("source_id", "native_path", F.lit(src.family).alias("family"), F.lit(src.jsonl).alias("jsonl"), F.make_valid_utf8(F.col("content").cast("string")).alias("content"))
+        keys = F.broadcast(mine.select("native_path"))
+        read = listed.select("native_path", "content").join(keys, "native_path", "left_semi").withColumn("content_hash", F.sha2("content", 256))
+        hashed = mine.join(read.select("native_path", "content_hash"), "native_path", "left")
+        decided = kept(changes.decide(hashed, state, at).withColumn("decision", F.when(F.col("content_hash").isNull(), "failed").otherwise(F.col("decision"))))
+        ship = read.join(F.broadcast(decided.where("decision = 'shipped'").select("native_path")), "native_path", "left_semi")
+        payloads = ship.select(F.lit(src.source_id).alias("source_id"), "native_path", F.lit(src.family).alias("family"), F.lit(src.jsonl).alias("jsonl"), F.make_valid_utf8(F.col("content").cast("string")).alias("content"))
         lines = redact.split_lines(payloads) if src.jsonl else payloads.withColumnRenamed("content", "body").withColumns({"line_no": F.lit(0), "ending": F.lit("")})
         done = redact.rebuild(redact.redact_lines(lines, self.username), ["source_id", "native_path"])
         objects = done.withColumn("key", mirror_name(self.name_key, canonical_path(F.col("native_path"), self.username)))
         manifest = F.struct("native_path", "scan_mode", "bytes_redacted", "bytes_total", "lines_parsed", "lines_raw")
-        objects = objects.select("key", "source_id", "native_path", "content", manifest.alias("manifest"), F.sha2("content", 256).alias("output_hash")).cache()
-        counts = {r["decision"]: r["count"] for r in decided.groupBy("decision").count().collect()}
-        if counts.get("shipped"):
-            tables.write_objects(objects.drop("native_path", "output_hash"), self.object_path)
-            shipped = ship.join(objects.select("native_path", "output_hash"), "native_path").withColumn("reason", F.lit(None).cast("string"))
-            tables.commit_state(changes.upsert(state, shipped, at), self.state_path)
-        decided.unpersist()
+        objects = objects.select("key", "source_id", "native_path", "content", manifest.alias("manifest"), "error", F.sha2("content", 256).alias("new_hash")).cache()
+        whole = objects.where("error IS NULL")
+        if whole.limit(1).count():
+            tables.write_objects(whole.drop("native_path", "new_hash", "error"), self.object_path)
+        made = objects.select("native_path", "new_hash", "error")
+        old = state.where(F.col("source_id") == src.source_id).select("native_path", "output_hash")
+        out = decided.join(made, "native_path", "left").join(old, "native_path", "left")
+        broken = F.col("error").isNotNull()
+        out = out.withColumn("reason", F.when(F.col("content_hash").isNull(), "it can't be read").when(broken, F.concat(F.lit("redaction failed: "), F.col("error"))))
+        out = out.withColumn("decision", F.when(broken, "failed").otherwise(F.col("decision"))).withColumn("output_hash", F.coalesce("new_hash", "output_hash"))
+        out = kept(out.select(*changes.KEY, "size", "mtime_ns", "content_hash", "output_hash", "decision", "reason", "attempts"))
         objects.unpersist()
-        return counts
+        return out
 
     def stream(self, checkpoint: str, on_tick: Callable[[dict[str, int]], None] = lambda counts: None, every: str | None = None):
         """Start ticking: with ``every`` ('15 minutes') on and on, else once. Returns the streaming query."""
