@@ -34,6 +34,8 @@ BANDS, BAND_BINS = 26, 5
 LOOSE_BANDS = (40, 4)
 #: A block holds about so many shingles, and documents, at most; components of more blocks than this are compared by bucket.
 BLOCK_SHINGLES, BLOCK_DOCS, WHOLE_BLOCKS = 1_000_000, 1_024, 26
+#: Star edges of a class in a large component that are confirmed before its blocks meet.
+STAR_EDGES = 2
 #: Words whose hashes a worker remembers; it forgets all when there are more.
 REMEMBERED = 200_000
 
@@ -301,22 +303,30 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     members = materialize(key_join(rows, buckets, "bucket", "inner"), "near-members")
     stars = members.where("rep <> center").select(F.col("rep").alias("a"), F.col("center").alias("b")).distinct()
     tagged = materialize(_tagged(members, components(stars, "near-candidates")), "near-units")
-    ids = materialize(members.select(F.col("rep").alias("doc_id")).distinct(), "near-ids")
-    full = key_join(docs, ids, "doc_id", "left_semi").mapInArrow(_full_sets(*bands), "rep long, found binary, hashed binary").where(F.octet_length("found") > 0).distinct()
     whole = tagged.where("blocks = 1").select(F.lit("c").alias("kind"), F.col("component").alias("unit"), F.lit(0).alias("i"), F.lit(0).alias("j"), "rep").distinct()
     large, links = tagged.where("blocks > 1"), None
+
+    def sets_of(reps: DataFrame) -> DataFrame:
+        ids = materialize(reps.select(F.col("rep").alias("doc_id")).distinct(), "near-ids")
+        return key_join(docs, ids, "doc_id", "left_semi").mapInArrow(_full_sets(*bands), "rep long, found binary, hashed binary").where(F.octet_length("found") > 0).distinct()
+
+    def compared(units: DataFrame, sets: DataFrame) -> DataFrame:
+        return materialize(units.join(sets, "rep").groupBy("kind", "unit", "i", "j").applyInArrow(_block_links(percent), "a long, b long"), "near-found")
+
     with bounded_batches(docs.sparkSession):
+        found = compared(whole, sets_of(whole))
         if large.limit(1).count():
-            full = materialize(full, "near-full")  # read several times
+            full = materialize(sets_of(large), "near-full")  # read several times
             a, b = (full.select(F.col("rep").alias(n), F.col("found").alias("found_" + n)) for n in "ab")
-            pairs = large.where("rep <> center").select(F.col("rep").alias("a"), F.col("center").alias("b")).distinct()
+            # the smallest centers are those that most classes share; the star edges beyond them are left to the blocks
+            centers = F.slice(F.array_sort(F.collect_set("center")), 1, STAR_EDGES)
+            pairs = large.where("rep <> center").groupBy(F.col("rep").alias("a")).agg(centers.alias("b")).select("a", F.explode("b").alias("b"))
             links = materialize(pairs.join(a, "a").join(b, "b").select("a", "b", "found_a", "found_b").mapInArrow(_confirmed_pairs(percent), "a long, b long"), "near-stars")
             joined = components(links, "near-joined").select(F.col("node").alias("rep"), F.col("component").alias("root"))
             by_bucket = F.col("blocks") > WHOLE_BLOCKS
             units = large.select(F.when(by_bucket, "b").otherwise("c").alias("kind"), F.when(by_bucket, F.col("bucket")).otherwise(F.col("component")).alias("unit"), "rep", "n_shingles").distinct()
             units = materialize(units.join(joined, "rep", "left").withColumn("root", F.coalesce("root", "rep")), "near-large-units")
-            whole = materialize(whole.unionByName(_block_pairs(units)), "near-blocks")
-        found = materialize(whole.join(full, "rep").groupBy("kind", "unit", "i", "j").applyInArrow(_block_links(percent), "a long, b long"), "near-found")
+            found = found.unionByName(compared(materialize(_block_pairs(units), "near-blocks"), full))
     links = found if links is None else found.unionByName(links)
     linked = components(links, "near-links")
     # classes of one document without links need no look-up
