@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -102,6 +104,56 @@ def remote_host_path(url: Column) -> Column:
     return F.struct(host.alias("host"), F.regexp_replace(F.regexp_replace(path, r"^/+|/+$", ""), r"\.git$", "").alias("path"))
 
 
+def remote_urls(config: Column) -> Column:
+    """Values of all ``url`` lines of a git configuration, in order; an ``=`` in a value stays."""
+    lines = F.filter(F.split(config, "\n"), lambda x: x.rlike(r"^\s*url\s*="))
+    return F.transform(lines, lambda x: F.regexp_extract(x, r"^\s*url\s*=\s*(.*?)\s*$", 1))
+
+
+def conversation_id(path: Column) -> Column:
+    """A transcript's name without directory and suffix; empty if it is no transcript."""
+    return F.regexp_extract(path, r"([^/]+)\.jsonl$", 1)
+
+
+def without_splices(text: Column, splices: list[str]) -> Column:
+    """Text without the given literals, as they are and as they stand inside a JSON string."""
+    for s in splices:
+        for form in dict.fromkeys((s, json.dumps(s, ensure_ascii=False)[1:-1])):
+            text = F.replace(text, F.lit(form), F.lit(""))
+    return text
+
+
+def expand_root(root: Column, home: str, env: dict[str, str]) -> Column:
+    """Struct of ``path`` and ``unset``: a root with ``$VAR``, ``${VAR}`` and a leading ``~`` replaced, once, and cleaned.
+
+    A variable that is unset or empty leaves the path null and is named in ``unset`` (the last one, as it counts).
+    Null, empty and what isn't absolute have a null path.
+    """
+    name = lambda x: F.regexp_extract(x, r"^\$\{?(\w+)\}?$", 1)
+    known = F.from_json(F.lit(json.dumps({k: v for k, v in env.items() if v})), "map<string,string>")
+    parts = F.regexp_extract_all(root, F.lit(r"(\$\{\w+\}|\$[A-Za-z_]\w*|\$[0-9]|[^$]+|\$)"), 1)
+    unset = F.filter(F.transform(parts, name), lambda n: (n != "") & F.try_element_at(known, n).isNull())
+    joined = F.array_join(F.transform(parts, lambda x: F.when(name(x) == "", x).otherwise(F.try_element_at(known, name(x)))), "")
+    full = F.when(F.startswith(joined, F.lit("~")), F.concat(F.lit(home), F.substr(joined, F.lit(2)))).otherwise(joined)
+    path = F.when((F.size(unset) == 0) & F.startswith(full, F.lit("/")), F.concat(F.lit("/"), F.array_join(rooted(full), "/")))
+    return F.struct(path.alias("path"), F.try_element_at(unset, F.lit(-1)).alias("unset"))
+
+
+def rooted(path: Column) -> Column:
+    """Segments of an absolute path after cleaning; '..' at the root goes."""
+    return F.filter(clean_path(path), lambda p: p != "..")
+
+
+def in_tree(directory: Column, patterns: list[str]) -> Column:
+    """Is a directory the root of a ``<root>/**`` pattern or below it? Other patterns name no tree."""
+    found = F.lit(False)
+    for p in patterns:
+        if p.endswith("/**"):
+            root = p[:-3]
+            found = found | (directory == root) | F.startswith(directory, F.lit(root + "/"))
+    return found
+
+
 def part_name(source_id: Column, family: Column) -> Column:
     """A source's name inside its family."""
     prefix = F.concat(family, F.lit("-"))

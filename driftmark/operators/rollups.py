@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from driftmark.functions.checks import upper_median
+from driftmark.functions.times import duration_text, size_text
 
 DECISIONS = ("shipped", "unchanged", "skipped", "parked", "failed")
 
@@ -101,3 +102,48 @@ def nearest_marker(dirs: DataFrame, markers: DataFrame, stop: Column | None = No
         up = up.where(F.length("_up") >= F.length(stop))
     found = up.join(markers.select(F.col("dir").alias("_up")).distinct(), "_up").groupBy("dir").agg(F.max_by("_up", F.length("_up")).alias("marker"))
     return dirs.join(found, "dir", "left")
+
+
+def tracked(rows: DataFrame, markers: DataFrame, stop: Column | None = None) -> DataFrame:
+    """Rows (dir) whose directory has no marked ancestor, itself included; rows without a directory stay. markers: dir."""
+    marked = nearest_marker(rows.select("dir").distinct(), markers, stop).where(F.col("marker").isNotNull()).select("dir")
+    return rows.join(marked, "dir", "left_anti")
+
+
+def heartbeat(health: DataFrame, install: str) -> DataFrame:
+    """One row for an installation: ``body``, JSON of its sources by name (their number is bounded), and ``source_hash``, the body's SHA-256."""
+    sources = F.array_sort(F.collect_list(F.struct("source_id", *[c for c in health.columns if c != "source_id"])))
+    body = health.agg(F.to_json(F.struct(F.lit(install).alias("install"), sources.alias("sources"))).alias("body"))
+    return body.withColumn("source_hash", F.sha2("body", 256))
+
+
+def heartbeat_sources(beats: DataFrame) -> DataFrame:
+    """Sources of heartbeats (body), one row each; a body that is no such JSON gives none."""
+    counts = ", ".join(f"{d} bigint" for d in DECISIONS)
+    read = F.from_json("body", f"install string, sources array<struct<source_id string, {counts}, density double>>")
+    return beats.select(read.alias("_b")).select("_b.install", F.explode("_b.sources").alias("_s")).select("install", "_s.*")
+
+
+def issues(rows: DataFrame, key: list[str]) -> DataFrame:
+    """By key: ``fails``, and ``issues``, the texts of failed rows and of warnings that aren't rollups, in order.
+
+    rows: place, severity (ok, warn, fail), brief (null or empty: the label counts), label, is_rollup.
+    """
+    told = (F.col("severity") == "fail") | ((F.col("severity") == "warn") & ~F.col("is_rollup"))
+    what = F.coalesce(F.nullif("brief", F.lit("")), F.btrim("label"))
+    listed = F.array_sort(F.collect_list(F.when(told, F.struct("place", what.alias("what")))))
+    return rows.groupBy(*key).agg(F.count_if(F.col("severity") == "fail").alias("fails"), F.transform(listed, lambda x: x["what"]).alias("issues"))
+
+
+def merged_exemptions(base: Column, more: Column) -> Column:
+    """Union of two maps of name lists: names of the base in their order, then new ones."""
+    none = F.array().cast("array<string>")
+    return F.map_zip_with(base, more, lambda k, a, b: F.array_union(F.coalesce(a, none), F.coalesce(b, none)))
+
+
+def throughput_line(sealed: Column, read: Column, ms: Column, median: Column) -> Column:
+    """What a run sent, of what it read, in how long; empty if it read nothing or hasn't ended."""
+    rate = F.when(ms > 0, F.concat(size_text(F.floor(read / (ms / 1000.0))), F.lit("/s")))
+    notes = F.concat_ws(", ", rate, F.when(median > 0, F.concat(F.lit("median file "), size_text(median))))
+    line = F.concat(F.lit("  sent  "), size_text(sealed), F.lit(" sealed of "), size_text(read), F.lit(" read in "), duration_text(ms))
+    return F.when(ms.isNull() | (read == 0), "").when(notes == "", line).otherwise(F.concat(line, F.lit("  ("), notes, F.lit(")")))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from driftmark.functions import checks, text
+from driftmark.functions import checks, text, times
 from driftmark.operators import alignment, changes, redact, rollups, status
 from driftmark.plans import rules as R
 
@@ -723,3 +723,159 @@ def json_fields_dropped(t: Tables) -> DataFrame:
     k = F.col("event_id").cast("string")
     body = F.when(F.col("event_id") % 2 == 0, F.concat(F.lit('{"a": {"secret": 1, "c": ['), k, F.lit(', {"secret": {"x": 2}}]}, "b": 1}'))).otherwise(F.concat(F.lit('{"plain": '), k, F.lit("}")))
     return status.drop_fields(t("events").select("event_id", body.alias("body")), "body", ["secret"])
+
+
+# --- texts of times and sizes, roots, reports ------------------------------------------------------
+
+
+def _size_sql(n: str) -> str:
+    return f"CASE WHEN {n} >= 1048576 THEN printf('%.1f MB', round_even({n} / 1048576.0, 1)) WHEN {n} >= 1024 THEN printf('%.1f KB', round_even({n} / 1024.0, 1)) ELSE {n} || ' B' END"
+
+
+def _duration_sql(ms: str) -> str:
+    return f"""CASE WHEN {ms} < 1000 THEN {ms} || 'ms' WHEN {ms} < 60000 THEN printf('%.1fs', round_even({ms} / 1000.0, 1))
+  WHEN {ms} < 3600000 THEN printf('%dm%02ds', {ms} // 60000, {ms} // 1000 % 60) ELSE printf('%dh%02dm', {ms} // 3600000, {ms} // 60000 % 60) END"""
+
+
+def _counted_sql(n: str, noun: str) -> str:
+    return f"CASE WHEN {n} = 1 THEN '1 {noun}' ELSE format('{{:,}}', {n}) || ' {noun}s' END"
+
+
+@query(f"""WITH e AS (SELECT event_id, event_id * 102947 % 20000000 AS ms, event_id * event_id % 20000000 AS age, event_id * 97711 % 9000000 AS n FROM events)
+SELECT event_id, {_duration_sql("ms")} AS took, {_size_sql("n")} AS size, {_counted_sql("n", "row")} AS counted,
+  CASE WHEN age < 60 THEN 'just now' WHEN age < 3600 THEN age // 60 || ' min ago' WHEN age < 86400 THEN {_counted_sql("age // 3600", "hour")} || ' ago'
+    WHEN age < 5184000 THEN {_counted_sql("age // 86400", "day")} || ' ago' ELSE {_counted_sql("age // 86400 // 30", "month")} || ' ago' END AS age FROM e""")
+def elapsed_texts(t: Tables) -> DataFrame:
+    """Durations, sizes, counts and ages as texts."""
+    k = F.col("event_id")
+    n = k * 97711 % 9000000
+    return t("events").select("event_id", times.duration_text(k * 102947 % 20000000).alias("took"), times.size_text(n).alias("size"), times.counted(n, "row").alias("counted"), times.ago_text(k * k % 20000000).alias("age"))
+
+
+_SCHEDULES = ("m", "s", "h30m", ".5h", "", " every hour", "ms", "m15s", "h0.25s", "us")
+
+
+@query(f"""WITH s AS (SELECT o_orderkey, (o_orderkey % 77) || [{", ".join(map(_q, _SCHEDULES))}][o_orderkey % {len(_SCHEDULES)} + 1] AS body FROM orders),
+w AS (SELECT o_orderkey, CASE WHEN o_orderkey % 13 = 0 THEN '' WHEN o_orderkey % 11 = 0 THEN '-' || body ELSE ' ' || body END AS schedule FROM s),
+d AS (SELECT *, trim(schedule) AS s, CASE WHEN regexp_full_match(trim(schedule), '[+-]?(([0-9]+[.]?[0-9]*|[.][0-9]+)(ns|us|ms|s|m|h))+') THEN (CASE WHEN schedule LIKE '-%' THEN -1 ELSE 1 END) *
+  list_sum(list_transform(list_zip(regexp_extract_all(schedule, '([0-9.]+)[a-z]+', 1), regexp_extract_all(schedule, '[0-9.]+([a-z]+)', 1)), lambda x: CAST(x[1] AS DOUBLE) * CASE x[2] WHEN 'h' THEN 3600 WHEN 'm' THEN 60 WHEN 's' THEN 1 WHEN 'ms' THEN 1e-3 ELSE 1e-6 END)) END AS d FROM w)
+SELECT o_orderkey, CASE WHEN s = '' OR d IS NULL OR d <= 0 THEN 900.0 ELSE greatest(d, 60.0) END::DOUBLE AS seconds, s <> '' AND (d IS NULL OR d < 60) AS warned FROM d""")
+def tick_interval(t: Tables) -> DataFrame:
+    """Ticks of written schedules: durations, too short ones, others' words, none."""
+    k = F.col("o_orderkey")
+    body = F.concat((k % 77).cast("string"), F.get(F.array(*[F.lit(x) for x in _SCHEDULES]), (k % len(_SCHEDULES)).cast("int")))
+    schedule = F.when(k % 13 == 0, "").when(k % 11 == 0, F.concat(F.lit("-"), body)).otherwise(F.concat(F.lit(" "), body))
+    return t("orders").select("o_orderkey", times.tick_seconds(schedule).alias("tick")).select("o_orderkey", "tick.*")
+
+
+_CHOICES = (*times.PAUSE_SECONDS, "tomorrow", "soon")
+
+
+@query(f"""WITH e AS (SELECT event_id, ts, [{", ".join(map(_q, _CHOICES))}][event_id % {len(_CHOICES)} + 1] AS choice FROM events),
+u AS (SELECT event_id, ts, CASE choice {" ".join(f"WHEN '{c}' THEN ts + INTERVAL {n} SECOND" for c, n in times.PAUSE_SECONDS.items())} WHEN 'tomorrow' THEN date_trunc('day', ts) + INTERVAL 33 HOUR END AS until FROM e),
+l AS (SELECT *, until + INTERVAL (event_id % 3) DAY AS shown FROM u)
+SELECT event_id, strftime(until, '%Y-%m-%d %H:%M:%S') AS until, CASE WHEN shown IS NULL THEN 'resumed' WHEN shown::DATE = ts::DATE THEN strftime(shown, '%H:%M') || ' today'
+  WHEN shown::DATE = ts::DATE + 1 THEN strftime(shown, '%H:%M') || ' tomorrow' ELSE strftime(shown, '%a %-d %b %H:%M') END AS shown FROM l""")
+def pause_until(t: Tables) -> DataFrame:
+    """Ends of pauses from each event's instant, and how ends up to two days later read."""
+    now = F.col("ts").cast("timestamp")
+    choice = F.get(F.array(*[F.lit(c) for c in _CHOICES]), (F.col("event_id") % len(_CHOICES)).cast("int"))
+    e = t("events").select("event_id", now.alias("now"), times.pause_end(choice, now).alias("until"))
+    later = F.col("until") + F.make_dt_interval(days=(F.col("event_id") % 3).cast("int"))
+    return e.select("event_id", F.date_format("until", "yyyy-MM-dd HH:mm:ss").alias("until"), times.until_text(later, F.col("now")).alias("shown"))
+
+
+@query(r"""WITH c AS (SELECT c_custkey, '[remote "a"]' || chr(10) || chr(9) || 'url = https://git.test/' || c_name || '?b=c ' || chr(10) || ' fetch = +refs' || chr(10) || 'pushurl = no' || chr(10) || CASE WHEN c_custkey % 2 = 0 THEN 'url=git@h:' || c_custkey ELSE '#' END AS config FROM customer)
+SELECT c_custkey, array_to_string(list_transform(list_filter(string_split(config, chr(10)), lambda x: trim(split_part(x, '=', 1), ' ' || chr(9)) = 'url' AND contains(x, '=')), lambda x: trim(substr(x, strpos(x, '=') + 1), ' ' || chr(9))), '|') AS urls FROM c""")
+def config_remotes(t: Tables) -> DataFrame:
+    """Remote addresses in texts of git configurations."""
+    second = F.when(F.col("c_custkey") % 2 == 0, F.concat(F.lit("url=git@h:"), F.col("c_custkey").cast("string"))).otherwise("#")
+    config = F.concat(F.lit('[remote "a"]\n\turl = https://git.test/'), F.col("c_name"), F.lit("?b=c \n fetch = +refs\npushurl = no\n"), second)
+    return t("customer").select("c_custkey", F.array_join(text.remote_urls(config), "|").alias("urls"))
+
+
+@query("""SELECT c_custkey, CASE c_custkey % 7 WHEN 0 THEN '/home/u/.' || c_name WHEN 1 THEN '/data/y' WHEN 2 THEN '/home/u/conf/' || c_name WHEN 5 THEN '/a/b/' || c_name END AS path,
+  CASE c_custkey % 7 WHEN 3 THEN 'NONE' WHEN 6 THEN 'EMPTY' END AS unset FROM customer""")
+def expanded_roots(t: Tables) -> DataFrame:
+    """Roots with home, variables that are set, unset and empty, relative ones, and ones to clean."""
+    forms = [("~/.", ""), ("$DATA/", "/../y"), ("${CONF}/", ""), ("$DATA/$NONE/", ""), ("some/", ""), ("/../a//b/./", ""), ("$NONE/${EMPTY}", "")]
+    root = F.get(F.array(*[F.concat(F.lit(a), F.col("c_name"), F.lit(b)) for a, b in forms]), (F.col("c_custkey") % len(forms)).cast("int"))
+    return t("customer").select("c_custkey", text.expand_root(root, "/home/u", {"DATA": "/data", "CONF": "~/conf", "EMPTY": ""}).alias("r")).select("c_custkey", "r.*")
+
+
+@query("SELECT doc_id, sha256(text || CASE WHEN doc_id % 3 = 2 THEN ' Made with care' ELSE '' END) AS stripped FROM documents")
+def spliced_texts(t: Tables) -> DataFrame:
+    """Texts with an editor's splices, plain or as in JSON, without them again."""
+    forms = [R.SPLICES[0], R.SPLICES[1].replace("\n", "\\n"), R.SPLICES[0].replace('"', '\\"') + " Made with care" + R.SPLICES[1]]
+    spliced = F.concat("text", F.get(F.array(*[F.lit(x) for x in forms]), (F.col("doc_id") % len(forms)).cast("int")))
+    return t("documents").select("doc_id", F.sha2(text.without_splices(spliced, R.SPLICES).cast("binary"), 256).alias("stripped"))
+
+
+_TREES = ["/srv/src1/**", "/srv/src2/en/**", "/srv/src3/*", "/srv/src/**"]
+
+
+@query("""WITH d AS (SELECT doc_id, '/srv/' || source || CASE WHEN doc_id % 2 = 0 THEN '' ELSE '/' || lang END AS dir FROM documents)
+SELECT doc_id, dir = '/srv/src1' OR dir LIKE '/srv/src1/%' OR dir = '/srv/src2/en' OR dir LIKE '/srv/src2/en/%' AS denied, CAST(doc_id AS VARCHAR) AS conversation FROM d""")
+def denied_trees(t: Tables) -> DataFrame:
+    """Directories at or below the roots of denied trees, and the conversation that a transcript's name gives."""
+    d = F.concat(F.lit("/srv/"), F.col("source"), F.when(F.col("doc_id") % 2 == 0, "").otherwise(F.concat(F.lit("/"), F.col("lang"))))
+    return t("documents").select("doc_id", text.in_tree(d, _TREES).alias("denied"), text.conversation_id(F.concat(d, F.lit("/"), F.col("doc_id").cast("string"), F.lit(".jsonl"))).alias("conversation"))
+
+
+@query("""WITH d AS (SELECT doc_id, '/srv/' || source || '/' || lang AS dir FROM documents), m AS (SELECT '/srv/' || source || '/' || lang AS dir FROM documents GROUP BY ALL HAVING count(*) % 3 = 0 UNION SELECT '/srv/src1')
+SELECT doc_id, dir FROM d WHERE NOT EXISTS (SELECT 1 FROM m WHERE d.dir = m.dir OR starts_with(d.dir, m.dir || '/'))""")
+def tracked_dirs(t: Tables) -> DataFrame:
+    """Rows whose directory lies below no marker."""
+    d = t("documents").select("doc_id", F.concat_ws("/", F.lit("/srv"), "source", "lang").alias("dir"))
+    some = d.groupBy("dir").agg(F.count(F.lit(1)).alias("n")).where("n % 3 = 0").select("dir")
+    return rollups.tracked(d, some.union(d.sparkSession.range(1).select(F.lit("/srv/src1").alias("dir"))))
+
+
+@query(ORACLE_SQL["health_rollup"].replace("SELECT source_id, count", "SELECT 'i1' AS install, source_id, count"))
+def heartbeat_sources(t: Tables) -> DataFrame:
+    """An installation's heartbeat, written and read back."""
+    return rollups.heartbeat_sources(rollups.heartbeat(rollups.health(_outcomes(t)).withColumn("density", F.round("density", 9)), "i1"))
+
+
+@query("""WITH r AS (SELECT user_id, event_id, CASE event_type WHEN 'error' THEN 'fail' WHEN 'purchase' THEN 'warn' ELSE 'ok' END AS severity, event_id % 5 = 0 AS is_rollup,
+  CASE WHEN event_id % 2 = 0 THEN 'b' || event_id ELSE 'l' || event_id END AS what FROM events)
+SELECT user_id, count(*) FILTER (severity = 'fail') AS fails, coalesce(string_agg(what, ',' ORDER BY event_id) FILTER (severity = 'fail' OR (severity = 'warn' AND NOT is_rollup)), '') AS issues FROM r GROUP BY user_id""")
+def report_issues(t: Tables) -> DataFrame:
+    """Failed checks and warnings of each user's report, in order."""
+    k = F.col("event_id").cast("string")
+    severity = F.when(F.col("event_type") == "error", "fail").when(F.col("event_type") == "purchase", "warn").otherwise("ok")
+    brief = F.when(F.col("event_id") % 2 == 0, F.concat(F.lit("b"), k)).otherwise("")
+    rows = t("events").select("user_id", F.col("event_id").alias("place"), severity.alias("severity"), brief.alias("brief"), F.concat(F.lit("  l"), k, F.lit(" ")).alias("label"), (F.col("event_id") % 5 == 0).alias("is_rollup"))
+    return rollups.issues(rows, ["user_id"]).withColumn("issues", F.array_join("issues", ","))
+
+
+@query("""WITH s AS (SELECT user_id, event_type AS family, list_sort(coalesce(list(DISTINCT 'f' || event_id % 17) FILTER (value < 20), [])) AS a, list_sort(coalesce(list(DISTINCT 'f' || event_id % 17) FILTER (value >= 20), [])) AS b FROM events GROUP BY ALL)
+SELECT user_id, family, array_to_string(list_concat(a, list_filter(b, lambda x: NOT list_contains(a, x))), ',') AS names FROM s WHERE len(a) + len(b) > 0""")
+def exemption_union(t: Tables) -> DataFrame:
+    """Two maps of names by family for each user, united: the base's names first."""
+    name = F.concat(F.lit("f"), (F.col("event_id") % 17).cast("string"))
+    part = lambda c: F.array_sort(F.collect_set(F.when(c, name)))
+    sets = t("events").groupBy("user_id", "event_type").agg(part(F.col("value") < 20).alias("a"), part(F.col("value") >= 20).alias("b"))
+    entry = lambda c: F.map_from_entries(F.collect_list(F.when(F.size(c) > 0, F.struct("event_type", c))))
+    maps = sets.groupBy("user_id").agg(entry("a").alias("base"), entry("b").alias("more"))
+    return maps.select("user_id", F.explode(rollups.merged_exemptions(F.col("base"), F.col("more"))).alias("family", "names")).withColumn("names", F.array_join("names", ","))
+
+
+@query(f"""WITH r AS (SELECT user_id, sum(floor(value * 8000)::BIGINT)::BIGINT AS sealed, sum(floor(value * 10000)::BIGINT)::BIGINT AS read, (user_id % 50) * 700 AS ms, count(*) % 4 * 900 AS median FROM events WHERE value IS NOT NULL GROUP BY user_id),
+n AS (SELECT *, CASE WHEN ms > 0 THEN floor(read / (ms / 1000.0))::BIGINT END AS rate FROM r)
+SELECT user_id, CASE WHEN read = 0 THEN '' ELSE '  sent  ' || {_size_sql("sealed")} || ' sealed of ' || {_size_sql("read")} || ' read in ' || {_duration_sql("ms")} ||
+  coalesce('  (' || nullif(concat_ws(', ', CASE WHEN ms > 0 THEN {_size_sql("rate")} || '/s' END, CASE WHEN median > 0 THEN 'median file ' || {_size_sql("median")} END), '') || ')', '') END AS line FROM n""")
+def throughput(t: Tables) -> DataFrame:
+    """A line on what each user's run sent."""
+    size = lambda n: F.sum(F.floor(F.col("value") * n))
+    runs = t("events").where("value IS NOT NULL").groupBy("user_id").agg(size(8000).alias("sealed"), size(10000).alias("read"), (F.count(F.lit(1)) % 4 * 900).alias("median"))
+    return runs.select("user_id", rollups.throughput_line(F.col("sealed"), F.col("read"), F.col("user_id") % 50 * 700, F.col("median")).alias("line"))
+
+
+@query("""SELECT conv_id, turn, CASE WHEN turn % 4 = 0 THEN 'why ' || turn WHEN turn % 3 = 0 THEN text ELSE '' END AS reasoning FROM conversations""")
+def reasoning_texts(t: Tables) -> DataFrame:
+    """Reasoning of stored events, in either place."""
+    n = F.col("turn")
+    thinking = F.when(n % 4 == 0, F.concat(F.lit("why "), n.cast("string"))).when(n % 4 == 1, "")
+    event = F.to_json(F.struct("text", (n % 3 == 0).alias("isThought"), F.struct(thinking.alias("text")).alias("thinking")))
+    return t("conversations").select("conv_id", "turn", alignment.reasoning_text(event).alias("reasoning"))

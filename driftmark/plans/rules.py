@@ -188,3 +188,9 @@ def assignment_pattern(names: tuple[str, ...] = SECRET_NAMES) -> str:
     """NAME=value, NAME: value, NAME = "value" for the names; group 1 is the value."""
     spelled = "|".join("[A-Za-z0-9_]*" + n[1:] if n.startswith("*") else n for n in names)
     return rf"""(?i)\b(?:{spelled})\b\s*[:=]\s*"?([^\s"',;)]+)"?"""
+
+#: What an editor splices into commands and messages.
+SPLICES = [
+    ' --trailer "Co-authored-by: Cursor <cursoragent@cursor.com>"',
+    "\n\nMade with [Cursor](https://cursor.com)",
+]

@@ -133,6 +133,27 @@ def commit_state(state: DataFrame, path: str, keep: int = 2) -> None:
         fs.delete(_hadoop(spark, f"{path}/{gone}")[0], True)
 
 
+def reset_state(spark: SparkSession, path: str, schema: str, dry_run: bool = False) -> int:
+    """Forget all rows of a state table; returns their number. A dry run only counts them."""
+    rows = read_state(spark, path, schema).count()
+    if rows and not dry_run:
+        commit_state(spark.createDataFrame([], schema), path)
+    return rows
+
+
+JOURNAL = "at timestamp, run_id string, ev string, phase string, pid long"
+
+
+def append_journal(entries: DataFrame, path: str) -> None:
+    """Append run markers (at, run_id, ev: start, phase, reported, exit; phase, pid) as JSON lines."""
+    entries.select(F.to_json(F.struct("at", "run_id", "ev", "phase", "pid")).alias("value")).write.mode("append").text(path)
+
+
+def read_journal(spark: SparkSession, path: str) -> DataFrame:
+    """Entries of a journal; torn lines and those without a run or a marker are left out."""
+    return spark.read.schema(JOURNAL).option("mode", "DROPMALFORMED").json(path).where("run_id IS NOT NULL AND ev IS NOT NULL")
+
+
 def checked(objects: DataFrame) -> DataFrame:
     """Objects with ``intact``: does the payload still have its hash?"""
     return objects.withColumn("intact", F.sha2(F.col("content").cast("binary"), 256) == F.col("shipped_hash"))
