@@ -43,7 +43,7 @@ def decide(candidates: DataFrame, state: DataFrame, now: Column) -> DataFrame:
     same = ~F.coalesce(F.col("_parked"), F.lit(False)) & (~touched | F.col("content_hash").eqNullSafe(F.col("_source_hash")))
     decision = F.when(waits, "parked").when(F.col("_source_hash").isNotNull() & same, "unchanged").otherwise("shipped")
     out = df.withColumn("decision", decision).withColumn("shrank", F.coalesce(F.col("size") < F.col("_source_size"), F.lit(False)))
-    return out.withColumn("attempts", F.coalesce("_attempts", F.lit(0))).drop(*[c for c in out.columns if c.startswith("_")])
+    return out.withColumn("attempts", F.coalesce("_attempts", F.lit(0))).drop(*[c for c in old.columns if c not in KEY])
 
 
 def budgeted(decided: DataFrame, limit: int) -> DataFrame:
@@ -67,11 +67,11 @@ def to_look_at(candidates: DataFrame, state: DataFrame, now: Column, recompute_s
     waits = F.coalesce(F.col("_parked") & (F.col("_backoff_until") > now), F.lit(False))
     same = F.col("size").eqNullSafe(F.col("_source_size")) & F.col("mtime_ns").eqNullSafe(F.col("_source_mtime_ns")) & F.col("_source_hash").isNotNull()
     late = F.unix_micros(now) / 1e6 - F.col("mtime_ns") / 1e9 < float(recompute_seconds)
-    return df.withColumn("waits", waits).withColumn("look", ~waits & (~same | late)).drop(*[c for c in df.columns if c.startswith("_")])
+    return df.withColumn("waits", waits).withColumn("look", ~waits & (~same | late)).drop(*[c for c in old.columns if c not in KEY])
 
 
-def upsert(state: DataFrame, outcomes: DataFrame, now: Column) -> DataFrame:
-    """State after a run. outcomes: KEY, size, mtime_ns, content_hash, output_hash, decision, reason, attempts.
+def new_rows(outcomes: DataFrame, now: Column) -> DataFrame:
+    """The state's rows that a run changes. outcomes: KEY, size, mtime_ns, content_hash, output_hash, decision, reason, attempts.
 
     What shipped has its hashes; what failed is parked until its time; a file that was read and is unchanged keeps its
     hashes under its new size and time, and whatever parked it is over. Other decisions leave their rows as they are.
@@ -80,10 +80,15 @@ def upsert(state: DataFrame, outcomes: DataFrame, now: Column) -> DataFrame:
     tries = F.when(failed, F.col("attempts") + 1).otherwise(0).cast("int")
     spread = F.pmod(F.xxhash64(*KEY), F.lit(9))
     until = F.when(failed, F.timestamp_seconds(F.unix_micros(now) / 1e6 + backoff_seconds(tries, spread)))
-    new = outcomes.where(F.col("decision").isin("shipped", "failed", "unchanged")).select(
+    return outcomes.where(F.col("decision").isin("shipped", "failed", "unchanged")).select(
         *KEY, F.col("size").alias("source_size"), F.col("mtime_ns").alias("source_mtime_ns"), F.when(~failed, F.col("content_hash")).alias("source_hash"), F.when(~failed, F.col("output_hash")).alias("output_hash"),
         failed.alias("parked"), tries.alias("attempts"), until.alias("backoff_until"), F.when(failed, F.col("reason")).alias("last_error"),
     )
+
+
+def upsert(state: DataFrame, outcomes: DataFrame, now: Column) -> DataFrame:
+    """State after a run; see new_rows."""
+    new = new_rows(outcomes, now)
     return state.join(new.select(KEY), KEY, "left_anti").unionByName(new)
 
 

@@ -111,6 +111,8 @@ _GAP = r"(?:\s|\\[a-z])"
 _ENCODED = re.compile(rf'"{_GAP}*([A-Za-z0-9+/=_-]{{{R.ENTROPY_LENGTH},}}){_GAP}*"')
 #: Hex digits, with the letter of an escape before them at most (the digits of one are hex, too).
 _HEX = re.compile("[A-Za-z]?[0-9a-fA-F]+")
+#: What redaction leaves in a text.
+_SENTINEL = rf"__REDACTED:[a-z0-9-]+__|{re.escape(R.USER_PLACEHOLDER)}"
 #: Deeper lines are looked at one by one.
 _DEEP = 256
 
@@ -139,7 +141,8 @@ class Ladder:
         self.exempt = {(family, path) for family, paths in R.EXEMPT.items() for path in paths}
         skip = [R.USER_PLACEHOLDER, "__REDACTED"] + [self.username] * bool(self.username)
         self.skip = re.compile("|".join(rf"(?<![A-Za-z0-9]){re.escape(s)}(?![A-Za-z0-9])" for s in skip))
-        self.user = re.compile(rf"(?<![A-Za-z0-9]){re.escape(self.username)}(?![A-Za-z0-9])") if self.username else None
+        # a sentinel that is in the text already is matched first, and stays
+        self.user = re.compile(rf"({_SENTINEL})|(?<![A-Za-z0-9]){re.escape(self.username)}(?![A-Za-z0-9])") if self.username else None
 
     def patterns(self, value: str) -> list[tuple[int, int, str]]:
         """Spans (start, end, rule) of all pattern rules; what a check refuses is passed over whole."""
@@ -231,18 +234,25 @@ class Ladder:
         unsure = self.entropy(value) if doubtful else []
         if not spans and not unsure and (inner := self.encoded(value)):
             return R.sentinel(inner), Counter({inner: 1}), len(value.encode())
-        out, at, gone, hits = [], 0, 0, Counter()
+        out, at, gone, hits, users = [], 0, 0, Counter(), 0
+
+        def named(text: str) -> str:
+            """What no rule took, with the username replaced; sentinels put in beside it are never looked at."""
+            nonlocal users
+            if not self.user or self.username not in text:
+                return text
+            users += sum(m[1] is None for m in self.user.finditer(text))
+            return self.user.sub(lambda m: m[1] or R.USER_PLACEHOLDER, text)
+
         for a, b, r in self.resolve(spans, unsure):
-            out += [value[at:a], R.sentinel(r)]
+            out += [named(value[at:a]), R.sentinel(r)]
             gone += len(value[a:b].encode())
             hits[r] += 1
             at = b
-        done = "".join([*out, value[at:]])
-        if self.user and self.username in done:
-            done, n = self.user.subn(R.USER_PLACEHOLDER, done)
-            if n:
-                hits["path-user"] += 1
-                gone += n * len(self.username.encode())
+        done = "".join([*out, named(value[at:])])
+        if users:
+            hits["path-user"] += 1
+            gone += users * len(self.username.encode())
         return done, hits, gone
 
     def line(self, body: str, family: str) -> tuple[str, Counter, int, bool]:
@@ -369,14 +379,14 @@ def redact_lines(lines: DataFrame, username: str = "", body: str = "body", famil
 
 
 def rebuild(redacted: DataFrame, keys: list[str]) -> DataFrame:
-    """Payloads from their redacted lines: content, bytes, density, scan_mode, lines_parsed, lines_raw, error (of any line, else null).
+    """Payloads from their redacted lines: content, bytes, density, scan_mode, lines, lines_parsed, lines_raw, error (of any line, else null).
 
     A payload is one row again, so its size must be bounded before (the collector's limit is 256 MiB); where objects
     may be rows of lines, write the lines themselves.
     """
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", F.concat("redacted", "ending").alias("t")))), lambda x: x["t"]), "")
     parsed, raw = F.count_if("parsed"), F.count_if(~F.col("parsed"))
-    out = redacted.groupBy(*keys).agg(text.alias("content"), F.sum("bytes_redacted").alias("bytes_redacted"), F.sum(F.col("bytes_total") + F.length("ending")).alias("bytes_total"), parsed.alias("lines_parsed"), raw.alias("lines_raw"), F.max("error").alias("error"))
+    out = redacted.groupBy(*keys).agg(text.alias("content"), F.sum("bytes_redacted").alias("bytes_redacted"), F.sum(F.col("bytes_total") + F.length("ending")).alias("bytes_total"), parsed.alias("lines_parsed"), raw.alias("lines_raw"), F.max("error").alias("error"), F.count(F.lit(1)).alias("lines"))
     mode = F.when(F.col("lines_raw") == 0, "decoded_json_values").when(F.col("lines_parsed") == 0, "raw_text").otherwise("mixed")
     return out.withColumn("scan_mode", mode).withColumn("density", F.coalesce(F.try_divide(F.col("bytes_redacted").cast("double"), F.col("bytes_total")), F.lit(0.0)))
 

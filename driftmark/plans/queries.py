@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from driftmark.functions import checks, text, times
 from driftmark.operators import alignment, changes, redact, rollups, status
 from driftmark.plans import rules as R
+from driftmark.sources import keyvalue
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -878,4 +879,4 @@ def reasoning_texts(t: Tables) -> DataFrame:
     n = F.col("turn")
     thinking = F.when(n % 4 == 0, F.concat(F.lit("why "), n.cast("string"))).when(n % 4 == 1, "")
     event = F.to_json(F.struct("text", (n % 3 == 0).alias("isThought"), F.struct(thinking.alias("text")).alias("thinking")))
-    return t("conversations").select("conv_id", "turn", alignment.reasoning_text(event).alias("reasoning"))
+    return t("conversations").select("conv_id", "turn", keyvalue.reasoning_text(event).alias("reasoning"))

@@ -194,3 +194,8 @@ SPLICES = [
     ' --trailer "Co-authored-by: Cursor <cursoragent@cursor.com>"',
     "\n\nMade with [Cursor](https://cursor.com)",
 ]
+#: Stored argument keys without a counterpart in a transcript, and given keys whose values recur across calls.
+NOISE_KEYS = frozenset({"toolCallId", "parsingResult", "requestedSandboxPolicy", "commandDescription", "cwd"})
+GENERIC_KEYS = frozenset({"working_directory", "cwd", "description", "explanation"})
+#: Shown tool names whose stored names share no part with them.
+NAME_PAIRS = {"shell": ("runterminalcommandv2", "runterminalcmd"), "strreplace": ("editfilev2", "searchreplace"), "write": ("editfilev2", "writefile", "createfilev2")}

@@ -22,13 +22,13 @@ def files(spark: SparkSession, root: str) -> DataFrame:
 
 
 def select_files(listing: DataFrame, include: list[str], exclude: list[str] = (), deny: list[str] = (), max_bytes: int | None = None) -> tuple[DataFrame, DataFrame]:
-    """(candidates oldest first, oversize files) of a listing."""
+    """(candidates, oversize files) of a listing, in no order."""
     path = F.col("rel_path")
     wanted = matches_any(path, include) & ~matches_any(path, list(exclude)) & ~matches_any(F.regexp_replace("path", "^file:/*", ""), list(deny))
     found = listing.where(wanted)
     if max_bytes is None:
-        return found.orderBy("mtime_ns", "rel_path"), found.limit(0)
-    return found.where(F.col("size") <= max_bytes).orderBy("mtime_ns", "rel_path"), found.where(F.col("size") > max_bytes)
+        return found, found.limit(0)
+    return found.where(F.col("size") <= max_bytes), found.where(F.col("size") > max_bytes)
 
 
 def contradictions(spark: SparkSession, includes: list[str], deny: list[str]) -> DataFrame:

@@ -10,6 +10,7 @@ from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, LongType, StructField, StructType
 
 REASON_BYTES = 500
 AUDIT = "at string, source_id string, native_path string, decision string, reason string, bytes_in long, bytes_out long"
@@ -52,24 +53,33 @@ def latest_objects(spark: SparkSession, path: str) -> DataFrame:
 
 
 @contextlib.contextmanager
-def scratch(spark: SparkSession, path: str) -> Iterator[Callable[[DataFrame], DataFrame]]:
-    """A function that writes a table below ``path`` and reads it back, so that plans start anew; all goes when the block ends."""
+def scratch_folder(spark: SparkSession, path: str) -> Iterator[str]:
+    """A folder below ``path`` that goes when the block ends."""
     folder = f"{path}/work-{uuid.uuid4().hex}"
-
-    def kept(df: DataFrame) -> DataFrame:
-        place = f"{folder}/{uuid.uuid4().hex}"
-        df.write.parquet(place)
-        return spark.read.schema(df.schema).parquet(place)
-
     try:
-        yield kept
+        yield folder
     finally:
         place, fs = _hadoop(spark, folder)
         fs.delete(place, True)
 
 
+@contextlib.contextmanager
+def scratch(spark: SparkSession, path: str) -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """A function that writes a table below ``path`` and reads it back, so that plans start anew; all goes when the block ends."""
+    with scratch_folder(spark, path) as folder:
+
+        def kept(df: DataFrame) -> DataFrame:
+            place = f"{folder}/{uuid.uuid4().hex}"
+            df.write.parquet(place)
+            return spark.read.schema(df.schema).parquet(place)
+
+        yield kept
+
+
 #: Version of a state table's layout; a table of another one isn't read.
-STATE_VERSION = 1
+STATE_VERSION = 2
+#: A state is written anew when it has more changes files than this, or when they hold more than this share of its rows.
+MOST_CHANGES, MOST_SHARE = 16, 0.25
 _GENERATION = re.compile(r"commit-(\d{10})$")
 
 
@@ -85,52 +95,116 @@ def _commits(spark: SparkSession, path: str) -> list[int]:
     return sorted(int(m[1]) for m in map(_GENERATION.match, names) if m)
 
 
+def _commit_of(spark: SparkSession, path: str, number: int) -> dict:
+    commit = json.loads(spark.read.text(f"{path}/commit-{number:010d}", wholetext=True).first()[0])
+    if commit["version"] != STATE_VERSION:
+        raise ValueError(f"the state has layout {commit['version']}, not {STATE_VERSION}")
+    return commit
+
+
 def _checksum(state: DataFrame) -> str:
     """Rows and a sum of row hashes, the same in any order."""
     row = state.select(F.xxhash64(*state.columns).cast("decimal(38,0)").alias("h")).agg(F.count(F.lit(1)), F.coalesce(F.sum("h"), F.lit(0))).first()
     return f"{row[0]}:{row[1]}"
 
 
-def read_state(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """The newest committed generation of a state table; an empty table where none was committed.
+def _part(spark: SparkSession, path: str, part: dict, schema) -> DataFrame:
+    rows = spark.read.schema(schema).parquet(f"{path}/{part['rows']}")
+    if _checksum(rows) != part["checksum"]:
+        raise ValueError("the state's rows don't have its checksum")
+    return rows
+
+
+def _with_gone(schema) -> StructType:
+    kept = schema if isinstance(schema, StructType) else StructType.fromDDL(schema)
+    return StructType([*kept.fields, StructField("_gone", BooleanType()), StructField("_number", LongType())])
+
 
-    A generation counts once its commit file is there, so a driver that dies at any point leaves the last one in force.
+def read_state(spark: SparkSession, path: str, schema) -> DataFrame:
+    """A state table as of its newest commit; an empty table where none was committed.
+
+    A commit names a table of rows and the changes since, rows and keys that went; of each key the newest counts. A generation
+    counts once its commit file is there, so a driver that dies at any point leaves the last one in force.
     Rows that don't have the commit's checksum, or a layout of another version, are an error.
     """
     known = _commits(spark, path)
     if not known:
         return spark.createDataFrame([], schema)
-    commit = json.loads(spark.read.text(f"{path}/commit-{known[-1]:010d}", wholetext=True).first()[0])
-    if commit["version"] != STATE_VERSION:
-        raise ValueError(f"the state has layout {commit['version']}, not {STATE_VERSION}")
-    state = spark.read.schema(schema).parquet(f"{path}/{commit['rows']}")
-    if _checksum(state) != commit["checksum"]:
-        raise ValueError("the state's rows don't have its checksum")
-    return state
+    commit = _commit_of(spark, path, known[-1])
+    base = _part(spark, path, commit["base"], schema)
+    if not commit["changes"]:
+        return base
+    changed, keys = None, commit["keys"]
+    for part in commit["changes"]:
+        rows = _part(spark, path, part, _with_gone(schema))
+        changed = rows if changed is None else changed.unionByName(rows)
+    newest = changed.groupBy(*keys).agg(F.max_by(F.struct(*[c for c in changed.columns if c not in keys]), "_number").alias("_row")).select(*keys, "_row.*")
+    # changes are a bounded share of the rows, so the table itself is read in place wherever their keys fit a broadcast
+    kept = base.join(newest.select(*keys), keys, "left_anti")
+    return kept.unionByName(newest.where("NOT _gone").drop("_gone", "_number")).select(*base.columns)
+
+
+def _write_part(rows: DataFrame, path: str, kind: str) -> dict:
+    name = f"{kind}-{uuid.uuid4().hex}"
+    rows.write.parquet(f"{path}/{name}")
+    written = rows.sparkSession.read.schema(rows.schema).parquet(f"{path}/{name}")
+    checksum = _checksum(written)
+    return {"rows": name, "checksum": checksum, "count": int(checksum.split(":")[0])}
+
+
+def _put(spark: SparkSession, path: str, commit: dict, number: int, keep: int) -> None:
+    """Make a commit visible by a rename, which never overwrites; then drop generations beyond the last ``keep`` and what only they name."""
+    fresh, fs = _hadoop(spark, f"{path}/{uuid.uuid4().hex}.commit")
+    out = fs.create(fresh)
+    out.write(bytearray(json.dumps(commit).encode()))
+    out.close()
+    final, _ = _hadoop(spark, f"{path}/commit-{number:010d}")
+    if fs.exists(final) or not fs.rename(fresh, final):
+        raise OSError(f"generation {number} of the state is there already")
+    every = _commits(spark, path)
+    named = lambda n: {p["rows"] for c in [_commit_of(spark, path, n)] for p in [c["base"], *c["changes"]]}
+    used = set().union(*[named(n) for n in every[-keep:]])
+    for old in every[:-keep]:
+        gone = named(old) - used
+        fs.delete(_hadoop(spark, f"{path}/commit-{old:010d}")[0], False)  # the commit first: one without rows must never be found
+        for rows in gone:
+            fs.delete(_hadoop(spark, f"{path}/{rows}")[0], True)
 
 
 def commit_state(state: DataFrame, path: str, keep: int = 2) -> None:
-    """Replace a state table as a whole: rows are written first, then a commit file appears by rename, which never overwrites.
+    """Replace a state table as a whole: rows are written first, then a commit file appears by rename.
 
     The last ``keep`` generations stay, older ones go. A commit that another one came before is an error.
     """
     spark = state.sparkSession
-    rows, number = f"rows-{uuid.uuid4().hex}", (_commits(spark, path) or [0])[-1] + 1
-    state.write.parquet(f"{path}/{rows}")
-    written = spark.read.schema(state.schema).parquet(f"{path}/{rows}")
-    commit = {"version": STATE_VERSION, "rows": rows, "checksum": _checksum(written)}
-    fresh, fs = _hadoop(spark, f"{path}/{rows}.commit")
-    out = fs.create(fresh)
-    out.write(bytearray(json.dumps(commit).encode()))
-    out.close()
-    final, _ = _hadoop(spark, f"{path}/commit-{number:010d}")
-    if fs.exists(final) or not fs.rename(fresh, final):
-        raise OSError(f"generation {number} of the state is there already")
-    for old in _commits(spark, path)[:-keep]:
-        place, _ = _hadoop(spark, f"{path}/commit-{old:010d}")
-        gone = json.loads(spark.read.text(place.toString(), wholetext=True).first()[0])["rows"]
-        fs.delete(place, False)  # the commit first: one without rows must never be found
-        fs.delete(_hadoop(spark, f"{path}/{gone}")[0], True)
+    number = (_commits(spark, path) or [0])[-1] + 1
+    _put(spark, path, {"version": STATE_VERSION, "base": _write_part(state, path, "rows"), "changes": [], "keys": []}, number, keep)
+
+
+def commit_changes(rows: DataFrame, gone: DataFrame, path: str, keys: list[str], keep: int = 2) -> None:
+    """Commit new or changed ``rows`` of a state table and the keys of those that are ``gone``: as many rows are written as change.
+
+    A key that is in both has its row. Beyond MOST_CHANGES commits, or MOST_SHARE of the rows in them, the table is written anew,
+    so each row is written a bounded number of times for each change. Nothing to commit is no commit.
+    """
+    spark, schema = rows.sparkSession, rows.schema
+    known = _commits(spark, path)
+    number = (known or [0])[-1] + 1
+    if not known:
+        return commit_state(rows, path, keep) if rows.limit(1).count() else None
+    commit = _commit_of(spark, path, known[-1])
+    marked = rows.withColumns({"_gone": F.lit(False), "_number": F.lit(number).cast("long")})
+    went = gone.select(*keys).join(rows.select(*keys), keys, "left_anti").withColumns({"_gone": F.lit(True), "_number": F.lit(number).cast("long")})
+    part = _write_part(marked.unionByName(went, allowMissingColumns=True), path, "changes")
+    if not part["count"]:
+        _hadoop(spark, path)[1].delete(_hadoop(spark, f"{path}/{part['rows']}")[0], True)
+        return None
+    changes = [*commit["changes"], part]
+    next_ = {"version": STATE_VERSION, "base": commit["base"], "changes": changes, "keys": keys}
+    _put(spark, path, next_, number, keep)
+    if len(changes) > MOST_CHANGES or sum(c["count"] for c in changes) > max(10_000, MOST_SHARE * commit["base"]["count"]):
+        commit_state(read_state(spark, path, schema), path, keep)
+    return None
 
 
 def reset_state(spark: SparkSession, path: str, schema: str, dry_run: bool = False) -> int:

@@ -1,11 +1,14 @@
+import hashlib
+import json
 import os
 import sqlite3
+import time
 
 import pytest
 from pyspark.sql import functions as F
 
 from driftmark.operators import alignment, changes, redact, rollups
-from driftmark.sources import keyvalue, listing, tables
+from driftmark.sources import keyvalue, listing, tables, walk
 from driftmark.streaming.collector import Collector, Source, next_delay, paused
 
 SECRET = "ghp_" + "a1B2" * 9
@@ -76,6 +79,123 @@ def test_broken_files_are_parked_while_others_ship(spark, tmp_path, monkeypatch)
     assert not any("BOOM" in o["content"] for o in spark.read.parquet(str(tmp_path / "out")).collect())
 
 
+def state_paths(spark, tmp_path):
+    return sorted(r["native_path"][-7:] for r in tables.read_state(spark, str(tmp_path / "state"), changes.STATE).collect())
+
+
+def test_an_emptied_or_unreadable_folder_forgets_nothing(spark, tmp_path, monkeypatch):
+    for n in "abc":
+        write(tmp_path / f"in/projects/p/{n}.jsonl", '{"n":"%s"}\n' % n)
+    c = collector(spark, tmp_path)
+    assert c.tick() == {"shipped": 3}
+    (tmp_path / "in").rename(tmp_path / "away")  # a mount that is lost
+    assert c.tick() == {} and len(state_paths(spark, tmp_path)) == 3
+    (tmp_path / "in/projects/p").mkdir(parents=True)  # and one that is there, but empty
+    assert c.tick() == {} and len(state_paths(spark, tmp_path)) == 3
+    write(tmp_path / "in/projects/p/a.jsonl", '{"n":"a"}\n')
+    real = walk.candidates
+    some = lambda *a, **k: (lambda f, o, u: (f, o, spark.createDataFrame([("x", "denied")], "path string, error string")))(*real(*a, **k))
+    monkeypatch.setattr(walk, "candidates", some)
+    assert c.tick() == {} and len(state_paths(spark, tmp_path)) == 3  # a part of the tree couldn't be read
+    monkeypatch.setattr(walk, "candidates", real)
+    assert c.tick() == {} and state_paths(spark, tmp_path) == ["a.jsonl"]
+
+
+def test_a_tick_writes_what_changed(spark, tmp_path, monkeypatch):
+    path, keys = str(tmp_path / "state"), ["k"]
+    rows = lambda lo, hi, v: spark.range(lo, hi, numPartitions=2).select(F.col("id").alias("k"), F.lit(v).alias("v"))
+    read = lambda: {r["k"]: r["v"] for r in tables.read_state(spark, path, "k long, v string").collect()}
+    size = lambda: sum(f.stat().st_size for f in (tmp_path / "state").rglob("*.parquet"))
+    tables.commit_changes(rows(0, 50_000, "old"), rows(0, 0, "x"), path, keys)
+    whole = size()
+    tables.commit_changes(rows(10, 20, "new"), rows(100, 103, "x"), path, keys)
+    tables.commit_changes(rows(15, 16, "newer"), rows(10, 11, "x"), path, keys)
+    assert size() - whole < 10_000 < whole  # some kilobytes for the ten, not the table again
+    got = read()
+    assert len(got) == 50_000 - 4 and got[15] == "newer" and got[16] == "new" and got[9] == "old" and 10 not in got and 101 not in got
+    tables.commit_changes(rows(10, 11, "back"), rows(10, 12, "x"), path, keys)  # a key in both has its row
+    assert read()[10] == "back" and 11 not in read()
+    before = tables._commits(spark, path)
+    tables.commit_changes(rows(0, 0, "x"), rows(0, 0, "x"), path, keys)
+    assert tables._commits(spark, path) == before  # nothing to commit
+    monkeypatch.setattr(tables, "MOST_CHANGES", 4)
+    want = read() | {k: "last" for k in range(5)}
+    for _ in range(3):
+        tables.commit_changes(rows(0, 5, "last"), rows(0, 0, "x"), path, keys)
+    assert read() == want and len(list((tmp_path / "state").glob("rows-*"))) <= 2 and len(list((tmp_path / "state").glob("changes-*"))) <= 5
+
+
+def test_changes_survive_a_commit_that_dies(spark, tmp_path, monkeypatch):
+    path, one = str(tmp_path / "state"), lambda v: spark.createDataFrame([(1, v)], "k long, v string")
+    tables.commit_changes(one("a"), one("a").limit(0), path, ["k"])
+    real = tables._put
+    monkeypatch.setattr(tables, "_put", lambda *a: (_ for _ in ()).throw(RuntimeError("the driver dies here")))
+    with pytest.raises(RuntimeError):
+        tables.commit_changes(one("b"), one("a").limit(0), path, ["k"])
+    monkeypatch.setattr(tables, "_put", real)
+    assert tables.read_state(spark, path, "k long, v string").first()["v"] == "a"
+    tables.commit_changes(one("c"), one("a").limit(0), path, ["k"])
+    assert tables.read_state(spark, path, "k long, v string").first()["v"] == "c"
+
+
+def test_what_ships_is_what_is_hashed(spark, tmp_path, monkeypatch):
+    a = tmp_path / "in/projects/p/a.jsonl"
+    write(a, '{"v":"first"}\n')
+    c, real, calls = collector(spark, tmp_path), Collector._contents, []
+
+    def between(self, mine):
+        if calls:  # after the first read has its hash
+            write(a, '{"v":"second"}\n')
+        calls.append(1)
+        return real(self, mine)
+
+    monkeypatch.setattr(Collector, "_contents", between)
+    assert c.tick() == {"shipped": 1}
+    row = tables.read_state(spark, str(tmp_path / "state"), changes.STATE).first()
+    shipped = spark.read.parquet(str(tmp_path / "out")).first()["content"]
+    assert row["source_hash"] == hashlib.sha256(shipped.encode()).hexdigest()
+
+
+def test_catch_up_does_not_wait_for_the_clock(spark, tmp_path, monkeypatch):
+    for k in range(5):
+        write(tmp_path / f"in/projects/p/{k}.jsonl", '{"k":%d}\n' % k, at=1_700_000_000 + k)
+    monkeypatch.setattr("driftmark.streaming.collector.CATCH_UP_SECONDS", 0.1)
+    c, seen = collector(spark, tmp_path), []
+    c.budget = 2
+    query = c.stream(str(tmp_path / "checkpoint"), seen.append, every="1 hour")
+    for _ in range(240):
+        if len(seen) >= 3 or not query.isActive:
+            break
+        time.sleep(0.5)
+    query.stop()
+    assert seen[:3] == [{"shipped": 2}, {"shipped": 2}, {"shipped": 1}]
+
+
+def test_enriched_transcripts_ship_once_for_each_output(spark, tmp_path):
+    line = lambda role, *content: json.dumps({"role": role, "message": {"content": list(content)}})
+    body = [line("user", {"type": "text", "text": "<user_query>list them</user_query>"}), line("assistant", {"type": "text", "text": "[REDACTED]"}, {"type": "tool_use", "name": "Shell", "input": {"command": "ls -la /src"}}), '{"type":"turn_ended"}', '{"torn']
+    write(tmp_path / "in/projects/p/c1.jsonl", "\n".join(body))
+    write(tmp_path / "in/projects/p/unknown.jsonl", body[0] + "\n")
+    rows = [("composerData:c1", '{"fullConversationHeadersOnly":[{"bubbleId":"b1"},{"bubbleId":"b2"}]}'), ("bubbleId:c1:b1", '{"type":1,"text":"list them"}'), ("bubbleId:c1:b2", json.dumps({"type": 2, "isCapabilityIteration": True, "toolFormerData": {"toolCallId": "t7", "name": "run_terminal_cmd", "rawArgs": '{"command":"ls -la /src"}', "status": "ok", "result": "a b " + SECRET}}))]
+    c = collector(spark, tmp_path)
+    c.store = lambda s: s.createDataFrame(rows, "key string, value string")
+    assert c.tick() == {"shipped": 2, "enriched": 1}
+    found = [r["content"] for r in spark.read.parquet(str(tmp_path / "out")).collect() if '"native"' in r["content"]]
+    assert len(found) == 1 and SECRET not in found[0]
+    got = found[0].splitlines()
+    assert got[0] == '{"native":%s,"_enrich":[{"bubbleId":"b1"}]}' % body[0]
+    assert json.loads(got[1])["_enrich"] == [None, {"bubbleId": "b2", "tool_call_id": "t7", "tool_name": "run_terminal_cmd", "status": "ok", "result": "a b __REDACTED:github-pat__"}]
+    assert got[2] == '{"native":{"type":"turn_ended"}}' and json.loads(got[3]) == {"native_invalid": '{"torn'}
+    c.recompute_seconds = 10**12
+    assert c.tick() == {"unchanged": 2}  # looked at again, the output is the same
+    rows[2] = (rows[2][0], rows[2][1].replace('"ok"', '"late"'))
+    assert c.tick() == {"unchanged": 2, "enriched": 1}  # only the store moved
+    assert c.tick() == {"unchanged": 2}
+    (tmp_path / "in/projects/p/c1.jsonl").unlink()
+    c.recompute_seconds = 0
+    assert c.tick() == {} and state_paths(spark, tmp_path) == ["n.jsonl"]  # the derived row went with its transcript
+
+
 def test_vanished_paths_changed_specs_and_pause(spark, tmp_path):
     for n in "ab":
         write(tmp_path / f"in/projects/p/{n}.jsonl", '{"n":"%s"}\n' % n)
@@ -169,22 +289,17 @@ def test_store_and_alignment(spark, tmp_path):
         rows = [
             ("composerData:c1", '{"fullConversationHeadersOnly":[{"bubbleId":"b1"},{"bubbleId":"gone"},{"bubbleId":"b2"},{"bubbleId":"b3"}]}'),
             ("bubbleId:c1:b1", '{"type":1,"text":"please list the files"}'),
-            ("bubbleId:c1:b2", '{"type":2,"toolFormerData":{"name":"run_command","rawArgs":"{\\"cmd\\":\\"ls\\"}","status":"ok","result":"a b"}}'),
+            ("bubbleId:c1:b2", '{"type":2,"toolFormerData":{"name":"run_command","rawArgs":"{\\"cmd\\":\\"ls -la\\"}","status":"ok","result":"a b"}}'),
             ("bubbleId:c1:b3", '{"type":2,"text":"there are two files"}'),
             ("cursorAuth/accessToken", "never"),
         ]
         db.executemany("INSERT INTO cursorDiskKV VALUES (?, ?)", rows)
     store = keyvalue.read_store(spark, [str(path)], "cursorDiskKV")
-    first, more = keyvalue.capped(store, 3)
-    assert store.count() == 4 and more and first.count() == 3
+    assert store.count() == 4 and not any("accessToken" in r["key"] for r in store.collect())
     assert keyvalue.read_store(spark, [str(path)], "cursorDiskKV", ["bubbleId:c1"]).count() == 3
-    assert keyvalue.read_store(spark, [str(path)], "cursorDiskKV", limit=2).count() == 3  # one more tells that there are others
-    reader = keyvalue.KeyValueReader({"paths": str(path), "table": "cursorDiskKV"})
-    assert not any("accessToken" in key for _, key, _ in reader.read(reader.partitions()[0]))  # never leaves the file
-    heads, bubbles = keyvalue.conversations(store)
-    events = alignment.order_events(heads, bubbles)
+    events = keyvalue.events(store)
     assert [r["event_id"] for r in events.orderBy("pos").collect()] == ["b1", "b2", "b3"]
-    lines = [("c1", 0, "user", "text", "<user_query>please list the files</user_query>", None, None), ("c1", 1, "assistant", "tool_use", None, "RunCommand", '{"cmd": "ls"}'), ("c1", 2, "assistant", "tool_use", None, "RunCommand", '{"cmd": "ls"}'), ("c1", 3, "assistant", "text", "there are two files", None, None), ("c2", 0, "user", "text", "hello", None, None)]
+    lines = [("c1", 0, "user", "text", "<user_query>please list the files</user_query>", None, None), ("c1", 1, "assistant", "tool_use", None, "RunCommand", '{"cmd": "ls -la"}'), ("c1", 2, "assistant", "tool_use", None, "RunCommand", '{"cmd": "ls -la"}'), ("c1", 3, "assistant", "text", "there are two files", None, None), ("c2", 0, "user", "text", "hello", None, None)]
     blocks = spark.createDataFrame(lines, "conv string, seq long, role string, type string, text string, name string, input string")
     aligned = alignment.align(blocks, events)
     got = {(r["conv"], r["seq"]): (r["outcome"], r["event_id"]) for r in aligned.collect()}
