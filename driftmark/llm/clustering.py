@@ -187,7 +187,7 @@ def first_centroids(vectors: DataFrame, k: int = CENTROIDS, seed: str = SEED) ->
     """
     by = F.sha2(F.concat(F.lit(seed + ":"), F.col("vec_id").cast("string")).cast("binary"), 256)
     rows = vectors.where("vec_id IS NOT NULL").select(by.alias("h"), "v").orderBy("h", "v").limit(k).collect()
-    return np.array([r["v"] for r in rows], np.int64).reshape(len(rows), -1)
+    return np.array([r["v"] for r in rows], np.int64)
 
 
 def fit(trees: DataFrame, centroids: np.ndarray, rounds: int = ROUNDS) -> np.ndarray:

@@ -21,6 +21,8 @@ from ._common import bounded_batches, held_out, materialize
 
 #: Hashed features; documents of each language, and of all languages together, that are learned from, about.
 DIMENSIONS, PER_LANGUAGE, SAMPLE_ROWS = 4_096, 600, 12_000
+#: Languages that are learned, at most: those of most documents.
+LANGUAGES = 200
 UNDETERMINED = "und"
 #: Least score of a document that a filtering stage keeps.
 LEAST_SCORE = 0.3
@@ -77,8 +79,11 @@ class Choice:
     def probabilities(self, x: np.ndarray) -> np.ndarray:
         """Of each name, for each row of x: products of the pairs' probabilities, normalised."""
         logs = np.zeros((len(x), len(self.names)))
-        for m in self.machines:
-            margin = m.slope * (x @ m.weights[:-1] + m.weights[-1]) + m.shift
+        every = np.stack([m.weights for m in self.machines], axis=1) if self.machines else np.zeros((x.shape[1] + 1, 0), np.float32)
+        # a product for each row: what it gives doesn't depend on the rows beside it
+        margins = np.array([row @ every[:-1] for row in x]).reshape(len(x), -1) + every[-1]
+        for m, margin in zip(self.machines, margins.T, strict=True):
+            margin = m.slope * margin + m.shift
             logs[:, self.names.index(m.a)] -= np.logaddexp(0, -margin)
             logs[:, self.names.index(m.b)] -= np.logaddexp(0, margin)
         p = np.exp(logs - logs.max(axis=1, keepdims=True))
@@ -161,20 +166,22 @@ def _vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column("lang").take(pa.array(kept, pa.int64())), pa.array([found[k].astype(np.float16).tobytes() for k in kept], pa.binary())], ["lang", "x"])
 
 
-def fit(docs: DataFrame, per_language: int = PER_LANGUAGE, sample_rows: int = SAMPLE_ROWS) -> Model | None:
+def fit(docs: DataFrame, per_language: int = PER_LANGUAGE, sample_rows: int = SAMPLE_ROWS, languages: int = LANGUAGES) -> Model | None:
     """Learn from about ``per_language`` documents of each language, none of them held out; None if there are none.
 
-    All languages together give about ``sample_rows`` documents, each at least one in expectation: that bounds what the
-    driver holds (16 KB a document), whatever the size of ``docs``. The sample is that of small hashes of id and row
-    number, so an id that recurs counts row by row. Rows without a language, a text or an id teach nothing.
+    The ``languages`` of most documents are learned (ties: by code), and all together give about ``sample_rows`` documents:
+    that bounds what the driver holds (16 KB a document), whatever the size of ``docs`` and however many codes it has. The
+    sample is that of small hashes of id and text; equal rows teach once. So the model depends on the rows alone, not on
+    how they are partitioned. Rows without a language, a text or an id teach nothing.
     """
     known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
-    counts = {r["lang"]: r["count"] for r in known.groupBy("lang").count().collect()}
+    counts = {r["lang"]: r["count"] for r in known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(languages).collect()}
     if not counts:
         return None
     grain, each = 1 << 30, max(1, min(per_language, sample_rows // len(counts)))
     limit = F.element_at(F.create_map(*itertools.chain(*((F.lit(k), F.lit(min(grain, -(-grain * each // n)))) for k, n in sorted(counts.items())))), F.col("lang"))
-    chosen = known.select("lang", "text", F.pmod(F.xxhash64("doc_id", F.monotonically_increasing_id()), F.lit(grain)).alias("_h")).where(F.col("_h") < limit)
+    mark = [F.xxhash64("doc_id", "text").alias("_h"), F.xxhash64(F.lit(1), "text", "doc_id").alias("_g")]
+    chosen = known.select("lang", "text", *mark).where(F.pmod("_h", F.lit(grain)) < limit).groupBy("lang", "_h", "_g").agg(F.first("text").alias("text"))
     with bounded_batches(docs.sparkSession):
         sample = materialize(chosen.select("lang", "text").mapInArrow(_vectors, "lang string, x binary"), "lang-sample")
     rows = sample.orderBy("lang", F.xxhash64("x")).collect()

@@ -17,7 +17,6 @@ one at 0.8 with probability below 1e-9.
 
 from __future__ import annotations
 
-import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -72,15 +71,15 @@ def shingles(text: str | None, hashes: dict) -> np.ndarray:
     return np.unique(_mix(total))
 
 
-@functools.cache
-def _edges(bins: int) -> np.ndarray:
+def bin_edges(bins: int) -> np.ndarray:
+    """Where the bins of the hash range begin."""
     return np.array([(k << 64) // bins for k in range(bins)], dtype=np.uint64)
 
 
-def band_hashes(found: np.ndarray, bands: int = BANDS, band_bins: int = BAND_BINS) -> np.ndarray:
-    """One hash for each band of a non-empty sorted set, as signed 64-bit numbers."""
+def band_hashes(found: np.ndarray, bands: int = BANDS, band_bins: int = BAND_BINS, edges: np.ndarray | None = None) -> np.ndarray:
+    """One hash for each band of a non-empty sorted set, as signed 64-bit numbers; edges, if given, are the bins'."""
     bins = bands * band_bins
-    first = np.searchsorted(found, _edges(bins))
+    first = np.searchsorted(found, bin_edges(bins) if edges is None else edges)
     full = np.append(first[1:], len(found)) > first
     minima = found[np.minimum(first, len(found) - 1)]
     empty, step = np.flatnonzero(~full), 0
@@ -103,14 +102,14 @@ def _hashes() -> dict:
 
 def _marks(bands: int, band_bins: int):
     def marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = _hashes()
+        known, edges = _hashes(), bin_edges(bands * band_bins)
         for b in batches:
             sizes, sets, hashed = [], [], []
             for text in b.column("text").to_pylist():
                 found = shingles(text, known)
                 sizes.append(len(found))
                 sets.append(xxhash.xxh3_128_digest(found.tobytes()) if len(found) else None)
-                hashed.append(band_hashes(found, bands, band_bins) if len(found) else np.empty(0, np.int64))
+                hashed.append(band_hashes(found, bands, band_bins, edges) if len(found) else np.empty(0, np.int64))
             flat = pa.array(np.concatenate(hashed) if hashed else np.empty(0, np.int64))
             ends = pa.array(np.cumsum([0, *map(len, hashed)]).astype(np.int32))
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(sets, pa.binary()), pa.ListArray.from_arrays(ends, flat)], ["doc_id", "n_shingles", "same", "bands"])
@@ -120,10 +119,10 @@ def _marks(bands: int, band_bins: int):
 
 def _full_sets(bands: int, band_bins: int):
     def full(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = _hashes()
+        known, edges = _hashes(), bin_edges(bands * band_bins)
         for b in batches:
             sets = [shingles(t, known) for t in b.column("text").to_pylist()]
-            hashed = [band_hashes(x, bands, band_bins).tobytes() if len(x) else b"" for x in sets]
+            hashed = [band_hashes(x, bands, band_bins, edges).tobytes() if len(x) else b"" for x in sets]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([x.tobytes() for x in sets], pa.binary()), pa.array(hashed, pa.binary())], ["rep", "found", "hashed"])
 
     return full

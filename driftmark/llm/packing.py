@@ -18,6 +18,8 @@ from ._common import materialize, word_count
 
 #: Words of a bin, and pieces packed together by one task at a time.
 CAPACITY, GROUP_PIECES = 2_048, 2_048
+#: Copies of a row that a task deals out at a time.
+COPIES = 10_000
 
 
 def best_fit(pieces: list[tuple[int, int, int]], capacity: int) -> list[int]:
@@ -66,18 +68,25 @@ def pack(items: DataFrame, capacity: int = CAPACITY, group_pieces: int = GROUP_P
     Returns item, source, piece, start, size, bin, bin_room: every item whole, cut into pieces of at most
     ``capacity``; no bin has more than ``capacity``, two pieces of one source, or two of one
     cluster. Null source or cluster conflicts with nothing; size null or 0 gives one piece of
-    size 0. Repeated rows are items of their own. Pieces are dealt to groups of about ``group_pieces`` by a hash
-    of item, piece and row number, never by source or cluster: a hot source, an id that recurs and rows without one are
-    spread like any other. In a group, ties of size go by item (null first), piece, source, cluster and row number, so
-    a rerun over the same files gives the same bins. An empty table gives an empty result.
+    size 0. Repeated rows are items of their own, numbered as copies of each other. Pieces are dealt to groups of about
+    ``group_pieces`` by a hash of all they are and the copy's number: a hot source, an id that recurs and rows without one are
+    spread like any other. In a group, ties of size go by item (null first), piece, source, cluster and copy. So the bins depend on the
+    rows alone, not on their order or on how they lie in files. An empty table gives an empty result.
     """
-    sized = items.select(F.monotonically_increasing_id().alias("_row"), "item", F.greatest(F.coalesce("size", F.lit(0)), F.lit(0)).cast("long").alias("_n"), "source", "cluster")
+    sized = items.select("item", F.greatest(F.coalesce("size", F.lit(0)), F.lit(0)).cast("long").alias("_n"), "source", "cluster")
+    # equal rows are counted and dealt out again as copies, some at a time, so that no task makes all copies of a row
+    counted = materialize(sized.groupBy(*sized.columns).agg(F.count(F.lit(1)).alias("_copies")), "pack-items")
+    lone, more = counted.where("_copies = 1"), counted.where("_copies > 1")
+    part = F.explode(F.sequence(F.lit(0).cast("long"), F.col("_copies") - 1, F.lit(COPIES).cast("long"))).alias("_from")
+    more = more.select("*", part).repartition(F.xxhash64("item", "source", "cluster", "_from"))
+    copy = F.explode(F.sequence(F.col("_from"), F.least(F.col("_from") + COPIES, F.col("_copies")) - 1))
+    sized = lone.withColumn("_row", F.lit(0).cast("long")).unionByName(more.withColumn("_row", copy).drop("_from")).drop("_copies")
     last = F.greatest(F.ceil(F.col("_n") / capacity) - 1, F.lit(0)).cast("int")
     cut = sized.withColumn("piece", F.explode(F.sequence(F.lit(0), last))).withColumn("start", F.col("piece") * F.lit(capacity).cast("long"))
     cut = cut.withColumn("size", F.least(F.col("_n") - F.col("start"), F.lit(capacity)).cast("int")).drop("_n")
-    cut = materialize(cut, "pack-pieces")  # row numbers stay as they were written
+    cut = materialize(cut, "pack-pieces")
     groups = max(1, -(-cut.count() // group_pieces))
-    salt = F.pmod(F.xxhash64("item", "piece", "_row"), F.lit(groups))
+    salt = F.pmod(F.xxhash64("item", "piece", "source", "cluster", "size", "_row"), F.lit(groups))
 
     def one(table: pa.Table) -> pa.Table:
         ties = ("item", "piece", "source", "cluster", "_row")
