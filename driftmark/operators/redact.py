@@ -27,6 +27,7 @@ except ImportError:  # keywords are then looked up one by one
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from driftmark.plans import packs
 from driftmark.plans import rules as R
 
 
@@ -118,12 +119,15 @@ _DEEP = 256
 
 
 class Ladder:
-    """All detectors, for one value or one line; made once for each task."""
+    """The detectors of chosen packs (none named: all), for one value or one line; made once for each task."""
 
-    def __init__(self, username: str = ""):
+    def __init__(self, username: str = "", chosen: packs.Chosen | None = None):
         self.username = username if len(username) >= 2 else ""
+        chosen = chosen or packs.compiled(packs.available())
         pem = "private-key-block"
-        self.rules = [(r, R.python(r.pattern), [k.lower() for k in r.keywords]) for r in R.RULES if r.rule_id != pem]
+        self.blocks = any(r.rule_id == pem for r in chosen.rules)
+        self.heuristics = "generic-entropy" in chosen.heuristics
+        self.rules = [(r, R.python(r.pattern), [k.lower() for k in r.keywords]) for r in chosen.rules if r.rule_id != pem]
         names = R.Rule("key-name", R.assignment_pattern(), tuple(n.lstrip("*") for n in R.SECRET_NAMES), 1)
         self.rules.append((names, R.python(names.pattern), [k.lower() for k in names.keywords]))
         self.free = [k for k, (_, _, keywords) in enumerate(self.rules) if not keywords]
@@ -161,7 +165,7 @@ class Ladder:
                 if rule.checksum and not _CHECKS[rule.checksum](m[0]):
                     continue
                 out.append((a, b, rule.rule_id))
-        if "private key" in low:  # the block's own pattern takes quadratic time where ends are missing
+        if self.blocks and "private key" in low:  # the block's own pattern takes quadratic time where ends are missing
             begin = None
             for m in self.pem.finditer(value):
                 if m[1] == "BEGIN":
@@ -231,7 +235,7 @@ class Ladder:
         if key and value and secret_key(key):
             return R.sentinel("key-name"), Counter({"key-name": 1}), len(value.encode())
         spans = self.patterns(value)
-        unsure = self.entropy(value) if doubtful else []
+        unsure = self.entropy(value) if doubtful and self.heuristics else []
         if not spans and not unsure and (inner := self.encoded(value)):
             return R.sentinel(inner), Counter({inner: 1}), len(value.encode())
         out, at, gone, hits, users = [], 0, 0, Counter(), 0
@@ -294,7 +298,7 @@ def _refuse(name: str):
     raise ValueError(name)
 
 
-def line_gate(username: str = "") -> str:
+def line_gate(username: str = "", rules: tuple[R.Rule, ...] = R.RULES) -> str:
     """One RE2 pattern that every line matches which a pattern rule, a key name or the username could touch.
 
     It is asked of lines as they are, JSON escapes and all, so it may only be wider than the rules: word edges are left out,
@@ -302,7 +306,8 @@ def line_gate(username: str = "") -> str:
     """
     gap, tail, coded = _GAP + "*", "[A-Za-z0-9_+/=.%~-]{8}", "[A-Za-z0-9+/=_-]+"
     spelled = sorted({re.escape(n.lstrip("*").lower()) for n in R.SECRET_NAMES})
-    parts = [f"(?:{'|'.join(re.escape(k) for r in R.RULES if r.rule_id not in R.LOOSE_GATES for k in r.keywords)}){tail}"]
+    parts = [f"(?:{'|'.join(re.escape(k) for r in rules if r.rule_id not in R.LOOSE_GATES for k in r.keywords)}){tail}"]
+    parts = parts if any(r.rule_id not in R.LOOSE_GATES and r.keywords for r in rules) else []
     parts += [g for gates in R.LOOSE_GATES.values() for g in gates]
     parts += [f"(?i:token{gap}:)", f"(?i:(?:{'|'.join(spelled)}){gap}[:=])"]
     parts += [f'(?i:(?:{"|".join([*R.SECRET_WORDS, "key", *spelled])})[-_. :/]*"\\s*:)']
@@ -338,18 +343,22 @@ def secret_key(key: str) -> bool:
     return any(key.upper().endswith(n[1:]) if n[0] == "*" else key.upper() == n for n in R.SECRET_NAMES)
 
 
-def redact_lines(lines: DataFrame, username: str = "", body: str = "body", family: str = "family", jsonl: str = "jsonl") -> DataFrame:
+def redact_lines(lines: DataFrame, username: str = "", body: str = "body", family: str = "family", jsonl: str = "jsonl", names: list[str] | None = None) -> DataFrame:
     """Rows of ``lines`` with redacted, rule_hits (map), bytes_redacted, bytes_total and parsed (was the line JSON).
 
+    names: rule packs (none given: all); an unknown or faulty one is an error here, before any task. Key names, base64 and
+    the username belong to no pack.
+
     A row is one line (see split_lines); ``family`` picks the exempt fields, ``jsonl`` false or null means raw text.
     Null bodies stay null without hits; blank lines pass through and parsed is null. A line that a detector fails on is null
     with its ``error`` (null otherwise): nothing of it may leave.
     """
     extra = [("redacted", "string"), ("rule_hits", "map<string,long>"), ("bytes_redacted", "long"), ("bytes_total", "long"), ("parsed", "boolean"), ("error", "string")]
     kept = [f"`{f.name}` {f.dataType.simpleString()}" for f in lines.schema]
+    chosen = packs.compiled(packs.available() if names is None else names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ladder, gate = Ladder(username), line_gate(username)
+        ladder, gate = Ladder(username, chosen), line_gate(username, chosen.rules)
         for b in batches:
             bodies = b.column(body)
             # RE2 over whole batches tells which lines need a look at all; the others stay as they are, in Arrow

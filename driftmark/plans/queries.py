@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from driftmark.functions import checks, text, times
-from driftmark.operators import alignment, changes, redact, rollups, status
+from driftmark.operators import alignment, changes, ranks, redact, rollups, status
 from driftmark.plans import rules as R
 from driftmark.sources import keyvalue
 
@@ -264,7 +264,7 @@ def run_totals(t: Tables) -> DataFrame:
 
 @query(f"""WITH {OUTCOMES_SQL} SELECT source_id, (list_sort(list(bytes_in)))[count(*) // 2 + 1] AS median_in FROM o GROUP BY source_id""")
 def upper_median(t: Tables) -> DataFrame:
-    return _outcomes(t).groupBy("source_id").agg(checks.upper_median("bytes_in").alias("median_in"))
+    return ranks.upper_medians(_outcomes(t), "source_id", "bytes_in").withColumnRenamed("median", "median_in")
 
 
 @query(f"""WITH {OUTCOMES_SQL} SELECT source_id, {", ".join(f"sum(CASE WHEN decision = '{d}' THEN bytes_in ELSE 0 END)::BIGINT AS {d}" for d in rollups.DECISIONS)} FROM o GROUP BY source_id""")
@@ -348,7 +348,7 @@ def survey_sort(t: Tables) -> DataFrame:
 WHERE n <= 5 OR list_contains(list_transform(range(5), lambda i: i * (n - 1) // 4), k)""")
 def sample_indexes(t: Tables) -> DataFrame:
     """Five customers of each segment, evenly spread."""
-    return rollups.spread_sample(t("customer").select("c_mktsegment", "c_custkey"), "c_mktsegment", ["c_custkey"])
+    return ranks.spread(t("customer").select("c_mktsegment", "c_custkey"), "c_mktsegment", ["c_custkey"])
 
 
 @query(f"""WITH {OUTCOMES_SQL}, h AS (SELECT source_id, decision, count(*) AS n FROM o GROUP BY ALL)
@@ -880,3 +880,6 @@ def reasoning_texts(t: Tables) -> DataFrame:
     thinking = F.when(n % 4 == 0, F.concat(F.lit("why "), n.cast("string"))).when(n % 4 == 1, "")
     event = F.to_json(F.struct("text", (n % 3 == 0).alias("isThought"), F.struct(thinking.alias("text")).alias("thinking")))
     return t("conversations").select("conv_id", "turn", keyvalue.reasoning_text(event).alias("reasoning"))
+
+
+from driftmark.plans import session_queries  # noqa: E402, F401  (registers queries of its own)

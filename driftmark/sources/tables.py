@@ -5,6 +5,7 @@ from __future__ import annotations
 import contextlib
 import json
 import re
+import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -52,6 +53,25 @@ def latest_objects(spark: SparkSession, path: str) -> DataFrame:
     return df.join(newest, ["key", "written_at"], "left_semi")
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the cluster names in ``spark.checkpoint.dir``; a local master without it gets a temporary one, a cluster an error."""
+    path = spark.conf.get("spark.checkpoint.dir", None)
+    if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        path = tempfile.mkdtemp(prefix="driftmark-")
+        spark.conf.set("spark.checkpoint.dir", path)
+    return path.rstrip("/")
+
+
+def fresh_folder(spark: SparkSession, label: str) -> str:
+    """A path in the shared folder that nothing uses yet; it goes when the driver's JVM ends."""
+    path = f"{shared_folder(spark)}/driftmark/{label}-{uuid.uuid4().hex}"
+    place, fs = _hadoop(spark, path)
+    fs.deleteOnExit(place)
+    return path
+
+
 @contextlib.contextmanager
 def scratch_folder(spark: SparkSession, path: str) -> Iterator[str]:
     """A folder below ``path`` that goes when the block ends."""
