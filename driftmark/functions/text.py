@@ -213,3 +213,9 @@ def ancestors(path: Column) -> Column:
     parts = F.array_remove(F.split(path, "/"), "")
     up = F.transform(F.sequence(F.size(parts), F.lit(1), F.lit(-1)), lambda n: F.concat(F.lit("/"), F.array_join(F.slice(parts, F.lit(1), n), "/")))
     return F.when(F.size(parts) == 0, F.array(F.lit("/"))).otherwise(up)
+
+
+def ordered_union(base: Column, more: Column) -> Column:
+    """Texts of a list, then those of another that aren't in it; each once, in the order of the lists."""
+    empty = F.array().cast("array<string>")
+    return F.array_union(F.array_distinct(F.coalesce(base, empty)), F.coalesce(more, empty))

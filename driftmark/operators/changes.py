@@ -27,6 +27,16 @@ def drop_changed_specs(state: DataFrame, known: DataFrame, now: DataFrame) -> Da
     return state.join(changed, "source_id", "left_anti")
 
 
+def foreign(owner: Column, install: Column) -> Column:
+    """Did another installation write a state? One without an owner belongs to whoever opens it."""
+    return F.coalesce((owner != "") & (install != "") & (owner != install), F.lit(False))
+
+
+def in_order(state: DataFrame) -> DataFrame:
+    """State by source and path, as it is listed."""
+    return state.orderBy(*KEY)
+
+
 def pending(candidates: DataFrame, state: DataFrame) -> DataFrame:
     """Candidates with ``pending``: never shipped, or of another size or time; the content isn't looked at."""
     old = state.select(*KEY, F.col("source_size").alias("_size"), F.col("source_mtime_ns").alias("_mtime"))

@@ -50,7 +50,7 @@ def hits_by_rule(docs: DataFrame, rules: list[R.Rule], text: str = "text") -> Da
         gate, seen, hits = line_gate(), Counter(), Counter()
         known = [(r, R.python(r.pattern)) for r in rules]
         for b in batches:
-            some = b.column(0).filter(pc.fill_null(pc.match_substring_regex(b.column(0), gate), False))
+            some = b.column(0).filter(pc.fill_null(pc.match_substring_regex(b.column(0), gate + "|" + NUMBER_GATE), False))
             for rule, pattern in known if len(some) else ():
                 held = some.filter(pc.match_substring_regex(some, rule.pattern)).to_pylist()
                 seen[rule.rule_id] += len(held)
@@ -58,7 +58,7 @@ def hits_by_rule(docs: DataFrame, rules: list[R.Rule], text: str = "text") -> Da
         found = [k for k, n in hits.items() if n]
         yield pa.RecordBatch.from_pydict({"rule_id": found, "docs": [seen[k] for k in found], "hits": [hits[k] for k in found]}, pa.schema([("rule_id", pa.string()), ("docs", pa.int64()), ("hits", pa.int64())]))
 
-    partial = docs.select(text).mapInArrow(count, "rule_id string, docs long, hits long")
+    partial = _dealt(docs.select(text)).mapInArrow(count, "rule_id string, docs long, hits long")
     return partial.groupBy("rule_id").agg(F.sum("docs").alias("docs"), F.sum("hits").alias("hits"))
 
 
@@ -73,10 +73,12 @@ def candidates(text: Column, pattern: str) -> Column:
 
 def split_lines(payloads: DataFrame, content: str = "content") -> DataFrame:
     """One row for each line, its LF or CRLF kept apart (``ending``), numbered from 0 (``line_no``)."""
-    lines = F.regexp_extract_all(F.col(content), F.lit("[^\n]*\n|[^\n]+$"), F.lit(0))
-    out = payloads.select("*", F.posexplode(lines).alias("line_no", "_line")).drop(content)
-    ending = F.regexp_extract("_line", "\r?\n$", 0)
-    return out.withColumn("ending", ending).withColumn("body", F.expr("substr(_line, 1, length(_line) - length(ending))")).drop("_line")
+    parts = payloads.withColumn("_lines", F.split(content, "\n")).drop(content)
+    out = parts.select("*", (F.size("_lines") - 1).alias("_last")).select(*[c for c in parts.columns if c != "_lines"], "_last", F.posexplode("_lines").alias("line_no", "body"))
+    last = F.col("line_no") == F.col("_last")
+    cr = ~last & F.endswith("body", F.lit("\r"))
+    out = out.where(~last | (F.col("body") != "")).withColumn("ending", F.when(last, "").when(cr, "\r\n").otherwise("\n"))
+    return out.withColumn("body", F.when(cr, F.expr("left(body, length(body) - 1)")).otherwise(F.col("body"))).drop("_last")
 
 
 _CARD, _DECIMAL = re.compile("[ -]"), re.compile(r"\.[0-9]")
@@ -302,7 +304,7 @@ def line_gate(username: str = "", rules: tuple[R.Rule, ...] = R.RULES) -> str:
     """One RE2 pattern that every line matches which a pattern rule, a key name or the username could touch.
 
     It is asked of lines as they are, JSON escapes and all, so it may only be wider than the rules: word edges are left out,
-    and what an escape could hide lets a line through.
+    and what an escape could hide lets a line through. For rules of numbers NUMBER_GATE is asked beside it.
     """
     gap, tail, coded = _GAP + "*", "[A-Za-z0-9_+/=.%~-]{8}", "[A-Za-z0-9+/=_-]+"
     spelled = sorted({re.escape(n.lstrip("*").lower()) for n in R.SECRET_NAMES})
@@ -313,15 +315,17 @@ def line_gate(username: str = "", rules: tuple[R.Rule, ...] = R.RULES) -> str:
     parts += [f'(?i:(?:{"|".join([*R.SECRET_WORDS, "key", *spelled])})[-_. :/]*"\\s*:)']
     parts += [f'[\u0131\u017f\u00df\ufb00-\ufb06][^"]*"\\s*:']  # letters whose upper case is in ASCII
     parts += [f'(?:^|"){_GAP}{{5,}}{coded}{gap}(?:$|")', f'(?:^|"){gap}{coded}{_GAP}{{5,}}(?:$|")']  # short base64 made long by blanks
-    parts += [r"[0-9](?:[ -]?[0-9]){10}", "[A-Z]{2}[0-9]{2}[A-Z0-9]{11}", r"\\[r/]", r"\r"]
+    parts += [r"\\[r/]", r"\r"]
     parts += [r"\\u(?:00[0-7]|00[dD][fF]|0131|017[fF]|212[aA]|[fF][bB]0)"]  # ASCII, or a letter with a case in it
     return "|".join(parts + [re.escape(username)] * (len(username) >= 2))
 
 
+#: What the rules of numbers could touch.
+NUMBER_GATE = r"[0-9](?:[ -]?[0-9]){10}|[A-Z]{2}[0-9]{2}[A-Z0-9]{11}"
 #: A run that the entropy detector or the base64 test could look at.
 RUN_GATE = f"[A-Za-z0-9+/=_-]{{{R.ENTROPY_LENGTH}}}"
 #: A string that is a lower-case UUID is clean: 17 kinds of characters have too few bits, and read as base64 it gives
-#: bytes over 0x7F at three places, between which no rule has room.
+#: bytes over 0x7F at three places, between which no rule has room. Its groups have no length of a number that a rule looks for.
 UUID_VALUE = '"[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}"'
 
 
@@ -343,18 +347,19 @@ def secret_key(key: str) -> bool:
     return any(key.upper().endswith(n[1:]) if n[0] == "*" else key.upper() == n for n in R.SECRET_NAMES)
 
 
-def redact_lines(lines: DataFrame, username: str = "", body: str = "body", family: str = "family", jsonl: str = "jsonl", names: list[str] | None = None) -> DataFrame:
+def redact_lines(lines: DataFrame, username: str = "", body: str = "body", family: str = "family", jsonl: str = "jsonl", names: list[str] | None = None, keep_body: bool = True) -> DataFrame:
     """Rows of ``lines`` with redacted, rule_hits (map), bytes_redacted, bytes_total and parsed (was the line JSON).
 
     names: rule packs (none given: all); an unknown or faulty one is an error here, before any task. Key names, base64 and
     the username belong to no pack.
 
-    A row is one line (see split_lines); ``family`` picks the exempt fields, ``jsonl`` false or null means raw text.
+    A row is one line (see split_lines); with ``keep_body`` false its text goes no further than this; ``family`` picks the exempt fields, ``jsonl`` false or null means raw text.
     Null bodies stay null without hits; blank lines pass through and parsed is null. A line that a detector fails on is null
     with its ``error`` (null otherwise): nothing of it may leave.
     """
     extra = [("redacted", "string"), ("rule_hits", "map<string,long>"), ("bytes_redacted", "long"), ("bytes_total", "long"), ("parsed", "boolean"), ("error", "string")]
-    kept = [f"`{f.name}` {f.dataType.simpleString()}" for f in lines.schema]
+    names_kept = [f.name for f in lines.schema if keep_body or f.name != body]
+    kept = [f"`{f.name}` {f.dataType.simpleString()}" for f in lines.schema if f.name in names_kept]
     chosen = packs.compiled(packs.available() if names is None else names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -362,8 +367,9 @@ def redact_lines(lines: DataFrame, username: str = "", body: str = "body", famil
         for b in batches:
             bodies = b.column(body)
             # RE2 over whole batches tells which lines need a look at all; the others stay as they are, in Arrow
-            rules = pc.match_substring_regex(bodies, gate).to_pylist()
-            runs = pc.match_substring_regex(pc.replace_substring_regex(bodies, UUID_VALUE, '""'), RUN_GATE).to_pylist()
+            bare = pc.replace_substring_regex(bodies, UUID_VALUE, '""')
+            rules = pc.or_(pc.match_substring_regex(bodies, gate), pc.match_substring_regex(bare, NUMBER_GATE)).to_pylist()
+            runs = pc.match_substring_regex(bare, RUN_GATE).to_pylist()
             size = pc.fill_null(pc.binary_length(bodies), 0).cast(pa.int64())
             n = len(bodies)
             new, hits, gone, parsed, errors = {}, [[]] * n, [0] * n, [None] * n, [None] * n
@@ -382,9 +388,15 @@ def redact_lines(lines: DataFrame, username: str = "", body: str = "body", famil
                     new[k], hits[k] = done, sorted(found.items())
             redacted = bodies if not new else pa.array([new.get(k, t) for k, t in enumerate(bodies.to_pylist())], pa.string())
             arrays = [redacted, pa.array(hits, pa.map_(pa.string(), pa.int64())), pa.array(gone, pa.int64()), size, pa.array(parsed, pa.bool_()), pa.array(errors, pa.string())]
-            yield pa.RecordBatch.from_arrays([*b.columns, *arrays], [*b.schema.names, *(n for n, _ in extra)])
+            yield pa.RecordBatch.from_arrays([*(b.column(n) for n in names_kept), *arrays], [*names_kept, *(n for n, _ in extra)])
 
-    return lines.mapInArrow(run, ", ".join([*kept, *(f"{n} {t}" for n, t in extra)]))
+    return _dealt(lines).mapInArrow(run, ", ".join([*kept, *(f"{n} {t}" for n, t in extra)]))
+
+
+def _dealt(rows: DataFrame) -> DataFrame:
+    """Rows over all cores: an input of fewer partitions than that is dealt out, any other stays as it lies."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
 
 
 def rebuild(redacted: DataFrame, keys: list[str]) -> DataFrame:

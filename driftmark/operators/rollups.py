@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from driftmark.functions.checks import upper_median
+from driftmark.functions.text import ancestors
 from driftmark.functions.times import duration_text, size_text
 
 DECISIONS = ("shipped", "unchanged", "skipped", "parked", "failed")
@@ -40,10 +41,12 @@ def survey_order(repos: DataFrame) -> DataFrame:
 
 
 def streaks(events: DataFrame, key: str, order: list[str], success: Column, counted: Column) -> DataFrame:
-    """By key: counted failures since the last success."""
-    back = Window.partitionBy(key).orderBy(*[F.desc(c) for c in order]).rowsBetween(Window.unboundedPreceding, 0)
-    open_ = events.withColumn("_later", F.sum(success.cast("int")).over(back))
-    return open_.groupBy(key).agg(F.count_if((F.col("_later") == 0) & counted).alias("streak"))
+    """By key: counted failures since the last success. No key's rows are sorted, or meet in one task."""
+    place = F.struct(*order)
+    last = events.groupBy(key).agg(F.max(F.when(success, place)).alias("_last"))
+    since = events.join(last, key).where(F.coalesce(place > F.col("_last"), F.lit(True)) & ~success)
+    found = since.groupBy(key).agg(F.count_if(counted).alias("streak"))
+    return last.select(key).join(found, key, "left").select(key, F.coalesce("streak", F.lit(0).cast("long")).alias("streak"))
 
 
 def latest(events: DataFrame, key: str, order: list[str], n: int = 20) -> DataFrame:
@@ -95,8 +98,6 @@ def attribute(files: DataFrame) -> DataFrame:
 
 def nearest_marker(dirs: DataFrame, markers: DataFrame, stop: Column | None = None) -> DataFrame:
     """Each directory (dir) with the deepest marked ancestor, itself included (null: none). markers: dir."""
-    from driftmark.functions.text import ancestors
-
     up = dirs.select("dir").distinct().withColumn("_up", F.explode(ancestors(F.col("dir"))))
     if stop is not None:
         up = up.where(F.length("_up") >= F.length(stop))
@@ -110,6 +111,21 @@ def tracked(rows: DataFrame, markers: DataFrame, stop: Column | None = None) ->
     return rows.join(marked, "dir", "left_anti")
 
 
+def repository_dirs(dirs: DataFrame, checkouts: DataFrame, home: str) -> DataFrame:
+    """Each directory (dir) with ``repo_dir``: the main working tree of the checkout it lies in, else the directory itself.
+
+    checkouts: root (a directory with a ``.git`` entry), common (the repository's own directory; null where the entry leads
+    nowhere). The nearest root counts, below the home directory only: one at or above it would claim everything. A
+    linked working tree folds into the main one; of a bare repository the directory itself stays.
+    """
+    up = dirs.select("dir").distinct().withColumn("root", F.explode(ancestors(F.col("dir"))))
+    # what lies at or above home is cut off; a directory that isn't below home is walked to the top
+    up = up.where(~((F.col("root") == home) | F.startswith(F.lit(home), F.concat(F.rtrim("root", F.lit("/")), F.lit("/"))) & F.startswith("dir", F.lit(home + "/"))))
+    near = up.join(checkouts.select("root", "common").distinct(), "root").groupBy("dir").agg(F.max_by("common", F.length("root")).alias("common"))
+    main = F.when(F.col("common").endswith("/.git"), F.regexp_replace("common", "/[.]git$", ""))
+    return dirs.join(near, "dir", "left").withColumn("repo_dir", F.coalesce(F.nullif(main, F.lit("")), "dir")).drop("common")
+
+
 def heartbeat(health: DataFrame, install: str) -> DataFrame:
     """One row for an installation: ``body``, JSON of its sources by name (their number is bounded), and ``source_hash``, the body's SHA-256."""
     sources = F.array_sort(F.collect_list(F.struct("source_id", *[c for c in health.columns if c != "source_id"])))

@@ -215,7 +215,7 @@ def redaction_density_by_source(t: Tables) -> DataFrame:
 def redact_documents(t: Tables) -> DataFrame:
     """The whole ladder over every document as raw text: redacted text, hits by rule, bytes."""
     rows = t("documents").select("doc_id", F.col("text").alias("body"), F.lit("").alias("family"), F.lit(False).alias("jsonl"))
-    done = redact.redact_lines(rows)
+    done = redact.redact_lines(rows, keep_body=False)
     return done.select("doc_id", "redacted", rollups.rule_summary(F.col("rule_hits")).alias("rules"), "bytes_redacted", "bytes_total")
 
 
@@ -224,7 +224,7 @@ def redact_transcripts(t: Tables) -> DataFrame:
     """Conversations as JSON lines, redacted by field, and put together again with their ledger."""
     line = F.to_json(F.struct(F.col("role").alias("type"), F.concat_ws("-", "conv_id", "turn").alias("uuid"), F.struct("role", F.array(F.struct(F.lit("text").alias("type"), "text")).alias("content")).alias("message")))
     lines = t("conversations").select("conv_id", F.col("turn").alias("line_no"), F.lit("\n").alias("ending"), line.alias("body"), F.lit("claude-code").alias("family"), F.lit(True).alias("jsonl"))
-    return redact.rebuild(redact.redact_lines(lines), ["conv_id"])
+    return redact.rebuild(redact.redact_lines(lines, keep_body=False), ["conv_id"])
 
 
 # --- rollups -------------------------------------------------------------------------------------

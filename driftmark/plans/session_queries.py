@@ -11,11 +11,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from driftmark.operators import derived, ranks, redact
+from driftmark.functions.text import ordered_union
+from driftmark.operators import changes, derived, ranks, redact, rollups
 from driftmark.plans import packs
 from driftmark.plans import queries as core
 from driftmark.plans.queries import Tables, query
-from driftmark.sources import catalog, keyvalue, tables
+from driftmark.sources import catalog, keyvalue, listing, logs, tables
 
 # --- stores ----------------------------------------------------------------------------------------
 
@@ -141,6 +142,83 @@ def state_newest(t: Tables) -> DataFrame:
     return tables.read_state(orders.sparkSession, folder, rows("true", F.lit("")).schema)
 
 
+@query("""SELECT user_id, list_aggregate(list_concat(base, list_filter(more, lambda x: NOT list_contains(base, x))), 'string_agg', ',') AS kinds FROM (
+  SELECT user_id, coalesce(list(event_type ORDER BY first) FILTER (NOT late), []) AS base, coalesce(list(event_type ORDER BY first) FILTER (late), []) AS more
+  FROM (SELECT user_id, event_type, event_id % 3 = 0 AS late, min(event_id) AS first FROM events GROUP BY ALL) GROUP BY user_id)""")
+def union_in_order(t: Tables) -> DataFrame:
+    """Two lists of each user as one, the base's order first."""
+    seen = t("events").groupBy("user_id", "event_type", (F.col("event_id") % 3 == 0).alias("late")).agg(F.min("event_id").alias("first"))
+    listed = lambda late: F.transform(F.array_sort(F.collect_list(F.when(F.col("late") == late, F.struct("first", "event_type")))), lambda x: x["event_type"])
+    sets = seen.groupBy("user_id").agg(listed(False).alias("base"), listed(True).alias("more"))
+    return sets.select("user_id", F.array_join(ordered_union(F.col("base"), F.col("more")), ",").alias("kinds"))
+
+
+@query("""WITH d AS (SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN '/home/r/' || lang WHEN doc_id % 5 = 0 THEN '/srv/' || source ELSE '/home/r/' || source || '/' || lang || '/' || doc_id % 3 END AS dir FROM documents),
+c AS (SELECT '/home/r' AS root, '/home/r/.git' AS common UNION ALL SELECT DISTINCT '/home/r/' || source, '/main/' || source || '/.git' FROM documents
+  UNION ALL SELECT DISTINCT '/home/r/' || source || '/en', '/bare/' || source FROM documents UNION ALL SELECT DISTINCT '/home/r/' || source || '/de', NULL FROM documents UNION ALL SELECT '/srv', '/srv/.git'),
+n AS (SELECT d.doc_id, d.dir, arg_max(coalesce(c.common, '-'), length(c.root)) AS common FROM d LEFT JOIN c ON (d.dir = c.root OR starts_with(d.dir, c.root || '/')) AND c.root <> '/home/r' GROUP BY ALL)
+SELECT doc_id, CASE WHEN common LIKE '%/.git' THEN left(common, length(common) - 5) ELSE dir END AS repo_dir FROM n""")
+def repository_dirs(t: Tables) -> DataFrame:
+    """Working directories with the main working tree of the checkout they lie in."""
+    d = t("documents")
+    n = F.col("doc_id")
+    dirs = F.when(n % 7 == 0, F.concat_ws("/", F.lit("/home/r"), "lang")).when(n % 5 == 0, F.concat_ws("/", F.lit("/srv"), "source")).otherwise(F.concat_ws("/", F.lit("/home/r"), "source", "lang", (n % 3).cast("string")))
+    rows = d.select("doc_id", dirs.alias("dir"))
+    root = F.concat(F.lit("/home/r/"), F.col("source"))
+    checkouts = d.select(root.alias("root"), F.concat(F.lit("/main/"), "source", F.lit("/.git")).alias("common")).distinct()
+    checkouts = checkouts.union(d.select(F.concat(root, F.lit("/en")), F.concat(F.lit("/bare/"), "source")).distinct()).union(d.select(F.concat(root, F.lit("/de")), F.lit(None).cast("string")).distinct())
+    checkouts = checkouts.union(d.sparkSession.createDataFrame([("/home/r", "/home/r/.git"), ("/srv", "/srv/.git")], "root string, common string"))
+    return rollups.repository_dirs(rows, checkouts, "/home/r").select("doc_id", "repo_dir")
+
+
+@query("""SELECT conv_id, coalesce(arg_min('v' || turn, turn) FILTER (turn < 16 AND turn % 4 = 3), NULL) AS version FROM conversations GROUP BY conv_id""")
+def producer_versions(t: Tables) -> DataFrame:
+    """The version that the first lines of a transcript name, in one of several fields."""
+    n = F.col("turn")
+    named = F.when(n % 4 == 3, F.concat(F.lit("v"), n.cast("string")))
+    record = F.struct("role", F.when(n % 8 == 3, named).alias("cli_version"), F.struct(F.when(n % 8 == 7, named).alias("version")).alias("payload"))
+    lines = F.transform(F.array_sort(F.collect_list(F.struct("turn", F.to_json(record).alias("line")))), lambda x: x["line"])
+    return t("conversations").groupBy("conv_id").agg(F.array_join(lines, "\n").alias("head")).select("conv_id", listing.producer_version(F.col("head")).alias("version"))
+
+
+@query("""SELECT user_id, event_id, owner <> '' AND install <> '' AND owner <> install AS is_foreign FROM (
+  SELECT user_id, event_id, CASE WHEN event_id % 5 = 0 THEN '' ELSE 'i' || user_id % 3 END AS owner, CASE WHEN event_id % 7 = 0 THEN '' ELSE 'i' || event_id % 3 END AS install FROM events)""")
+def foreign_states(t: Tables) -> DataFrame:
+    """States that another installation wrote."""
+    owner = F.when(F.col("event_id") % 5 == 0, "").otherwise(F.concat(F.lit("i"), (F.col("user_id") % 3).cast("string")))
+    install = F.when(F.col("event_id") % 7 == 0, "").otherwise(F.concat(F.lit("i"), (F.col("event_id") % 3).cast("string")))
+    return t("events").select("user_id", "event_id", changes.foreign(owner, install).alias("is_foreign"))
+
+
+# --- logs ------------------------------------------------------------------------------------------
+
+_LOG = "event_id long, user_id long, event_type string, ts timestamp"
+
+
+def _log(t: Tables) -> tuple[DataFrame, str]:
+    """Events appended to a log a quarter at a time, in generations of some kilobytes."""
+    events = t("events").select("event_id", "user_id", "event_type", F.col("ts").cast("timestamp").alias("ts"))
+    folder = tables.fresh_folder(events.sparkSession, "log")
+    for k in range(4):
+        logs.append(events.where(F.col("event_id") % 4 == k), folder, most_bytes=10_000)
+    return events, folder
+
+
+@query("""SELECT event_id, user_id, event_type FROM events ORDER BY event_id % 4 DESC, ts DESC, event_id DESC LIMIT 100""")
+def log_tail(t: Tables) -> DataFrame:
+    """The last 100 entries of a log, out of its newest generations."""
+    events, folder = _log(t)
+    return logs.read_last(events.sparkSession, folder, 100, [F.desc("ts"), F.desc("event_id")], _LOG).select("event_id", "user_id", "event_type")
+
+
+@query("""WITH e AS (SELECT *, (event_id % 4) * 1000000000000 + event_id AS place FROM events), g AS (SELECT user_id, coalesce(max(place) FILTER (event_type = 'purchase'), -1) AS good FROM e GROUP BY user_id)
+SELECT user_id, count(*) AS failures, arg_min(event_id, place) AS since FROM e JOIN g USING (user_id) WHERE place > good GROUP BY user_id""")
+def log_failures(t: Tables) -> DataFrame:
+    """Events of each user since the last purchase, in the order of a log."""
+    events, folder = _log(t)
+    return logs.failing(events.sparkSession, folder, "user_id", F.col("event_type") == "purchase", ["event_id"], _LOG)
+
+
 # --- ranks -----------------------------------------------------------------------------------------
 
 _SHARES = (0, 10, 25, 50, 75, 90, 99)

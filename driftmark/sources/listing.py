@@ -68,6 +68,15 @@ def first_field(head_text: Column, paths: list[str], lines: int = 16) -> Column:
     return F.get(F.filter(found, lambda v: v.isNotNull() & (v != "")), F.lit(0))
 
 
+#: Fields that name the version of what wrote a record, at its top or below ``payload``.
+VERSION_FIELDS = ("version", "cli_version", "payload.version", "payload.cli_version")
+
+
+def producer_version(head_text: Column) -> Column:
+    """The version of what wrote a file: of its first lines, the first field that names one."""
+    return first_field(head_text, list(VERSION_FIELDS))
+
+
 def project_map(candidates: DataFrame, paths: list[str], remotes: DataFrame) -> DataFrame:
     """One row for each project directory: the working directory its newest file names, and its git remote (cwd, remote)."""
     probed = candidates.select(project_dir(F.col("rel_path")).alias("project_dir"), "mtime_ns", first_field(F.make_valid_utf8(head().cast("string")), paths).alias("cwd")).where("project_dir <> ''")

@@ -191,17 +191,26 @@ def _put(spark: SparkSession, path: str, commit: dict, number: int, keep: int) -
             fs.delete(_hadoop(spark, f"{path}/{rows}")[0], True)
 
 
-def commit_state(state: DataFrame, path: str, keep: int = 2) -> None:
+def peek(spark: SparkSession, path: str) -> dict:
+    """What a state's newest commit says, without its rows: generation, count of rows (changes included), changes, owner; empty without one."""
+    known = _commits(spark, path)
+    if not known:
+        return {}
+    commit = _commit_of(spark, path, known[-1])
+    return {"generation": known[-1], "count": commit["base"]["count"] + sum(c["count"] for c in commit["changes"]), "changes": len(commit["changes"]), "owner": commit.get("owner", "")}
+
+
+def commit_state(state: DataFrame, path: str, keep: int = 2, owner: str = "") -> None:
     """Replace a state table as a whole: rows are written first, then a commit file appears by rename.
 
     The last ``keep`` generations stay, older ones go. A commit that another one came before is an error.
     """
     spark = state.sparkSession
     number = (_commits(spark, path) or [0])[-1] + 1
-    _put(spark, path, {"version": STATE_VERSION, "base": _write_part(state, path, "rows"), "changes": [], "keys": []}, number, keep)
+    _put(spark, path, {"version": STATE_VERSION, "base": _write_part(state, path, "rows"), "changes": [], "keys": [], "owner": owner}, number, keep)
 
 
-def commit_changes(rows: DataFrame, gone: DataFrame, path: str, keys: list[str], keep: int = 2) -> None:
+def commit_changes(rows: DataFrame, gone: DataFrame, path: str, keys: list[str], keep: int = 2, owner: str = "") -> None:
     """Commit new or changed ``rows`` of a state table and the keys of those that are ``gone``: as many rows are written as change.
 
     A key that is in both has its row. Beyond MOST_CHANGES commits, or MOST_SHARE of the rows in them, the table is written anew,
@@ -211,7 +220,7 @@ def commit_changes(rows: DataFrame, gone: DataFrame, path: str, keys: list[str],
     known = _commits(spark, path)
     number = (known or [0])[-1] + 1
     if not known:
-        return commit_state(rows, path, keep) if rows.limit(1).count() else None
+        return commit_state(rows, path, keep, owner) if rows.limit(1).count() else None
     commit = _commit_of(spark, path, known[-1])
     marked = rows.withColumns({"_gone": F.lit(False), "_number": F.lit(number).cast("long")})
     went = gone.select(*keys).join(rows.select(*keys), keys, "left_anti").withColumns({"_gone": F.lit(True), "_number": F.lit(number).cast("long")})
@@ -220,10 +229,10 @@ def commit_changes(rows: DataFrame, gone: DataFrame, path: str, keys: list[str],
         _hadoop(spark, path)[1].delete(_hadoop(spark, f"{path}/{part['rows']}")[0], True)
         return None
     changes = [*commit["changes"], part]
-    next_ = {"version": STATE_VERSION, "base": commit["base"], "changes": changes, "keys": keys}
+    next_ = {"version": STATE_VERSION, "base": commit["base"], "changes": changes, "keys": keys, "owner": owner or commit.get("owner", "")}
     _put(spark, path, next_, number, keep)
     if len(changes) > MOST_CHANGES or sum(c["count"] for c in changes) > max(10_000, MOST_SHARE * commit["base"]["count"]):
-        commit_state(read_state(spark, path, schema), path, keep)
+        commit_state(read_state(spark, path, schema), path, keep, next_["owner"])
     return None
 
 

@@ -57,6 +57,18 @@ def _rooted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in ((roots, pa.string()), (roots, pa.string()), ([os.path.realpath(r) for r in roots], pa.string()), (there, pa.bool_()))], ["source_root", "path", "resolved", "there"])
 
 
+def first_root(spark: SparkSession, roots: list[str], require_subdir: str = "") -> str | None:
+    """The first of a source's possible roots that is there, with the folder it must have; asked where the files are, not on the driver."""
+
+    def there(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array([os.path.isdir(os.path.join(r, require_subdir)) for r in batch.column("root").to_pylist()], pa.bool_()))
+
+    rows = spark.createDataFrame(list(enumerate(roots)), "place int, root string").coalesce(1).mapInArrow(there, "place int, root string")
+    found = rows.orderBy("place").first()
+    return found and found["root"]
+
+
 def denied(path: Column, deny: list[str]) -> Column:
     """Does a pattern match the path, or is it the root of a ``<root>/**`` pattern or below it?"""
     return matches_any(F.ltrim(path, F.lit("/")), deny) | in_tree(path, deny)

@@ -34,10 +34,12 @@ class Source:
     max_bytes: int = 256 << 20
     jsonl: bool = True
     deny: list[str] = field(default_factory=list)
+    roots: list[str] = field(default_factory=list)  # where the root may be, if not known yet; looked for before each tick
+    require_subdir: str = ""
 
     def spec_hash(self) -> str:
         """Of what decides how bytes are read; if it changes, all ships anew."""
-        return spec_hash({"root": [self.root], "include": self.include, "exclude": self.exclude, "jsonl": [str(self.jsonl)]})
+        return spec_hash({"root": self.roots or [self.root], "include": self.include, "exclude": self.exclude, "jsonl": [str(self.jsonl)]})
 
     def on_machine(self) -> bool:
         """Is the root a path that executors open themselves, not a store of Hadoop's?"""
@@ -57,6 +59,7 @@ class Collector:
     recompute_seconds: int = 0
     tick_seconds: float = 900.0
     delay: float = 900.0  # seconds to wait after the last tick
+    install: str = ""  # the installation that the state belongs to
     store: Callable[[SparkSession], DataFrame] | None = None  # rows (key, value) of the store that transcripts are enriched from
 
     def tick(self, now: str | None = None) -> dict[str, int]:
@@ -66,12 +69,20 @@ class Collector:
         read than may ship. What turns out unchanged gives its share back and gets its new time written down. A file
         that can't be read or redacted is parked, the others go on. Paths that a finished run no longer lists are forgotten, but only
         if it listed others and could see everything: an empty or unreadable folder proves nothing.
+        A source whose root isn't there yet is absent, and looked for again before the next run.
         With a store, transcripts that were looked at ship once more, enriched, if what is derived from them is new.
         """
         at = F.current_timestamp() if now is None else F.lit(now).cast("timestamp")
         if self.pause is not None and paused(self.pause, at):
             return {"paused": 1}
         src, spark = self.source, self.spark
+        if src.roots:
+            src.root = walk.first_root(spark, src.roots, src.require_subdir) or ""
+            if not src.root:
+                return {"absent": 1}
+        owner = tables.peek(spark, self.state_path).get("owner", "")
+        if owner and self.install and owner != self.install:
+            raise ValueError(f"the state belongs to installation {owner}")
         before = tables.read_state(spark, self.state_path, changes.STATE)
         specs = tables.read_state(spark, f"{self.state_path}/specs", "source_id string, spec_hash string")
         spec = spark.createDataFrame([(src.source_id, src.spec_hash())], "source_id string, spec_hash string")
@@ -99,7 +110,7 @@ class Collector:
                 live = seen.select(*changes.KEY)
                 live = live.union(live.select("source_id", F.concat("native_path", F.lit(derived.SUFFIX))))
                 gone = gone.union(state.where(F.col("source_id") == src.source_id).join(live, changes.KEY, "left_anti").select(*changes.KEY))
-            tables.commit_changes(new, gone, self.state_path, changes.KEY)
+            tables.commit_changes(new, gone, self.state_path, changes.KEY, owner=self.install)
         known = {r["source_id"]: r["spec_hash"] for r in specs.collect()}
         if known.get(src.source_id) != src.spec_hash():  # last: a run that dies before drops the old rows again
             rest = specs.where(F.col("source_id") != src.source_id)
@@ -141,7 +152,7 @@ class Collector:
         payloads = texts.select(F.lit(src.source_id).alias("source_id"), "native_path", "content_hash", F.lit(src.family).alias("family"), F.lit(src.jsonl).alias("jsonl"), F.col("text").alias("content"))
         payloads = payloads.withColumn("n_lines", F.greatest(F.lit(1), F.regexp_count("content", F.lit("\n")) + F.when(F.col("content").endswith("\n"), 0).otherwise(1)) if src.jsonl else F.lit(1))
         lines = redact.split_lines(payloads) if src.jsonl else payloads.withColumnRenamed("content", "body").withColumns({"line_no": F.lit(0), "ending": F.lit("")})
-        done = redact.rebuild(redact.redact_lines(lines, self.username), ["source_id", "native_path", "content_hash", "n_lines"])
+        done = redact.rebuild(redact.redact_lines(lines, self.username, keep_body=False), ["source_id", "native_path", "content_hash", "n_lines"])
         torn = F.when(F.col("lines") != F.col("n_lines"), F.lit("it changed while it was read"))
         objects = done.withColumn("error", F.coalesce("error", torn)).withColumn("key", mirror_name(self.name_key, canonical_path(F.col("native_path"), self.username)))
         manifest = F.struct("native_path", "scan_mode", "bytes_redacted", "bytes_total", "lines_parsed", "lines_raw")

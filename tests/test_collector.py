@@ -156,6 +156,28 @@ def test_what_ships_is_what_is_hashed(spark, tmp_path, monkeypatch):
     assert row["source_hash"] == hashlib.sha256(shipped.encode()).hexdigest()
 
 
+def test_a_root_that_comes_later(spark, tmp_path):
+    c = collector(spark, tmp_path, roots=[str(tmp_path / "a"), str(tmp_path / "b")], require_subdir="projects")
+    (tmp_path / "a").mkdir()
+    assert c.tick() == {"absent": 1}
+    write(tmp_path / "b/projects/p/x.jsonl", "{}\n")
+    assert c.tick() == {"shipped": 1} and c.tick() == {}
+    (tmp_path / "b").rename(tmp_path / "gone")
+    assert c.tick() == {"absent": 1} and len(state_paths(spark, tmp_path)) == 1
+
+
+def test_the_state_of_another_installation_is_refused(spark, tmp_path):
+    write(tmp_path / "in/projects/p/a.jsonl", "{}\n")
+    c = collector(spark, tmp_path)
+    c.install = "one"
+    assert c.tick() == {"shipped": 1} and tables.peek(spark, str(tmp_path / "state"))["owner"] == "one"
+    c.install = "two"
+    with pytest.raises(ValueError, match="installation one"):
+        c.tick()
+    c.install = ""
+    assert c.tick() == {}
+
+
 def test_catch_up_does_not_wait_for_the_clock(spark, tmp_path, monkeypatch):
     for k in range(5):
         write(tmp_path / f"in/projects/p/{k}.jsonl", '{"k":%d}\n' % k, at=1_700_000_000 + k)
