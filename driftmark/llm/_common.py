@@ -9,7 +9,7 @@ import types
 import uuid
 from collections.abc import Callable, Iterator
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Java class of the six ASCII white-space characters that end a word.
@@ -71,6 +71,38 @@ def key_join(big: DataFrame, keys: DataFrame, on: list[str] | str | Column, how:
     return big.join(F.broadcast(keys) if small else keys, on, how)
 
 
+#: Copies of a row that a task deals out at a time.
+COPIES = 10_000
+
+
+def with_copies(rows: DataFrame, label: str, copies: int = COPIES) -> DataFrame:
+    """Rows with ``_copy``, which numbers equal ones from 0: of a row that is there n times, each number below n once.
+
+    Equal rows are counted, which happens mostly before they are shuffled, and dealt out again, some at a time; so no task meets
+    all copies of a row, and the result doesn't depend on where the rows lay.
+    """
+    counted = materialize(rows.groupBy(*rows.columns).agg(F.count(F.lit(1)).alias("_copies")), label)
+    lone, more = counted.where("_copies = 1"), counted.where("_copies > 1")
+    part = F.explode(F.sequence(F.lit(0).cast("long"), F.col("_copies") - 1, F.lit(copies).cast("long"))).alias("_from")
+    more = more.select("*", part).repartition(F.xxhash64(*rows.columns, "_from"))
+    copy = F.explode(F.sequence(F.col("_from"), F.least(F.col("_from") + copies, F.col("_copies")) - 1))
+    return lone.withColumn("_copy", F.lit(0).cast("long")).unionByName(more.withColumn("_copy", copy).drop("_from")).drop("_copies")
+
+
+def numbered(rows: DataFrame, key: list[str], label: str) -> DataFrame:
+    """Rows with ``_copy``, their number from 0 among those of one key; a key's rows are numbered where they lie, never in one task."""
+    placed = materialize(rows.withColumn("_part", F.spark_partition_id()), label)
+    counts = placed.groupBy(*key, "_part").agg(F.count(F.lit(1)).alias("_n"))
+    before = F.sum("_n").over(Window.partitionBy(*key).orderBy("_part")) - F.col("_n")
+    offsets = materialize(counts.withColumn("_before", before).drop("_n"), label)
+    same = placed["_part"] == offsets["_part"]
+    for k in key:
+        same = same & placed[k].eqNullSafe(offsets[k])
+    own = F.row_number().over(Window.partitionBy(*[placed[k] for k in key], placed["_part"]).orderBy(F.lit(0))) - 1
+    joined = placed.join(offsets, same).withColumn("_copy", own + F.col("_before"))
+    return joined.select(*[placed[c] for c in rows.columns], "_copy")
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """Bind ``value`` once for ``body``, so that lambdas in it don't evaluate it again."""
     return F.get(F.transform(F.array(value), body), F.lit(0))

@@ -22,6 +22,8 @@ from ._common import key_join, materialize
 
 #: Bytes of the texts of a range of ids that one task walks, and documents of one, about.
 RANGE_BYTES, RANGE_DOCS = 16 << 20, 50_000
+#: Ranges, at most.
+MOST_RANGES = 4_000
 
 
 def canonical(text: str) -> str:
@@ -148,12 +150,12 @@ def compare_with_next(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
     The edited text has its last quarter (rounded down) replaced by as many first characters of the next
     document by ascending id (null ids first, equal ids by a hash of their texts, equal rows in any order; after the last comes
     the first). An exact digest is alike (1.0, once the bytes agree) or not (0.0). Null text counts as empty.
-    Texts move once, to ranges of ids of about RANGE_BYTES; a recurring id is split by its texts and row numbers.
+    Texts move once, to ranges of ids of about RANGE_BYTES, or to MOST_RANGES larger ones, as a range is sorted on disk and walked; a recurring id is split by its texts and row numbers.
     Where ranges meet, their last and first texts are compared afterwards. An empty table gives an empty result.
     """
     docs = _typed(docs, doc_id, text)
     size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)), F.count(F.lit(1))).first()
-    parts = max(1, -(-size[0] // RANGE_BYTES), -(-size[1] // RANGE_DOCS))
+    parts = min(MOST_RANGES, max(1, -(-size[0] // RANGE_BYTES), -(-size[1] // RANGE_DOCS)))
     keyed = docs.select("doc_id", "text", F.xxhash64("text").alias("_h"), F.monotonically_increasing_id().alias("_no"))
     order = [F.col("doc_id").asc_nulls_first(), "_h", "_no"]
     ranges = keyed.repartitionByRange(parts, *order).sortWithinPartitions(*order).select("doc_id", "text")

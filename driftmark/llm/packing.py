@@ -14,12 +14,10 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import materialize, word_count
+from ._common import materialize, with_copies, word_count
 
 #: Words of a bin, and pieces packed together by one task at a time.
 CAPACITY, GROUP_PIECES = 2_048, 2_048
-#: Copies of a row that a task deals out at a time.
-COPIES = 10_000
 
 
 def best_fit(pieces: list[tuple[int, int, int]], capacity: int) -> list[int]:
@@ -74,22 +72,16 @@ def pack(items: DataFrame, capacity: int = CAPACITY, group_pieces: int = GROUP_P
     rows alone, not on their order or on how they lie in files. An empty table gives an empty result.
     """
     sized = items.select("item", F.greatest(F.coalesce("size", F.lit(0)), F.lit(0)).cast("long").alias("_n"), "source", "cluster")
-    # equal rows are counted and dealt out again as copies, some at a time, so that no task makes all copies of a row
-    counted = materialize(sized.groupBy(*sized.columns).agg(F.count(F.lit(1)).alias("_copies")), "pack-items")
-    lone, more = counted.where("_copies = 1"), counted.where("_copies > 1")
-    part = F.explode(F.sequence(F.lit(0).cast("long"), F.col("_copies") - 1, F.lit(COPIES).cast("long"))).alias("_from")
-    more = more.select("*", part).repartition(F.xxhash64("item", "source", "cluster", "_from"))
-    copy = F.explode(F.sequence(F.col("_from"), F.least(F.col("_from") + COPIES, F.col("_copies")) - 1))
-    sized = lone.withColumn("_row", F.lit(0).cast("long")).unionByName(more.withColumn("_row", copy).drop("_from")).drop("_copies")
+    sized = with_copies(sized, "pack-items")
     last = F.greatest(F.ceil(F.col("_n") / capacity) - 1, F.lit(0)).cast("int")
     cut = sized.withColumn("piece", F.explode(F.sequence(F.lit(0), last))).withColumn("start", F.col("piece") * F.lit(capacity).cast("long"))
     cut = cut.withColumn("size", F.least(F.col("_n") - F.col("start"), F.lit(capacity)).cast("int")).drop("_n")
     cut = materialize(cut, "pack-pieces")
     groups = max(1, -(-cut.count() // group_pieces))
-    salt = F.pmod(F.xxhash64("item", "piece", "source", "cluster", "size", "_row"), F.lit(groups))
+    salt = F.pmod(F.xxhash64("item", "piece", "source", "cluster", "size", "_copy"), F.lit(groups))
 
     def one(table: pa.Table) -> pa.Table:
-        ties = ("item", "piece", "source", "cluster", "_row")
+        ties = ("item", "piece", "source", "cluster", "_copy")
         table = table.take(pc.sort_indices(table, [("size", "descending"), *((c, "ascending") for c in ties)], null_placement="at_start"))
         col = {c: table.column(c).to_pylist() for c in ("size", "source", "cluster")}
         bins = best_fit(list(zip(col["size"], _bits(col["source"], False), _bits(col["cluster"], True), strict=True)), capacity)

@@ -101,7 +101,7 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Shard of every document: doc_id, bytes, shard, shard_depth, shard_bytes, shard_docs.
 
-    Null texts have 0 bytes; rows of one id, and all rows without one, share a shard. An empty table gives no rows.
+    Null texts have 0 bytes; rows of one id, rows without one and equal rows are spread like any other. An empty table gives no rows.
     """
     return sharding.shard(read_table(spark, sf_dir, "documents"))
 
@@ -148,9 +148,11 @@ FROM p LEFT JOIN f ON p.payload_digest = f.payload_digest AND p.payload_bytes >=
 
 OP10_SQL = f"""
 WITH RECURSIVE sized AS (
-  SELECT doc_id, coalesce(strlen(text), 0) AS bytes,
-         ('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), 'null')), 1, 15))::BIGINT AS h
-  FROM documents),
+  SELECT doc_id, bytes, ('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), 'null') || '/' || mark || '/' || copy), 1, 15))::BIGINT AS h
+  FROM (
+    SELECT doc_id, coalesce(strlen(text), 0) AS bytes, md5(coalesce(text, '')) AS mark,
+           row_number() OVER (PARTITION BY doc_id, coalesce(text, '')) - 1 AS copy
+    FROM documents)),
 buckets AS (
   SELECT doc_id, bytes, h, 0 AS depth, sum(bytes) OVER () AS total, count(*) OVER () AS docs FROM sized
   UNION ALL

@@ -11,7 +11,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import key_join, materialize
+from ._common import key_join, materialize, numbered, with_copies
 
 HASH_BITS = 60
 #: Bits that a round below the first looks at.
@@ -22,16 +22,25 @@ SHARD_BYTES = 1 << 20
 CELLS = 4
 
 
-def hash_bits(doc_id: Column) -> Column:
-    """The first 60 bits of the md5 of the id as text (null: of the text 'null'), as a long."""
-    return F.conv(F.substring(F.md5(F.coalesce(doc_id.cast("string"), F.lit("null")).cast("binary")), 1, HASH_BITS // 4), 16, 10).cast("long")
+def text_mark(text: Column) -> Column:
+    """What tells rows of one id apart: the md5 of the text (null: of the empty one)."""
+    return F.md5(F.coalesce(text, F.lit("")).cast("binary"))
+
+
+def hash_bits(doc_id: Column, mark: Column, copy: Column) -> Column:
+    """The first 60 bits of the md5 of id (null: 'null'), text_mark and the number among equal rows, as a long.
+
+    So rows of one id, or without one, part like any others, and so do equal rows.
+    """
+    whole = F.concat_ws("/", F.coalesce(doc_id.cast("string"), F.lit("null")), mark, copy.cast("string"))
+    return F.conv(F.substring(F.md5(whole.cast("binary")), 1, HASH_BITS // 4), 16, 10).cast("long")
 
 
 def directory(sized: DataFrame, limit: int) -> DataFrame:
     """Buckets (depth, prefix, bytes, docs): the shortest prefixes whose documents fit in ``limit`` bytes.
 
     sized: columns h (60 bits), bytes. A prefix of all 60 bits that is too large stays:
-    its documents have one hash (equal ids) and no further bit could part them.
+    its documents have one hash and no further bit could part them.
     """
     total = sized.agg(F.coalesce(F.sum("bytes"), F.lit(0))).first()[0]
     done, depth, todo = None, 0, sized
@@ -83,19 +92,21 @@ def assign_shards(sized: DataFrame, limit: int = SHARD_BYTES) -> DataFrame:
 def shard(docs: DataFrame, limit: int = SHARD_BYTES, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row for each document: doc_id, bytes (UTF-8; null text: 0), shard, shard_depth, shard_bytes, shard_docs.
 
-    Every row gets one shard; repeated ids share one. A shard is over the limit only if it holds
-    a single document, or several of one id. An empty table gives an empty result.
+    Every row gets one shard. A shard is over the limit only if it holds a single document. Rows of one id and rows without
+    one are spread by their texts, equal rows by their number. An empty table gives an empty result.
     """
-    sized = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.octet_length(text), F.lit(0)).cast("long").alias("bytes")).withColumn("h", hash_bits(F.col("doc_id")))
-    return assign_shards(materialize(sized, "shard-sized"), limit).drop("h")
+    sized = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.octet_length(text), F.lit(0)).cast("long").alias("bytes"), text_mark(F.col(text)).alias("_mark"))
+    sized = with_copies(sized, "shard-counted").withColumn("h", hash_bits(F.col("doc_id"), F.col("_mark"), F.col("_copy")))
+    return assign_shards(materialize(sized.select("doc_id", "bytes", "h"), "shard-sized"), limit).drop("h")
 
 
 def write_shards(docs: DataFrame, path: str, limit: int = SHARD_BYTES, doc_id: str = "doc_id", text: str = "text") -> None:
     """Write the rows of ``docs`` as Parquet, one folder for each shard; its name replaces any column ``shard``.
 
-    Rows without an id lie in the shard of the text 'null'. An empty table writes nothing but the schema.
+    Readers must take the column ``shard`` as text, as names are digits with zeros in front. Where all fits in one shard its name is empty, and its folder that of Hive's default partition. An empty table writes nothing
+    but the schema.
     """
-    found = shard(docs, limit, doc_id, text).select(F.col("doc_id").alias("_id"), "shard").distinct()
-    rows = docs.select(F.struct(*[F.col(c) for c in docs.columns if c != "shard"]).alias("_row"))
-    out = rows.join(found, F.col("_row")[doc_id].eqNullSafe(F.col("_id"))).select("_row.*", "shard")
+    rows = docs.select(F.struct(*[F.col(c) for c in docs.columns if c != "shard"]).alias("_doc"), F.col(doc_id).alias("_id"), text_mark(F.col(text)).alias("_mark"), F.coalesce(F.octet_length(text), F.lit(0)).cast("long").alias("bytes"))
+    rows = numbered(rows, ["_id", "_mark"], "shard-rows").withColumn("h", hash_bits(F.col("_id"), F.col("_mark"), F.col("_copy")))
+    out = assign_shards(materialize(rows.select("_doc", "bytes", "h"), "shard-written"), limit).select("_doc.*", "shard")
     out.repartition("shard").write.partitionBy("shard").parquet(path)

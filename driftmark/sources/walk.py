@@ -87,9 +87,8 @@ def walk(spark: SparkSession, roots: list[str], scratch: str, deny: list[str] =
     first = first.where("there").withColumn("closed", denied(F.col("resolved"), deny) | denied(F.col("path"), deny))
     refused = first.where("closed").select(*keep, F.lit("unreadable").alias("kind"), F.lit(None).cast("long").alias("size"), F.lit(None).cast("long").alias("mtime_ns"), F.lit("the deny list refuses it").alias("error"))
     refused.write.parquet(f"{place}/level=0")
-    frontier = first.where("NOT closed").select(*keep)
+    frontier, count = first.where("NOT closed").select(*keep), len(roots)
     for level in range(1, most_levels):
-        count = frontier.count()
         if not count:
             return spark.read.schema(ENTRIES).option("basePath", place).parquet(*[f"{place}/level={k}" for k in range(level)])
         tasks = -(-count // DIRS_PER_TASK)
@@ -97,6 +96,7 @@ def walk(spark: SparkSession, roots: list[str], scratch: str, deny: list[str] =
         closed = (F.col("kind") == "dir") & (in_tree(F.col("path"), deny) | in_tree(F.col("resolved"), deny))
         found.where(~closed).write.parquet(f"{place}/level={level}")
         frontier = spark.read.schema(ENTRIES).parquet(f"{place}/level={level}").where("kind = 'dir'").select(*keep)
+        count = frontier.count()
     raise ValueError(f"a tree of more than {most_levels} levels")
 
 

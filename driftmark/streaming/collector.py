@@ -91,7 +91,8 @@ class Collector:
             listed, seen_all = self._listed(folder)
             seen = kept(changes.to_look_at(listed, state, at, self.recompute_seconds))
             look, outcomes, counts, done = seen.where("look").drop("look", "waits"), None, Counter(), 0
-            todo, left, waits = look.count(), self.budget, seen.where("waits").count()
+            there, todo, waits = seen.agg(F.count(F.lit(1)), F.count_if("look"), F.count_if("waits")).first()
+            left = self.budget
             while left and done < todo:
                 rest = look if outcomes is None else look.join(outcomes.select("native_path"), "native_path", "left_anti")
                 mine = kept(rest.orderBy("source_id", "mtime_ns", "rel_path", "native_path").limit(left))
@@ -106,11 +107,12 @@ class Collector:
                 counts["enriched"] = more.count()
                 new = new.unionByName(more, allowMissingColumns=True)
             gone = before.join(state.select(*changes.KEY), changes.KEY, "left_anti").select(*changes.KEY)
-            if done >= todo and seen_all and seen.limit(1).count():
+            if done >= todo and seen_all and there:
                 live = seen.select(*changes.KEY)
                 live = live.union(live.select("source_id", F.concat("native_path", F.lit(derived.SUFFIX))))
                 gone = gone.union(state.where(F.col("source_id") == src.source_id).join(live, changes.KEY, "left_anti").select(*changes.KEY))
-            tables.commit_changes(new, gone, self.state_path, changes.KEY, owner=self.install)
+            if outcomes is not None or gone.limit(1).count():
+                tables.commit_changes(new, gone, self.state_path, changes.KEY, owner=self.install)
         known = {r["source_id"]: r["spec_hash"] for r in specs.collect()}
         if known.get(src.source_id) != src.spec_hash():  # last: a run that dies before drops the old rows again
             rest = specs.where(F.col("source_id") != src.source_id)

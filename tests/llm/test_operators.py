@@ -311,29 +311,56 @@ def test_dual_solution_is_an_exponential_tilt(spark):
 # --- sharding ---
 
 
+def brute_shards(rows, limit):
+    """(id, bytes, shard, bytes and rows of the shard) of every row, by splitting buckets that are too large."""
+    marks = lambda t: hashlib.md5((t or "").encode()).hexdigest()
+    copies, todo, out = Counter(), [], []
+    for i, t in rows:
+        copy, copies[i, t or ""] = copies[i, t or ""], copies[i, t or ""] + 1
+        whole = f"{'null' if i is None else i}/{marks(t)}/{copy}"
+        todo.append((bin(int(hashlib.md5(whole.encode()).hexdigest()[:15], 16))[2:].zfill(60), i, len((t or "").encode())))
+    buckets = [("", todo)] if todo else []
+    while buckets:
+        prefix, held = buckets.pop()
+        size = sum(n for _, _, n in held)
+        if size <= limit or len(held) == 1 or len(prefix) == 60:
+            out += [(i, n, prefix, size, len(held)) for _, i, n in held]
+        else:
+            parts = [(prefix + bit, [x for x in held if x[0][len(prefix)] == bit]) for bit in "01"]
+            buckets += [p for p in parts if p[1]]
+    return Counter(out)
+
+
 def test_shards_are_the_least_prefixes_that_fit(spark):
     rng = random.Random(8)
-    rows = [(k, "x" * rng.choice([0, 10, 100, 5_000])) for k in range(500)] + [(7, "y" * 900)] * 3
-    got = sharding.shard(spark.createDataFrame(rows, "doc_id long, text string"), 2_000).collect()
-    bits = {i: bin(int(hashlib.md5(str(i).encode()).hexdigest()[:15], 16))[2:].zfill(60) for i, _ in rows}
-    held = defaultdict(list)
-    for r in got:
-        assert bits[r["doc_id"]].startswith(r["shard"])
-        held[r["shard"]].append(r)
-    load = lambda p: (sum(len(t) for i, t in rows if bits[i].startswith(p)), sum(bits[i].startswith(p) for i, _ in rows))
-    for p, members in held.items():
-        assert (members[0]["shard_bytes"], members[0]["shard_docs"]) == load(p)
-        assert load(p)[0] <= 2_000 or load(p)[1] == 1 or len(p) == 60
-        assert not p or (load(p[:-1])[0] > 2_000 and load(p[:-1])[1] > 1)
+    rows = [(k, "x" * rng.choice([0, 10, 100, 5_000])) for k in range(500)] + [(7, "y" * 900)] * 60
+    rows += [(None, "n" * k) for k in range(100)] + [(None, None), (8, None), (8, "")] + [(9, f"text {k}" * 30) for k in range(50)]
+    got = sharding.shard(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), 2_000).collect()
+    found = Counter((r["doc_id"], r["bytes"], r["shard"], r["shard_bytes"], r["shard_docs"]) for r in got)
+    assert found == brute_shards(rows, 2_000)
+    assert all(size <= 2_000 or n == 1 for _, _, _, size, n in found)  # a hot id, rows without one and equal rows are split, too
     one = sharding.shard(spark.createDataFrame(rows[:3], "doc_id long, text string"), 10**9).collect()
     assert {r["shard"] for r in one} == {""}
 
 
+def test_equal_rows_are_numbered_where_they_lie(spark):
+    rows = [("a", 1)] * 40 + [(None, 2)] * 25 + [("b", k) for k in range(10)]
+    got = _common.numbered(spark.createDataFrame(rows, "k string, v long").repartition(6), ["k", "v"], "numbered").collect()
+    want = Counter((k, v, n) for (k, v), count in Counter(rows).items() for n in range(count))
+    assert Counter((r["k"], r["v"], r["_copy"]) for r in got) == want
+    dealt = _common.with_copies(spark.createDataFrame(rows, "k string, v long"), "copies", 7).collect()
+    assert Counter((r["k"], r["v"], r["_copy"]) for r in dealt) == want
+
+
 def test_written_shards_read_back(spark, tmp_path):
     df = spark.createDataFrame([(k, "x" * 50, "clash", "clash", "clash") for k in range(60)], "doc_id long, text string, bytes string, shard string, _id string")
     sharding.write_shards(df, str(tmp_path / "shards"), 500)
     back = spark.read.parquet(str(tmp_path / "shards"))
     assert ids(back) == ids(df) and back.select("shard").distinct().count() > 1
+    odd = spark.createDataFrame([(None, "same", k) for k in range(90)] + [(4, None, 0)], "doc_id long, text string, more long")
+    sharding.write_shards(odd.repartition(3), str(tmp_path / "odd"), 40)
+    back = spark.read.schema("more long, shard string").parquet(str(tmp_path / "odd"))
+    assert sorted(r["more"] for r in back.collect()) == sorted(r["more"] for r in odd.collect()) and back.groupBy("shard").count().agg(F.max("count")).first()[0] <= 11
 
 
 # --- WARC ---
