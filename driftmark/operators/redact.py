@@ -58,7 +58,7 @@ def hits_by_rule(docs: DataFrame, rules: list[R.Rule], text: str = "text") -> Da
         found = [k for k, n in hits.items() if n]
         yield pa.RecordBatch.from_pydict({"rule_id": found, "docs": [seen[k] for k in found], "hits": [hits[k] for k in found]}, pa.schema([("rule_id", pa.string()), ("docs", pa.int64()), ("hits", pa.int64())]))
 
-    partial = _dealt(docs.select(text)).mapInArrow(count, "rule_id string, docs long, hits long")
+    partial = docs.select(text).mapInArrow(count, "rule_id string, docs long, hits long")
     return partial.groupBy("rule_id").agg(F.sum("docs").alias("docs"), F.sum("hits").alias("hits"))
 
 
@@ -390,13 +390,16 @@ def redact_lines(lines: DataFrame, username: str = "", body: str = "body", famil
             arrays = [redacted, pa.array(hits, pa.map_(pa.string(), pa.int64())), pa.array(gone, pa.int64()), size, pa.array(parsed, pa.bool_()), pa.array(errors, pa.string())]
             yield pa.RecordBatch.from_arrays([*(b.column(n) for n in names_kept), *arrays], [*names_kept, *(n for n, _ in extra)])
 
-    return _dealt(lines).mapInArrow(run, ", ".join([*kept, *(f"{n} {t}" for n, t in extra)]))
+    return lines.mapInArrow(run, ", ".join([*kept, *(f"{n} {t}" for n, t in extra)]))
 
 
-def _dealt(rows: DataFrame) -> DataFrame:
-    """Rows over all cores: an input of fewer partitions than that is dealt out, any other stays as it lies."""
-    cores = rows.sparkSession.sparkContext.defaultParallelism
-    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
+def dealt(table: DataFrame) -> DataFrame:
+    """A table as it is read, over all cores: one of fewer partitions than that is dealt out, any other stays as it lies.
+
+    For plain tables only: of a plan with shuffles, asking for its partitions would run them.
+    """
+    cores = table.sparkSession.sparkContext.defaultParallelism
+    return table.repartition(cores) if table.rdd.getNumPartitions() < cores else table
 
 
 def rebuild(redacted: DataFrame, keys: list[str]) -> DataFrame:

@@ -122,7 +122,7 @@ def redact_rule_ledger(t: Tables) -> DataFrame:
 
     One scan; only rules that hit become rows, and a task hands on one row of partial counts a rule.
     """
-    docs = t("documents")
+    docs = redact.dealt(t("documents").select("doc_id", "text"))
     found = redact.hits_by_rule(_planted(docs), LEDGER_RULES)
     rules = docs.sparkSession.createDataFrame([(r.rule_id,) for r in LEDGER_RULES], "rule_id string")
     zero = F.lit(0).cast("long")
@@ -214,7 +214,8 @@ def redaction_density_by_source(t: Tables) -> DataFrame:
 @query()
 def redact_documents(t: Tables) -> DataFrame:
     """The whole ladder over every document as raw text: redacted text, hits by rule, bytes."""
-    rows = t("documents").select("doc_id", F.col("text").alias("body"), F.lit("").alias("family"), F.lit(False).alias("jsonl"))
+    docs = redact.dealt(t("documents").select("doc_id", F.col("text").alias("body")))
+    rows = docs.select("doc_id", "body", F.lit("").alias("family"), F.lit(False).alias("jsonl"))
     done = redact.redact_lines(rows, keep_body=False)
     return done.select("doc_id", "redacted", rollups.rule_summary(F.col("rule_hits")).alias("rules"), "bytes_redacted", "bytes_total")
 
