@@ -115,7 +115,9 @@ _ENCODED = re.compile(rf'"{_GAP}*([A-Za-z0-9+/=_-]{{{R.ENTROPY_LENGTH},}}){_GAP}
 #: Hex digits, with the letter of an escape before them at most (the digits of one are hex, too).
 _HEX = re.compile("[A-Za-z]?[0-9a-fA-F]+")
 #: What redaction leaves in a text.
-_SENTINEL = rf"__REDACTED:[a-z0-9-]+__|{re.escape(R.USER_PLACEHOLDER)}"
+_SENTINEL = re.compile(rf"(__REDACTED:[a-z0-9-]+__|{re.escape(R.USER_PLACEHOLDER)})")
+#: Key names that a task remembers.
+_ASKED = 20_000
 #: Deeper lines are looked at one by one.
 _DEEP = 256
 
@@ -126,6 +128,7 @@ class Ladder:
     def __init__(self, username: str = "", chosen: packs.Chosen | None = None):
         self.username = username if len(username) >= 2 else ""
         chosen = chosen or packs.compiled(packs.available())
+        self.asked: dict[str, bool] = {}
         pem = "private-key-block"
         self.blocks = any(r.rule_id == pem for r in chosen.rules)
         self.heuristics = "generic-entropy" in chosen.heuristics
@@ -147,8 +150,7 @@ class Ladder:
         self.exempt = {(family, path) for family, paths in R.EXEMPT.items() for path in paths}
         skip = [R.USER_PLACEHOLDER, "__REDACTED"] + [self.username] * bool(self.username)
         self.skip = re.compile("|".join(rf"(?<![A-Za-z0-9]){re.escape(s)}(?![A-Za-z0-9])" for s in skip))
-        # a sentinel that is in the text already is matched first, and stays
-        self.user = re.compile(rf"({_SENTINEL})|(?<![A-Za-z0-9]){re.escape(self.username)}(?![A-Za-z0-9])") if self.username else None
+        self.user = re.compile(rf"(?<![A-Za-z0-9]){re.escape(self.username)}(?![A-Za-z0-9])") if self.username else None
 
     def patterns(self, value: str) -> list[tuple[int, int, str]]:
         """Spans (start, end, rule) of all pattern rules; what a check refuses is passed over whole."""
@@ -234,12 +236,15 @@ class Ladder:
 
     def value(self, value: str, key: str = "", doubtful: bool = False) -> tuple[str, Counter, int]:
         """A value redacted, hits by rule, and how many of its bytes went."""
-        if key and value and secret_key(key):
+        if key and value and self.secret(key):
             return R.sentinel("key-name"), Counter({"key-name": 1}), len(value.encode())
         spans = self.patterns(value)
         unsure = self.entropy(value) if doubtful and self.heuristics else []
-        if not spans and not unsure and (inner := self.encoded(value)):
-            return R.sentinel(inner), Counter({inner: 1}), len(value.encode())
+        if not spans and not unsure:
+            if inner := self.encoded(value):
+                return R.sentinel(inner), Counter({inner: 1}), len(value.encode())
+            if not self.user or self.username not in value:
+                return value, Counter(), 0
         out, at, gone, hits, users = [], 0, 0, Counter(), 0
 
         def named(text: str) -> str:
@@ -247,8 +252,11 @@ class Ladder:
             nonlocal users
             if not self.user or self.username not in text:
                 return text
-            users += sum(m[1] is None for m in self.user.finditer(text))
-            return self.user.sub(lambda m: m[1] or R.USER_PLACEHOLDER, text)
+            parts = _SENTINEL.split(text)  # a sentinel that is in the text already stays
+            for k in range(0, len(parts), 2):
+                parts[k], n = self.user.subn(R.USER_PLACEHOLDER, parts[k])
+                users += n
+            return "".join(parts)
 
         for a, b, r in self.resolve(spans, unsure):
             out += [named(value[at:a]), R.sentinel(r)]
@@ -261,6 +269,14 @@ class Ladder:
             gone += users * len(self.username.encode())
         return done, hits, gone
 
+    def secret(self, key: str) -> bool:
+        """Is a key name that of a credential? Names recur in every line, so answers are kept."""
+        if key not in self.asked:
+            if len(self.asked) >= _ASKED:
+                self.asked.clear()
+            self.asked[key] = secret_key(key)
+        return self.asked[key]
+
     def line(self, body: str, family: str) -> tuple[str, Counter, int, bool]:
         """A JSON line with its dirty strings redacted and every other byte kept, or else raw text; last: was it JSON?"""
         try:
@@ -281,7 +297,7 @@ class Ladder:
             elif t == "," and top[0]:
                 top[2] = None
             elif t[0] == '"':
-                text = json.loads(t, strict=False)
+                text = json.loads(t, strict=False) if "\\" in t else t[1:-1]
                 is_key = bool(top) and top[0] and top[2] is None
                 path = (f"{top[1]}.{text}" if top[1] else text) if is_key else top[3] if top else ""
                 free = (family, path) in self.exempt or ("*", path) in self.exempt

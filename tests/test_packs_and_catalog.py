@@ -45,13 +45,13 @@ def test_lines_under_chosen_packs(spark):
 @settings(max_examples=150, deadline=None)
 @given(st.sampled_from(["email", "REDACTED", "key", "pan", "USER", "aws-access-key-id", "__", "a", "robin"]), st.lists(st.sampled_from(["jane@example.org", KEY, "__REDACTED:email__", "__USER__", "__REDACTED:key-name__", "email", "REDACTED", "key", "robin", "USER", "/home/", " ", "_", "x"]), max_size=8))
 def test_sentinels_stay_whole(name, parts):
-    text = "".join(parts)
+    text = "".join(parts).replace("__jane", "__ jane")  # else the address begins in the sentinel
     plain, _, _ = redact.Ladder().value(text)
     done, hits, _ = redact.Ladder(name).value(text)
     rules = lambda t: [s for s in SENTINEL.findall(t) if s != "__USER__"]
     assert rules(done) == rules(plain)  # none is broken, none is new
     rest = SENTINEL.sub("\0", done)
-    assert rest.count("__REDACTED:") == SENTINEL.sub("\0", plain).count("__REDACTED:")  # an address may begin in a sentinel
+    assert "__REDACTED:" not in rest
     if len(name) >= 2 and name.isalnum():
         assert not re.search(rf"(?<![A-Za-z0-9]){re.escape(name)}(?![A-Za-z0-9])", rest) and (hits["path-user"] > 0) == (done != plain)
 
