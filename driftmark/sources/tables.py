@@ -116,7 +116,12 @@ def _commits(spark: SparkSession, path: str) -> list[int]:
 
 
 def _commit_of(spark: SparkSession, path: str, number: int) -> dict:
-    commit = json.loads(spark.read.text(f"{path}/commit-{number:010d}", wholetext=True).first()[0])
+    place, fs = _hadoop(spark, f"{path}/commit-{number:010d}")
+    stream = fs.open(place)
+    try:
+        commit = json.loads(spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+    finally:
+        stream.close()
     if commit["version"] != STATE_VERSION:
         raise ValueError(f"the state has layout {commit['version']}, not {STATE_VERSION}")
     return commit
@@ -192,48 +197,53 @@ def _put(spark: SparkSession, path: str, commit: dict, number: int, keep: int) -
 
 
 def peek(spark: SparkSession, path: str) -> dict:
-    """What a state's newest commit says, without its rows: generation, count of rows (changes included), changes, owner; empty without one."""
+    """What a state's newest commit says, without its rows: generation, count of rows (changes included), changes, note; empty without one."""
     known = _commits(spark, path)
     if not known:
         return {}
     commit = _commit_of(spark, path, known[-1])
-    return {"generation": known[-1], "count": commit["base"]["count"] + sum(c["count"] for c in commit["changes"]), "changes": len(commit["changes"]), "owner": commit.get("owner", "")}
+    return {"generation": known[-1], "count": commit["base"]["count"] + sum(c["count"] for c in commit["changes"]), "changes": len(commit["changes"]), "note": commit["note"]}
 
 
-def commit_state(state: DataFrame, path: str, keep: int = 2, owner: str = "") -> None:
+def commit_state(state: DataFrame, path: str, keep: int = 2, note: dict | None = None) -> None:
     """Replace a state table as a whole: rows are written first, then a commit file appears by rename.
 
-    The last ``keep`` generations stay, older ones go. A commit that another one came before is an error.
+    The last ``keep`` generations stay, older ones go. A commit that another one came before is an error. note: what else the
+    commit says, a small dictionary.
     """
     spark = state.sparkSession
     number = (_commits(spark, path) or [0])[-1] + 1
-    _put(spark, path, {"version": STATE_VERSION, "base": _write_part(state, path, "rows"), "changes": [], "keys": [], "owner": owner}, number, keep)
+    _put(spark, path, {"version": STATE_VERSION, "base": _write_part(state, path, "rows"), "changes": [], "keys": [], "note": note or {}}, number, keep)
 
 
-def commit_changes(rows: DataFrame, gone: DataFrame, path: str, keys: list[str], keep: int = 2, owner: str = "") -> None:
+def commit_changes(rows: DataFrame, gone: DataFrame, path: str, keys: list[str], keep: int = 2, note: dict | None = None) -> None:
     """Commit new or changed ``rows`` of a state table and the keys of those that are ``gone``: as many rows are written as change.
 
     A key that is in both has its row. Beyond MOST_CHANGES commits, or MOST_SHARE of the rows in them, the table is written anew,
-    so each row is written a bounded number of times for each change. Nothing to commit is no commit.
+    so each row is written a bounded number of times for each change. note: as in commit_state, None for the last one's. Where neither
+    rows nor note are new there is no commit.
     """
     spark, schema = rows.sparkSession, rows.schema
     known = _commits(spark, path)
-    number = (known or [0])[-1] + 1
     if not known:
-        return commit_state(rows, path, keep, owner) if rows.limit(1).count() else None
-    commit = _commit_of(spark, path, known[-1])
+        if note or rows.limit(1).count():
+            commit_state(rows, path, keep, note)
+        return
+    number, commit = known[-1] + 1, _commit_of(spark, path, known[-1])
+    note = commit["note"] if note is None else note
     marked = rows.withColumns({"_gone": F.lit(False), "_number": F.lit(number).cast("long")})
     went = gone.select(*keys).join(rows.select(*keys), keys, "left_anti").withColumns({"_gone": F.lit(True), "_number": F.lit(number).cast("long")})
     part = _write_part(marked.unionByName(went, allowMissingColumns=True), path, "changes")
-    if not part["count"]:
-        _hadoop(spark, path)[1].delete(_hadoop(spark, f"{path}/{part['rows']}")[0], True)
-        return None
     changes = [*commit["changes"], part]
-    next_ = {"version": STATE_VERSION, "base": commit["base"], "changes": changes, "keys": keys, "owner": owner or commit.get("owner", "")}
-    _put(spark, path, next_, number, keep)
+    if not part["count"]:
+        changes.pop()
+        place, fs = _hadoop(spark, f"{path}/{part['rows']}")
+        fs.delete(place, True)
+        if note == commit["note"]:
+            return
+    _put(spark, path, {"version": STATE_VERSION, "base": commit["base"], "changes": changes, "keys": keys, "note": note}, number, keep)
     if len(changes) > MOST_CHANGES or sum(c["count"] for c in changes) > max(10_000, MOST_SHARE * commit["base"]["count"]):
-        commit_state(read_state(spark, path, schema), path, keep, next_["owner"])
-    return None
+        commit_state(read_state(spark, path, schema), path, keep, note)
 
 
 def reset_state(spark: SparkSession, path: str, schema: str, dry_run: bool = False) -> int:

@@ -1,7 +1,7 @@
-"""A walk of directory trees that executors can open, a level a round, and a loader for the files it finds.
+"""A walk of directory trees that executors can open, and a loader for the files it finds.
 
-A round lists all directories of one depth as one job and writes what it saw; denied trees are pruned before they are
-listed. Links below the root are never followed, the root itself may be one. What can't be read is a row of its own, so
+A round is one job: each task lists the directories it got and what lies below them, as far as a budget goes, and hands
+the rest on to the next round, where they are dealt out anew. Denied trees are pruned before they are listed. Links below the root are never followed, the root itself may be one. What can't be read is a row of its own, so
 "all was seen" is something that a caller can ask.
 """
 
@@ -20,7 +20,7 @@ from driftmark.functions.text import in_tree, matches_any
 
 #: kind: file, dir, link, other (none of these) or unreadable; path is under the root as it was given, resolved without links.
 ENTRIES = "source_root string, path string, resolved string, kind string, size long, mtime_ns long, error string"
-#: Directories that a task lists, about.
+#: Directories that a task is given, and that it lists below them, about.
 DIRS_PER_TASK = 256
 
 
@@ -28,26 +28,55 @@ def _kind(mode: int) -> str:
     return "link" if stat.S_ISLNK(mode) else "dir" if stat.S_ISDIR(mode) else "file" if stat.S_ISREG(mode) else "other"
 
 
-def _listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Entries of directories (source_root, path, resolved); a directory that can't be listed gives one row that says so."""
+def _shut(path: str, trees: list[str]) -> bool:
+    return any(path == t or path.startswith(t + "/") for t in trees)
+
+
+def _lister(trees: list[str], budget: int):
+    """Arrow map from directories (source_root, path, resolved) to what lies below them, as far as a budget of directories goes.
+
+    What is left to list comes out as kind ``frontier`` beside its own row. A directory that can't be listed gives one row that says so.
+    """
     names = [f.split()[0] for f in ENTRIES.split(", ")]
     types = [pa.string()] * 4 + [pa.int64()] * 2 + [pa.string()]
-    for batch in batches:
-        for root, path, resolved in zip(*[batch.column(c).to_pylist() for c in ("source_root", "path", "resolved")], strict=True):
-            rows = []
-            try:
-                with os.scandir(path) as entries:
-                    for e in entries:
-                        at = (root, os.path.join(path, e.name), os.path.join(resolved, e.name))
-                        try:
-                            s = e.stat(follow_symlinks=False)
-                            rows.append((*at, _kind(s.st_mode), s.st_size, s.st_mtime_ns, None))
-                        except OSError as x:
-                            rows.append((*at, "unreadable", None, None, str(x)))
-            except OSError as x:
-                rows.append((root, path, resolved, "unreadable", None, None, str(x)))
-            columns = zip(*rows, strict=True) if rows else [()] * len(names)
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, types, strict=True)], names)
+
+    def one(root: str, path: str, resolved: str) -> list[tuple]:
+        rows = []
+        try:
+            with os.scandir(path) as entries:
+                for e in entries:
+                    at = (root, os.path.join(path, e.name), os.path.join(resolved, e.name))
+                    try:
+                        s = e.stat(follow_symlinks=False)
+                    except OSError as x:
+                        rows.append((*at, "unreadable", None, None, str(x)))
+                        continue
+                    kind = _kind(s.st_mode)
+                    if kind != "dir" or not (_shut(at[1], trees) or _shut(at[2], trees)):
+                        rows.append((*at, kind, s.st_size, s.st_mtime_ns, None))
+        except OSError as x:
+            rows.append((root, path, resolved, "unreadable", None, None, str(x)))
+        return rows
+
+    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        left = budget
+        for batch in batches:
+            todo = list(zip(*[batch.column(c).to_pylist() for c in ("source_root", "path", "resolved")], strict=True))
+            given = len(todo)
+            while todo:
+                place = todo.pop()
+                own = len(todo) < given  # what was handed in is always listed
+                given = min(given, len(todo))
+                if left <= 0 and not own:
+                    rows = [(*place, "frontier", None, None, None)]
+                else:
+                    left -= 1
+                    rows = one(*place)
+                    todo += [r[:3] for r in rows if r[3] == "dir"]
+                columns = zip(*rows, strict=True) if rows else [()] * len(names)
+                yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, types, strict=True)], names)
+
+    return listed
 
 
 def _rooted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -87,17 +116,19 @@ def walk(spark: SparkSession, roots: list[str], scratch: str, deny: list[str] =
     first = first.where("there").withColumn("closed", denied(F.col("resolved"), deny) | denied(F.col("path"), deny))
     refused = first.where("closed").select(*keep, F.lit("unreadable").alias("kind"), F.lit(None).cast("long").alias("size"), F.lit(None).cast("long").alias("mtime_ns"), F.lit("the deny list refuses it").alias("error"))
     refused.write.parquet(f"{place}/level=0")
-    frontier, count = first.where("NOT closed").select(*keep), len(roots)
-    for level in range(1, most_levels):
-        if not count:
-            return spark.read.schema(ENTRIES).option("basePath", place).parquet(*[f"{place}/level={k}" for k in range(level)])
+    frontier, count, levels = first.where("NOT closed").select(*keep), len(roots), 0
+    trees = [p[:-3] for p in deny if p.endswith("/**")]
+    while count:
+        levels += 1
+        if levels > most_levels:
+            raise ValueError(f"a tree of more than {most_levels} rounds")
         tasks = -(-count // DIRS_PER_TASK)
-        found = frontier.repartition(tasks, "path").mapInArrow(_listed, ENTRIES)
-        closed = (F.col("kind") == "dir") & (in_tree(F.col("path"), deny) | in_tree(F.col("resolved"), deny))
-        found.where(~closed).write.parquet(f"{place}/level={level}")
-        frontier = spark.read.schema(ENTRIES).parquet(f"{place}/level={level}").where("kind = 'dir'").select(*keep)
+        found = frontier.repartition(tasks, "path").mapInArrow(_lister(trees, DIRS_PER_TASK), ENTRIES)
+        found.write.parquet(f"{place}/level={levels}")
+        frontier = spark.read.schema(ENTRIES).parquet(f"{place}/level={levels}").where("kind = 'frontier'").select(*keep)
         count = frontier.count()
-    raise ValueError(f"a tree of more than {most_levels} levels")
+    entries = spark.read.schema(ENTRIES).option("basePath", place).parquet(*[f"{place}/level={k}" for k in range(levels + 1)])
+    return entries.where("kind <> 'frontier'")
 
 
 def candidates(entries: DataFrame, include: list[str], exclude: list[str] = (), deny: list[str] = (), max_bytes: int | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:

@@ -80,13 +80,13 @@ class Collector:
             src.root = walk.first_root(spark, src.roots, src.require_subdir) or ""
             if not src.root:
                 return {"absent": 1}
-        owner = tables.peek(spark, self.state_path).get("owner", "")
-        if owner and self.install and owner != self.install:
-            raise ValueError(f"the state belongs to installation {owner}")
+        note = tables.peek(spark, self.state_path).get("note", {})  # owner, and the spec hash of each source
+        if note.get("owner") and self.install and note["owner"] != self.install:
+            raise ValueError(f"the state belongs to installation {note['owner']}")
+        specs = note.get("specs", {})
         before = tables.read_state(spark, self.state_path, changes.STATE)
-        specs = tables.read_state(spark, f"{self.state_path}/specs", "source_id string, spec_hash string")
-        spec = spark.createDataFrame([(src.source_id, src.spec_hash())], "source_id string, spec_hash string")
-        state = changes.drop_changed_specs(before, specs, spec)
+        anew = specs.get(src.source_id, src.spec_hash()) != src.spec_hash()
+        state = before.where(F.col("source_id") != src.source_id) if anew else before
         with tables.scratch(spark, self.state_path) as kept, tables.scratch_folder(spark, self.state_path) as folder:
             listed, seen_all = self._listed(folder)
             seen = kept(changes.to_look_at(listed, state, at, self.recompute_seconds))
@@ -106,17 +106,14 @@ class Collector:
                 more = self._derived(look.join(outcomes.where("decision <> 'failed'").select("native_path"), "native_path", "left_semi"), state, kept)
                 counts["enriched"] = more.count()
                 new = new.unionByName(more, allowMissingColumns=True)
-            gone = before.join(state.select(*changes.KEY), changes.KEY, "left_anti").select(*changes.KEY)
+            gone = before.where((F.col("source_id") == src.source_id) & F.lit(anew)).select(*changes.KEY)
             if done >= todo and seen_all and there:
                 live = seen.select(*changes.KEY)
                 live = live.union(live.select("source_id", F.concat("native_path", F.lit(derived.SUFFIX))))
                 gone = gone.union(state.where(F.col("source_id") == src.source_id).join(live, changes.KEY, "left_anti").select(*changes.KEY))
-            if outcomes is not None or gone.limit(1).count():
-                tables.commit_changes(new, gone, self.state_path, changes.KEY, owner=self.install)
-        known = {r["source_id"]: r["spec_hash"] for r in specs.collect()}
-        if known.get(src.source_id) != src.spec_hash():  # last: a run that dies before drops the old rows again
-            rest = specs.where(F.col("source_id") != src.source_id)
-            tables.commit_state(rest.unionByName(spec), f"{self.state_path}/specs")
+            now_known = {"owner": self.install or note.get("owner", ""), "specs": specs | {src.source_id: src.spec_hash()}}
+            if outcomes is not None or now_known != note or gone.limit(1).count():  # rows and spec in one commit
+                tables.commit_changes(new, gone, self.state_path, changes.KEY, note=now_known)
         if waits:
             counts["parked"] = waits
         self.delay = next_delay(done < todo, bool(counts["failed"]), counts["shipped"], self.tick_seconds)

@@ -170,7 +170,7 @@ def test_the_state_of_another_installation_is_refused(spark, tmp_path):
     write(tmp_path / "in/projects/p/a.jsonl", "{}\n")
     c = collector(spark, tmp_path)
     c.install = "one"
-    assert c.tick() == {"shipped": 1} and tables.peek(spark, str(tmp_path / "state"))["owner"] == "one"
+    assert c.tick() == {"shipped": 1} and tables.peek(spark, str(tmp_path / "state"))["note"]["owner"] == "one"
     c.install = "two"
     with pytest.raises(ValueError, match="installation one"):
         c.tick()

@@ -182,6 +182,15 @@ def test_denied_trees_by_either_name(spark, tmp_path):
     assert walked(spark, tmp_path / "open", tmp_path, include=["**/*"], exclude=["no/**"], max_bytes=5)[:2] == ([], ["name.jsonl/c.jsonl"])
 
 
+def test_a_large_tree_takes_several_rounds(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(walk, "DIRS_PER_TASK", 3)
+    names = [f"d{a}/e{b}/f{c}/x{k}.jsonl" for a in range(4) for b in range(3) for c in range(3) for k in range(2)]
+    tree(tmp_path / "in", *names)
+    found, _, bad, entries = walked(spark, tmp_path / "in", tmp_path)
+    assert found == sorted(names) and bad == [] and entries.where("kind = 'dir'").count() == 4 + 12 + 36
+    assert entries.count() == entries.distinct().count() == 52 + len(names)
+
+
 def test_what_cannot_be_read_is_told(spark, tmp_path, monkeypatch):
     tree(tmp_path / "in", "a/x.jsonl", "b/y.jsonl")
     real = os.scandir
