@@ -29,6 +29,8 @@ PRIOR = 0.1
 NEUTRAL, LOWEST = -0.35, -1.5
 #: Least cautious log-odds of a toxic token: seven times as likely in toxic texts.
 CLEAR = 2.0
+#: Log-odds in standard deviations from which a token counts; what stands out by chance is mostly below CLEAR anyway.
+LEAST_Z = 2.2
 PREFIXES = (4, 5)
 THRESHOLD = 0.3
 REMEMBERED = 500_000
@@ -126,8 +128,7 @@ def _log_odds(counts: DataFrame, n_toxic: int, n_clean: int) -> dict[str, tuple[
     odds = lambda y, n: F.log((F.col(y) + prior) / (F.lit(n + all_prior + 1.0) - F.col(y) - prior))
     spread = F.sqrt(1 / (F.col("toxic") + prior) + 1 / (F.col("clean") + prior))
     scored = counts.select("token", (odds("toxic", n_toxic) - odds("clean", n_clean)).alias("d"), spread.alias("sd")).withColumn("z", F.abs(F.col("d") / F.col("sd")))
-    least_z = 2.5 + 0.45 * math.log10(n_toxic)  # more documents have more words that could stand out by chance
-    rows = scored.where((F.col("z") >= least_z) & ((F.col("d") < 0) | (F.col("d") - F.col("sd") >= CLEAR))).orderBy("token").collect()
+    rows = scored.where((F.col("z") >= LEAST_Z) & ((F.col("d") < 0) | (F.col("d") - F.col("sd") >= CLEAR))).orderBy("token").collect()
     # the cautious end of the interval for what is toxic; what is clean counts against, but not without bound
     return {r["token"]: (r["d"] - r["sd"] if r["d"] > 0 else max(LOWEST, r["d"]), r["z"]) for r in rows}
 

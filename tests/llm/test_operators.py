@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from driftmark.llm import _common, fingerprints, language_id, mixing, near_dedup, packing, quality_rules, sharding, token_counts, toxicity, warc
+from driftmark.llm import _common, fingerprints, language_id, mixing, near_dedup, packing, quality_rules, queries, sharding, token_counts, toxicity, warc
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 LABELS = "doc_id long, quality int, toxic int"
@@ -663,3 +663,21 @@ def test_text_statistics_against_brute_force(spark):
         lines = [x for x in t.split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
         got = tuple(r["_q"][c] for c in quality_rules.BASE)
         assert got == (len(w), sum(map(len, w)), sum(t.count(c) for c in "#*$%&|<>"), len(lines) - len(set(lines)), len(cover)), repr(t[:80])
+
+
+@pytest.mark.parametrize(("sf", "recall", "alarms"), [("sf0.01", 0.6, 0.02), ("sf0.1", 0.9, 0.02)])
+def test_held_out_toxicity(spark, sf, recall, alarms):
+    """Of documents that taught nothing; at sf0.01 only 37 toxic ones teach, and half their words are in four languages."""
+    folder = f"/root/testdata/{sf}"
+    labels = spark.read.parquet(f"{folder}/labels.parquet").select("doc_id", "toxic")
+    rows = queries.QUERIES["op8_toxicity"](spark, folder).where("held_out").join(labels, "doc_id").groupBy("toxic").agg(F.avg("predicted").alias("flagged")).collect()
+    found = {r["toxic"]: r["flagged"] for r in rows}
+    assert found[1] >= recall and found[0] <= alarms
+
+
+def test_near_duplicates_of_a_whole_table_against_all_pairs(spark):
+    """Every pair of documents of sf0.01 at 85 % or more shares a component, and components hold no other links: recall 1."""
+    docs = [(r["doc_id"], r["text"]) for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()]
+    got = {r["doc_id"]: r["component_id"] for r in queries.QUERIES["op6_near_dedup"](spark, "/root/testdata/sf0.01").collect()}
+    assert got == {i: component for i, (_, component) in brute_components(docs, 85).items()}
+    assert sum(i != c for i, c in got.items()) > 50
