@@ -19,6 +19,8 @@ SPACE_CHARS = " \t\n\x0b\f\r"
 BROADCAST_ROWS, BROADCAST_BYTES = 2_000_000, 64 << 20
 #: Bytes of an Arrow batch of texts, about; a longer text is a batch of its own.
 BATCH_BYTES = 8 << 20
+#: Bytes of a row group of written tables, which each writing task holds until it is full.
+ROW_GROUP_BYTES = 16 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -54,7 +56,7 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = fresh_path(spark, label)
-    df.write.parquet(path)
+    df.write.option("parquet.block.size", ROW_GROUP_BYTES).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -36,7 +36,7 @@ BLOCK_SHINGLES, BLOCK_DOCS, WHOLE_BLOCKS = 1_000_000, 1_024, 26
 #: Star edges of a class in a large component that are confirmed before its blocks meet.
 STAR_EDGES = 2
 #: Words whose hashes a worker remembers; it forgets all when there are more.
-REMEMBERED = 200_000
+REMEMBERED = 100_000
 
 _WEIGHTS = np.array([xxhash.xxh64_intdigest(b"shingle %d" % k) | 1 for k in range(SHINGLE_WORDS)], dtype=np.uint64)
 
@@ -129,7 +129,7 @@ def _full_sets(bands: int, band_bins: int):
 
 
 #: Pairs of rare shingles that are counted at a time.
-_CODES = 2_000_000
+_CODES = 500_000
 
 
 def intersections(sets: list[np.ndarray]) -> np.ndarray:
