@@ -419,18 +419,26 @@ def dealt(table: DataFrame) -> DataFrame:
 
 
 def rebuild(redacted: DataFrame, keys: list[str]) -> DataFrame:
-    """Payloads from their redacted lines: content, bytes, density, scan_mode, lines, lines_parsed, lines_raw, error (of any line, else null).
+    """Payloads from their redacted lines: content, bytes, density, scan_mode, rule_hits, lines, lines_parsed, lines_raw, error (of any line, else null).
 
     A payload is one row again, so its size must be bounded before (the collector's limit is 256 MiB); where objects
     may be rows of lines, write the lines themselves.
     """
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", F.concat("redacted", "ending").alias("t")))), lambda x: x["t"]), "")
     parsed, raw = F.count_if("parsed"), F.count_if(~F.col("parsed"))
-    out = redacted.groupBy(*keys).agg(text.alias("content"), F.sum("bytes_redacted").alias("bytes_redacted"), F.sum(F.col("bytes_total") + F.length("ending")).alias("bytes_total"), parsed.alias("lines_parsed"), raw.alias("lines_raw"), F.max("error").alias("error"), F.count(F.lit(1)).alias("lines"))
+    out = redacted.groupBy(*keys).agg(text.alias("content"), F.sum("bytes_redacted").alias("bytes_redacted"), F.sum(F.col("bytes_total") + F.length("ending")).alias("bytes_total"), parsed.alias("lines_parsed"), raw.alias("lines_raw"), F.max("error").alias("error"), F.count(F.lit(1)).alias("lines"), summed(F.collect_list(F.when(F.size("rule_hits") > 0, F.col("rule_hits")))).alias("rule_hits"))
     mode = F.when(F.col("lines_raw") == 0, "decoded_json_values").when(F.col("lines_parsed") == 0, "raw_text").otherwise("mixed")
     return out.withColumn("scan_mode", mode).withColumn("density", F.coalesce(F.try_divide(F.col("bytes_redacted").cast("double"), F.col("bytes_total")), F.lit(0.0)))
 
 
+def summed(maps: Column) -> Column:
+    """Maps of counts as one: each key with the sum of its counts."""
+    entries = F.flatten(F.transform(maps, F.map_entries))
+    keys = F.array_sort(F.array_distinct(F.transform(entries, lambda e: e["key"])))
+    total = lambda k: F.aggregate(F.filter(entries, lambda e: e["key"] == k), F.lit(0).cast("long"), lambda a, e: a + e["value"])
+    return F.map_from_entries(F.transform(keys, lambda k: F.struct(k.alias("key"), total(k).alias("value"))))
+
+
 def rule_ledger(redacted: DataFrame, keys: list[str]) -> DataFrame:
     """Hits by rule: one row for each of ``keys`` and rule."""
     return redacted.select(*keys, F.explode("rule_hits").alias("rule_id", "hits")).groupBy(*keys, "rule_id").agg(F.sum("hits").alias("hits"))

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from driftmark.functions.text import ordered_union
-from driftmark.operators import changes, derived, ranks, redact, rollups
+from driftmark.operators import changes, derived, manifests, ranks, redact, rollups
 from driftmark.plans import packs
 from driftmark.plans import queries as core
 from driftmark.plans.queries import Tables, query
@@ -286,3 +286,25 @@ def catalog_faults(t: Tables) -> DataFrame:
     body = F.replace(F.element_at(kinds, (F.col("c_custkey") % len(_FAULTY)).cast("int")), F.lit("{id}"), F.concat(F.lit("s-"), F.floor(F.col("c_custkey") / 2).cast("string")))
     docs = t("customer").select(F.col("c_custkey").alias("file"), F.try_parse_json(body).alias("doc"))
     return catalog.check(docs).select(F.col("file").alias("c_custkey"), "path", "rule")
+
+
+# --- manifests ---------------------------------------------------------------------------------------
+
+
+@query("""WITH d AS (SELECT doc_id, doc_id % 9 AS k FROM documents),
+f(k, path, rule) AS (VALUES (1, '$.install_id', 'pattern'), (2, '$.source_hash', 'required'), (3, '$.payload_size', 'minimum'), (4, '$.redaction.density', 'maximum'), (5, '$.redaction.rule_hits.No', 'pattern'),
+  (6, '$.enricher', 'required'), (6, '$.derived_from', 'required'), (6, '$.enrich_status', 'required'), (7, '$.sealed_at', 'format'), (8, '$.artifact_class', 'enum'))
+SELECT doc_id, path, rule FROM d JOIN f USING (k)""")
+def manifest_faults(t: Tables) -> DataFrame:
+    """Manifests of documents, one in nine of them sound, and what is wrong with the others."""
+    k = F.col("doc_id") % 9
+    unless = lambda n, good, bad: F.when(k == n, bad).otherwise(good)
+    digest = F.sha2(F.coalesce("text", F.lit("")), 256)
+    hits = F.create_map(unless(5, F.lit("email"), F.lit("No")), F.lit(2).cast("long"))
+    manifest = manifests.assembled(
+        organization_id=F.lit("org"), install_id=unless(1, F.lit("00000000-0000-4000-8000-000000000001"), F.lit("one")), source_id=F.lit("a-b"), native_path=F.concat(F.lit("p/"), F.col("doc_id").cast("string")),
+        gather=F.lit("file_glob"), artifact_class=unless(8, F.lit("context"), F.lit("other")), source_hash=unless(2, digest, F.lit(None).cast("string")), shipped_hash=digest,
+        payload_size=unless(3, F.octet_length(F.coalesce("text", F.lit(""))).cast("long"), F.lit(-1).cast("long")), redaction=F.struct(unless(4, F.lit(0.25), F.lit(1.5)).alias("density"), hits.alias("rule_hits")),
+        client=F.struct(F.lit("1").alias("version")), sealed_at=unless(7, F.lit("2024-01-01T00:00:00Z"), F.lit("yesterday")), derived=F.when(k == 6, F.lit(True)),
+    )
+    return t("documents").select("doc_id", F.explode(manifests.faults(manifest)).alias("f")).select("doc_id", "f.path", "f.rule")

@@ -72,7 +72,7 @@ def violations(value: Column, schema: dict, path: Column | None = None) -> Colum
     """Array of (path, rule): where a variant breaks a schema, and by which of its words.
 
     Of JSON Schema: type, enum, required, properties, additionalProperties, propertyNames, items, minItems, minLength,
-    maxLength, pattern, minimum, and allOf with ``if`` given as values of properties. A null value breaks nothing.
+    maxLength, pattern, format (date-time), minimum, maximum, and allOf with ``if`` given as values of properties. A null value breaks nothing.
     """
     path = F.lit("$") if path is None else path
     none = F.array().cast("array<struct<path:string,rule:string>>")
@@ -87,9 +87,11 @@ def violations(value: Column, schema: dict, path: Column | None = None) -> Colum
         text = F.try_variant_get(value, "$", "string")
         test(~text.isin(*[str(v) for v in schema["enum"]]) | ~kind.isin(*{"STRING" if isinstance(v, str) else "BIGINT" for v in schema["enum"]}), "enum")
     text, number = F.when(kind == "STRING", F.try_variant_get(value, "$", "string")), F.when(kind.isin(*_TYPES["number"]), F.try_variant_get(value, "$", "double"))
-    for word, broken in (("minLength", lambda n: F.length(text) < n), ("maxLength", lambda n: F.length(text) > n), ("pattern", lambda p: ~text.rlike(p)), ("minimum", lambda n: number < n)):
+    for word, broken in (("minLength", lambda n: F.length(text) < n), ("maxLength", lambda n: F.length(text) > n), ("pattern", lambda p: ~text.rlike(p)), ("minimum", lambda n: number < n), ("maximum", lambda n: number > n)):
         if word in schema:
             test(broken(schema[word]), word)
+    if schema.get("format") == "date-time":
+        test(text.isNotNull() & (~text.rlike("^[0-9]{4}-[0-9]{2}-[0-9]{2}[Tt][0-9:.]+([Zz]|[+-][0-9]{2}:[0-9]{2})$") | F.try_to_timestamp(text).isNull()), "format")
     fields = F.when(kind == "OBJECT", F.try_variant_get(value, "$", "map<string,variant>"))
     keys = F.coalesce(F.map_keys(fields), F.array().cast("array<string>"))
     under = lambda k: F.concat(path, F.lit("."), k)

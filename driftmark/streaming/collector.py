@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from driftmark.functions.checks import mirror_name, spec_hash
 from driftmark.functions.text import canonical_path
-from driftmark.operators import changes, derived, redact
+from driftmark.operators import changes, derived, manifests, redact
 from driftmark.sources import listing, tables, walk
 
 #: Seconds to the next run after one that its budget cut short.
@@ -34,6 +34,7 @@ class Source:
     max_bytes: int = 256 << 20
     jsonl: bool = True
     deny: list[str] = field(default_factory=list)
+    artifact_class: str = "trajectory"
     roots: list[str] = field(default_factory=list)  # where the root may be, if not known yet; looked for before each tick
     require_subdir: str = ""
 
@@ -60,6 +61,8 @@ class Collector:
     tick_seconds: float = 900.0
     delay: float = 900.0  # seconds to wait after the last tick
     install: str = ""  # the installation that the state belongs to
+    organization: str = ""  # if set, manifests are checked, and what has a faulty one doesn't ship
+    client: str = "1"
     store: Callable[[SparkSession], DataFrame] | None = None  # rows (key, value) of the store that transcripts are enriched from
 
     def tick(self, now: str | None = None) -> dict[str, int]:
@@ -154,8 +157,19 @@ class Collector:
         done = redact.rebuild(redact.redact_lines(lines, self.username, keep_body=False), ["source_id", "native_path", "content_hash", "n_lines"])
         torn = F.when(F.col("lines") != F.col("n_lines"), F.lit("it changed while it was read"))
         objects = done.withColumn("error", F.coalesce("error", torn)).withColumn("key", mirror_name(self.name_key, canonical_path(F.col("native_path"), self.username)))
-        manifest = F.struct("native_path", "scan_mode", "bytes_redacted", "bytes_total", "lines_parsed", "lines_raw")
-        return kept(objects.select("key", "source_id", "native_path", F.when(F.col("error").isNull(), F.col("content")).alias("content"), manifest.alias("manifest"), "error", F.sha2("content", 256).alias("new_hash"), "content_hash"))
+        is_derived = F.endswith("native_path", F.lit(derived.SUFFIX))
+        enriched = lambda value: F.when(is_derived, value)
+        manifest = manifests.assembled(
+            organization_id=F.nullif(F.lit(self.organization), F.lit("")), install_id=F.nullif(F.lit(self.install), F.lit("")), source_id=F.lit(src.source_id), source_family=F.lit(src.family),
+            native_path=F.replace("native_path", F.lit(self.username), F.lit("__USER__")) if len(self.username) > 1 else F.col("native_path"), gather=F.lit("file_glob"), artifact_class=F.lit(src.artifact_class),
+            source_hash=F.col("content_hash"), shipped_hash=F.sha2("content", 256), payload_size=F.octet_length("content").cast("long"), shape_sniff=F.lit("ok"),
+            redaction=F.struct("density", F.when(F.size("rule_hits") > 0, F.col("rule_hits")).alias("rule_hits"), "scan_mode"), client=F.struct(F.lit(self.client).alias("version")), sealed_at=manifests.instant(F.current_timestamp()),
+            derived=enriched(F.lit(True)), enricher=enriched(F.struct(F.lit("ordered-join").alias("id"), F.lit(1).alias("version"))), derived_from=enriched(F.array("content_hash")), enrich_status=enriched(F.lit("ok")),
+        )
+        objects = objects.withColumn("manifest", manifest)
+        if self.organization:
+            objects = objects.withColumn("error", F.coalesce("error", manifests.refused(objects)))
+        return kept(objects.select("key", "source_id", "native_path", F.when(F.col("error").isNull(), F.col("content")).alias("content"), "manifest", "error", F.sha2("content", 256).alias("new_hash"), "content_hash"))
 
     def _outcomes(self, mine: DataFrame, state: DataFrame, at, kept: Callable[[DataFrame], DataFrame]) -> DataFrame:
         """Read, hash and redact these files, write the objects of those that changed; one row for each with its decision.
@@ -171,7 +185,7 @@ class Collector:
         old = state.where(F.col("source_id") == self.source.source_id).select("native_path", "output_hash")
         out = decided.join(made, "native_path", "left").join(old, "native_path", "left")
         broken = F.col("error").isNotNull()
-        out = out.withColumn("reason", F.when(F.col("content_hash").isNull(), "it can't be read").when(broken, F.concat(F.lit("redaction failed: "), F.col("error"))))
+        out = out.withColumn("reason", F.when(F.col("content_hash").isNull(), "it can't be read").when(broken, F.when(F.startswith("error", F.lit("manifest: ")), F.col("error")).otherwise(F.concat(F.lit("redaction failed: "), F.col("error")))))
         out = out.withColumn("decision", F.when(broken, "failed").otherwise(F.col("decision"))).withColumn("output_hash", F.coalesce("new_hash", "output_hash"))
         out = out.withColumn("content_hash", F.coalesce("shipped_hash", "content_hash"))
         return kept(out.select(*changes.KEY, "size", "mtime_ns", "content_hash", "output_hash", "decision", "reason", "attempts"))

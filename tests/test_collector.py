@@ -156,6 +156,20 @@ def test_what_ships_is_what_is_hashed(spark, tmp_path, monkeypatch):
     assert row["source_hash"] == hashlib.sha256(shipped.encode()).hexdigest()
 
 
+def test_what_has_a_faulty_manifest_does_not_ship(spark, tmp_path):
+    write(tmp_path / "in/projects/robin/a.jsonl", '{"text":"' + SECRET + '"}\n')
+    c = collector(spark, tmp_path)
+    c.organization, c.install = "org", "not an id"
+    assert c.tick("2024-01-01 00:00:00") == {"failed": 1}
+    assert tables.read_state(spark, str(tmp_path / "state"), changes.STATE).first()["last_error"] == "manifest: $.install_id: pattern"
+    d = collector(spark, tmp_path)
+    d.state_path, d.organization, d.install = str(tmp_path / "state2"), "org", "00000000-0000-4000-8000-000000000001"
+    assert d.tick() == {"shipped": 1}
+    row = spark.read.parquet(str(tmp_path / "out")).first()
+    manifest = json.loads(row["manifest"])
+    assert manifest["native_path"] == "projects/__USER__/a.jsonl" and manifest["redaction"]["rule_hits"] == {"github-pat": 1} and manifest["source_hash"] != manifest["shipped_hash"] == hashlib.sha256(row["content"].encode()).hexdigest()
+
+
 def test_a_root_that_comes_later(spark, tmp_path):
     c = collector(spark, tmp_path, roots=[str(tmp_path / "a"), str(tmp_path / "b")], require_subdir="projects")
     (tmp_path / "a").mkdir()

@@ -45,7 +45,7 @@ def test_lines_under_chosen_packs(spark):
 @settings(max_examples=150, deadline=None)
 @given(st.sampled_from(["email", "REDACTED", "key", "pan", "USER", "aws-access-key-id", "__", "a", "robin"]), st.lists(st.sampled_from(["jane@example.org", KEY, "__REDACTED:email__", "__USER__", "__REDACTED:key-name__", "email", "REDACTED", "key", "robin", "USER", "/home/", " ", "_", "x"]), max_size=8))
 def test_sentinels_stay_whole(name, parts):
-    text = "".join(parts).replace("__jane", "__ jane")  # else the address begins in the sentinel
+    text = "".join(parts).replace("jane@", " jane@")  # else an address could begin in a sentinel
     plain, _, _ = redact.Ladder().value(text)
     done, hits, _ = redact.Ladder(name).value(text)
     rules = lambda t: [s for s in SENTINEL.findall(t) if s != "__USER__"]
