@@ -68,6 +68,16 @@ def upper_medians(rows: DataFrame, key: str, value: str, few: int = FEW) -> Data
     return sizes.join(found, key, "left").select(key, F.coalesce(value, F.lit(0).cast("long")).alias("median"))
 
 
+def run_totals(outcomes: DataFrame, few: int = FEW) -> DataFrame:
+    """Bytes in and out, and the upper median input of shipped files; emitted sources and derived files don't count."""
+    own = outcomes.where(~F.col("emitted") & ~F.col("derived"))
+    shipped = own.where("decision = 'shipped'").select(F.lit(1).alias("run"), "bytes_in", "bytes_out")
+    zero = F.lit(0).cast("long")
+    sums = shipped.agg(F.lit(1).alias("run"), *[F.coalesce(F.sum(c), zero).alias(c) for c in ("bytes_in", "bytes_out")])
+    found = sums.join(upper_medians(shipped, "run", "bytes_in", few), "run", "left")
+    return found.select("bytes_in", "bytes_out", F.coalesce("median", zero).alias("median_in"))
+
+
 def spread(rows: DataFrame, key: str, order: list[str], n: int = 5, few: int = FEW) -> DataFrame:
     """Up to ``n`` rows of each group, evenly spread along the order, both ends kept; order columns cast to long.
 

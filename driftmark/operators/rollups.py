@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from driftmark.functions.checks import upper_median
 from driftmark.functions.text import ancestors
 from driftmark.functions.times import duration_text, size_text
 
@@ -18,13 +17,6 @@ def health(outcomes: DataFrame) -> DataFrame:
     return outcomes.groupBy("source_id").agg(*counts, F.avg(F.when(F.col("density") > 0, F.col("density"))).alias("density"))
 
 
-def run_totals(outcomes: DataFrame) -> DataFrame:
-    """Bytes in and out, and the upper median input of shipped files; emitted sources and derived files don't count."""
-    own = outcomes.where(~F.col("emitted") & ~F.col("derived"))
-    shipped = own.withColumn("_in", F.when(F.col("decision") == "shipped", F.col("bytes_in")))
-    return shipped.agg(F.coalesce(F.sum("_in"), F.lit(0)).alias("bytes_in"), F.coalesce(F.sum(F.when(F.col("decision") == "shipped", F.col("bytes_out"))), F.lit(0)).alias("bytes_out"), upper_median("_in").alias("median_in"))
-
-
 def survey(files: DataFrame) -> DataFrame:
     """By family and repository: bytes, last use, pending files, all_marked, markers; and by family with repository null.
 

@@ -260,7 +260,7 @@ def health_rollup(t: Tables) -> DataFrame:
 SELECT sum(bytes_in)::BIGINT AS bytes_in, sum(bytes_out)::BIGINT AS bytes_out, (list_sort(list(bytes_in)))[count(*) // 2 + 1] AS median_in FROM s""")
 def run_totals(t: Tables) -> DataFrame:
     """Bytes in and out of shipped files and their upper median."""
-    return rollups.run_totals(_outcomes(t))
+    return ranks.run_totals(_outcomes(t))
 
 
 @query(f"""WITH {OUTCOMES_SQL} SELECT source_id, (list_sort(list(bytes_in)))[count(*) // 2 + 1] AS median_in FROM o GROUP BY source_id""")

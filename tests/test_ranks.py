@@ -61,3 +61,11 @@ def test_no_task_gets_a_hot_group(spark):
     assert {r["k"]: r["median"] for r in plan.collect()}[0] == values[len(values) // 2]
     text = plan._jdf.queryExecution().toString()
     assert "Sort [v" not in text and "percentile" not in text
+
+
+def test_totals_of_a_run(spark):
+    schema = "decision string, emitted boolean, derived boolean, bytes_in long, bytes_out long"
+    rows = [("shipped", False, False, n, n // 2) for n in (5, 9, 1, 7)] + [("shipped", True, False, 100, 1), ("failed", False, False, 50, 5)]
+    for few in (0, 100):
+        assert tuple(ranks.run_totals(spark.createDataFrame(rows, schema), few).first()) == (22, 9, 7)
+        assert tuple(ranks.run_totals(spark.createDataFrame([], schema), few).first()) == (0, 0, 0)
