@@ -248,18 +248,32 @@ def _first_of(*texts: Column) -> Column:
     return F.coalesce(*[F.nullif(t, F.lit("")) for t in texts])
 
 
+#: What is read of a stored event; every scalar as a text, since its kind has changed over time, and so has that of ``thinking``.
+_EVENT = (
+    "bubbleId string, type string, text string, isThought string, thinking string, isCapabilityIteration string, capabilityType string, createdAt string, requestId string, checkpointId string, "
+    "turnDurationMs string, modelName string, modelInfo struct<modelName string>, toolFormerData struct<toolCallId string, name string, tool string, status string, rawArgs string, params string, result string>"
+)
+
+
+def _reasoning(e: Column) -> Column:
+    own = _first_of(_field(e["thinking"], "text"), F.when(~e["thinking"].startswith("{"), _first_of(_field(e["thinking"], "text"), e["thinking"])))
+    return F.coalesce(own, F.when(e["isThought"] == "true", e["text"]), F.lit(""))
+
+
+def _scaffolding(e: Column) -> Column:
+    says = e["toolFormerData"].isNotNull() | (_reasoning(e) != "")
+    flagged = (F.coalesce(e["isCapabilityIteration"], F.lit("")) == "true") | (F.coalesce(e["capabilityType"], F.lit("")) != "")
+    return ~says & (flagged | (F.coalesce(e["text"], F.lit("")) == ""))
+
+
 def reasoning_text(event: Column) -> Column:
     """A stored event's reasoning (JSON): what ``thinking`` says, an object or a text that holds one; else the text of one marked ``isThought``, else empty."""
-    thinking = _field(event, "thinking")
-    own = _first_of(_field(event, "thinking.text"), _field(thinking, "text"), F.when(~thinking.startswith("{"), thinking))
-    return F.coalesce(own, F.when(_field(event, "isThought") == "true", _field(event, "text")), F.lit(""))
+    return F.coalesce(_reasoning(F.from_json(event, _EVENT)), F.lit(""))
 
 
 def is_scaffolding(event: Column) -> Column:
     """Has a stored event (JSON) no counterpart by design? One with a tool call or reasoning never is scaffolding; any other is if it is flagged or has no text."""
-    says = _field(event, "toolFormerData").isNotNull() | (reasoning_text(event) != "")
-    flagged = (_field(event, "isCapabilityIteration") == "true") | (F.coalesce(_field(event, "capabilityType"), F.lit("")) != "")
-    return ~says & (F.coalesce(flagged, F.lit(False)) | (F.coalesce(_field(event, "text"), F.lit("")) == ""))
+    return _scaffolding(F.from_json(event, _EVENT))
 
 
 def ordered_events(rows: DataFrame) -> DataFrame:
@@ -286,12 +300,13 @@ def ordered_events(rows: DataFrame) -> DataFrame:
 
 def events(rows: DataFrame) -> DataFrame:
     """The ordered events of a store's rows as alignment.align takes them, scaffolding left out, with all that a transcript lacks."""
-    field = lambda p: _field(F.col("event"), p)
-    spoken = lambda p: F.when(~F.trim(field(p)).isin("", "{}", "null"), field(p))
-    kind = field("type")
-    return ordered_events(rows).where(~is_scaffolding(F.col("event"))).select(
-        "conv", "pos", "event_id", F.when(kind == "1", "user").when(kind == "2", "assistant").when(kind != "0", "other").alias("role"), field("text").alias("text"), reasoning_text(F.col("event")).alias("reasoning"),
-        field("toolFormerData").isNotNull().alias("is_call"), _first_of(field("toolFormerData.name"), field("toolFormerData.tool")).alias("name"), F.coalesce(spoken("toolFormerData.rawArgs"), spoken("toolFormerData.params")).alias("args"),
-        field("toolFormerData.status").alias("status"), field("toolFormerData.result").alias("result"), field("toolFormerData.toolCallId").alias("tool_call_id"), field("createdAt").alias("created_at"),
-        field("requestId").alias("request_id"), field("checkpointId").alias("checkpoint_id"), field("turnDurationMs").cast("long").alias("turn_ms"), _first_of(field("modelName"), field("modelInfo.modelName")).alias("model_name"),
+    e = F.col("e")
+    spoken = lambda c: F.when(~F.trim(c).isin("", "{}", "null"), c)
+    call, kind = e["toolFormerData"], e["type"]
+    parsed = ordered_events(rows).withColumn("e", F.from_json("event", _EVENT)).where(~_scaffolding(e))
+    return parsed.select(
+        "conv", "pos", "event_id", F.when(kind == "1", "user").when(kind == "2", "assistant").when(kind != "0", "other").alias("role"), e["text"].alias("text"), _reasoning(e).alias("reasoning"),
+        call.isNotNull().alias("is_call"), _first_of(call["name"], call["tool"]).alias("name"), F.coalesce(spoken(call["rawArgs"]), spoken(call["params"])).alias("args"),
+        call["status"].alias("status"), call["result"].alias("result"), call["toolCallId"].alias("tool_call_id"), e["createdAt"].alias("created_at"),
+        e["requestId"].alias("request_id"), e["checkpointId"].alias("checkpoint_id"), F.try_to_number(e["turnDurationMs"], F.lit("999999999999999999")).cast("long").alias("turn_ms"), _first_of(e["modelName"], e["modelInfo"]["modelName"]).alias("model_name"),
     )
