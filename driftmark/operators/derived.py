@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from driftmark.operators import alignment
-from driftmark.sources import keyvalue
+from driftmark.sources import keyvalue, tables
 
 #: Behind a transcript's path: that of what is derived from it.
 SUFFIX = ".enriched.jsonl"
@@ -68,13 +68,12 @@ def enriched_lines(lines: DataFrame, rows: DataFrame) -> DataFrame:
     block (null where nothing matched), left out where no block matched; a line that isn't JSON is a text, ``native_invalid``. Conversations without an
     event in the store have no output.
     """
-    lines = parsed(lines)
     events = keyvalue.events(rows).withColumnRenamed("conv", "stored")
-    known = events.select("stored").distinct()
     named = lines.select("conv").distinct().withColumn("stored", conversation_id(F.col("conv")))
-    stored = named.join(events, "stored").drop("stored")
-    found = lines.join(named.join(known, "stored", "left_semi").select("conv"), "conv", "left_semi")
-    blocks = blocks_of(found)
+    # events and blocks are each read several times, so they are written once
+    stored = tables.written(named.join(events, "stored").drop("stored"), "enrich-events")
+    found = tables.written(parsed(lines.join(stored.select("conv").distinct(), "conv", "left_semi")), "enrich-lines")
+    blocks = tables.written(blocks_of(found), "enrich-blocks")
     matched = alignment.align(blocks.drop("line_no", "at"), stored).where("outcome = 'match'").select("conv", "seq", "pos")
     extra = matched.join(stored, ["conv", "pos"]).select("conv", "seq", additions().alias("extra"))
     each = blocks.select("conv", "line_no", "at", "seq").join(extra, ["conv", "seq"], "left")

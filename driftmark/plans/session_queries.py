@@ -39,7 +39,7 @@ def store_event_order(t: Tables) -> DataFrame:
     inside = F.when(F.col("generation") == 1, F.transform("inside", lambda x: x["e"]))
     convs = c.groupBy("conv_id", "generation").agg(listed.alias("ids"), F.array_sort(F.collect_list(F.struct("turn", event.alias("e")))).alias("inside"))
     convs = convs.select(F.concat(F.lit("composerData:"), F.col("conv_id").cast("string")).alias("key"), F.to_json(F.struct(heads.alias("fullConversationHeadersOnly"), inside.alias("conversation"))).alias("value"))
-    found = keyvalue.ordered_events(bubbles.unionByName(convs))
+    found = keyvalue.ordered_events(tables.written(bubbles.unionByName(convs), "store-rows"))
     place = F.row_number().over(core.Window.partitionBy("conv").orderBy("pos")) - 1
     return found.select(F.col("conv").cast("long").alias("conv_id"), "rung", place.cast("long").alias("place"), "event_id", F.md5(F.get_json_object("event", "$.text").cast("binary")).alias("text_hash"))
 
@@ -103,7 +103,7 @@ def _calls(t: Tables) -> tuple[DataFrame, DataFrame]:
     bubbles = kept.select(key.alias("key"), F.to_json(F.struct(F.lit(2).alias("type"), called.alias("toolFormerData"))).alias("value"))
     ids = F.transform(F.array_sort(F.collect_list("turn")), lambda x: F.struct(F.concat(F.lit("b"), x.cast("string")).alias("bubbleId")))
     heads = kept.groupBy("conv_id").agg(ids.alias("ids")).select(F.concat(F.lit("composerData:"), F.col("conv_id").cast("string")).alias("key"), F.to_json(F.struct(F.col("ids").alias("fullConversationHeadersOnly"))).alias("value"))
-    return lines, bubbles.unionByName(heads)
+    return tables.written(lines, "call-lines"), tables.written(bubbles.unionByName(heads), "call-rows")
 
 
 @query(f"""WITH {CALLS_SQL} SELECT * FROM d""")

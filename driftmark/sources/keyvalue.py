@@ -23,6 +23,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from driftmark.sources import tables
+
 # Keys that are never read, the keys among them that are (all in lower case), and the fields that are
 # taken out of every value.
 DENIED_PREFIXES = ("cursorauth/", "cursorauth.")
@@ -293,7 +295,7 @@ def ordered_events(rows: DataFrame) -> DataFrame:
     inline = inline.select("conv", F.lit(1).alias("rung"), F.col("pos").cast("long"), F.lit(None).cast("string").alias("id"), "event")
     by_time = Window.partitionBy("conv").orderBy(F.coalesce(_field(F.col("event"), "createdAt"), F.lit("")), "id")
     timed = stored.select("conv", F.lit(2).alias("rung"), (F.row_number().over(by_time) - 1).cast("long").alias("pos"), "id", "event")
-    every = listed.unionByName(inline).unionByName(timed)
+    every = tables.written(listed.unionByName(inline).unionByName(timed), "store-events")  # read for the rungs and for the rows
     best = every.groupBy("conv").agg(F.min("rung").alias("rung"))
     return every.join(best, ["conv", "rung"]).select("conv", "pos", "rung", _first_of(_field(F.col("event"), "bubbleId"), F.col("id")).alias("event_id"), "event")
 

@@ -72,6 +72,13 @@ def fresh_folder(spark: SparkSession, label: str) -> str:
     return path
 
 
+def written(df: DataFrame, label: str) -> DataFrame:
+    """The rows from a table in the shared folder, so that what reads them several times, or after a lost executor, starts there."""
+    path = fresh_folder(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 @contextlib.contextmanager
 def scratch_folder(spark: SparkSession, path: str) -> Iterator[str]:
     """A folder below ``path`` that goes when the block ends."""
