@@ -25,7 +25,7 @@ def test_matches_sql(spark, name):
 
 
 def test_names_and_contracts(spark):
-    assert [n.split("_")[0] for n in queries.QUERIES] == [f"op{k}" for k in range(1, 11)]
+    assert [n.split("_")[0] for n in queries.QUERIES] == [f"op{k}" for k in range(1, 14)]
     found = queries.QUERIES["op3_language_id"](spark, SF_DIR)
     assert found.columns[:4] == ["doc_id", "held_out", "lang_pred", "score"] and found.count() == 200
     found = queries.QUERIES["op8_toxicity"](spark, SF_DIR)
