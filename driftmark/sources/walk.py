@@ -113,10 +113,11 @@ def walk(spark: SparkSession, roots: list[str], scratch: str, deny: list[str] =
     place = f"{scratch}/walk"
     keep = ["source_root", "path", "resolved"]
     first = spark.createDataFrame([(r.rstrip("/") or "/",) for r in roots], "source_root string").mapInArrow(_rooted, "source_root string, path string, resolved string, there boolean")
-    first = first.where("there").withColumn("closed", denied(F.col("resolved"), deny) | denied(F.col("path"), deny))
-    refused = first.where("closed").select(*keep, F.lit("unreadable").alias("kind"), F.lit(None).cast("long").alias("size"), F.lit(None).cast("long").alias("mtime_ns"), F.lit("the deny list refuses it").alias("error"))
-    refused.write.parquet(f"{place}/level=0")
-    frontier, count, levels = first.where("NOT closed").select(*keep), len(roots), 0
+    closed = denied(F.col("resolved"), deny) | denied(F.col("path"), deny)
+    found = first.where("there").select(*keep, closed.alias("closed")).collect()  # as many as roots were given
+    refused = [(*r[:3], "unreadable", None, None, "the deny list refuses it") for r in found if r["closed"]]
+    opened = [tuple(r[:3]) for r in found if not r["closed"]]
+    frontier, count, levels = spark.createDataFrame(opened, "source_root string, path string, resolved string"), len(opened), 0
     trees = [p[:-3] for p in deny if p.endswith("/**")]
     while count:
         levels += 1
@@ -127,7 +128,9 @@ def walk(spark: SparkSession, roots: list[str], scratch: str, deny: list[str] =
         found.write.parquet(f"{place}/level={levels}")
         frontier = spark.read.schema(ENTRIES).parquet(f"{place}/level={levels}").where("kind = 'frontier'").select(*keep)
         count = frontier.count()
-    entries = spark.read.schema(ENTRIES).option("basePath", place).parquet(*[f"{place}/level={k}" for k in range(levels + 1)])
+    entries = spark.createDataFrame(refused, ENTRIES)
+    if levels:
+        entries = entries.unionByName(spark.read.schema(ENTRIES).parquet(*[f"{place}/level={k}" for k in range(1, levels + 1)]))
     return entries.where("kind <> 'frontier'")
 
 
