@@ -7,6 +7,8 @@ wrong with it. Users' layers may switch sources off and on, and nothing else.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -68,6 +70,11 @@ def _fault(path: Column, rule: str) -> Column:
     return F.struct(path.alias("path"), F.lit(rule).alias("rule"))
 
 
+def _bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often the body uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def violations(value: Column, schema: dict, path: Column | None = None) -> Column:
     """Array of (path, rule): where a variant breaks a schema, and by which of its words.
 
@@ -75,11 +82,20 @@ def violations(value: Column, schema: dict, path: Column | None = None) -> Colum
     maxLength, pattern, format (date-time), minimum, maximum, and allOf with ``if`` given as values of properties. A null value breaks nothing.
     """
     path = F.lit("$") if path is None else path
-    none = F.array().cast("array<struct<path:string,rule:string>>")
-    kind, found = _kind(value), []
+    node = F.struct(value.alias("value"), _kind(value).alias("kind"))
+    return F.coalesce(F.when(value.isNotNull(), _bound(node, lambda n: _faults(n["value"], n["kind"], schema, path))), _nothing())
+
+
+def _nothing() -> Column:
+    return F.array().cast("array<struct<path:string,rule:string>>")
+
+
+def _faults(value: Column, kind: Column, schema: dict, path: Column) -> Column:
+    """What a value of a known kind breaks by itself, and what its parts do."""
+    found = []
 
     def test(broken: Column, rule: str, at: Column | None = None) -> None:
-        found.append(F.when(F.coalesce(broken, F.lit(False)), F.array(_fault(path if at is None else at, rule))).otherwise(none))
+        found.append(F.when(F.coalesce(broken, F.lit(False)), F.array(_fault(path if at is None else at, rule))).otherwise(_nothing()))
 
     if "type" in schema:
         test(~kind.isin(*_TYPES[schema["type"]]), "type")
@@ -92,35 +108,41 @@ def violations(value: Column, schema: dict, path: Column | None = None) -> Colum
             test(broken(schema[word]), word)
     if schema.get("format") == "date-time":
         test(text.isNotNull() & (~text.rlike("^[0-9]{4}-[0-9]{2}-[0-9]{2}[Tt][0-9:.]+([Zz]|[+-][0-9]{2}:[0-9]{2})$") | F.try_to_timestamp(text).isNull()), "format")
-    fields = F.when(kind == "OBJECT", F.try_variant_get(value, "$", "map<string,variant>"))
-    keys = F.coalesce(F.map_keys(fields), F.array().cast("array<string>"))
+    if {"required", "properties", "additionalProperties", "propertyNames", "allOf"} & set(schema):
+        fields = F.try_variant_get(value, "$", "map<string,variant>")
+        found.append(F.when(kind == "OBJECT", _bound(fields, lambda f: _field_faults(f, schema, path))).otherwise(_nothing()))
+    items = F.when(kind == "ARRAY", F.try_variant_get(value, "$", "array<variant>"))
+    if "minItems" in schema:
+        test(F.size(items) < schema["minItems"], "minItems")
+    if "items" in schema:
+        each = F.transform(items, lambda x, k: violations(x, schema["items"], F.concat(path, F.lit("["), k.cast("string"), F.lit("]"))))
+        found.append(F.coalesce(F.flatten(each), _nothing()))
+    return F.concat(*found) if found else _nothing()
+
+
+def _field_faults(fields: Column, schema: dict, path: Column) -> Column:
+    """What the fields of an object break."""
+    keys, found = F.map_keys(fields), [_nothing()]
     under = lambda k: F.concat(path, F.lit("."), k)
+    one = lambda name: F.try_element_at(fields, F.lit(name))
     for name in schema.get("required", ()):
-        test(fields.isNotNull() & ~F.array_contains(keys, name), "required", under(F.lit(name)))
+        found.append(F.when(one(name).isNull(), F.array(_fault(under(F.lit(name)), "required"))).otherwise(_nothing()))
     known = schema.get("properties", {})
-    for name, inner in known.items():
-        one = F.try_variant_get(value, f"$.{name}", "variant")
-        found.append(F.when(F.array_contains(keys, name), violations(one, inner, under(F.lit(name)))).otherwise(none))
+    found += [violations(one(name), inner, under(F.lit(name))) for name, inner in known.items()]
     more = schema.get("additionalProperties")
     if more is False:
         extra = F.filter(keys, lambda k: ~k.isin(*known)) if known else keys
         found.append(F.transform(extra, lambda k: _fault(under(k), "additionalProperties")))
     elif more:
-        found.append(F.flatten(F.transform(F.map_entries(F.coalesce(fields, F.create_map().cast("map<string,variant>"))), lambda e: violations(e["value"], more, under(e["key"])))))
+        found.append(F.flatten(F.transform(F.map_entries(fields), lambda e: violations(e["value"], more, under(e["key"])))))
     if "propertyNames" in schema:
         found.append(F.flatten(F.transform(keys, lambda k: violations(F.try_variant_get(F.parse_json(F.to_json(F.array(k))), "$[0]", "variant"), schema["propertyNames"], under(k)))))
-    items = F.when(kind == "ARRAY", F.try_variant_get(value, "$", "array<variant>"))
-    if "minItems" in schema:
-        test(F.size(items) < schema["minItems"], "minItems")
-    if "items" in schema:
-        each = F.transform(items, lambda x, k: violations(x, schema["items"], F.concat(path, F.lit("["), k.cast("string"), F.lit("]"))))
-        found.append(F.coalesce(F.flatten(each), none))
     for rule in schema.get("allOf", ()):
         holds = F.lit(True)
         for name, values in rule["if"].items():
-            holds = holds & F.coalesce(F.try_variant_get(value, f"$.{name}", "string").isin(*values), F.lit(False))
-        found.append(F.when(holds, violations(value, rule["then"], path)).otherwise(none))
-    return F.coalesce(F.when(value.isNotNull(), F.concat(*found)), none) if found else none
+            holds = holds & F.coalesce(F.try_variant_get(one(name), "$", "string").isin(*values), F.lit(False))
+        found.append(F.when(holds, _field_faults(fields, rule["then"], path)).otherwise(_nothing()))
+    return F.concat(*found)
 
 
 def read_documents(spark: SparkSession, path: str) -> DataFrame:
