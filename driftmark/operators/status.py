@@ -65,10 +65,14 @@ def metadata(fields: dict[str, Column]) -> Column:
 
 
 def message_tail(text: Column, most: int = MESSAGE_BYTES) -> Column:
-    """The longest end of a message of at most ``most`` bytes; characters stay whole."""
-    end = F.right(text, F.lit(most))
-    longest = F.array_max(F.filter(F.sequence(F.lit(most // 4), F.lit(most)), lambda k: F.octet_length(F.right(text, k)) <= most))
-    return F.when(F.octet_length(end) <= most, end).otherwise(F.right(text, longest))
+    """The longest end of a message of at most ``most`` bytes; characters stay whole.
+
+    A text is cut once, by bytes; what the cut left of a character, three bytes at most that aren't its first, goes.
+    """
+    end = F.substring(text.cast("binary"), -most, most)
+    inner = lambda n: F.substring(end, n, 1).between(F.lit(b"\x80"), F.lit(b"\xbf"))
+    skipped = F.when(~inner(1), 0).when(~inner(2), 1).when(~inner(3), 2).otherwise(3)
+    return F.when(F.octet_length(text) <= most, text).otherwise(F.substring(end, skipped + 1, F.lit(most)).cast("string"))
 
 
 def stalls(ticks: DataFrame, key: str, ts: str, limit_seconds: int) -> DataFrame:
