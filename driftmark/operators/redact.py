@@ -30,6 +30,9 @@ from pyspark.sql import functions as F
 from driftmark.plans import packs
 from driftmark.plans import rules as R
 
+#: Bytes of texts that a task looks at together.
+PIECE_BYTES = 4 << 20
+
 
 def gate(text: Column, rule: R.Rule) -> Column:
     """Can the rule match at all: is one of its keywords in the text, ASCII case aside?"""
@@ -39,6 +42,19 @@ def gate(text: Column, rule: R.Rule) -> Column:
     return found
 
 
+def pieces(batches: Iterator[pa.RecordBatch], text: str, most: int = PIECE_BYTES) -> Iterator[pa.RecordBatch]:
+    """Batches in slices whose texts hold ``most`` bytes together, or of one row: what a task makes of a batch is a few times its texts."""
+    for b in batches:
+        begin = held = 0
+        for k, size in enumerate(pc.fill_null(pc.binary_length(b.column(text)), 0).to_pylist()):
+            if held and held + size > most:
+                yield b.slice(begin, k - begin)
+                begin, held = k, 0
+            held += size
+        if begin < b.num_rows:
+            yield b.slice(begin)
+
+
 def hits_by_rule(docs: DataFrame, rules: list[R.Rule], text: str = "text") -> DataFrame:
     """(rule_id, docs, hits) of the rules that hit in any text, checksums and overlaps aside; null texts hold nothing.
 
@@ -49,7 +65,7 @@ def hits_by_rule(docs: DataFrame, rules: list[R.Rule], text: str = "text") -> Da
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         gate, seen, hits = line_gate(), Counter(), Counter()
         known = [(r, R.python(r.pattern)) for r in rules]
-        for b in batches:
+        for b in pieces(batches, text):
             some = b.column(0).filter(pc.fill_null(pc.match_substring_regex(b.column(0), gate + "|" + NUMBER_GATE), False))
             for rule, pattern in known if len(some) else ():
                 held = some.filter(pc.match_substring_regex(some, rule.pattern)).to_pylist()
@@ -380,9 +396,9 @@ def redact_lines(lines: DataFrame, username: str = "", body: str = "body", famil
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ladder, gate = Ladder(username, chosen), line_gate(username, chosen.rules)
-        for b in batches:
+        for b in pieces(batches, body):
             bodies = b.column(body)
-            # RE2 over whole batches tells which lines need a look at all; the others stay as they are, in Arrow
+            # RE2 over many lines at once tells which need a look at all; the others stay as they are, in Arrow
             bare = pc.replace_substring_regex(bodies, UUID_VALUE, '""')
             rules = pc.or_(pc.match_substring_regex(bodies, gate), pc.match_substring_regex(bare, NUMBER_GATE)).to_pylist()
             runs = pc.match_substring_regex(bare, RUN_GATE).to_pylist()
