@@ -2,7 +2,8 @@
 
 A rank is found digit by digit: rows are counted by group and leading 16 bits, the digit that holds the rank is kept, and
 the next round counts the next 16 bits of what begins with it. A task hands on counts, 65 536 for a group at most, so
-a group of any size costs four rounds of counting for each order column, and nothing is ever sorted but counts.
+a group of any size costs four rounds of counting for each order column, and nothing is ever sorted or shuffled but counts:
+what each round looks for is a table of its own, which goes to the rows where it is small, and meets their counts otherwise.
 """
 
 from __future__ import annotations
@@ -12,7 +13,10 @@ from pyspark.sql import functions as F
 
 from driftmark.functions.checks import upper_median
 from driftmark.operators import rollups
+from driftmark.sources import tables
 
+#: Ranks that are broadcast, at most.
+BROADCAST_RANKS = 200_000
 #: Rows, or different values, of a group that one task may hold.
 FEW = 1_000_000
 _DIGIT, _PER_COLUMN = 16, 4
@@ -42,16 +46,17 @@ def at_ranks(rows: DataFrame, key: list[str], order: list[str], ranks: DataFrame
     """
     names = [f"_d{k}" for k in range(_PER_COLUMN * len(order))]
     data = rows.select(*key, *[d.alias(n) for d, n in zip((d for c in order for d in _digits(c)), names, strict=True)])
-    targets = ranks.select(*key, "rank", F.col("rank").cast("long").alias("_left"))
+    targets = tables.written(ranks.select(*key, "rank", F.col("rank").cast("long").alias("_left")), "ranks")
+    small = targets.count() <= BROADCAST_RANKS
     for n, digit in enumerate(names):
         known = [*key, *names[:n]]
         held = data.select(*known, digit)
-        if n:
-            held = held.join(targets.select(*known).distinct(), known, "left_semi")
+        if small:
+            held = held.join(F.broadcast(targets.select(*known).distinct()), known, "left_semi")
         counts = held.groupBy(*known, digit).agg(F.count(F.lit(1)).alias("_n"))
         counts = counts.withColumn("_upto", F.sum("_n").over(Window.partitionBy(*known).orderBy(digit)))
-        found = targets.join(counts, known).where((F.col("_left") >= F.col("_upto") - F.col("_n")) & (F.col("_left") < F.col("_upto")))
-        targets = found.withColumn("_left", F.col("_left") - F.col("_upto") + F.col("_n")).drop("_n", "_upto")
+        found = counts.join(F.broadcast(targets) if small else targets, known).where((F.col("_left") >= F.col("_upto") - F.col("_n")) & (F.col("_left") < F.col("_upto")))
+        targets = tables.written(found.select(*known, digit, "rank", (F.col("_left") - F.col("_upto") + F.col("_n")).alias("_left")), "ranks")
     values = [_number([F.col(n) for n in names[_PER_COLUMN * k : _PER_COLUMN * (k + 1)]]).alias(c) for k, c in enumerate(order)]
     return targets.select(*key, "rank", *values, F.col("_left").alias("tie"))
 
